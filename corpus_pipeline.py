@@ -1,15 +1,71 @@
-"""Corpus pipeline: five operators of panelspark.llm applied to `documents`, one after the other."""
+"""Corpus pipeline: five operators of panelspark.llm applied to `documents`, one after the other.
+
+Every stage takes the documents that its predecessor kept and returns them with the same columns; the
+last adds its token counts and rates. run() writes nothing between the stages; each reads its input as
+often as its operator needs, so the result of every stage is materialized in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import decontaminate, lines, mixing, near, quality, queries
+from panelspark.llm.common import materialize, read, with_ids
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents with a score below the threshold go; null texts score 0 and go."""
+    model = queries.quality_model(docs, spark, sf_dir)
+    columns = docs.columns
+    scored = quality.score(docs, model, columns)
+    return scored.filter(F.col("score") >= queries.GOOD).select(*columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: repeated lines go; a document that had words and has lost all of them goes too."""
+    found = lines.dedup_lines(docs).select("doc_id", F.col("text").alias("_new"))
+    blank = "^[\\x20\\x09-\\x0D]*$"
+    joined = docs.join(found, "doc_id")
+    emptied = F.coalesce(F.col("_new").rlike(blank) & ~F.col("text").rlike(blank), F.lit(False))
+    replaced = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)}
+    return joined.filter(~emptied).select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: the least doc_id of each group stays."""
+    gone = materialize(near.near_duplicates(docs).filter("not kept").select("doc_id"))
+    return with_ids(docs, gone, "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that contain a test item go."""
+    hits = decontaminate.contained(docs, read(spark, sf_dir, "benchmark"))
+    return with_ids(docs, materialize(hits.select("doc_id").distinct()), "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: adds n_tokens and the rate at which a document is drawn; those of rate 0 go."""
+    model = queries.domain_model(docs, spark, sf_dir)
+    return mixing.mix(docs, model, queries.TARGETS, docs.columns).select(*docs.columns, "n_tokens", F.round("rate", 6).alias("rate")).filter("rate > 0")
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+]
 
-STAGES: list = []
+#: The classifier and the rates are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
     return docs

@@ -28,10 +28,10 @@ FROM e GROUP BY conv_id
 _WORDS = r"""
 w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM {table}
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table}
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
 )"""
 
 OP10 = (
@@ -50,4 +50,46 @@ FROM n JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id
 """
 )
 
-ORACLES: dict[str, str] = {"op9_chat_format": OP9, "op10_near_dedup": OP10}
+
+OP2 = (
+    "WITH"
+    + _WORDS.format(table="documents")
+    + ", "
+    + _WORDS.format(table="(SELECT item_id AS doc_id, text FROM benchmark)").replace("w AS (", "iw AS (", 1).replace("s AS (", "items AS (", 1).replace("FROM w", "FROM iw")
+    + """, n AS (SELECT doc_id AS item_id, count(*) AS n_item_shingles FROM items GROUP BY ALL)
+SELECT s.doc_id, n.item_id, n.n_item_shingles, count(*) AS n_shared
+FROM items i JOIN n ON n.item_id = i.doc_id JOIN s ON s.s = i.s GROUP BY ALL HAVING count(*) >= 0.75 * n.n_item_shingles
+"""
+)
+
+OP7 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
+), w AS (
+  SELECT doc_id, pos, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l
+), c AS (
+  SELECT w, min({'doc': doc_id, 'pos': pos}) AS first FROM w WHERE len(w) >= 3 GROUP BY w
+), v AS (
+  SELECT first, len(w) AS n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c WHERE len(w) >= 10)
+), whole AS (SELECT first, len(w) AS n, array_to_string(w, ' ') AS rest FROM c WHERE len(w) >= 10),
+near AS (
+  SELECT y.first FROM v x JOIN v y ON x.rest = y.rest AND x.i = y.i AND x.n = y.n AND x.first < y.first
+  UNION SELECT y.first FROM v x JOIN whole y ON x.rest = y.rest AND x.n = y.n + 1 AND x.first < y.first
+  UNION SELECT x.first FROM v x JOIN whole y ON x.rest = y.rest AND x.n = y.n + 1 AND y.first < x.first
+), marked AS (
+  SELECT w.doc_id, w.pos, w.line,
+    coalesce(c.first <> {'doc': w.doc_id, 'pos': w.pos} OR c.first IN (SELECT first FROM near), false) AS gone
+  FROM w LEFT JOIN c ON c.w = w.w
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
+  count(*) AS n_lines, count(*) FILTER (WHERE NOT gone) AS n_kept
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2,
+    "op7_line_dedup": OP7,
+    "op9_chat_format": OP9,
+    "op10_near_dedup": OP10,
+}

@@ -7,10 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near, urls
+from . import chat, decontaminate, lines, mixing, near, quality, urls
 from .common import read
 
 
+#: Target weights of the languages, of expected tokens.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+#: Score from which a document counts as good.
+GOOD = 0.7
+
+
+def domain_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> mixing.DomainModel:
+    """Language posteriors, trained on the documents that the table of labels covers."""
+    labelled = read(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    return mixing.train(docs, labelled)
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    """Trained on the labels outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").filter(~quality.in_fold(F.col("doc_id")))
+    return quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = domain_model(docs, spark, sf_dir)
+    mixed = mixing.mix(docs, model, TARGETS)
+    shares = [F.round(F.col("posteriors")[i], 6).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 6).alias("rate"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(docs, spark, sf_dir), ["doc_id"])
+    return scored.select(
+        "doc_id",
+        quality.in_fold(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     judged = urls.filter_urls(pages, urls.train(urls.labelled_urls(spark)))
@@ -29,5 +74,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filter, op9_chat_format, op10_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_decontaminate, op3_url_filter, op7_line_dedup, op8_quality,
+        op9_chat_format, op10_near_dedup,
+    )
 }
