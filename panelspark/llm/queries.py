@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, mixing, near, quality, urls
+from . import chat, decontaminate, fertility, licenses, lines, mixing, near, pii, quality, urls
 from .common import read
 
 
@@ -41,6 +41,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(read(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read(spark, sf_dir, "documents"))
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -76,7 +89,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mix_sources, op2_decontaminate, op3_url_filter, op7_line_dedup, op8_quality,
-        op9_chat_format, op10_near_dedup,
+        op1_mix_sources, op2_decontaminate, op3_url_filter, op4_pii, op5_licenses,
+        op6_fertility, op7_line_dedup, op8_quality, op9_chat_format, op10_near_dedup,
     )
 }
