@@ -6,11 +6,13 @@ round T+j fills coordinate j. Every coordinate is filled, and the share of equal
 sketches concentrates around their Jaccard similarity.
 
 Search: BANDS bands of ROWS coordinates; sets of similarity 0.75 share no band with a probability of
-about 5e-6. Equal sets are one class from the start. A bucket first gives star edges (each member with
-the bucket's least and greatest members), which are verified on full sets and merged into components. Only
-buckets that still hold several components go on: small ones compare members across components, large
-ones are split by a second band (again star edges, merged), and what is left after that compares across
-components as well, without a cap. Links inside one component cannot change the result.
+about 4e-6. Equal sets are one class from the start. A bucket first gives star edges from its centre, the
+member that shares the most buckets with others; their overlaps are counted on full sets, and links merge
+into components. Only buckets that still hold several components go on: members outside the centre's
+component meet the others of the bucket in a join whose condition drops pairs that cannot link: pairs of
+one component, pairs whose overlap is bounded too low by their exact overlaps with the centre, and pairs
+whose one-bit sketches differ more than MOST_DIFFERENT allows (5.5 standard deviations). What remains is
+verified on full sets, without a cap. Links inside one component cannot change the result.
 
 Edge cases: null and empty texts have an empty set, link with nothing and stay; a row
 without doc_id stays, with no component; repeated rows of a doc_id are returned as often as they come;
@@ -24,38 +26,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from . import common
 from .common import map_texts, materialize, mix, text_shingles
 
-T, BANDS, ROWS = 128, 32, 4
-#: Buckets up to this size compare all members across components at once.
-SMALL_BUCKET = 24
-#: Sketches that agree on a smaller share than this are 5 standard deviations below 0.75.
-LEAST_AGREEMENT = 0.56
+T, BANDS, ROWS = 384, 64, 6
+WORDS = T // 64
+#: Bits of two sketches that differ at similarity 0.75: 48 of 384, deviation 6.5.
+MOST_DIFFERENT = 84
 
 _rng = np.random.default_rng(10)
 _SEEDS = _rng.integers(1, 2**64, 2 * T, dtype=np.uint64)
 _COMBINE = _rng.integers(1, 2**64, ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND = _rng.integers(1, 2**64, BANDS, dtype=np.uint64)
-_VALUE, _EMPTY = np.uint64(2**56 - 1), np.uint64(2**64 - 1)
+_VALUE, _EMPTY = np.uint64(2**54 - 1), np.uint64(2**64 - 1)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """T coordinates of a non-empty set of 64-bit hashes: round in the top 8 bits, value below."""
+    """T coordinates of a non-empty set of 64-bit hashes: round in the top 10 bits, value below."""
     out, done, n = np.full(T, _EMPTY), 0, len(s)
     while done < T and (done == 0 or out.max() == _EMPTY):
-        k = min(T - done, max(1, -(-1024 // n)))
+        k = min(T - done, max(1, -(-4096 // n)))
         v = mix(s[None, :] ^ _SEEDS[done : done + k, None])
-        rounds = np.arange(done, done + k, dtype=np.uint64)[:, None] << np.uint64(56)
-        np.minimum.at(out, (v >> np.uint64(57)).astype(np.int64).ravel(), (rounds | (v & _VALUE)).ravel())
+        rounds = np.arange(done, done + k, dtype=np.uint64)[:, None] << np.uint64(54)
+        place = ((v >> np.uint64(32)) * np.uint64(T)) >> np.uint64(32)
+        # The value must not tell the place: it is mixed again.
+        np.minimum.at(out, place.astype(np.int64).ravel(), (rounds | (mix(v) & _VALUE)).ravel())
         done += k
     empty = np.flatnonzero(out == _EMPTY)
-    for j in empty:  # only sets of a few shingles
-        out[j] = (np.uint64(T + j) << np.uint64(56)) | (mix(s ^ _SEEDS[T + j]) & _VALUE).min()
+    if len(empty):  # only sets of a few shingles
+        v = mix(s[None, :] ^ _SEEDS[T + empty, None]) & _VALUE
+        out[empty] = ((T + empty).astype(np.uint64) << np.uint64(54)) | v.min(axis=1)
     return out
 
 
@@ -64,7 +67,7 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return mix((rows * _COMBINE).sum(axis=1, dtype=np.uint64) ^ _BAND)
 
 
-_FEATURES = "n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
+_FEATURES = "n_shingles long, set1 long, set2 long, bands array<long>, sketch array<long>"
 
 
 def _features(texts: list[str | None]) -> list[pa.Array]:
@@ -80,52 +83,37 @@ def _features(texts: list[str | None]) -> list[pa.Array]:
         set1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
         set2.append(int(mix(s * _COMBINE[0]).sum(dtype=np.uint64).view(np.int64)))
         band.append(bands(c).view(np.int64))
-        sketches.append((c & np.uint64(255)).astype(np.uint8).tobytes())
+        sketches.append(np.packbits((mix(c) & np.uint64(1)).astype(np.uint8)).view(np.int64))
     long = pa.int64()
-    return [pa.array(size, long), pa.array(set1, long), pa.array(set2, long), pa.array(band, pa.list_(long)), pa.array(sketches, pa.binary())]
+    return [pa.array(size, long), pa.array(set1, long), pa.array(set2, long), pa.array(band, pa.list_(long)), pa.array(sketches, pa.list_(long))]
 
 
 def _sets(texts: list[str | None]) -> list[pa.Array]:
     return [pa.array([text_shingles(t).tobytes() for t in texts], pa.binary())]
 
 
-def _confirm(least: float):
-    per_cent = round(100 * least)
+def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rows.append((a, b, len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+        yield pd.DataFrame(rows, columns=["a", "b", "size_a", "size_b", "both"], dtype="int64")
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= per_cent * (len(p) + len(q) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return confirm
-
-
-def verified(pairs: DataFrame, features: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets have at least that similarity."""
-    sketches = features.select("doc_id", "sketch")
-    near = (
-        pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-        .filter(_agreement("x", "y") >= LEAST_AGREEMENT * least / 0.75)
-        .select("a", "b")
-    )
-    near = materialize(near)
-    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
+def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, size_a, size_b and both (the size of the intersection of full shingle sets) of pairs (a, b)."""
+    pairs = materialize(pairs)
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = map_texts(common.with_ids(docs, ids, "left_semi"), ["doc_id"], _sets, "hashes binary")
     sets = materialize(sets.groupBy("doc_id").agg(F.min("hashes").alias("hashes")))
-    full = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return materialize(full.mapInPandas(_confirm(least), "a long, b long"))
+    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return materialize(full.mapInPandas(_overlaps, "a long, b long, size_a long, size_b long, both long"))
 
 
-@F.pandas_udf(DoubleType())
-def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-    if not len(x):
-        return pd.Series([], dtype=float)
-    p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), T) for v in (x, y))
-    return pd.Series((p == q).mean(axis=1))
+def _links(overlap: DataFrame, least: float) -> DataFrame:
+    per_cent = round(100 * least)
+    return overlap.filter(100 * F.col("both") >= per_cent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,34 +139,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def _star(keys: DataFrame) -> DataFrame:
-    """Pairs of each member with the least and the greatest member of its bucket."""
-    star = keys.select(F.explode(F.array("first", "last")).alias("a"), F.col("doc_id").alias("b"))
-    return star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-
+def _different(x: str, y: str) -> Column:
+    """Bits in which two sketches differ."""
+    total = F.lit(0)
+    for i in range(WORDS):
+        total = total + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
+    return total
 
-def _bucketed(keys: DataFrame) -> DataFrame:
-    """Buckets (key, n, first, last, mixed) of (key, doc_id, comp) with several components."""
-    return (
-        keys.groupBy("key")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("doc_id").alias("first"),
-            F.max("doc_id").alias("last"),
-            (F.min("comp") != F.max("comp")).alias("mixed"),
-        )
-        .filter("mixed")
-    )
 
+def _across(members: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members in different components that may link.
 
-def _across(keys: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components."""
-    x, y = keys.toDF("key", "a", "ca"), keys.toDF("key", "b", "cb")
-    return x.join(y, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-
-
-def _relabel(keys: DataFrame, comp: DataFrame) -> DataFrame:
-    return keys.drop("comp").join(comp.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    members: key, doc_id, comp, main (component of the centre), size, own (overlap with the centre), sketch.
+    """
+    x = members.filter("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
+    y = members.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"))
+    # A pair that both sides list is taken once.
+    once = (F.col("cb") == F.col("m")) | (F.col("a") < F.col("b"))
+    most = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    possible = (1 + least) * most >= least * (F.col("na") + F.col("nb")) - 1e-6
+    alike = _different("sa", "sb") <= MOST_DIFFERENT * (1 - least) / 0.25
+    met = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & once & possible & alike
+    return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -189,30 +171,31 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     classes = materialize(texts.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
-    entries = reps.select(F.explode("bands").alias("key"), "doc_id", F.col("doc_id").alias("comp"))
-    buckets = _bucketed(entries)
-    keys = materialize(entries.join(buckets.select("key", "first", "last", "n"), "key"))
-    links = verified(_star(keys), features, docs, least)
-    comp = components(links)
+    entries = reps.select(F.explode("bands").alias("key"), "doc_id")
+    counts = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    entries = materialize(entries.join(counts, "key"))
+    heat = entries.groupBy("doc_id").agg(F.sum("n").alias("heat"))
+    warm = entries.select("key", "doc_id").join(heat, "doc_id")
+    centres = materialize(warm.groupBy("key").agg(F.max_by("doc_id", F.struct("heat", -F.col("doc_id"))).alias("centre")))
+    keys = materialize(entries.select("key", "doc_id").join(centres, "key"))
+
+    star = overlaps(keys.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), docs)
+    links = _links(star, least)
+    comp = materialize(components(links))
 
     # Buckets that still hold several components.
-    keys = _relabel(keys.select("key", "doc_id", "comp"), comp)
-    left = _bucketed(keys).select("key", F.col("n").alias("n"))
-    keys = materialize(keys.join(left, "key"))
-    pairs = _across(keys.filter(F.col("n") <= SMALL_BUCKET).select("key", "doc_id", "comp"))
-    large = keys.filter(F.col("n") > SMALL_BUCKET)
-    if not large.isEmpty():
-        again = large.join(reps.select("doc_id", "bands"), "doc_id").select(
-            F.explode("bands").alias("other"), "key", "doc_id", "comp"
-        )
-        again = again.filter("other <> key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "doc_id", "comp").distinct()
-        buckets = _bucketed(again).select("key", "first", "last", "n")
-        again = materialize(again.join(buckets, "key"))
-        links = materialize(links.union(verified(_star(again), features, docs, least)))
-        again = _relabel(again.select("key", "doc_id", "comp"), components(links))
-        again = again.join(_bucketed(again).select("key"), "key", "left_semi").select("key", "doc_id", "comp")
-        pairs = pairs.union(_across(again))
-    comp = components(links.union(verified(pairs.distinct(), features, docs, least)))
+    of, at = comp.toDF("doc_id", "comp"), comp.toDF("centre", "main")
+    placed = keys.join(of, "doc_id", "left").join(at, "centre", "left")
+    placed = placed.withColumns({"comp": F.coalesce("comp", "doc_id"), "main": F.coalesce("main", "centre")})
+    placed = materialize(placed)
+    mixed = placed.filter("comp <> main").select("key").distinct()
+    shares = star.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), F.col("both").alias("own"))
+    members = (
+        placed.filter("doc_id <> centre").join(mixed, "key", "left_semi").join(shares, ["centre", "doc_id"])
+        .join(features.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "comp", "main", "size", "own", "sketch")
+    )
+    more = _links(overlaps(_across(materialize(members), least), docs), least)
+    comp = components(links.union(more))
 
     rep_comp = classes.join(comp.toDF("rep", "component_id"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     found = features.select("doc_id", "n_shingles", "set1", "set2").join(
