@@ -24,12 +24,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go; a document that had words and has lost all of them goes too."""
-    found = lines.dedup_lines(docs).select("doc_id", F.col("text").alias("_new"))
-    blank = "^[\\x20\\x09-\\x0D]*$"
-    joined = docs.join(found, "doc_id")
-    emptied = F.coalesce(F.col("_new").rlike(blank) & ~F.col("text").rlike(blank), F.lit(False))
-    replaced = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)}
-    return joined.filter(~emptied).select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
+    # Lines that go have words, so a document is emptied if no line with a word is left.
+    columns, blank = docs.columns, "^[\\x20\\x09-\\x0D]*$"
+    found = lines.dedup_lines(docs)
+    emptied = F.coalesce((F.col("n_kept") < F.col("n_lines")) & F.col("text").rlike(blank), F.lit(False))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.filter(~emptied).withColumn("n_chars", n_chars).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

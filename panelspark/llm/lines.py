@@ -3,10 +3,10 @@
 A line's letters are its words (split at blanks), so the edit distance counts words inserted, deleted or
 replaced; the bound is 1. A line goes if an earlier line, by (doc_id, line number) over all documents,
 is equal to it or within the bound. Lines of fewer than MIN_WORDS words always stay; lines of fewer than
-2 * ANCHOR words go only if equal.
+CLOSE_WORDS words go only if equal.
 
 Steps: equal lines are classes by a 128-bit hash, with their first place. Two lines within the bound
-agree on their first or their last ANCHOR words, so only classes that share one of these with another
+agree on one half, cut by the shorter line's length, so only classes that share such a half with another
 class emit variants. A variant is the line without its i-th word, keyed by a hash that is built from
 running exclusive-ors in one pass; equal variants at equal i are replacements, a variant equal to a whole
 line is a deletion. Each variant group links its members only with its earliest line (for members of one
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-MIN_WORDS, ANCHOR = 3, 5
+MIN_WORDS, CLOSE_WORDS = 3, 10
 
 
 def _lines(text: Column) -> Column:
@@ -41,24 +41,35 @@ def places(docs: DataFrame) -> DataFrame:
     """doc_id, pos, size, k1, k2, head, tail of every line; short lines get a key of their own."""
     lines = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     words = lines.select("doc_id", "pos", words_of(F.col("line")).alias("w")).withColumn("size", F.size("w"))
-    counts, anchored = F.col("size") >= MIN_WORDS, F.col("size") >= 2 * ANCHOR
+    counts = F.col("size") >= MIN_WORDS
     return words.select(
         "doc_id", "pos", "size",
         F.when(counts, _hash(1, F.col("w"))).otherwise(_hash(5, F.col("doc_id"), F.col("pos"))).alias("k1"),
         F.when(counts, _hash(2, F.col("w"))).otherwise(_hash(6, F.col("doc_id"), F.col("pos"))).alias("k2"),
-        F.when(anchored, _hash(3, F.slice("w", 1, ANCHOR))).alias("head"),
-        F.when(anchored, _hash(4, F.slice("w", -ANCHOR, ANCHOR))).alias("tail"),
+        *[F.when(F.col("size") >= CLOSE_WORDS, half).alias(name) for name, half in zip(HALVES, _halves(), strict=True)],
     )
 
 
+#: Halves of a line: first and last, cut as a line of its own length and as one of a word less.
+HALVES = ("own_first", "own_last", "less_first", "less_last")
+
+
+def _halves() -> list[Column]:
+    out = []
+    for less in (0, 1):
+        m = F.col("size") - less
+        first = F.floor(m / 2).cast("int")
+        out += [_hash(3, m, F.slice("w", 1, first)), _hash(4, m, F.slice("w", F.col("size") - (m - first) + 1, m - first))]
+    return out
+
+
 def _close(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Classes (k1, k2) that have an earlier line within the bound, by a verified link."""
-    anchored = classes.filter("head is not null")
-    # Anchors that at least two classes share; a class can meet itself at most once in each role.
-    ends = anchored.select(F.explode(F.array("head", "tail")).alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1").select("end")
-    some = anchored.select("k1", "k2", "first", F.explode(F.array("head", "tail")).alias("end")).join(shared, "end", "left_semi")
-    some = some.select("k1", "k2", "first").distinct()
+    # A half is shared if two classes have it; lines of n and n - 1 words meet at the length n - 1.
+    halves = classes.filter("own_first is not null").select("k1", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    chosen = materialize(halves.join(shared, "half").select("k1").distinct())
+    some = classes.join(chosen, "k1", "left_semi").filter("own_first is not null").select("k1", "k2", "first")
 
     at = materialize(some.select("first", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")))
     lines = docs.select("doc_id", "text").join(at.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -87,11 +98,12 @@ def _close(classes: DataFrame, docs: DataFrame) -> DataFrame:
     # Replacements: equal variants at equal places.
     groups = variants.groupBy("key", "i").agg(F.min("first").alias("other"), F.count("*").alias("n")).filter("n > 1")
     replaced = variants.join(groups, ["key", "i"]).filter("other < first").select("first", "other", "i", F.lit("replaced").alias("kind"))
-    # Deletions: a whole line equals another line's variant.
+    # Deletions: a whole line equals another line's variant; whole lines are distinct, so a variant meets one.
     whole = variants.filter("whole is not null").select(F.col("first").alias("short"), F.col("whole").alias("key"))
-    longer = variants.groupBy("key").agg(F.min(F.struct("first", "i")).alias("long"))
-    grown = whole.join(longer, "key").filter("long.first < short").select(F.col("short").alias("first"), F.col("long.first").alias("other"), F.col("long.i").alias("i"), F.lit("shorter").alias("kind"))
-    cut = variants.join(whole.groupBy("key").agg(F.min("short").alias("short")), "key").filter("short < first").select("first", F.col("short").alias("other"), "i", F.lit("longer").alias("kind"))
+    met = materialize(variants.select("key", "first", "i").join(whole, "key"))
+    least = met.groupBy("short").agg(F.min(F.struct("first", "i")).alias("long"))
+    grown = least.filter("long.first < short").select(F.col("short").alias("first"), F.col("long.first").alias("other"), F.col("long.i").alias("i"), F.lit("shorter").alias("kind"))
+    cut = met.filter("short < first").select("first", F.col("short").alias("other"), "i", F.lit("longer").alias("kind"))
     links = replaced.union(grown).union(cut)
     # A variant repeated within a line (equal neighbours) would only repeat a link.
     links = links.groupBy("first", "other", "kind").agg(F.min("i").alias("i"))
@@ -103,14 +115,14 @@ def _close(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text without the lines that go, n_lines and n_kept; one row per row of docs."""
-    docs = docs.select("doc_id", "text")
+    """All columns of docs, text without the lines that go, n_lines and n_kept; one row per row of docs."""
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
+    docs, full = docs.select("doc_id", "text"), docs.select(*columns)
     where = materialize(places(docs))
     classes = materialize(
         where.filter(F.col("size") >= MIN_WORDS).groupBy("k1", "k2").agg(
             F.min(F.struct("doc_id", "pos")).alias("first"),
-            F.max("head").alias("head"),
-            F.max("tail").alias("tail"),
+            *[F.max(h).alias(h) for h in HALVES],
             F.count("*").alias("n"),
         )
     )
@@ -126,9 +138,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     lines = _lines(F.col("text"))
     kept = F.when(F.col("goes").isNull(), lines).otherwise(F.filter(lines, lambda line, i: ~F.coalesce(F.get("goes", i), F.lit(False))))
-    return docs.join(flags, "doc_id", "left").select(
-        "doc_id",
-        F.array_join(kept, "\n").alias("text"),
+    made = {"text": F.array_join(kept, "\n").alias("text")}
+    return full.join(flags, "doc_id", "left").select(
+        *[made.get(c, F.col(c)) for c in columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("n_kept"),
     )

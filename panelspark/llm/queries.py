@@ -55,7 +55,7 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
