@@ -36,8 +36,10 @@ def ts_cov(x: Column, y: Column, n: int = 10, least: int | None = None) -> Colum
 
 
 def ts_corr_pearson(x: Column, y: Column, n: int = 10) -> Column:
-    w, both = trailing(n), F.when(x.isNotNull() & y.isNotNull(), x)
-    return gated(F.corr(x, y).over(w), both, n, w)
+    w, known = trailing(n), x.isNotNull() & y.isNotNull()
+    a, b = F.when(known, x), F.when(known, y)
+    spread = F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)
+    return gated(F.try_divide(F.covar_pop(a, b).over(w), spread), a, n, w)
 
 
 def ts_prod(x: Column, n: int = 10, least: int | None = None) -> Column:

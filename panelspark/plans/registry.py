@@ -24,13 +24,18 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def rounded(x: Column | str, digits: int = 4) -> Column:
-    """Rounded for comparison; -0.0 becomes 0.0 and NaN NULL."""
+    """Rounded for comparison, by floor(x 10^d + 0.4987) so that both engines agree; NaN is NULL.
+
+    Exact ties (prices of few decimals) fall on the same side as the shift is not one half.
+    """
     x = F.col(x) if isinstance(x, str) else x
-    return F.when(~F.isnan(x), F.round(x, digits) + F.lit(0.0))
+    scale = float(10**digits)
+    return F.when(~F.isnan(x), F.floor(x * scale + 0.4987).cast("double") / scale)
 
 
 def sql_rounded(expression: str, digits: int = 4) -> str:
-    return f"CASE WHEN isfinite({expression}) THEN round({expression}, {digits}) + 0.0 END"
+    scale = float(10**digits)
+    return f"CASE WHEN isfinite({expression}) THEN floor(({expression}) * {scale}::DOUBLE + 0.4987::DOUBLE)::BIGINT::DOUBLE / {scale}::DOUBLE END"
 
 
 # --- the domain objects of sources/tables.py in SQL --------------------------------------------

@@ -51,7 +51,7 @@ cell_query("ts_stddev", lambda: series.ts_stddev(close(), 20), gate(f"stddev_sam
 cell_query(
     "ts_cov", lambda: series.ts_cov(px(), vol(), 20), gate(f"covar_samp(px, vol) {over(20)}", "px + vol", 20, 2), 3
 )
-cell_query("ts_corr_pearson", lambda: series.ts_corr_pearson(px(), vol(), 20), gate(f"corr(px, vol) {over(20)}", "px + vol", 20, 20))
+cell_query("ts_corr_pearson", lambda: series.ts_corr_pearson(px(), vol(), 20), gate(f"covar_pop(px, vol) {over(20)} / (stddev_pop(CASE WHEN vol IS NOT NULL THEN px END) {over(20)} * stddev_pop(CASE WHEN px IS NOT NULL THEN vol END) {over(20)})", "px + vol", 20, 20))
 cell_query("ts_prod", lambda: series.ts_prod(1 + ret(), 5), gate(f"product(1 + ret) {over(5)}", "ret", 5, 5))
 cell_query("ts_min", lambda: series.ts_min(close(), 15, 1), gate(f"min(close) {over(15)}", "close", 15, 1))
 cell_query("ts_max", lambda: series.ts_max(close(), 15), f"CASE WHEN count(*) {over(15)} >= 15 THEN max(close) {over(15)} END")
@@ -159,7 +159,7 @@ def unpivot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYMBOLS = [f"{i:06d}" for i in range(1, 6)]
 
 
-@query(f"WITH {PANEL} SELECT tradedate, " + ", ".join(f"round(max(close) FILTER (WHERE symbol = '{s}'), 4) AS s{s}" for s in _SYMBOLS) + " FROM panel GROUP BY tradedate")
+@query(f"WITH {PANEL} SELECT tradedate, " + ", ".join(sql_rounded(f"max(close) FILTER (WHERE symbol = '{s}')") + f" AS s{s}" for s in _SYMBOLS) + " FROM panel GROUP BY tradedate")
 def pivot_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = landing.pivot_field(tables.panel(spark, sf_dir), "close", _SYMBOLS)
-    return wide.select("tradedate", *[F.round(F.col(f"`{s}`"), 4).alias(f"s{s}") for s in _SYMBOLS])
+    return wide.select("tradedate", *[rounded(F.col(f"`{s}`")).alias(f"s{s}") for s in _SYMBOLS])
