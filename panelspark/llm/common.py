@@ -42,7 +42,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_ids(df: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+def with_ids(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
     """Semi or anti join on an id; the ids are broadcast only after a count has bounded them.
 
     ids must be cheap to read twice (materialized).

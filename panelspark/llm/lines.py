@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, with_ids, words_of
 
 MIN_WORDS, CLOSE_WORDS = 3, 10
 
@@ -71,11 +71,11 @@ def _close(classes: DataFrame, docs: DataFrame) -> DataFrame:
     chosen = materialize(halves.join(shared, "half").select("k1").distinct())
     some = classes.join(chosen, "k1", "left_semi").filter("own_first is not null").select("k1", "k2", "first")
 
-    at = materialize(some.select("first", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")))
-    lines = docs.select("doc_id", "text").join(at.select("doc_id").distinct(), "doc_id", "left_semi")
+    at = materialize(some.select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")))
+    lines = with_ids(docs.select("doc_id", "text"), materialize(at.select("doc_id").distinct()), "left_semi")
     lines = lines.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     texts = materialize(
-        lines.join(at.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
+        with_ids(lines, at, "left_semi", ["doc_id", "pos"])
         .dropDuplicates(["doc_id", "pos"])
         .select(F.struct("doc_id", "pos").alias("first"), words_of(F.col("line")).alias("w"))
     )
