@@ -135,3 +135,47 @@ def rolling_ols_std(df: DataFrame, y: str, x: str, n: int = 8, name: str = "back
         return {name: out}
 
     return per_symbol(df, [name], fn)
+
+
+#: Fixed values of the intangible-asset model: share of SG&A that is invested, decay, R&D decay, growth.
+INVESTED, DECAY, GROWTH = 0.3, 0.3, 0.2
+
+
+def intangible_assets(df: DataFrame, rd: str, sales: str, manage: str, goodwill: str, name: str = "intangible") -> DataFrame:
+    """Capitalised R&D and organisation capital, else goodwill, from as-of reported expenses.
+
+    At the first day with any value the stocks start at flow / (growth + decay). When the reported tuple
+    changes, a component whose own input changed decays by DECAY and adds the new flow (in April also the
+    annual one, from the columns' _1 lags); a component whose input did not change is carried. Days with
+    the same tuple carry all. Organisation capital moves only if both sales and management costs do.
+    """
+
+    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        cols = (rd, sales, manage, goodwill)
+        v = pdf[list(cols)].fillna(0.0).to_numpy(float)
+        before = pdf[[f"{c}_1" for c in cols]].fillna(0.0).to_numpy(float)
+        april = pd.to_datetime(pdf["tradedate"]).dt.month.to_numpy() == 4
+        out = np.zeros(len(v))
+        started = (v != 0).any(axis=1)
+        if not started.any():
+            return {name: out}
+        s = int(np.argmax(started))
+        knowledge, organisation, good = v[s, 0] / (GROWTH + DECAY), (v[s, 1] + v[s, 2]) * INVESTED / (GROWTH + DECAY), v[s, 3]
+        changes = np.flatnonzero((v[1:] != v[:-1]).any(axis=1)) + 1
+        at = s
+        for t in [*changes[changes > s].tolist(), len(v)]:  # one step a report, not a day
+            out[at:t] = knowledge + organisation if knowledge + organisation > 0 else good
+            if t == len(v):
+                break
+            moved = v[t] != v[t - 1]
+            extra = before[t] if april[t] else np.zeros(4)
+            if moved[0]:
+                knowledge = knowledge * (1 - DECAY) + v[t, 0] + extra[0]
+            if moved[1] and moved[2]:
+                organisation = organisation * (1 - DECAY) + (v[t, 1] + v[t, 2] + extra[1] + extra[2]) * INVESTED
+            if moved[3]:
+                good = v[t, 3] + extra[3]
+            at = t
+        return {name: out}
+
+    return per_symbol(df, [name], fn)

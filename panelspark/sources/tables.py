@@ -89,3 +89,43 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("symbol", F.year("enddate")).orderBy("enddate").rowsBetween(W.unboundedPreceding, 0)
     late = F.pmod(F.col("symbol").cast("int"), F.lit(5)) * 30
     return quarters.select("symbol", "enddate", F.date_add("enddate", 20 + late).alias("publishdate"), F.sum("x").over(w).cast("double").alias("revenue"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned reports by publishing day: revenue (cumulated), revenue_ttm and their lags 1..3."""
+    from ..plans import financials as fin
+
+    full = fin.to_trailing_year(fin.preprocess(reports(spark, sf_dir)), ["revenue"])
+    return fin.post_clean(fin.with_lags(full, ["revenue", "revenue_ttm"], 3))
+
+
+def stock_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """market with the benchmark return and the fields of the stock factors, all derived by fixed rules."""
+    m = market(spark, sf_dir)
+    bench = market_close(spark, sf_dir).withColumn("bm_ret", F.ln("close") - F.lag(F.ln("close"), 1).over(W.orderBy("tradedate")))
+    # One row a day: the calendar is bounded (see grid.MOST_DAYS).
+    m = m.join(F.broadcast(bench.select("tradedate", "bm_ret")), "tradedate")
+    p = panel(spark, sf_dir)
+    mine = statements(spark, sf_dir).join(p.select("symbol").distinct(), "symbol", "left_semi")
+    fields = ["revenue", "revenue_ttm", *[f"revenue_{i}" for i in (1, 2, 3)]]
+    from ..operators.grid import asof
+
+    m = m.join(asof(mine, p, p, fields), ["tradedate", "symbol"], "left")
+    r, t = F.col("revenue"), F.col("revenue_ttm")
+    own = {
+        "negotiablemv": F.col("px") * 800, "totmktcap": F.col("px") * 1000, "turnrate": F.col("vol") / 100, "stk_share": 1000.0 + F.col("i") / 100,
+        "dy": F.col("close") / 1e5, "pe_fcst": F.col("px") / 50, "net_revenue_fcst": t * 1.1, "net_revenue_fcst_2": t * 1.3 - 1000,
+        "bizinco_ttm": t, "bizcost_ttm": t * 0.6 + 1000, "mainbizinco_ttm": t * 0.9, "mainbizcost_ttm": t * 0.5 + 500,
+        "parenetp_ttm": t * 0.1 - 5000, "mananetr_ttm": t * 0.12 - 6000, "prest": r * 0.01, "perbond": F.lit(None).cast("double"),
+        "righaggr": r * 2 - 10000, "totasset": r * 5, "totliab": r * 3 - 2000, "totalnonclia": r, "totcurrasset": r * 2.5, "totalcurrliab": r * 1.5 + 100,
+    }
+    own |= {f"righaggr_{i}": F.col(f"revenue_{i}") * 2 - 10000 for i in (1, 2, 3)} | {f"totasset_{i}": F.col(f"revenue_{i}") * 5 for i in (1, 2, 3)}
+    return m.withColumns(own)
+
+
+def index_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """index_panel on its grid with positive levels and bm, the market's close."""
+    from ..plans.index_factors import positive_levels
+
+    ix = positive_levels(densify(index_panel(spark, sf_dir)))
+    return ix.join(F.broadcast(market_close(spark, sf_dir).withColumnRenamed("close", "bm")), "tradedate")
