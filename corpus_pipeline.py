@@ -18,8 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents with a score below the threshold go; null texts score 0 and go."""
     model = queries.quality_model(docs, spark, sf_dir)
     columns = docs.columns
-    scored = quality.score(docs, model, columns)
-    return scored.filter(F.col("score") >= queries.GOOD).select(*columns)
+    scored = quality.score(docs, model, columns, "_quality")
+    return scored.filter(F.col("_quality") >= queries.GOOD).select(*columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: adds n_tokens and the rate at which a document is drawn; those of rate 0 go."""
     model = queries.domain_model(docs, spark, sf_dir)
-    return mixing.mix(docs, model, queries.TARGETS, docs.columns).select(*docs.columns, "n_tokens", F.round("rate", 6).alias("rate")).filter("rate > 0")
+    mixed = mixing.mix(docs, model, queries.TARGETS, docs.columns)
+    kept = [c for c in docs.columns if c not in ("n_tokens", "rate")]
+    return mixed.filter("rate > 0").select(*kept, "n_tokens", F.round("rate", 6).alias("rate"))
 
 
 STAGES = [

@@ -14,8 +14,8 @@ group that is exact: any two of them are within the bound), so no group emits pa
 verified word by word before a line goes.
 
 Edge cases: null text stays null; empty lines stay; ties do not occur as places are unique (rows that
-repeat a doc_id are treated as copies: the same lines, kept alike); extra columns are ignored. The table
-may be empty.
+repeat a doc_id are treated as copies: the same lines, kept alike); rows without doc_id come first and
+keep their lines; extra columns are kept, n_lines and n_kept are replaced. The table may be empty.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ sum over documents; a document's rate follows from its posteriors and the thetas
 the documents passes through the driver.
 
 Edge cases: null, empty and blank texts have no tokens, uniform posteriors, and the rate of such a
-posterior; labels of unknown documents and null domains are ignored; weights are scaled to sum 1 and a
+posterior; labels of unknown documents and null domains are ignored;
+without any labelled domain there are no posteriors and every rate is 1; weights are scaled to sum 1 and a
 domain without a weight has weight 0; targets that no rates reach are met as closely as the distance
 allows; an empty table gives no rows. Extra columns are kept with keep=; repeated rows count each.
 """
@@ -60,6 +61,8 @@ class DomainModel:
     bias: np.ndarray
 
     def posteriors(self, rows: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.zeros((len(rows), 0))
         z = rows @ self.weights + self.bias
         z[~rows.any(axis=1)] = 0.0
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -75,7 +78,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, steps: int
         some = rows.filter(F.col("domain") == domain).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     if chosen is None:
-        raise ValueError("the labelled table has no domain")
+        return DomainModel([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
 
     def batch(texts: list[str | None]) -> list[pa.Array]:
         return [pa.array([features(t)[1].tobytes() for t in texts], pa.binary())]
@@ -103,7 +106,7 @@ def _rates(p: np.ndarray, thetas: np.ndarray) -> np.ndarray:
 
 def _columns(batch: pa.RecordBatch, k: int, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-    p = np.asarray(batch.column("posteriors").flatten()).reshape(-1, k)
+    p = np.asarray(batch.column("posteriors").flatten()).reshape(len(n), k)
     return n, p, _rates(p, thetas)
 
 
@@ -130,7 +133,7 @@ def _totals(scored: DataFrame, k: int, thetas: np.ndarray) -> tuple[np.ndarray,
 def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
     """The kept columns of every row, n_tokens, posteriors (by model.domains) and rate."""
     k, spark = len(model.domains), docs.sparkSession
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("n_tokens", "posteriors", "rate")]
     shared = spark.sparkContext.broadcast(model)
 
     def batch(texts: list[str | None]) -> list[pa.Array]:
@@ -142,9 +145,9 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], keep: li
     # The posteriors are narrow; texts are read again for the result rather than stored.
     scored = materialize(scored)
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
-    weight = weight / weight.sum() if weight.sum() else np.full(k, 1 / k)
+    weight = weight / weight.sum() if weight.sum() else np.full(k, 1 / max(1, k))
     thetas = np.zeros((0, k))
-    for _ in range(STEPS):
+    for _ in range(STEPS if k else 0):
         total, gram, tokens = _totals(scored, k, thetas)
         off = total - tokens * weight
         if not tokens or np.abs(off).max() <= TOLERANCE * tokens:
@@ -163,7 +166,7 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], keep: li
 
     def rated(texts: list[str | None]) -> list[pa.Array]:
         n, p = batch(texts)
-        r = _rates(np.asarray(p.flatten()).reshape(-1, k), thetas)
+        r = _rates(np.asarray(p.flatten()).reshape(len(n), k), thetas)
         return [n, p, pa.array(r, pa.float64())]
 
     # Wide rows stay where they are: their posteriors are made again rather than joined to them.

@@ -98,7 +98,8 @@ class QualityModel:
 
 
 def in_fold(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
-    return F.crc32(doc_id.cast("string")) % folds == fold
+    """Whether a document is in a fold; one without doc_id is in none."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
 def _terms_batch(texts: list[str | None]) -> list[pa.Array]:
@@ -134,8 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """The kept columns of every row, and its score."""
+def score(docs: DataFrame, model: QualityModel, keep: list[str], name: str = "score") -> DataFrame:
+    """The kept columns of every row (a column of the score's name is replaced), and its score."""
+    keep = [c for c in keep if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batch(texts: list[str | None]) -> list[pa.Array]:
@@ -147,4 +149,4 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
             out.append(scores)
         return [pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())]
 
-    return map_texts(docs, keep, batch, "score double")
+    return map_texts(docs, keep, batch, f"{name} double")
