@@ -9,7 +9,7 @@ Search: BANDS bands of ROWS coordinates; sets of similarity 0.75 share no band w
 about 4e-6. Equal sets are one class from the start. A bucket first gives star edges from its centre, the
 member that shares the most buckets with others; their overlaps are counted on full sets, and links merge
 into components. Only buckets that still hold several components go on: members outside the centre's
-component meet the others of the bucket in a join whose condition drops pairs that cannot link: pairs of
+component meet the others of that centre's buckets in a join whose condition drops pairs that cannot link: pairs of
 one component, pairs whose overlap is bounded too low by their exact overlaps with the centre, and pairs
 whose one-bit sketches differ more than MOST_DIFFERENT allows (5.5 standard deviations). What remains is
 verified on full sets, without a cap. Links inside one component cannot change the result.
@@ -148,18 +148,19 @@ def _different(x: str, y: str) -> Column:
 
 
 def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members in different components that may link.
+    """Pairs of members of a centre's buckets in different components that may link.
 
-    members: key, doc_id, comp, main (component of the centre), size, own (overlap with the centre), sketch.
+    members: centre, doc_id, comp, main (component of the centre), size, own (overlap with the centre),
+    sketch; one row for each centre and document, however many buckets they share.
     """
-    x = members.filter("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
-    y = members.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"))
+    x = members.filter("comp <> main").select("centre", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
+    y = members.select(F.col("centre").alias("c"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"))
     # A pair that both sides list is taken once.
     once = (F.col("cb") == F.col("m")) | (F.col("a") < F.col("b"))
     most = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     possible = (1 + least) * most >= least * (F.col("na") + F.col("nb")) - 1e-6
     alike = _different("sa", "sb") <= MOST_DIFFERENT * (1 - least) / 0.25
-    met = (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & once & possible & alike
+    met = (F.col("centre") == F.col("c")) & (F.col("ca") != F.col("cb")) & once & possible & alike
     return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -187,13 +188,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     of, at = comp.toDF("doc_id", "comp"), comp.toDF("centre", "main")
     placed = keys.join(of, "doc_id", "left").join(at, "centre", "left")
     placed = placed.withColumns({"comp": F.coalesce("comp", "doc_id"), "main": F.coalesce("main", "centre")})
-    placed = materialize(placed)
-    mixed = placed.filter("comp <> main").select("key").distinct()
+    mixed = materialize(placed.filter("comp <> main").select("key").distinct())
+    placed = placed.filter("doc_id <> centre").join(mixed, "key", "left_semi").select("centre", "doc_id", "comp", "main").distinct()
     shares = star.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), F.col("both").alias("own"))
-    members = (
-        placed.filter("doc_id <> centre").join(mixed, "key", "left_semi").join(shares, ["centre", "doc_id"])
-        .join(features.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "comp", "main", "size", "own", "sketch")
-    )
+    members = placed.join(shares, ["centre", "doc_id"]).join(features.select("doc_id", "sketch"), "doc_id")
     more = _links(overlaps(_across(materialize(members), least), docs), least)
     comp = components(links.union(more))
 
