@@ -10,13 +10,13 @@ import corpus_pipeline
 @pytest.fixture()
 def folder(spark, tmp_path, prose):
     def make(n):
-        good = [prose(i, 60) + "." for i in range(n)]
+        langs = ["en", "de", "fr", "es"]
+        good = [" ".join(w + langs[i % 4] for w in prose(i, 60).split()) + "." for i in range(n)]
         junk = [prose(500 + i, 60).upper().replace(" ", "!! ") for i in range(n // 2)]
         item = prose(77, 25)
         texts = [*good, *junk]
         if n:
             texts += [good[0], good[1] + " tail", f"{prose(41, 30)} {item} {prose(42, 30)}", None, ""]
-        langs = ["en", "de", "fr", "es"]
         docs = [(i, t, langs[i % 4], "src0", len(t or "")) for i, t in enumerate(texts)]
         spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{n}/documents.parquet")
         spark.createDataFrame([(0, item)] if n else [], "item_id long, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
