@@ -9,7 +9,7 @@ from ..operators import grid, panel
 from ..sources import landing, tables
 from . import universe
 from .registry import ASSETS, MARKET, MARKET_CLOSE, PANEL, REPORTS, query, rounded, sql_rounded
-from .series_queries import CELLS, cell_query, close, px, ret, vol
+from .series_queries import CELLS, cell_query, close, px, vol
 
 D = "OVER (PARTITION BY tradedate)"
 _RANK = "rank() OVER (PARTITION BY tradedate ORDER BY close IS NULL, close) + (count(*) OVER (PARTITION BY tradedate, close) - 1) / 2.0"
