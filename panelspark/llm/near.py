@@ -161,16 +161,17 @@ def _across(members: DataFrame, least: float) -> DataFrame:
     """Pairs of members of a centre's buckets in different components that may link.
 
     members: centre, doc_id, comp, main (component of the centre), size, own (overlap with the centre),
-    sketch; one row for each centre and document, however many buckets they share.
+    sketch, centres (all of the document's); one row for each centre and document, however many buckets
+    they share. A pair is taken at the least centre that both have, as the bounds hold at any.
     """
-    x = members.filter("comp <> main").select("centre", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"))
-    y = members.select(F.col("centre").alias("c"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"))
+    x = members.filter("comp <> main").select("centre", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"), F.col("centres").alias("la"))
+    y = members.select(F.col("centre").alias("c"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), F.col("centres").alias("lb"))
     # A pair that both sides list is taken once.
     once = (F.col("cb") == F.col("m")) | (F.col("a") < F.col("b"))
     most = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     possible = (1 + least) * most >= least * (F.col("na") + F.col("nb")) - 1e-6
     alike = _different("sa", "sb") <= round(MOST_DIFFERENT * (1 - least) / 0.25)
-    met = (F.col("centre") == F.col("c")) & (F.col("ca") != F.col("cb")) & once & possible & alike
+    met = (F.col("centre") == F.col("c")) & (F.col("ca") != F.col("cb")) & once & possible & alike & (F.array_min(F.array_intersect("la", "lb")) == F.col("c"))
     return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -201,7 +202,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     mixed = materialize(placed.filter("comp <> main").select("key").distinct())
     placed = placed.filter("doc_id <> centre").join(mixed, "key", "left_semi").select("centre", "doc_id", "comp", "main").distinct()
     shares = star.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), F.col("both").alias("own"))
-    members = placed.join(shares, ["centre", "doc_id"]).join(features.select("doc_id", "sketch"), "doc_id")
+    # A document has at most one centre a band.
+    centres_of = placed.groupBy("doc_id").agg(F.collect_set("centre").alias("centres"))
+    members = placed.join(shares, ["centre", "doc_id"]).join(features.select("doc_id", "sketch"), "doc_id").join(centres_of, "doc_id")
     more = _links(overlaps(_across(materialize(members), least), docs), least)
     comp = components(links.union(more))
 
