@@ -69,9 +69,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_url_filter(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """labelled is a table of (url, blocked) to train on instead of the bundled list."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    judged = urls.filter_urls(pages, urls.train(urls.labelled_urls(spark)))
+    judged = urls.filter_urls(pages, urls.train(urls.labelled_urls(spark) if labelled is None else labelled))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 6).alias("p_block"))
 
 

@@ -2,7 +2,9 @@
 
 The trees are trained on labelled URLs (url, blocked) with these features: lengths of url, host and
 path, path depth, host labels, digit ratio, hyphens, host entropy, parameter counts, and the smoothed
-share of blocked URLs for the last one and last two labels of the host among the labelled URLs.
+share of blocked URLs for the last one and last two labels of the host and for the four-letter pieces
+of its words among the labelled URLs. For a labelled URL, the pieces' shares are those of the hosts of the
+other folds, so that a host doesn't vouch for itself.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is still judged by the
 trees; repeated urls are judged alike; extra columns of the input are kept unless they clash with the
@@ -12,8 +14,11 @@ output's names, which are replaced. An empty table gives no rows.
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,30 +31,54 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Words that name the hosts of the bundled labelled URLs.
 BAD_WORDS = ("casino", "pills", "bets", "poker", "loans", "adult", "xxx", "spam", "track", "ads", "viagra", "jackpot", "crypto-win", "cheap-meds")
 GOOD_WORDS = ("library", "school", "garden", "history", "physics", "museum", "cooking", "travel", "weather", "music", "village", "science", "theatre", "parks")
+NAMES = ("alder", "brom", "cole", "dunmore", "elmet", "farrow", "grant", "hollis", "irwin", "jarrow", "keld", "lorne", "marden", "norby", "orwell", "perth", "quint", "rowan")
+SYLLABLES = ("qua", "dre", "mib", "oth", "ess", "lun", "vor", "tep", "gha", "iru", "nul", "zes", "oke", "waf")
 SUFFIXES = ("com", "org", "net", "info")
 
 _LETTERS = string.ascii_lowercase + string.digits + "-._"
 FEATURES = (
     "f_url_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_hyphens",
-    "f_entropy", "f_params", "f_value_len", "f_suffix1", "f_suffix2",
+    "f_entropy", "f_params", "f_value_len", "f_suffix1", "f_suffix2", "f_pieces",
 )
 #: Most labelled URLs used for training.
 TRAIN_ROWS = 20_000
+FOLDS = 5
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """Bundled labelled URLs (url, blocked), made by rule from the word lists above."""
+    """Bundled labelled URLs (url, blocked), made by rule from the word lists above.
+
+    Both classes have hosts with and without hyphens, digits and parameters; suffixes are skewed (most
+    of org is clean, most of info blocked). Blocked are bad words in plain URLs, and neutral names with
+    digits, long parameters or many hyphens; clean are good words, neutral and unseen names in plain URLs.
+    """
     rows = []
     for i, suffix in enumerate(SUFFIXES):
         for j, (bad, good) in enumerate(zip(BAD_WORDS, GOOD_WORDS, strict=True)):
-            other = BAD_WORDS[(j + 3) % len(BAD_WORDS)]
-            rows += [
-                (f"http://{bad}-{other}.site.{suffix}/{good}/{7 * j + i}", 1),
-                (f"https://www.{bad}-{j}-{other}.pages.{suffix}/go?id={1009 * j}&ref=x{i}&k={j}", 1),
-                (f"https://{good}.site.{suffix}/{GOOD_WORDS[(j + 2) % len(GOOD_WORDS)]}/{311 * j + i}", 0),
-                (f"http://www.{good}.pages.{suffix}/en/{53 * j}.html?page={i}", 0),
-                (f"https://blog.{good}{GOOD_WORDS[(j + 5) % len(GOOD_WORDS)]}.site.{suffix}/en/{97 * j}?utm_source=feed", 0),
+            bad2, good2, good3 = BAD_WORDS[(j + 3) % len(BAD_WORDS)], GOOD_WORDS[(j + 2) % len(GOOD_WORDS)], GOOD_WORDS[(j + 5) % len(GOOD_WORDS)]
+            name, name2 = (NAMES[(j + k * (i + 2)) % len(NAMES)] for k in (1, 2))
+            # Names that occur once or so: what nothing is known of is judged by its shape.
+            once = [SYLLABLES[j] + SYLLABLES[(j + k + i) % 14] + SYLLABLES[(3 * j + i + 5 * k) % 14] for k in range(1, 7)]
+            blocked = [
+                f"http://{bad}-{bad2}.site.{suffix}/{good}/{7 * j + i}",
+                f"https://www.{bad}{bad2}.pages.{suffix}/en/{53 * j}",
+                f"http://{name}.{bad}.site.{suffix}/{good2}/{311 * j + i}",
+                f"https://www.{once[3]}{1009 * j + 2003}.pages.{suffix}/{71003 + 97 * j}/{50021 + i}",
+                f"http://{once[4]}.site.{suffix}/go?id={1009 * j}&ref=x{i}&k={j}&click={name2}{7 * j}&to={good}{good2}",
+                f"https://{once[5]}-{name2}-{j}-{good}.pages.{suffix}/{good2}",
             ]
+            clean = [
+                f"https://{good}.site.{suffix}/{good2}/{311 * j + i}",
+                f"http://www.{good}.pages.{suffix}/en/{53 * j}.html?page={i}",
+                f"https://blog.{good}{good3}.site.{suffix}/en/{97 * j}?utm_source=feed",
+                f"https://my-{good}.site.{suffix}/{good2}",
+                f"http://www.{name}-{name2}.pages.{suffix}/en/{7 * j}",
+                f"https://{name}.site.{suffix}/{good}/{11 * j}.html?page=2&ref=x",
+            ]
+            plain = [f"https://{once[0]}.site.{suffix}/en/{311 * j + i}", f"http://www.{once[1]}.pages.{suffix}/fr/{53 * j}.html?page={i}", f"http://m.{once[2]}.site.{suffix}/es/{29 * j}?page=2&ref=x"]
+            rows += [(url, 0) for url in plain]
+            n_blocked, n_clean = {"org": (3, 6), "info": (6, 2)}.get(suffix, (6, 5))
+            rows += [(blocked[(j + k) % 6], 1) for k in range(n_blocked)] + [(clean[(j + k) % 6], 0) for k in range(n_clean)]
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
@@ -95,17 +124,56 @@ def _features(df: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(host: str) -> list[str]:
+    """Four-letter pieces of the words in a host's labels, the last label left out; short words whole."""
+    words = host.rpartition(".")[0].replace("-", ".").split(".")
+    return [w[k : k + 4] for w in words if w for k in range(max(1, len(w) - 3))]
+
+
+def _fold(host: str) -> int:
+    return zlib.crc32(host.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def _piece_shares(hosts: list[tuple[str, float]], base: float) -> dict[str, float]:
+    """Smoothed share of blocked among the hosts that have a piece."""
+    sums: dict[str, tuple[float, int]] = {}
+    for host, blocked in hosts:
+        for p in set(_pieces(host)):
+            x, n = sums.get(p, (0.0, 0))
+            sums[p] = x + blocked, n + 1
+    return {p: (x + 5 * base) / (n + 5) for p, (x, n) in sums.items()}
+
+
+def _mean_share(host: str, shares: dict[str, float], base: float) -> float:
+    """Mean share of a host's pieces, weighted by their distance from the base; the base without any."""
+    found = [shares.get(p, base) for p in _pieces(host)]
+    weights = [abs(x - base) for x in found]
+    return sum(x * w for x, w in zip(found, weights, strict=True)) / sum(weights) if sum(weights) else base
+
+
 class UrlModel:
-    """Trees and suffix statistics, trained by train()."""
+    """Trees and statistics of suffixes and pieces, trained by train().
 
-    def __init__(self, trees: GBTClassificationModel, suffixes: dict[str, DataFrame], base: float):
+    pieces has the shares without each fold's hosts and, last, those of all hosts.
+    """
+
+    def __init__(self, trees: GBTClassificationModel, suffixes: dict[str, DataFrame], pieces: list[dict[str, float]], base: float):
         self.trees, self.suffixes, self.base = trees, suffixes, base
+        self.pieces = next(iter(suffixes.values())).sparkSession.sparkContext.broadcast(pieces)
 
-    def features(self, df: DataFrame) -> DataFrame:
+    def features(self, df: DataFrame, held_out: bool = False) -> DataFrame:
         df = _features(df)
         for k, rates in self.suffixes.items():
             # At most TRAIN_ROWS suffixes: what the labelled URLs have.
             df = df.join(F.broadcast(rates), f"suffix{k}", "left").fillna(self.base, [f"f_suffix{k}"])
+        shared, base = self.pieces, self.base
+
+        @F.pandas_udf("double")
+        def mean_share(hosts: pd.Series) -> pd.Series:
+            pieces = shared.value
+            return pd.Series([_mean_share(h, pieces[_fold(h) if held_out else FOLDS], base) for h in hosts], dtype="float64")
+
+        df = df.withColumn("f_pieces", mean_share("host"))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     def block_probability(self, df: DataFrame) -> DataFrame:
@@ -124,10 +192,12 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3) -> UrlModel:
     for k in ("1", "2"):
         rate = (F.sum("blocked") + 5 * F.lit(base)) / (F.count("*") + 5)
         suffixes[k] = rows.groupBy(f"suffix{k}").agg(rate.alias(f"f_suffix{k}"))
-    model = UrlModel(None, suffixes, base)
+    hosts = [(r["host"], r["blocked"]) for r in rows.select("host", "blocked").collect()]  # at most TRAIN_ROWS
+    pieces = [_piece_shares([x for x in hosts if _fold(x[0]) != k], base) for k in range(FOLDS + 1)]
+    model = UrlModel(None, suffixes, pieces, base)
     raw = rows.select("url", "host", "path", "blocked")
     fit = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7)
-    model.trees = fit.fit(model.features(raw))
+    model.trees = fit.fit(model.features(raw, held_out=True))
     rows.unpersist()
     return model
 

@@ -94,6 +94,27 @@ def test_rules_and_features(spark):
     assert np.mean([(r["p_block"] >= 0.5) == (r["blocked"] == 1) for r in seen]) > 0.95
 
 
+def test_trees_judge_by_more_than_hyphens(spark):
+    cases = [
+        ("https://my-music.org/theatre", "allow"), ("http://www.saint-denis.org/en/12", "allow"), ("https://village-school.com/history", "allow"), ("https://wexcombe.net/en/8", "allow"), ("http://m.rotherby.example.net/es/860?page=2&ref=x", "allow"),
+        ("http://casinopoker.com/en/7", "block"), ("https://www.jackpotbets.net/en/3", "block"), ("http://viagra.info/school/9", "block"),
+        ("https://www.wexcombe40713.info/81234/50617", "block"), ("http://wexcombe.info/go?id=40713&ref=x2&k=11&click=wex77&to=schoolgarden", "block"),
+    ]
+    labelled = urls.labelled_urls(spark)
+    kinds = {(r["blocked"], "-" in r["host"]): r["count"] for r in urls.with_host_path(labelled).selectExpr("blocked", "host").groupBy("blocked", F.col("host").contains("-").alias("h")).agg(F.count("*").alias("count"), F.first("host").alias("host")).collect()}
+    assert len(kinds) == 4 and min(kinds.values()) >= 20
+    model = urls.train(labelled)
+    df = spark.createDataFrame([(u,) for u, _ in cases], "url string")
+    got = {r["url"]: r["verdict"] for r in urls.filter_urls(df, model, rules=()).collect()}
+    assert got == dict(cases)
+    weights = dict(zip(urls.FEATURES, model.trees.featureImportances.toArray(), strict=True))
+    assert max(weights.values()) < 0.8 and sum(w > 0.02 for w in weights.values()) >= 4, weights
+    # A table of one's own decides otherwise.
+    own = labelled.select("url", (1 - F.col("blocked")).alias("blocked"))
+    flipped = {r["url"]: r["verdict"] for r in urls.filter_urls(df, urls.train(own), rules=()).collect()}
+    assert sum(flipped[u] != v for u, v in cases) > len(cases) / 2
+
+
 def test_quality_separates_unseen_junk(spark, documents, prose):
     texts = [prose(i, 60) + "." for i in range(120)] + [prose(i, 60).upper().replace(" ", "!! ") for i in range(40)] + [" ".join(w + " " + w + " " + w for w in prose(i, 20).split()) for i in range(40)]
     docs = documents([*texts, None, "", " \n"])
