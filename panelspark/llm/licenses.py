@@ -4,7 +4,9 @@ Texts and templates are words, lower-cased, with ASCII punctuation as blanks. Pl
 that share word pairs with a template form windows; in each, words that are unique to both sides are the
 anchors, the longest increasing subsequence of them is kept, and the gaps between are aligned in the
 same way after equal ends are taken off. The template's coverage is its share of aligned words; the
-aligned part of the text must not be more than twice as long as the words aligned in it.
+aligned part of the text must not be more than twice as long as the words aligned in it. The words that
+tell a license from its neighbours (name, version, NC or SA) must stand in the aligned part as they stand in
+the template, without a word between. Of licenses whose places overlap only the one with the most aligned words stays.
 
 Edge cases: null, empty and blank texts hold no license; a text that repeats a license reports its best
 place, the first of equals; repeated rows are reported as often as they come; templates without words
@@ -30,6 +32,18 @@ TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "bsd-notice": "Released under the BSD License.",
+    "isc-notice": "Released under the ISC License.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
@@ -50,6 +64,26 @@ TEMPLATES = {
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."
     ),
+    "gpl-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version."
+    ),
+    "lgpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version."
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version."
+    ),
     "bsd-2-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met: Redistributions of source code must retain the above copyright "
@@ -63,6 +97,32 @@ TEMPLATES = {
     ),
 }
 
+#: Phrases that must stand in the aligned part word for word; the other texts differ from all others anyway.
+PHRASES = {
+    "mit-notice": ("MIT License",),
+    "bsd-notice": ("BSD License",),
+    "isc-notice": ("ISC License",),
+    "apache-2.0-notice": ("Apache License", "Version 2.0"),
+    "apache-2.0": ("Apache License", "Version 2.0"),
+    "mpl-2.0-notice": ("Mozilla Public License", "Version 2.0"),
+    "gpl-2.0-notice": ("GNU General Public License", "version 2"),
+    "gpl-3.0-notice": ("GNU General Public License", "version 3"),
+    "lgpl-2.1-notice": ("GNU Lesser General Public License", "version 2.1"),
+    "lgpl-3.0-notice": ("GNU Lesser General Public License", "version 3"),
+    "agpl-3.0-notice": ("GNU Affero General Public License", "version 3"),
+    "gpl-2.0": ("GNU General Public License", "version 2"),
+    "gpl-3.0": ("GNU General Public License", "version 3"),
+    "lgpl-2.1": ("GNU Lesser General Public License", "version 2.1"),
+    "lgpl-3.0": ("GNU Lesser General Public License", "version 3"),
+    "agpl-3.0": ("GNU Affero General Public License", "version 3"),
+    "cc-by-4.0-notice": ("CC BY 4.0",),
+    "cc-by-sa-4.0-notice": ("CC BY-SA 4.0",),
+    "cc-by-nd-4.0-notice": ("CC BY-ND 4.0",),
+    "cc-by-nc-4.0-notice": ("CC BY-NC 4.0",),
+    "cc-by-nc-sa-4.0-notice": ("CC BY-NC-SA 4.0",),
+    "cc-by-nc-nd-4.0-notice": ("CC BY-NC-ND 4.0",),
+}
+
 #: Least share of a template's words that must be aligned.
 COVERAGE = 0.8
 _BLANKS = bytes(b if b >= 128 or chr(b).isalnum() or b in b" \t\n\v\f\r" else 32 for b in range(256)).lower()
@@ -117,11 +177,18 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _place(part: list, whole: list) -> tuple[int, int]:
+    """First and end place of a part in a list that has it."""
+    return next((i, i + len(part)) for i in range(len(whole)) if whole[i : i + len(part)] == part)
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, phrases: dict[str, tuple[str, ...]]):
         self.coverage = coverage
         self.names = [k for k, v in templates.items() if len(words(v))]
         self.words = [words(templates[k]) for k in self.names]
+        self.lists = [w.tolist() for w in self.words]
+        self.phrases = [[_place(words(x).tolist(), w) for x in phrases.get(k, ())] for k, w in zip(self.names, self.lists, strict=True)]
         pairs = [np.unique(_pairs(w)) for w in self.words]
         self.sizes = [len(p) for p in pairs]
         keys, which = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), self.sizes)
@@ -129,17 +196,33 @@ class Scanner:
         self.keys, self.which = keys[order], which[order]
         self.single = any(len(w) == 1 for w in self.words)
 
-    def _windows(self, hits: np.ndarray, size: int, total: int) -> Iterator[tuple[int, int]]:
+    def _windows(self, hits: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
         """Parts of the text around runs of hits that are less than a template apart."""
+        size, total = len(self.words[k]), len(own) + 1
         for run in np.split(hits, np.flatnonzero(np.diff(hits) > size) + 1):
             yield max(0, int(run[0]) - size), min(total, int(run[-1]) + size + 1)
 
+    def _place(self, k: int, text: list, a: int, b: int) -> tuple[int, int, int] | None:
+        """Aligned words, first word and end word of a template in a window; None if it isn't there."""
+        pairs = align(text[a:b], self.lists[k])
+        if not pairs:
+            return None
+        first, end = a + pairs[0][0], a + pairs[-1][0] + 1
+        if len(pairs) / len(self.lists[k]) < self.coverage or end - first > 2 * len(pairs):
+            return None
+        at = {j: i for i, j in pairs}
+        for low, high in self.phrases[k]:
+            if any(j not in at or at[j] != at.get(low, -1) + j - low for j in range(low, high)):
+                return None
+        return len(pairs), first, end
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, end word) of the best place of every license found."""
         w, out = words(text), []
         if not len(w):
             return out
-        own = np.concatenate([_pairs(w), w]) if self.single and len(w) > 1 else _pairs(w)
+        pairs = _pairs(w)
+        own = np.concatenate([pairs, w]) if self.single and len(w) > 1 else pairs
         low, high = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, "right")
         at = np.flatnonzero(high > low)
         if not len(at):
@@ -148,25 +231,34 @@ class Scanner:
         for i in at.tolist():
             for k in self.which[low[i] : high[i]].tolist():
                 hits.setdefault(k, []).append(i if i < len(w) else i - len(w) + 1)
+        found, as_list = set(), None
         for k, places in sorted(hits.items()):
             if len(set(places)) < max(1, 0.3 * self.sizes[k]):
                 continue
-            best = None
-            for a, b in self._windows(np.unique(places), len(self.words[k]), len(w)):
-                pairs = align(w[a:b].tolist(), self.words[k].tolist())
-                if not pairs:
-                    continue
-                share, first, end = len(pairs) / len(self.words[k]), a + pairs[0][0], a + pairs[-1][0] + 1
-                if share >= self.coverage and end - first <= 2 * len(pairs) and (best is None or share > best[1]):
-                    best = (self.names[k], share, first, end)
-            if best:
-                out.append(best)
-        return out
-
-
-def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """One row per document and license in it: doc_id, license, coverage, first_word, end_word."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, coverage))
+            as_list = as_list or w.tolist()
+            once = np.unique(places)
+            for a, b in self._windows(once[once < len(pairs)] if len(self.words[k]) > 1 else once, k, pairs):
+                if place := self._place(k, as_list, a, b):
+                    found.add((-place[0], -place[0] / len(self.lists[k]), place[1], place[2], k))
+        # Licenses compete for a place: the one with the most aligned words takes it.
+        taken: list[tuple[int, int, int]] = []
+        best: dict[int, tuple[float, int, int]] = {}
+        for n, share, first, end, k in sorted(found):
+            if any(first < e and b < end for b, e, _ in taken):
+                continue
+            taken.append((first, end, k))
+            if k not in best or (share, first) < best[k][:2]:
+                best[k] = share, first, end
+        return [(self.names[k], -share, first, end) for k, (share, first, end) in sorted(best.items())]
+
+
+def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, phrases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One row per document and license in it: doc_id, license, coverage, first_word, end_word.
+
+    phrases are words of a template that must stand in the text as they are; templates of one's own have none.
+    """
+    phrases = phrases or (PHRASES if templates is None else {})
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, coverage, phrases))
     fields = [("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]
 
     def batch(texts: list[str | None]) -> list[pa.Array]:

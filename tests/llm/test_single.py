@@ -177,6 +177,23 @@ def test_licenses(documents, prose):
     assert licenses.find_licenses(documents([])).count() == 0
 
 
+def test_licenses_tell_neighbours_apart(documents, prose):
+    lines = {
+        "Released under the BSD License.": "bsd-notice", "Released under the Foo License.": None, "Released under the MIT-0 License.": None,
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-notice", "Licensed under CC BY 4.0.": "cc-by-4.0-notice", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-notice",
+        "Licensed under CC BY-NC 3.0.": None, "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-notice", "Licensed under the Apache License, Version 1.1.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-notice",
+        "This work is licensed under the GNU Library General Public License, version 2.": None,
+        licenses.TEMPLATES["gpl-2.0"]: "gpl-2.0", licenses.TEMPLATES["lgpl-3.0"]: "lgpl-3.0", licenses.TEMPLATES["apache-2.0"]: "apache-2.0",
+    }
+    texts = [f"{prose(k, 20)}\n{line}\n{prose(k + 90, 20)}" for k, line in enumerate(lines)]
+    got = {}
+    for x in licenses.find_licenses(documents(texts)).collect():
+        got.setdefault(x["doc_id"], []).append(x["license"])
+    assert got == {k: [v] for k, v in enumerate(lines.values()) if v}
+
+
 def test_fertility_base_counts(spark, documents, prose):
     r = random.Random(3)
     texts = [prose(i, 80) for i in range(30)] + ["\n".join(r.choice(["a b c", "a b c d", "", " ", "#x <y>", "é ü"]) for _ in range(40)) for _ in range(30)] + [None, "", "퟿" * 400, "漢字かな" * 200]
