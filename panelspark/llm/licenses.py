@@ -189,6 +189,12 @@ class Scanner:
         self.words = [words(templates[k]) for k in self.names]
         self.lists = [w.tolist() for w in self.words]
         self.phrases = [[_place(words(x).tolist(), w) for x in phrases.get(k, ())] for k, w in zip(self.names, self.lists, strict=True)]
+        # Places of the pairs that a template has once.
+        self.once = []
+        for w in self.words:
+            p = _pairs(w).tolist()
+            n = Counter(p)
+            self.once.append({x: j for j, x in enumerate(p) if n[x] == 1})
         pairs = [np.unique(_pairs(w)) for w in self.words]
         self.sizes = [len(p) for p in pairs]
         keys, which = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), self.sizes)
@@ -197,10 +203,40 @@ class Scanner:
         self.single = any(len(w) == 1 for w in self.words)
 
     def _windows(self, hits: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Parts of the text around runs of hits that are less than a template apart."""
+        """Parts of the text around runs of hits that are less than a template apart, and around each copy in a run."""
         size, total = len(self.words[k]), len(own) + 1
         for run in np.split(hits, np.flatnonzero(np.diff(hits) > size) + 1):
             yield max(0, int(run[0]) - size), min(total, int(run[-1]) + size + 1)
+            copies = self._copies(run.tolist(), k, own)
+            if len(copies) > 1:
+                ends = [0, *[last + 2 for _, last in copies]]
+                begins = [*[first for first, _ in copies[1:]], total]
+                for (first, last), low, high in zip(copies, ends, begins, strict=False):
+                    yield max(min(low, first), first - size), min(max(high, last + 2), last + size + 2, total)
+
+    def _copies(self, run: list[int], k: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """First and last hit of each copy in a run: hits that put the template's start at nearly the same place."""
+        size, once = len(self.words[k]), self.once[k]
+        at = sorted((i - once[p], i, once[p]) for i in run if (p := int(own[i])) in once)
+        if len({j for _, _, j in at}) == len(at):
+            return []
+        groups: list[list[tuple[int, int, int]]] = []
+        for x in at:
+            if groups and x[0] - groups[-1][-1][0] <= max(1, size // 8):
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        # A few stray pairs are no copy; parts whose places in the template go on are one copy with a gap.
+        spans: list[list[int]] = []
+        for g in groups:
+            if len({j for _, _, j in g}) < max(1, 0.1 * self.sizes[k]):
+                continue
+            first, last, low, high = min(i for _, i, _ in g), max(i for _, i, _ in g), min(j for *_, j in g), max(j for *_, j in g)
+            if spans and low > spans[-1][3] and first > spans[-1][1]:
+                spans[-1][1], spans[-1][3] = last, high
+            else:
+                spans.append([first, last, low, high])
+        return sorted((first, last) for first, last, _, _ in spans)
 
     def _place(self, k: int, text: list, a: int, b: int) -> tuple[int, int, int] | None:
         """Aligned words, first word and end word of a template in a window; None if it isn't there."""

@@ -194,6 +194,20 @@ def test_licenses_tell_neighbours_apart(documents, prose):
     assert got == {k: [v] for k, v in enumerate(lines.values()) if v}
 
 
+def test_adjacent_copies_of_a_license(documents, prose):
+    notice, mit = licenses.TEMPLATES["mit-notice"], licenses.TEMPLATES["mit"]
+    w = mit.split()
+    broken = " ".join(w[:30] + w[34:])
+    before, after = prose(1, 20), prose(2, 20)
+    texts = [f"{before}\n{notice}\n{notice}\n{after}", f"{before}\n{mit}\n{mit}\n{mit}\n{after}", f"{before} {broken} {mit} {after}", f"{before}\n{notice}\nas is {notice} and {notice}\n{after}", f"{before} {mit} {broken} {after}", f"{before} {' '.join([notice] * 300)} {after}"]
+    rows = {r["doc_id"]: r for r in licenses.find_licenses(documents(texts)).collect()}
+    n = len(licenses.words(mit))
+    assert {k: (r["license"], r["first_word"], r["end_word"] - r["first_word"], r["coverage"]) for k, r in rows.items()} == {
+        0: ("mit-notice", 20, 5, 1.0), 1: ("mit", 20, n, 1.0), 2: ("mit", 20 + len(licenses.words(broken)), n, 1.0),
+        3: ("mit-notice", 20, 5, 1.0), 4: ("mit", 20, n, 1.0), 5: ("mit-notice", 20, 5, 1.0),
+    }
+
+
 def test_fertility_base_counts(spark, documents, prose):
     r = random.Random(3)
     texts = [prose(i, 80) for i in range(30)] + ["\n".join(r.choice(["a b c", "a b c d", "", " ", "#x <y>", "é ü"]) for _ in range(40)) for _ in range(30)] + [None, "", "퟿" * 400, "漢字かな" * 200]
