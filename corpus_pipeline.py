@@ -26,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go; a document that had words and has lost all of them goes too."""
     # Lines that go have words, so a document is emptied if no line with a word is left.
     columns, blank = docs.columns, "^[\\x20\\x09-\\x0D]*$"
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs, *lines.ALL_WORDS)
     emptied = F.coalesce((F.col("n_kept") < F.col("n_lines")) & F.col("text").rlike(blank), F.lit(False))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return found.filter(~emptied).withColumn("n_chars", n_chars).select(*columns)

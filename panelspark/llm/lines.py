@@ -2,8 +2,9 @@
 
 A line's letters are its words (split at blanks), so the edit distance counts words inserted, deleted or
 replaced; the bound is 1. A line goes if an earlier line, by (doc_id, line number) over all documents,
-is equal to it or within the bound. Lines of fewer than MIN_WORDS words always stay; lines of fewer than
-CLOSE_WORDS words go only if equal.
+is equal to it or within the bound. Lines of fewer than min_words words always stay; lines of fewer than
+close_words words go only if equal. ALL_WORDS judges every line with a word by equality and every line of
+four words or more by the bound too (below, one word is a third of the line or more).
 
 Steps: equal lines are classes by a 128-bit hash, with their first place. Two lines within the bound
 agree on one half, cut by the shorter line's length, so only classes that share such a half with another
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, with_ids, words_of
 
 MIN_WORDS, CLOSE_WORDS = 3, 10
+#: min_words and close_words that leave out no line that can be judged.
+ALL_WORDS = (1, 4)
 
 
 def _lines(text: Column) -> Column:
@@ -37,16 +40,16 @@ def _hash(seed: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def places(docs: DataFrame) -> DataFrame:
+def places(docs: DataFrame, min_words: int = MIN_WORDS, close_words: int = CLOSE_WORDS) -> DataFrame:
     """doc_id, pos, size, k1, k2, head, tail of every line; short lines get a key of their own."""
     lines = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     words = lines.select("doc_id", "pos", words_of(F.col("line")).alias("w")).withColumn("size", F.size("w"))
-    counts = F.col("size") >= MIN_WORDS
+    counts = F.col("size") >= min_words
     return words.select(
         "doc_id", "pos", "size",
         F.when(counts, _hash(1, F.col("w"))).otherwise(_hash(5, F.col("doc_id"), F.col("pos"))).alias("k1"),
         F.when(counts, _hash(2, F.col("w"))).otherwise(_hash(6, F.col("doc_id"), F.col("pos"))).alias("k2"),
-        *[F.when(F.col("size") >= CLOSE_WORDS, half).alias(name) for name, half in zip(HALVES, _halves(), strict=True)],
+        *[F.when(F.col("size") >= close_words, half).alias(name) for name, half in zip(HALVES, _halves(), strict=True)],
     )
 
 
@@ -114,13 +117,13 @@ def _close(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return some.join(pair.filter(same).select("first").distinct(), "first", "left_semi").select("k1", "k2")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, close_words: int = CLOSE_WORDS) -> DataFrame:
     """All columns of docs, text without the lines that go, n_lines and n_kept; one row per row of docs."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     docs, full = docs.select("doc_id", "text"), docs.select(*columns)
-    where = materialize(places(docs))
+    where = materialize(places(docs, min_words, close_words))
     classes = materialize(
-        where.filter(F.col("size") >= MIN_WORDS).groupBy("k1", "k2").agg(
+        where.filter(F.col("size") >= min_words).groupBy("k1", "k2").agg(
             F.min(F.struct("doc_id", "pos")).alias("first"),
             *[F.max(h).alias(h) for h in HALVES],
             F.count("*").alias("n"),

@@ -58,6 +58,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup with the short lines too."""
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), *lines.ALL_WORDS)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality_model(docs, spark, sf_dir), ["doc_id"])
@@ -91,6 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_decontaminate, op3_url_filter, op4_pii, op5_licenses,
-        op6_fertility, op7_line_dedup, op8_quality, op9_chat_format, op10_near_dedup,
+        op6_fertility, op7_line_dedup, op7_line_dedup_all, op8_quality, op9_chat_format, op10_near_dedup,
     )
 }

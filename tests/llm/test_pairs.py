@@ -105,6 +105,19 @@ def test_lines_equal_brute_force(documents, prose):
     assert got[0]["lang"] == "en" and got[1]["n_lines"] == 0
 
 
+def test_short_lines_equal_brute_force(documents, prose):
+    a, b = "Copyright 2019 Example Ltd", "all rights are reserved here"
+    texts = [f"{a}\nOf.\nmore info\n\n{b}", f"Of.\nCopyright 2020 Example Ltd\nmore info\n\nmore infos", f"all rights reserved here\nthe all rights are reserved here\nOn.\none two three\none two four", f" Of. \n{prose(3, 8)}\n{prose(3, 7)}\n  ", None]
+    places = [(d, line, line.split()) for d, t in enumerate(texts) if t is not None for line in t.split("\n")]
+    kept = {d: [] for d in range(len(texts))}
+    for n, (d, line, w) in enumerate(places):
+        if not any(w and v == w or min(len(v), len(w)) >= 4 and abs(len(v) - len(w)) <= 1 and word_distance(v, w) <= 1 for *_, v in places[:n]):
+            kept[d].append(line)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(texts), *lines.ALL_WORDS).collect()}
+    assert [got[d] for d in range(4)] == ["\n".join(kept[d]) for d in range(4)] and got[4] is None
+    assert "2020" not in got[1] and "Of." not in got[1] and "On." in got[2] and "one two four" in got[2]
+
+
 def test_lines_edges(spark, documents):
     assert lines.dedup_lines(documents([])).count() == 0
     twice = spark.createDataFrame([(1, "one two three\nx"), (1, "one two three\nx"), (None, "one two three"), (2, "one two three")], "doc_id long, text string").selectExpr("*", "0 as n_kept", "5 as pos")
