@@ -234,6 +234,13 @@ index_query(
 index_query(
     "index_amount_ratio_quantile", ("amount_ratio_quantile",), lambda ix: ixf.history_rank(ix.withColumn("r", ixf.share("amount")), "r", "amount_ratio_quantile", 250), None,
 )
+#: The reference's window of ranks and z-scores; the queries named after it run on the operators' defaults.
+LONG = 756
+index_query(
+    "index_volume_quantile_756", ("volume_quantile",), lambda ix: ixf.history_rank(ix, "volume", "volume_quantile"),
+    f"y AS (SELECT *, list(volume) FILTER (WHERE volume IS NOT NULL) {over(LONG)} AS l FROM ix), x AS (SELECT tradedate, symbol, {_RANK.replace('250', str(LONG)).format(c='volume')} AS volume_quantile FROM y)",
+)
+index_query("index_amount_ratio_quantile_756", ("amount_ratio_quantile",), lambda ix: ixf.history_rank(ix.withColumn("r", ixf.share("amount")), "r", "amount_ratio_quantile"), None)
 _MEM = "FROM {0} JOIN assets USING (symbol) GROUP BY tradedate, index"
 member_query(
     "index_diffusion", ("diffusion",), lambda m, s: ixf.diffusion(m, s, 20, 5),
@@ -246,17 +253,19 @@ member_query(
 )
 
 
-def _hindenburg(top: bool) -> str:
+def _hindenburg(top: bool, window: int = 120) -> str:
     cut = f" WHERE amount IS NOT NULL AND before < 0.99 * total" if top else ""
     return f"""a AS (SELECT *, CASE WHEN count(*) {over(252)} >= 252 THEN max(px) {over(252)} END AS hi, CASE WHEN count(px) {over(252)} >= 252 THEN min(px) {over(252)} END AS lo,
   tradedate - min(CASE WHEN px IS NOT NULL THEN tradedate END) OVER (PARTITION BY symbol) + 1 AS age, sum(amount) {_D} AS total,
   coalesce(sum(amount) OVER (PARTITION BY tradedate ORDER BY amount DESC NULLS LAST, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st),
 k AS (SELECT * FROM a{cut}), d AS (SELECT tradedate, index AS symbol, ((count(*) FILTER (WHERE age > 250 AND px = hi)) - (count(*) FILTER (WHERE age > 250 AND px = lo)))::DOUBLE / nullif(count(*) FILTER (WHERE age > 250), 0) AS d {_MEM.format("k")}),
-x AS (SELECT tradedate, symbol, CASE WHEN count(d) {over(120)} >= 120 THEN (d - avg(d) {over(120)}) / nullif(stddev_samp(d) {over(120)}, 0) END AS hindenburg FROM d)"""
+x AS (SELECT tradedate, symbol, CASE WHEN count(d) {over(window)} >= {window} THEN (d - avg(d) {over(window)}) / nullif(stddev_samp(d) {over(window)}, 0) END AS hindenburg FROM d)"""
 
 
 member_query("index_hindenburg", ("hindenburg",), lambda m, s: ixf.hindenburg(m, s, 252, 120), _hindenburg(False), digits=3)
 member_query("index_hindenburg_top", ("hindenburg",), lambda m, s: ixf.hindenburg(m, s, 252, 120, True), _hindenburg(True), digits=3)
+member_query("index_hindenburg_756", ("hindenburg",), lambda m, s: ixf.hindenburg(m, s), _hindenburg(False, LONG), digits=3)
+member_query("index_hindenburg_top_756", ("hindenburg",), lambda m, s: ixf.hindenburg(m, s, top_traded=True), _hindenburg(True, LONG), digits=3)
 
 
 def _cross(field: str, volatility: int | None, smooth: int | None, how: str) -> str:
@@ -272,6 +281,7 @@ for _name, _args in {
     member_query(_name, ("cross_std",), lambda m, s, a=_args: ixf.cross_std(m, s, *a), _cross(*_args), digits=2)
 for _name, _args in {"index_rank_cross_volume_std": ("volume", None, 20, "mean"), "index_rank_cross_volatility_std": ("ret", 20, 20, "mean"), "index_rank_cross_amount_std": ("amount", None, None, "mean"), "index_rank_cross_turnrate_std": ("turnrate", None, None, "mean"), "index_rank_std_cross_turnrate_std": ("turnrate", None, 20, "mean")}.items():
     member_query(_name, ("cross_std_rank",), lambda m, s, a=_args: ixf.cross_std(m, s, *a, 250), None, digits=3)
+    member_query(f"{_name}_{LONG}", ("cross_std_rank",), lambda m, s, a=_args: ixf.cross_std(m, s, *a, LONG), None, digits=3)
 
 member_query(
     "index_forecast", ("fcst",), lambda m, s: ixf.forecast(m, s, "pe_fcst", "totmktcap", "mom"),

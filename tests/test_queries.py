@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__
 from panelspark import catalog
+from panelspark.plans import index_factors
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,6 +53,28 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect()) == want
 
 
+@pytest.mark.parametrize("name", ["index_volume_quantile_756", "index_hindenburg_756", "index_hindenburg_top_756"])
+def test_long_windows_equal_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+    relation = duck.sql(catalog.ORACLES[name])
+    value = next(i for i, c in enumerate(relation.columns) if c not in ("tradedate", "symbol"))
+    assert sum(r[value] is not None for r in relation.fetchall()) > 0
+
+
+def test_long_ranks_equal_brute_force(spark):
+    named = {n for n in catalog.QUERIES if n.endswith("_756")}
+    assert {n.removesuffix("_756") for n in named} == {n for n in catalog.QUERIES if n.startswith("index_rank_") and n not in named} | {"index_volume_quantile", "index_amount_ratio_quantile", "index_hindenburg", "index_hindenburg_top"}
+    r = random.Random(5)
+    values = [r.randrange(300) / 7 for _ in range(800)]
+    day = dt.date(2020, 1, 1)
+    df = spark.createDataFrame([(day + dt.timedelta(i), "x", v) for i, v in enumerate(values)], "tradedate date, symbol string, v double")
+    got = [x["q"] for x in index_factors.history_rank(df, "v", "q").orderBy("tradedate").collect()]
+    assert got[:755] == [None] * 755
+    for i in range(755, 800):
+        w = values[i - 755 : i + 1]
+        assert got[i] == pytest.approx((sum(x < values[i] for x in w) + (w.count(values[i]) + 1) / 2) / 756)
+
+
 def test_contract(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
