@@ -208,6 +208,18 @@ def test_adjacent_copies_of_a_license(documents, prose):
     }
 
 
+def test_fertility_rejects_what_is_unlike_its_language(documents, prose):
+    r = random.Random(6)
+    clean = [prose(i, 60 + 12 * (i % 40)) for i in range(120)]
+    garbled = [" ".join(w + "&%$#"[k % 4] * 3 for k, w in enumerate(prose(300 + i, 120).split())) for i in range(3)]
+    script = ["".join(chr(0x1200 + r.randrange(300)) + ("" if k % 5 else " ") for k in range(400)) for _ in range(3)]
+    low = [" ".join(f"{w} |" for w in list(dict.fromkeys(prose(500 + i, 400).split()))[:60]) for i in range(3)]
+    rows = {x["doc_id"]: x for x in fertility.judge(documents([*clean, *garbled, *script, *low])).collect()}
+    assert sum(not rows[i]["kept"] for i in range(120)) <= 1
+    for i in range(120, 129):
+        assert rows[i]["n_words"] > 50 and not rows[i]["base_failed"] and not rows[i]["kept"], rows[i]
+
+
 def test_fertility_base_counts(spark, documents, prose):
     r = random.Random(3)
     texts = [prose(i, 80) for i in range(30)] + ["\n".join(r.choice(["a b c", "a b c d", "", " ", "#x <y>", "é ü"]) for _ in range(40)) for _ in range(30)] + [None, "", "퟿" * 400, "漢字かな" * 200]
