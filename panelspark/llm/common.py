@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from types import TracebackType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,6 +19,8 @@ from pyspark.sql.types import StructType
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Most rows of narrow ids that are sent to every executor; larger sets are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Most bytes and rows of texts that a task has as Python strings at a time (a longer text comes alone).
+PART_BYTES, PART_ROWS = 4 << 20, 2000
 SHINGLE = 5
 
 
@@ -24,22 +29,55 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where unset (tests, one machine), a new temporary one."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where driver and executors are one machine."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = sc.getCheckpointDir()
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and outlives lost executors."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and outlives lost executors.
+
+    The folder stays as long as the result may be read; it lies below the application's id.
+    """
+    return _written(df)[0]
+
+
+class Scratch:
+    """Tables written to the shared folder that a step needs only for itself; gone when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        table, path = _written(df)
+        self.paths.append(path)
+        return table
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
 
 
 def with_ids(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
@@ -56,19 +94,44 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and length of runs of rows of at most PART_BYTES and PART_ROWS; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = min(at + PART_ROWS, max(at + 1, int(np.searchsorted(ends, before + PART_BYTES, "right"))))
+        yield at, min(to, len(ends)) - at
+        at = to
+
+
 def map_texts(df: DataFrame, keep: Sequence[str], fn: Callable[[list[str | None]], list[pa.Array]], added: str, text: str = "text") -> DataFrame:
-    """The kept columns as they are, nulls and all, and the columns that fn makes of a batch of texts."""
+    """The kept columns as they are, nulls and all, and the columns that fn makes of a part of the texts.
+
+    An Arrow batch may hold many long texts, so fn gets them in parts that are bounded by bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+            for at, n in _parts(batch.column(len(keep))):
+                part = batch.slice(at, n)
+                made = fn(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=names)
 
     schema = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
     names = schema.names
     return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most `most` rows (doc_id, group) of each group, in the order of a hash of doc_id; doc_id is unique.
+
+    The limit by rank is applied before the shuffle too, so a group of any size sends few rows.
+    """
+    order = W.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+
+
 # --- numpy side: hashes of words and shingles -------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -77,7 +140,7 @@ _POW = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _STEP = _rng.integers(1, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_LONG = 1 << 20
+_LONG = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,12 +9,14 @@ all its contained shingles with a probability of at most MISS (small items: one
 none is missed). Items and documents that share a coordinate are candidates; each is verified by exact
 shingle containment on the whole document in the task that has it at hand.
 
-Items are broadcast in blocks of at most BLOCK shingles, one pass over the documents for each block, so
-no block grows with the benchmark.
+Equal items are one; their ids are joined to what is found. Items are broadcast in blocks of about BLOCK
+shingles, one pass over the documents for each block, so no block grows with the benchmark. (A benchmark
+of 10,000 items of 200 words is one block; a pass reads the texts once.)
 
 Edge cases: null, empty and blank texts contain nothing and items without words are found nowhere; an
 item of fewer than five words is one shingle, found only in a document that is just these words;
-repeated items and documents are reported as often as they come; extra columns are ignored.
+repeated items and documents are reported as often as they come, null ids as they are; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, text_shingles
+from .common import Scratch, map_texts, materialize, mix, text_shingles, with_ids
 
 #: Probability that no coordinate shows an item that is just `least` contained.
 MISS = 1e-9
-#: Most shingles of the items in one broadcast block.
+#: Shingles of the items in one broadcast block, about.
 BLOCK = 2_000_000
 
 
@@ -75,7 +78,7 @@ class Items:
         return self._coordinates[part, size]
 
     def find(self, s: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item id, its shingles, those in s) of every item contained in the document set s."""
+        """(number of the item, its shingles, those in s) of every item contained in the document set s."""
         size, candidates = len(s).bit_length(), set()
         for part in self.parts:
             values, owner = self.coordinates(part, size)
@@ -107,31 +110,36 @@ def coordinates(s: np.ndarray, bins: int) -> np.ndarray:
 def contained(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
     """One row per document and test item in it: doc_id, item_id, n_item_shingles, n_shared."""
 
-    def sizes(texts: list[str | None]) -> list[pa.Array]:
+    def sets(texts: list[str | None]) -> list[pa.Array]:
         return [pa.array([text_shingles(t).tobytes() for t in texts], pa.binary())]
 
-    items = map_texts(benchmark, ["item_id"], sizes, "hashes binary").filter("octet_length(hashes) > 0")
-    total = items.agg(F.sum(F.expr("octet_length(hashes)"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / 8 / BLOCK))
-    found = None
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(blocks)) == block).collect()
-        one = _search(docs, Items([(r["item_id"], np.frombuffer(r["hashes"], np.uint64)) for r in mine], least))
-        found = one if found is None else found.union(one)
-    return found
-
-
-def _search(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item_shingles", pa.int64()), ("n_shared", pa.int64())]))
+    with Scratch(docs.sparkSession) as tmp:
+        items = tmp(map_texts(benchmark, ["item_id"], sets, "hashes binary").filter("octet_length(hashes) > 0"))
+        distinct = tmp(items.groupBy("hashes").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("item"), "hashes"))
+        total = distinct.agg(F.sum(F.expr("octet_length(hashes)"))).first()[0] or 0
+        blocks = max(1, math.ceil(total / 8 / BLOCK))
+        found = None
+        for block in range(blocks):
+            # One block is on the driver and in a worker at a time; what it finds is written before the next comes.
+            mine = distinct.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+            shared = docs.sparkSession.sparkContext.broadcast(Items([(r["item"], np.frombuffer(r["hashes"], np.uint64)) for r in mine], least))
+            one = tmp(_search(docs, shared))
+            shared.unpersist()
+            found = one if found is None else found.union(one)
+        ids = items.join(distinct, "hashes").select("item", "item_id")
+        return materialize(with_ids(found, tmp(ids), "inner", "item").select("doc_id", "item_id", "n_item_shingles", "n_shared"))
+
+
+def _search(docs: DataFrame, shared: Broadcast[Items]) -> DataFrame:
+    kind = pa.list_(pa.struct([("item", pa.int64()), ("n_item_shingles", pa.int64()), ("n_shared", pa.int64())]))
 
     def batch(texts: list[str | None]) -> list[pa.Array]:
         out = []
         for text in texts:
             s = text_shingles(text)
             hits = shared.value.find(s) if len(s) else []
-            out.append([{"item_id": i, "n_item_shingles": n, "n_shared": k} for i, n, k in hits])
+            out.append([{"item": i, "n_item_shingles": n, "n_shared": k} for i, n, k in hits])
         return [pa.array(out, kind)]
 
-    hits = map_texts(docs, ["doc_id"], batch, "hits array<struct<item_id:bigint,n_item_shingles:bigint,n_shared:bigint>>")
+    hits = map_texts(docs, ["doc_id"], batch, "hits array<struct<item:bigint,n_item_shingles:bigint,n_shared:bigint>>")
     return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")

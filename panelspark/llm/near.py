@@ -6,17 +6,17 @@ round T+j fills coordinate j. Every coordinate is filled, and the share of equal
 sketches concentrates around their Jaccard similarity.
 
 Search: BANDS bands of ROWS coordinates; sets of similarity 0.75 share no band with a probability of
-about 4e-6. Equal sets are one class from the start. A bucket first gives star edges from its centre, the
-member that shares the most buckets with others; their overlaps are counted on full sets, and links merge
-into components. Only buckets that still hold several components go on: members outside the centre's
+about 4e-6. Equal sets are one class from the start, and only classes are compared. A bucket first gives
+star edges from its centre, the member that shares the most buckets with others; their overlaps are counted
+on full sets, and links merge into components. Only buckets that still hold several components go on: members outside the centre's
 component meet the others of that centre's buckets in a join whose condition drops pairs that cannot link: pairs of
 one component, pairs whose overlap is bounded too low by their exact overlaps with the centre, and pairs
 whose sketches differ in more than MOST_DIFFERENT coordinates (4.7 standard deviations). What remains is
 verified on full sets, without a cap. Links inside one component cannot change the result.
 
-Edge cases: null and empty texts have an empty set, link with nothing and stay; a row
-without doc_id stays, with no component; repeated rows of a doc_id are returned as often as they come;
-extra columns are ignored.
+Edge cases: every row is judged by its own text, so rows that repeat a doc_id may differ in their result;
+null and empty texts have an empty set, link with nothing and stay; a row without doc_id links with
+nothing, has no component and stays; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import map_texts, materialize, mix, text_shingles
+from .common import Scratch, map_texts, materialize, mix, text_shingles, with_ids
 
 T, BANDS, ROWS = 384, 64, 6
 #: Sketches are compared by four bits of each coordinate, 16 coordinates to a word.
@@ -74,48 +72,63 @@ def packed(coordinates: np.ndarray) -> np.ndarray:
     return (bits << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-_FEATURES = "n_shingles long, set1 long, set2 long, bands array<long>, sketch array<long>"
+#: What identifies a set: two hashes over its members, and its size.
+KEY = ["set1", "set2", "n_shingles"]
+_KEY = "set1 long, set2 long, n_shingles long"
+
+
+def _key(s: np.ndarray) -> tuple[int | None, int | None, int]:
+    if not len(s):
+        return None, None, 0
+    one, two = mix(s).sum(dtype=np.uint64), mix(s * _COMBINE[0]).sum(dtype=np.uint64)
+    return int(one.view(np.int64)), int(two.view(np.int64)), len(s)
 
 
 def _features(texts: list[str | None]) -> list[pa.Array]:
-    size, set1, set2, band, sketches = [], [], [], [], []
+    keys, band, sketches = [], [], []
     for text in texts:
         s = text_shingles(text)
-        size.append(len(s))
-        if not len(s):
-            for column in (set1, set2, band, sketches):
-                column.append(None)
-            continue
-        c = sketch(s)
-        set1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-        set2.append(int(mix(s * _COMBINE[0]).sum(dtype=np.uint64).view(np.int64)))
-        band.append(bands(c).view(np.int64))
-        sketches.append(packed(c).view(np.int64))
+        keys.append(_key(s))
+        c = sketch(s) if len(s) else None
+        band.append(None if c is None else bands(c).view(np.int64))
+        sketches.append(None if c is None else packed(c).view(np.int64))
     long = pa.int64()
-    return [pa.array(size, long), pa.array(set1, long), pa.array(set2, long), pa.array(band, pa.list_(long)), pa.array(sketches, pa.list_(long))]
+    return [*_key_columns(keys), pa.array(band, pa.list_(long)), pa.array(sketches, pa.list_(long))]
+
+
+def _key_columns(keys: list[tuple[int | None, int | None, int]]) -> list[pa.Array]:
+    return [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
 
 
 def _sets(texts: list[str | None]) -> list[pa.Array]:
-    return [pa.array([text_shingles(t).tobytes() for t in texts], pa.binary())]
+    sets = [text_shingles(t) for t in texts]
+    return [*_key_columns([_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())]
 
 
-def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
         rows = []
-        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            rows.append((a, b, len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
-        yield pd.DataFrame(rows, columns=["a", "b", "size_a", "size_b", "both"], dtype="int64")
+        for i in range(batch.num_rows):
+            p, q = (np.frombuffer(side[i].as_buffer(), np.uint64) for side in (x, y))
+            rows.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+        made = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], names=["a", "b", "size_a", "size_b", "both"])
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, size_a, size_b and both (the size of the intersection of full shingle sets) of pairs (a, b)."""
-    pairs = materialize(pairs)
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = map_texts(common.with_ids(docs, ids, "left_semi"), ["doc_id"], _sets, "hashes binary")
-    sets = materialize(sets.groupBy("doc_id").agg(F.min("hashes").alias("hashes")))
-    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return materialize(full.mapInPandas(_overlaps, "a long, b long, size_a long, size_b long, both long"))
+def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tmp: Scratch) -> DataFrame:
+    """a, b, size_a, size_b and both (the size of the intersection of full shingle sets) of pairs (a, b) of classes.
+
+    classes: node, rep and KEY; the text of a class is read again from a row of its representative.
+    """
+    pairs = tmp(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = tmp(nodes.join(classes.select("node", "rep", *KEY), "node"))
+    texts = with_ids(docs, tmp(needed.select(F.col("rep").alias("doc_id")).distinct()), "left_semi")
+    sets = map_texts(texts, [], _sets, f"{_KEY}, hashes binary").groupBy(*KEY).agg(F.min("hashes").alias("hashes"))
+    sets = tmp(sets.join(needed.select("node", *KEY), KEY).select("node", "hashes"))
+    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return tmp(full.mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, both long"))
 
 
 def _links(overlap: DataFrame, least: float) -> DataFrame:
@@ -123,21 +136,22 @@ def _links(overlap: DataFrame, least: float) -> DataFrame:
     return overlap.filter(100 * F.col("both") >= per_cent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the least node reachable.
 
-    Alternates large-star and small-star until nothing changes; each round is written out.
+    Alternates large-star and small-star until nothing changes; each round is written out. The least
+    neighbour of a node is found by a partial aggregation, so a node of many edges is no hot group there.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = tmp(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Now every edge points down from u to v.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.filter("u <> v").distinct())
+        edges = tmp(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -160,12 +174,12 @@ def _different(x: str, y: str) -> Column:
 def _across(members: DataFrame, least: float) -> DataFrame:
     """Pairs of members of a centre's buckets in different components that may link.
 
-    members: centre, doc_id, comp, main (component of the centre), size, own (overlap with the centre),
-    sketch, centres (all of the document's); one row for each centre and document, however many buckets
+    members: centre, node, comp, main (component of the centre), size, own (overlap with the centre),
+    sketch, centres (all of the class's); one row for each centre and class, however many buckets
     they share. A pair is taken at the least centre that both have, as the bounds hold at any.
     """
-    x = members.filter("comp <> main").select("centre", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"), F.col("centres").alias("la"))
-    y = members.select(F.col("centre").alias("c"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), F.col("centres").alias("lb"))
+    x = members.filter("comp <> main").select("centre", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"), F.col("centres").alias("la"))
+    y = members.select(F.col("centre").alias("c"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), F.col("centres").alias("lb"))
     # A pair that both sides list is taken once.
     once = (F.col("cb") == F.col("m")) | (F.col("a") < F.col("b"))
     most = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
@@ -176,45 +190,48 @@ def _across(members: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
-    features = materialize(map_texts(docs, ["doc_id"], _features, _FEATURES))
-    texts = features.filter("n_shingles > 0")
-    classes = materialize(texts.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-
-    entries = reps.select(F.explode("bands").alias("key"), "doc_id")
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    with Scratch(docs.sparkSession) as tmp:
+        return materialize(_near_duplicates(docs.select("doc_id", "text"), least, tmp))
+
+
+def _near_duplicates(docs: DataFrame, least: float, tmp: Scratch) -> DataFrame:
+    features = map_texts(docs, ["doc_id"], _features, f"{_KEY}, bands array<long>, sketch array<long>")
+    # Numbers of rows and of classes (sets) are written once, so they stay the same.
+    features = tmp(features.withColumn("row", F.monotonically_increasing_id()))
+    texts = features.filter("n_shingles > 0 and doc_id is not null")
+    classes = texts.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("row"))
+    classes = tmp(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    entries = texts.select("row", "bands").join(classes.select("row", "node"), "row").select(F.explode("bands").alias("key"), "node")
     counts = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    entries = materialize(entries.join(counts, "key"))
-    heat = entries.groupBy("doc_id").agg(F.sum("n").alias("heat"))
-    warm = entries.select("key", "doc_id").join(heat, "doc_id")
-    centres = materialize(warm.groupBy("key").agg(F.max_by("doc_id", F.struct("heat", -F.col("doc_id"))).alias("centre")))
-    keys = materialize(entries.select("key", "doc_id").join(centres, "key"))
+    entries = tmp(entries.join(counts, "key"))
+    heat = entries.groupBy("node").agg(F.sum("n").alias("heat"))
+    warm = entries.select("key", "node").join(heat, "node")
+    centres = tmp(warm.groupBy("key").agg(F.max_by("node", F.struct("heat", -F.col("node"))).alias("centre")))
+    keys = tmp(entries.select("key", "node").join(centres, "key"))
 
-    star = overlaps(keys.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), docs)
+    star = overlaps(keys.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), docs, classes, tmp)
     links = _links(star, least)
-    comp = materialize(components(links))
+    comp = tmp(components(links, tmp))
 
     # Buckets that still hold several components.
-    of, at = comp.toDF("doc_id", "comp"), comp.toDF("centre", "main")
-    placed = keys.join(of, "doc_id", "left").join(at, "centre", "left")
-    placed = placed.withColumns({"comp": F.coalesce("comp", "doc_id"), "main": F.coalesce("main", "centre")})
-    mixed = materialize(placed.filter("comp <> main").select("key").distinct())
-    placed = placed.filter("doc_id <> centre").join(mixed, "key", "left_semi").select("centre", "doc_id", "comp", "main").distinct()
-    shares = star.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), F.col("both").alias("own"))
-    # A document has at most one centre a band.
-    centres_of = placed.groupBy("doc_id").agg(F.collect_set("centre").alias("centres"))
-    members = placed.join(shares, ["centre", "doc_id"]).join(features.select("doc_id", "sketch"), "doc_id").join(centres_of, "doc_id")
-    more = _links(overlaps(_across(materialize(members), least), docs), least)
-    comp = components(links.union(more))
-
-    rep_comp = classes.join(comp.toDF("rep", "component_id"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    found = features.select("doc_id", "n_shingles", "set1", "set2").join(
-        rep_comp.select("set1", "set2", "n_shingles", "component_id"), ["set1", "set2", "n_shingles"], "left"
-    )
-    return found.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    of, at = comp.toDF("node", "comp"), comp.toDF("centre", "main")
+    placed = keys.join(of, "node", "left").join(at, "centre", "left")
+    placed = placed.withColumns({"comp": F.coalesce("comp", "node"), "main": F.coalesce("main", "centre")})
+    mixed = tmp(placed.filter("comp <> main").select("key").distinct())
+    placed = placed.filter("node <> centre").join(mixed, "key", "left_semi").select("centre", "node", "comp", "main").distinct()
+    shares = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("size_b").alias("size"), F.col("both").alias("own"))
+    # A class has at most one centre a band.
+    centres_of = placed.groupBy("node").agg(F.collect_set("centre").alias("centres"))
+    members = placed.join(shares, ["centre", "node"]).join(centres_of, "node").join(classes.select("node", "row"), "node")
+    members = members.join(texts.select("row", "sketch"), "row").drop("row")
+    more = _links(overlaps(_across(tmp(members), least), docs, classes, tmp), least)
+    comp = components(links.union(more), tmp)
+
+    named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.select("component", *KEY).join(least_id, "component").select(*KEY, "component_id")
+    found = features.select("doc_id", *KEY).join(named, KEY, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -68,11 +68,11 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, pos, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l
 ), c AS (
-  SELECT w, min({'doc': doc_id, 'pos': pos}) AS first FROM w WHERE len(w) >= 3 GROUP BY w
+  SELECT w, min({'doc': doc_id, 'pos': pos}) AS first FROM w WHERE len(w) >= 1 GROUP BY w
 ), v AS (
   SELECT first, len(w) AS n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest
-  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c WHERE len(w) >= 10)
-), whole AS (SELECT first, len(w) AS n, array_to_string(w, ' ') AS rest FROM c WHERE len(w) >= 10),
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c WHERE len(w) >= 4)
+), whole AS (SELECT first, len(w) AS n, array_to_string(w, ' ') AS rest FROM c WHERE len(w) >= 4),
 near AS (
   SELECT y.first FROM v x JOIN v y ON x.rest = y.rest AND x.i = y.i AND x.n = y.n AND x.first < y.first
   UNION SELECT y.first FROM v x JOIN whole y ON x.rest = y.rest AND x.n = y.n + 1 AND x.first < y.first

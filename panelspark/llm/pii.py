@@ -3,15 +3,17 @@
 Base recognisers find emails, IP addresses, card and phone numbers. They seed the bootstrap: the word
 before an entity is a lexical pattern, an identifier-like token (a word with a digit or @) an instance.
 Rounds over the graph of distinct (pattern, instance) edges score patterns by the share of their
-instances that are trusted for a kind, and instances by their best pattern; seeds stay at 1. Patterns
-with SUPPORT distinct seeds and CONFIDENCE mark further tokens of a fitting shape as that kind, unless
-they overlap a base span. Copies of a text add no support, as edges are distinct.
+instances that are trusted for a kind, and instances of a fitting shape by their best pattern; seeds stay
+at 1. A pattern is accepted if the scores of its instances sum to SUPPORT and to a share of CONFIDENCE of all
+its instances, so what one pattern found supports further ones, less than a seed does. Rounds end when no
+pattern is new. Accepted patterns mark further tokens of a fitting shape as that kind, unless they overlap a
+base span. Copies of a text add no support, as edges are distinct.
 
 Regular expressions are written so that Java matches them without recursion or repeated scans: every
 repeat is possessive, and a match starts where a run starts or the last match ended.
 
-Edge cases: null text is empty and has no spans; repeated rows of a doc_id get the same spans; a row
-without doc_id reports none; extra columns are ignored; an empty table gives no rows.
+Edge cases: null text is empty and has no spans; rows that repeat a doc_id, or have none, report the spans
+of their own text; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds a pattern needs, its least share of trusted instances, and rounds over the graph.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: Least sum of the scores of a pattern's distinct instances, their least share, and most rounds over the graph.
+SUPPORT, CONFIDENCE, ROUNDS = 4.0, 0.75, 8
+#: What tells rows apart: doc_id, and a hash of the text.
+ROW = ["doc_id", "rid"]
 
 _SPACE = "\\x20\\x09-\\x0D"
 PATTERNS = {
@@ -77,7 +81,7 @@ def _numbered(rows: Column, kind: str) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, match and left word of every match of PATTERNS; code points, end exclusive."""
+    """ROW, kind, start, end, match and left word of every match of PATTERNS; code points, end exclusive."""
     text = F.coalesce("text", F.lit(""))
     found = []
     for kind, pattern in PATTERNS.items():
@@ -88,13 +92,13 @@ def matches(docs: DataFrame) -> DataFrame:
         needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9@]")
         found.append(F.when(needed, rows))
     found = [F.coalesce(f, F.array().cast("array<struct<kind:string,i:int,gap:int,before:string,match:string>>")) for f in found]
-    rows = docs.select("doc_id", F.explode(F.flatten(F.array(*found))).alias("r")).select("doc_id", "r.*")
-    rows = rows.dropDuplicates(["doc_id", "kind", "i"])
-    upto = W.partitionBy("doc_id", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("rid"), F.explode(F.flatten(F.array(*found))).alias("r")).select(*ROW, "r.*")
+    rows = rows.dropDuplicates([*ROW, "kind", "i"])
+    upto = W.partitionBy(*ROW, "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("match")).over(upto)
     left = F.lower(F.regexp_extract("before", f"([^{_SPACE}]+)[{_SPACE}]+$", 1))
-    placed = rows.select("doc_id", "kind", end.alias("end"), "match", left.alias("left"))
-    return placed.select("doc_id", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "left")
+    placed = rows.select(*ROW, "kind", end.alias("end"), "match", left.alias("left"))
+    return placed.select(*ROW, "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "left")
 
 
 def _fits(kind: Column, token: Column) -> Column:
@@ -104,60 +108,69 @@ def _fits(kind: Column, token: Column) -> Column:
     return fits
 
 
-def learn(base: DataFrame, tokens: DataFrame) -> DataFrame:
+def learn(base: DataFrame, tokens: DataFrame, tmp: Scratch) -> DataFrame:
     """Accepted patterns (left, kind, confidence) from spans and tokens (left, match, ..)."""
-    seeds = base.filter("left <> ''").select("left", F.col("match").alias("instance"), "kind").distinct()
+    seeds = tmp(base.filter("left <> ''").select("left", F.col("match").alias("instance"), "kind").distinct())
     unknown = tokens.filter("left <> ''").select("left", F.col("token").alias("instance")).distinct()
-    seeds = materialize(seeds)
     # Tokens that are seeds of the same pattern are the same instance.
-    edges = materialize(seeds.select("left", "instance").union(unknown).distinct())
-    totals = edges.groupBy("left").agg(F.count("*").alias("total"))
+    edges = tmp(seeds.select("left", "instance").union(unknown).distinct())
     trusted = seeds.select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    known = trusted
-    patterns = None
+    totals = edges.groupBy("left").agg(F.count("*").alias("total"))
+    known, before = trusted, 0
     for _ in range(ROUNDS):
-        hits = edges.join(known, "instance").groupBy("left", "kind").agg(F.sum("score").alias("hit"), F.sum((F.col("score") == 1.0).cast("int")).alias("seeds"))
+        hits = edges.join(known, "instance").groupBy("left", "kind").agg(F.sum("score").alias("hit"))
         scored = hits.join(totals, "left").withColumn("confidence", F.col("hit") / (F.col("total") + 1))
-        patterns = materialize(scored.filter((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("left", "kind", "confidence"))
+        patterns = tmp(scored.filter((F.col("hit") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("left", "kind", "confidence"))
+        found = patterns.count()
+        if found == before:
+            break
+        before = found
         gained = edges.join(patterns, "left").filter(_fits(F.col("kind"), F.col("instance"))).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
         known = trusted.union(gained.join(trusted.select("instance"), "instance", "left_anti"))
     return patterns
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """Spans (doc_id, kind, start, end, is_base) of all texts."""
-    found = materialize(matches(docs.select("doc_id", "text")).filter(_valid()))
+    """Spans (doc_id, rid, kind, start, end, is_base) of all texts; rid is the hash of the text."""
+    with Scratch(docs.sparkSession) as tmp:
+        return materialize(_extract(docs.select("doc_id", "text"), tmp))
+
+
+def _extract(docs: DataFrame, tmp: Scratch) -> DataFrame:
+    found = tmp(matches(docs).filter(_valid()))
     base = found.filter("kind <> 'token'")
     # A token without the marks around it; those that a base recogniser reads are no unknowns.
     opening = F.length(F.regexp_extract("match", "^[(\\[{<\"'=:,;]*", 0))
     token = F.regexp_replace(F.regexp_replace("match", "^[(\\[{<\"'=:,;]+", ""), "[)\\]}>\"'.,;:!?]+$", "")
-    tokens = found.filter("kind = 'token'").select("doc_id", (F.col("start") + opening).alias("start"), token.alias("token"), "left").filter("token <> ''")
+    tokens = found.filter("kind = 'token'").select(*ROW, (F.col("start") + opening).alias("start"), token.alias("token"), "left").filter("token <> ''")
     read = F.lit(False)
     for kind in ("email", "ip"):
         read = read | F.col("token").rlike(f"^(?:{PATTERNS[kind]})$")
     tokens = tokens.filter(~read & ~F.col("token").rlike("^\\+[0-9]"))
-    patterns = learn(base, tokens)
+    patterns = learn(base, tokens, tmp)
     new = tokens.join(patterns, "left").filter(_fits(F.col("kind"), F.col("token")))
-    new = new.select("doc_id", "kind", "start", (F.col("start") + F.length("token")).alias("end"), F.lit(False).alias("is_base"))
-    spans = base.select("doc_id", "kind", "start", "end", F.lit(True).alias("is_base"))
+    # A token that two kinds fit is of the surer one.
+    new = new.withColumn("end", F.col("start") + F.length("token")).groupBy(*ROW, "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    new = new.select(*ROW, "kind", "start", "end", F.lit(False).alias("is_base"))
+    spans = base.select(*ROW, "kind", "start", "end", F.lit(True).alias("is_base"))
     # A new span that meets a base span of any kind is left out: running ends to both sides.
-    order = W.partitionBy("doc_id").orderBy("start", "end")
+    order = W.partitionBy(*ROW).orderBy("start", "end")
     own = F.when(F.col("is_base"), F.col("end"))
     ends_before = F.max(own).over(order.rowsBetween(W.unboundedPreceding, -1))
     starts_after = F.min(F.when(F.col("is_base"), F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing))
     clash = F.coalesce(ends_before > F.col("start"), F.lit(False)) | F.coalesce(starts_after < F.col("end"), F.lit(False))
-    with_new = spans.unionByName(new).withColumn("clash", clash).filter("is_base or not clash")
-    return with_new.select("doc_id", "kind", "start", "end", "is_base").distinct()
+    return spans.unionByName(new).withColumn("clash", clash).filter("is_base or not clash").select(*ROW, "kind", "start", "end", "is_base").distinct()
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: counts and digest of its base spans, and all spans as text."""
+    """One row per row of docs: counts and digest of its base spans, all spans as text, and how many were learned."""
     spans = extract(docs)
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(number.alias("no"), "start", "end", "kind", "is_base")
-    per_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(span)).alias("s"))
-    joined = docs.select("doc_id").join(per_doc, "doc_id", "left")
-    every = F.coalesce("s", F.expr("array()").cast(per_doc.schema["s"].dataType))
+    per_row = spans.groupBy(F.col("doc_id").alias("_id"), "rid").agg(F.sort_array(F.collect_list(span)).alias("s"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rid"))
+    joined = rows.join(per_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rid") == F.col("rid")), "left")
+    every = F.coalesce("s", F.expr("array()").cast(per_row.schema["s"].dataType))
 
     def listed(rows: Column) -> Column:
         return F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["kind"], r["start"], r["end"])), ",")
@@ -167,4 +180,5 @@ def summary(docs: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter(base, lambda r: r["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return joined.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(every).alias("spans"))
+    learned = (F.size(every) - F.size(base)).cast("long")
+    return joined.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(every).alias("spans"), learned.alias("n_learned"))

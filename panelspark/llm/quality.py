@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, word_hashes
+from .common import map_texts, mix, sampled, word_hashes
 
 #: Columns of hashed terms, latent dimensions, and neighbours that vote.
 DIMS, LATENT, K = 1024, 32, 25
 #: Most labelled documents of each label that are fitted and broadcast.
 SAMPLE = 1500
 _EXTRA = 6
-_LONG = 1 << 20
+_LONG = 1 << 18
 
 # Character classes: 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 other bytes; ASCII marks follow.
 _CLASS = np.full(256, 6, np.uint8)
@@ -107,20 +107,19 @@ def _terms_batch(texts: list[str | None]) -> list[pa.Array]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Fit on labels (doc_id, label 0/1): at most `sample` documents of each label, in the order of a hash."""
-    rows = labels.select("doc_id", F.col("label").cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    """Fit on labels (doc_id, label 0/1; others are ignored): at most `sample` documents of each label, in the order of a hash."""
+    # Of conflicting labels of a doc_id the least counts.
+    rows = labels.select("doc_id", F.col("label").cast("int").alias("label")).dropna().filter(F.col("label").isin(0, 1))
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
     shares = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    chosen = None
-    for label in (0, 1):
-        some = rows.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = some if chosen is None else chosen.union(some)
-    # At most 2 * sample rows by the limits above.
+    chosen = sampled(rows, "label", sample)
+    # At most 2 * sample rows by the limit above; rows that repeat a doc_id give one of their vectors.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = map_texts(texts, ["doc_id", "label"], _terms_batch, "terms binary").orderBy("doc_id").toPandas()
+    found = map_texts(texts, ["doc_id", "label"], _terms_batch, "terms binary")
+    found = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).orderBy("doc_id").toPandas()
     if not len(found):
         none = np.empty((0, 0), np.float32)
         return QualityModel(none, none, none, none, none)
-    found = found.drop_duplicates("doc_id")
     x = np.stack([np.frombuffer(t, np.float32) for t in found["terms"]]).astype(np.float64)
     y = found["label"].to_numpy()
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.3

@@ -65,11 +65,18 @@ def test_near_duplicates_equal_brute_force(documents, prose):
         assert rows[i]["component_id"] == root(i) and rows[i]["kept"] == (root(i) == i)
 
 
-def test_near_duplicates_edges(spark, documents):
+def test_near_duplicates_edges(spark, documents, prose):
     assert near.near_duplicates(documents([])).count() == 0
-    odd = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string").selectExpr("*", "1 as n", "'k' as key", "2 as comp")
-    rows = near.near_duplicates(odd).collect()
-    assert len(rows) == 3 and all(r["kept"] for r in rows)
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(None, a), (3, a), (3, a), (3, b), (5, b + " tail"), (2, prose(4, 50)), (7, a), (None, None), (9, "")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "'k' as key", "2 as comp", "3 as row", "4 as node")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near.near_duplicates(odd).collect()), key=str)
+    # Rows of one doc_id are judged by their own text; a row without doc_id links with nothing.
+    want = [(None, None, True), (None, None, True), (3, 3, True), (3, 3, True), (3, 3, True), (5, 3, False), (2, 2, True), (7, 3, False), (9, 9, True)]
+    assert got == sorted(want, key=str)
+    long = " ".join(prose(k, 2000) for k in range(60))
+    rows = {r["doc_id"]: r for r in near.near_duplicates(documents([long, long + " x"])).collect()}
+    assert rows[1]["component_id"] == 0 and rows[0]["n_shingles"] == len(grams(long))
 
 
 def word_distance(a, b):
@@ -87,8 +94,8 @@ def brute_lines(texts):
     for n, (d, _, line, w) in enumerate(places):
         gone = False
         for _, _, _, v in places[:n]:
-            gone = gone or len(w) >= 3 and v == w
-            gone = gone or min(len(v), len(w)) >= 10 and abs(len(v) - len(w)) <= 1 and word_distance(v, w) <= 1
+            gone = gone or len(w) > 0 and v == w
+            gone = gone or min(len(v), len(w)) >= 4 and abs(len(v) - len(w)) <= 1 and word_distance(v, w) <= 1
         if not gone:
             kept[d].append(line)
     return ["\n".join(kept[d]) if t is not None else None for d, t in enumerate(texts)]
@@ -113,16 +120,21 @@ def test_short_lines_equal_brute_force(documents, prose):
     for n, (d, line, w) in enumerate(places):
         if not any(w and v == w or min(len(v), len(w)) >= 4 and abs(len(v) - len(w)) <= 1 and word_distance(v, w) <= 1 for *_, v in places[:n]):
             kept[d].append(line)
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(texts), *lines.ALL_WORDS).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(texts)).collect()}
     assert [got[d] for d in range(4)] == ["\n".join(kept[d]) for d in range(4)] and got[4] is None
     assert "2020" not in got[1] and "Of." not in got[1] and "On." in got[2] and "one two four" in got[2]
 
 
 def test_lines_edges(spark, documents):
     assert lines.dedup_lines(documents([])).count() == 0
-    twice = spark.createDataFrame([(1, "one two three\nx"), (1, "one two three\nx"), (None, "one two three"), (2, "one two three")], "doc_id long, text string").selectExpr("*", "0 as n_kept", "5 as pos")
-    rows = lines.dedup_lines(twice).collect()
-    assert len(rows) == 4 and {r["text"] for r in rows if r["doc_id"] == 2} == {""}
+    rows = [(1, "one two three\nfour five six\nkeep me here"), (1, "seven eight nine\nten eleven twelve\nfresh line here"), (0, "four five six"), (2, "one two three\nx"), (2, "one two three\nx"),
+            (None, "one two three"), (None, "nine ten"), (3, "nine ten"), (3, None), (4, "w " * 30_000 + "\nx")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as n_kept", "5 as pos", "'g' as goes", "7 as rid", "1 as first")
+    got = lines.dedup_lines(odd)
+    assert got.columns == ["doc_id", "text", "pos", "goes", "rid", "first", "n_lines", "n_kept"]
+    texts = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want = [(1, "keep me here"), (1, rows[1][1]), (0, "four five six"), (2, "x"), (2, "x"), (None, "one two three"), (None, "nine ten"), (3, ""), (3, None), (4, "w " * 30_000)]
+    assert sorted(texts, key=str) == sorted(want, key=str)
 
 
 def test_contained_equals_brute_force(spark, documents, prose):
@@ -145,3 +157,11 @@ def test_contained_equals_brute_force(spark, documents, prose):
         decontaminate.BLOCK = block
     assert decontaminate.contained(documents([]), bench).count() == 0
     assert decontaminate.contained(documents(texts), bench.limit(0)).count() == 0
+
+
+def test_contained_edges(spark, documents, prose):
+    item, long = prose(3, 12), " ".join(prose(k, 3000) for k in range(100))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item)], "item_id long, text string").selectExpr("*", "1 as item", "2 as hits")
+    docs = spark.createDataFrame([(5, f"{long} {item}"), (5, item), (5, item), (None, item)], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as hashes")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, bench).collect()), key=str)
+    assert got == sorted([(d, i) for d in (5, 5, 5, None) for i in (1, 1, 2, None)], key=str)
