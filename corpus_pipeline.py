@@ -1,8 +1,8 @@
 """Corpus pipeline: five operators of panelspark.llm applied to `documents`, one after the other.
 
 Every stage takes the documents that its predecessor kept and returns them with the same columns; the
-last adds its token counts and rates. run() writes nothing between the stages; each reads its input as
-often as its operator needs, so the result of every stage is materialized in the shared folder.
+last adds its token counts and rates. A stage reads its input as often as its operator needs, so run()
+writes the result of every stage to the shared folder and removes it when the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, lines, mixing, near, quality, queries
-from panelspark.llm.common import materialize, read, with_ids
+from panelspark.llm.common import Scratch, materialize, read, with_ids
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go; a document that had words and has lost all of them goes too."""
     # Lines that go have words, so a document is emptied if no line with a word is left.
     columns, blank = docs.columns, "^[\\x20\\x09-\\x0D]*$"
-    found = lines.dedup_lines(docs, *lines.ALL_WORDS)
+    found = lines.dedup_lines(docs)
     emptied = F.coalesce((F.col("n_kept") < F.col("n_lines")) & F.col("text").rlike(blank), F.lit(False))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return found.filter(~emptied).withColumn("n_chars", n_chars).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the least doc_id of each group stays."""
-    gone = materialize(near.near_duplicates(docs).filter("not kept").select("doc_id"))
+    """MinHash near-dedup: the least doc_id of each group stays; so does a doc_id one of whose rows is to stay."""
+    found = near.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = materialize(found.filter("not kept").select("doc_id"))
     return with_ids(docs, gone, "left_anti").select(*docs.columns)
 
 
@@ -65,9 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    docs, before = read(spark, sf_dir, "documents"), Scratch(spark)
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        written = Scratch(spark)
+        docs = written(stage(spark, docs, sf_dir))
+        before.clear()
+        before = written
+    return last(spark, docs, sf_dir)
