@@ -1,6 +1,7 @@
 """Rolling operators down the dates of each symbol, as window expressions.
 
 `least` is the number of known values a frame needs. All take columns of a dense panel and return one.
+They reduce the frame anew for every row, which is right for short frames; `moving` has the long ones.
 """
 
 from __future__ import annotations
@@ -8,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numeric import both_greatest, both_least, gated, ratio, zero_if_null
-from .grid import lag, so_far, trailing
+from ..functions.numeric import both_greatest, both_least, gated, ratio
+from .grid import lag, trailing
 
 
 def ts_mean(x: Column, n: int = 10, least: int | None = None) -> Column:
@@ -84,24 +85,6 @@ def ts_rank(x: Column, n: int, least: int | None = None) -> Column:
     return F.when(x.isNotNull(), gated(rank, x, least or n, w))
 
 
-def _full(n: int, value: Column) -> Column:
-    """value from the n-th row of a symbol on."""
-    return F.when(F.count(F.lit(1)).over(trailing(n)) >= n, value)
-
-
-def ts_reg_slope(y: Column, x: Column, n: int = 10) -> Column:
-    """Slope of y on x over n rows; unknown values count as zero."""
-    return _full(n, F.regr_slope(zero_if_null(y), zero_if_null(x)).over(trailing(n)))
-
-
-def ts_reg_intercept(y: Column, x: Column, n: int = 10) -> Column:
-    return _full(n, F.regr_intercept(zero_if_null(y), zero_if_null(x)).over(trailing(n)))
-
-
-def ts_reg_residual(y: Column, x: Column, n: int = 10) -> Column:
-    return zero_if_null(y) - ts_reg_slope(y, x, n) * zero_if_null(x) - ts_reg_intercept(y, x, n)
-
-
 def ts_coef_var(x: Column, n: int) -> Column:
     """Population deviation over the mean of a frame that is known in full."""
     w = trailing(n)
@@ -113,24 +96,6 @@ def ts_zscore(x: Column, n: int) -> Column:
     return gated(ratio(x - F.avg(x).over(w), F.stddev_pop(x).over(w)), x, n, w)
 
 
-def known_so_far(x: Column) -> Column:
-    """Running number of known values; exponent of the decay operators."""
-    return F.count(x).over(so_far())
-
-
-def decay(x: Column, k: Column, n: int, half_life: float, how: str = "sum", least: int | None = None) -> Column:
-    """Sum or population deviation of the frame's known values, halved every half_life observations.
-
-    k is known_so_far(x) as a column of its own. Newest weight 1: x 2^(k/h) is reduced over the frame
-    and scaled back by 2^(-k/h) of the current row, so no recursion is needed. Exponents are taken
-    relative to the frame's block of rows by the caller if a series is longer than 1000 half-lives.
-    """
-    w = trailing(n)
-    scaled = x * F.pow(F.lit(2.0), k / half_life)
-    reduced = (F.sum if how == "sum" else F.stddev_pop)(scaled).over(w)
-    return gated(reduced * F.pow(F.lit(2.0), -k / half_life), x, least or n, w)
-
-
 def lagged_range(x: Column, step: int, times: int) -> tuple[Column, Column]:
     """Greatest and least of x at lags 0, step, .., NULL if one of them is."""
     lags = [lag(x, step * i) for i in range(times)]

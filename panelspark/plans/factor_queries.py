@@ -19,6 +19,14 @@ _D = "OVER (PARTITION BY tradedate)"
 _S = "PARTITION BY symbol ORDER BY tradedate"
 
 _ASOF = ("revenue", "revenue_ttm", "revenue_1", "revenue_2", "revenue_3")
+#: Statement fields: 0 before the first report.
+_REPORTED = {
+    "bizinco_ttm": "revenue_ttm", "bizcost_ttm": "revenue_ttm * 0.6::DOUBLE + 1000", "parenetp_ttm": "revenue_ttm * 0.1::DOUBLE - 5000", "mananetr_ttm": "revenue_ttm * 0.12::DOUBLE - 6000",
+    "bizinco": "revenue", "bizcost": "revenue * 0.6::DOUBLE + 1000", "mainbizinco": "revenue * 0.9::DOUBLE", "mainbizcost": "revenue * 0.5::DOUBLE + 500",
+    "parenetp": "revenue * 0.1::DOUBLE - 5000", "mananetr": "revenue * 0.12::DOUBLE - 6000", "prest": "revenue * 0.01::DOUBLE", "perbond": "revenue * 0.002::DOUBLE",
+    "righaggr": "revenue * 2.2::DOUBLE - 9000", "totliab": "revenue * 3 - 2000", "totalnoncliab": "revenue", "totcurrasset": "revenue * 2.5::DOUBLE", "totalcurrliab": "revenue * 1.5::DOUBLE + 100",
+    **{f"paresharrigh{i}": f"revenue{i} * 2 - 10000" for i in ("", "_1", "_2", "_3")}, **{f"totasset{i}": f"revenue{i} * 5" for i in ("", "_1", "_2", "_3")},
+}
 STOCK = (
     MARKET
     + ","
@@ -33,10 +41,8 @@ un AS (SELECT tradedate, symbol, true AS og, {", ".join(f"NULL::DOUBLE AS {c}" f
 on_ AS (SELECT tradedate, symbol, max(og) AS og, {", ".join(f"max({c}) AS {c}" for c in _ASOF)} FROM un GROUP BY ALL),
 fi AS (SELECT tradedate, symbol, og, {", ".join(f"last_value({c} IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS {c}" for c in _ASOF)} FROM on_),
 st AS (SELECT g.*, bm_ret, {", ".join(_ASOF)}, px * 800 AS negotiablemv, px * 1000 AS totmktcap, vol / 100 AS turnrate, 1000.0::DOUBLE + i / 100.0::DOUBLE AS stk_share, close / 1e5 AS dy, px / 50 AS pe_fcst,
-  revenue_ttm * 1.1::DOUBLE AS net_revenue_fcst, revenue_ttm * 1.3::DOUBLE - 1000 AS net_revenue_fcst_2, revenue_ttm AS bizinco_ttm, revenue_ttm * 0.6::DOUBLE + 1000 AS bizcost_ttm,
-  revenue_ttm * 0.9::DOUBLE AS mainbizinco_ttm, revenue_ttm * 0.5::DOUBLE + 500 AS mainbizcost_ttm, revenue_ttm * 0.1::DOUBLE - 5000 AS parenetp_ttm, revenue_ttm * 0.12::DOUBLE - 6000 AS mananetr_ttm,
-  revenue * 0.01::DOUBLE AS prest, revenue * 2 - 10000 AS righaggr, revenue * 5 AS totasset, revenue * 3 - 2000 AS totliab, revenue AS totalnonclia, revenue * 2.5::DOUBLE AS totcurrasset,
-  revenue * 1.5::DOUBLE + 100 AS totalcurrliab, (righaggr + (revenue_1 + revenue_2 + revenue_3) * 2 - 30000) / 4 AS eq4, (revenue + revenue_1 + revenue_2 + revenue_3) * 5 / 4 AS as4
+  revenue_ttm * 1.4e-5::DOUBLE AS net_revenue_fcst, revenue_ttm * 1.2e-5::DOUBLE - 0.3::DOUBLE AS net_revenue_fcst_2, coalesce(inflow, 0) AS linflow, coalesce(outflow, 0) AS loutflow,
+  CASE WHEN px IS NOT NULL AND i >= 60 THEN 1.0::DOUBLE END AS pool, {", ".join(f"coalesce({x}, 0) AS {c}" for c, x in _REPORTED.items())}
   FROM g JOIN bm USING (tradedate) LEFT JOIN fi USING (tradedate, symbol))"""
 )
 
@@ -50,12 +56,18 @@ def std(source: str, out: str, *columns: str) -> str:
 {out}_3 AS (SELECT * REPLACE ({held}) FROM {out}_2), {out} AS (SELECT * REPLACE ({z}) FROM {out}_3)"""
 
 
-def stock_query(name: str, columns: tuple[str, ...], ctes: str | None, source: str = "x", digits: int = 3) -> None:
+def stock_query(name: str, columns: tuple[str, ...], ctes: str | None, source: str = "x", digits: int = 3, calm: bool = False) -> None:
+    """A query of some factors; a calm one takes a tenth of the returns, as those of the test tables are wild."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = sf.need(tables.stock_market(spark, sf_dir), *[sf.STOCK_FACTORS[c] for c in columns])
+        m = tables.stock_market(spark, sf_dir)
+        m = m.withColumns({c: F.col(c) / 10 for c in ("ret", "bm_ret")}) if calm else m
+        df = sf.need(m, *[sf.STOCK_FACTORS[c] for c in columns])
         return df.select(*CELLS, *[rounded(c, digits).alias(c) for c in columns])
 
-    sql = None if ctes is None else f"WITH {STOCK}, {ctes} SELECT tradedate, symbol, {', '.join(f'{sql_rounded(c, digits)} AS {c}' for c in columns)} FROM {source}"
+    base = STOCK + (", st AS (SELECT * REPLACE (ret / 10 AS ret, bm_ret / 10 AS bm_ret) FROM wild)" if calm else "")
+    base = base.replace("st AS (SELECT g.*, bm_ret", "wild AS (SELECT g.*, bm_ret") if calm else base
+    sql = None if ctes is None else f"WITH {base}, {ctes} SELECT tradedate, symbol, {', '.join(f'{sql_rounded(c, digits)} AS {c}' for c in columns)} FROM {source}"
     query(sql, name)(run)
 
 
@@ -63,26 +75,35 @@ def lagged(c: str, n: int) -> str:
     return f"lag({c}, {n}) OVER ({_S})"
 
 
-stock_query("factors_size", ("lncap", "size"), f"y AS (SELECT *, ln(negotiablemv) AS lncap, ln(negotiablemv) AS size FROM st), {std('y', 'x', 'size')}")
+_FILLED = f"last_value(nullif({{0}}, 0) IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING)"
+_LNCAP = f"ln({_FILLED.format('negotiablemv')})"
+stock_query("factors_size", ("lncap", "size"), f"y AS (SELECT *, {_LNCAP} AS lncap, {_LNCAP} AS size FROM st), {std('y', 'x', 'size')}")
 _OWN = "OVER (PARTITION BY symbol)"
-stock_query(
-    "factors_nonlinear_size", ("nonlinear_size",),
-    f"""y AS (SELECT tradedate, symbol, ln(negotiablemv) AS size FROM st), {std("y", "z", "size")},
-n1 AS (SELECT *, CASE WHEN size IS NOT NULL THEN greatest(least(size, avg(size) {_OWN} + 3 * stddev_samp(size) {_OWN}), avg(size) {_OWN} - 3 * stddev_samp(size) {_OWN}) END AS s0 FROM z),
-n2 AS (SELECT *, coalesce(CASE WHEN stddev_samp(s0) {_D} > 0 THEN (s0 - avg(s0) {_D}) / stddev_samp(s0) {_D} END, 0) AS s FROM n1),
-n3 AS (SELECT *, -s * s - regr_slope(-s * s, s) {_D} * s - regr_intercept(-s * s, s) {_D} AS r0 FROM n2),
-n4 AS (SELECT *, CASE WHEN isfinite(r0) THEN r0 END AS r1 FROM n3),
-n5 AS (SELECT *, CASE WHEN r1 IS NOT NULL THEN greatest(least(r1, avg(r1) {_OWN} + 3 * stddev_samp(r1) {_OWN}), avg(r1) {_OWN} - 3 * stddev_samp(r1) {_OWN}) END AS r2 FROM n4),
-n6 AS (SELECT tradedate, symbol, CASE WHEN stddev_samp(r2) {_D} > 0 THEN (r2 - avg(r2) {_D}) / stddev_samp(r2) {_D} END AS nonlinear_size FROM n5), {std("n6", "x", "nonlinear_size")}""", digits=2,
-)
-_W = "CASE WHEN ret - bm_ret IS NOT NULL THEN pow(2.0, i / 63.0) END"
+
+
+def _held(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, avg({c}) {_OWN} + 3 * stddev_pop({c}) {_OWN}), avg({c}) {_OWN} - 3 * stddev_pop({c}) {_OWN}) END"
+
+
+def _normal(c: str) -> str:
+    return f"CASE WHEN stddev_pop({c}) {_D} > 0 THEN ({c} - avg({c}) {_D}) / stddev_pop({c}) {_D} END"
+
+
+NONLINEAR = f"""y AS (SELECT tradedate, symbol, pool, {_LNCAP} AS size FROM st), {std("y", "z", "size")}, n0 AS (SELECT tradedate, symbol, size * pool AS s FROM z),
+n1 AS (SELECT *, {_held("s")} AS s0 FROM n0), n2 AS (SELECT *, coalesce({_normal("s0")}, 0) AS s2 FROM n1),
+n3 AS (SELECT *, -s2 * s2 - regr_slope(-s2 * s2, s2) {_D} * s2 - regr_intercept(-s2 * s2, s2) {_D} AS r0 FROM n2),
+n4 AS (SELECT *, CASE WHEN isfinite(r0) THEN r0 END AS r1 FROM n3), n5 AS (SELECT *, {_held("r1")} AS r2 FROM n4),
+n6 AS (SELECT tradedate, symbol, {_normal("r2")} AS nonlinear_size FROM n5), {std("n6", "x", "nonlinear_size")}"""
+stock_query("factors_nonlinear_size", ("nonlinear_size",), NONLINEAR, digits=2)
+_W = "CASE WHEN ret - bm_ret IS NOT NULL THEN pow(2.0, (i - 1250) / 63.0) END"
 _O = over(252)
 _REG = f"""e AS (SELECT *, ret - bm_ret AS excess, {_W} AS w, CASE WHEN ret - bm_ret IS NOT NULL THEN bm_ret END AS bx FROM st),
 m AS (SELECT *, count(w) {_O} AS n, sum(w) {_O} AS sw, sum(w * bm_ret) {_O} AS sx, sum(w * excess) {_O} AS sy, sum(w * bm_ret * bm_ret) {_O} AS sxx, sum(w * bm_ret * excess) {_O} AS sxy,
   var_pop(excess) {_O} AS vy, var_pop(bx) {_O} AS vx, covar_pop(excess, bx) {_O} AS cv FROM e),
 b AS (SELECT *, CASE WHEN n >= 252 THEN (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) END AS beta FROM m),
-h AS (SELECT *, sqrt(abs(vy + beta * beta * vx - 2 * beta * cv)) AS hsigma FROM b)"""
+h AS (SELECT *, (sy - beta * sx) / sw AS halpha, sqrt(abs(vy + beta * beta * vx - 2 * beta * cv)) AS hsigma FROM b)"""
 stock_query("factors_beta", ("beta", "hsigma"), f"{_REG}, {std('h', 'x', 'beta')}")
+stock_query("factors_alpha", ("halpha",), f"{_REG}, x AS (SELECT * FROM h)", digits=5)
 _K = f"k AS (SELECT *, ret - bm_ret AS excess, count(ret - bm_ret) OVER ({_S} ROWS UNBOUNDED PRECEDING)::DOUBLE AS k FROM st)"
 stock_query(
     "factors_momentum", ("rstr", "momentum"),
@@ -91,14 +112,20 @@ l AS (SELECT *, {lagged("d", 21)} AS rstr, {lagged("d", 21)} AS momentum FROM d)
 )
 _ZLAGS = [f"lag(z, {21 * i}) OVER ({_S})" for i in range(12)]
 _VOL = f"""{_K}, d AS (SELECT *, CASE WHEN count(excess) {over(252)} >= 120 THEN stddev_pop(excess * pow(2.0, k / 42.0)) {over(252)} * pow(2.0, -k / 42.0) END AS dastd,
-  CASE WHEN count(ret) {over(21)} >= 21 THEN sum(ret) {over(21)} END AS z FROM k),
+  CASE WHEN count(*) {over(21)} >= 21 THEN sum(coalesce(excess, 0)) {over(21)} END AS z FROM k),
 c0 AS (SELECT *, [{", ".join(_ZLAGS)}] AS zs FROM d),
 c AS (SELECT *, CASE WHEN len(list_filter(zs, lambda v: v IS NULL)) = 0 AND list_max(zs) > -1 AND list_min(zs) > -1 THEN ln(1 + list_max(zs)) - ln(1 + list_min(zs)) END AS cmra FROM c0)"""
-stock_query("factors_volatility", ("dastd", "cmra"), _VOL, "c")
-stock_query("factors_residual_volatility", ("residual_volatility",), None)
-stock_query("factors_value", ("btop", "valuation", "bp"), f"y AS (SELECT *, (righaggr - coalesce(prest, 0)) / (totmktcap * 1e4) AS btop, (righaggr - coalesce(prest, 0)) / (totmktcap * 1e4) AS valuation, righaggr / (totmktcap * 1e4) AS bp FROM st), {std('y', 'x', 'valuation')}", digits=4)
-_T0 = f"CASE WHEN count(turnrate) {over(21)} >= 21 THEN ln(nullif(sum(turnrate) {over(21)}, 0)) END"
-_TURN = f"""a AS (SELECT *, {_T0} AS stom, exp({_T0}) AS ex, ln(negotiablemv) AS size FROM st),
+stock_query("factors_volatility", ("dastd", "cmra"), _VOL, "c", calm=True)
+stock_query(
+    "factors_residual_volatility", ("residual_volatility",),
+    f"""{_REG}, {_VOL.replace("k AS (SELECT *, ret - bm_ret AS excess", "k AS (SELECT tradedate, symbol, ret, excess, hsigma").replace("FROM st)", "FROM h)", 1)},
+rv AS (SELECT *, 0.74::DOUBLE * dastd + 0.16::DOUBLE * cmra + 0.1::DOUBLE * hsigma AS residual_volatility FROM c), {std("rv", "x", "residual_volatility")}""", calm=True,
+)
+_CAP = f"(last_value(totmktcap IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING) * 1e4)"
+_NET_ASSET = "(paresharrigh - coalesce(prest, 0) - coalesce(perbond, 0))"
+stock_query("factors_value", ("btop", "valuation", "bp"), f"y AS (SELECT *, {_NET_ASSET} / {_CAP} AS btop, {_NET_ASSET} / {_CAP} AS valuation, nullif({_NET_ASSET}, 0) / {_CAP} AS bp FROM st), {std('y', 'x', 'valuation')}", digits=4)
+_T0 = f"CASE WHEN count(tf) {over(21)} >= 21 THEN ln(sum(tf) {over(21)}) END"
+_TURN = f"""tf AS (SELECT *, {_FILLED.format("turnrate")} AS tf FROM st), a AS (SELECT *, {_T0} AS stom, exp({_T0}) AS ex, {_LNCAP} AS size FROM tf),
 q AS (SELECT *, ln((0.0::DOUBLE + {" + ".join(lagged("ex", 21 * i) for i in range(3))}) / 3) AS stoq, ln((0.0::DOUBLE + {" + ".join(lagged("ex", 21 * i) for i in range(12))}) / 12) AS stoa FROM a)"""
 stock_query("factors_turnover", ("stom", "stoq", "stoa"), _TURN, "q")
 stock_query(
@@ -108,8 +135,8 @@ l1 AS (SELECT *, l - regr_slope(l, sz) {_D} * sz - regr_intercept(l, sz) {_D} AS
 )
 stock_query(
     "factors_earnings", ("epfwd", "ep", "cp", "earnings"),
-    f"""y AS (SELECT *, 1.0::DOUBLE / nullif(pe_fcst, 0) AS epfwd, parenetp_ttm / (totmktcap * 1e4) AS ep, mananetr_ttm / (totmktcap * 1e4) AS cp FROM st),
-z AS (SELECT *, 0.68::DOUBLE * epfwd + 0.11::DOUBLE * cp + 0.21::DOUBLE * ep AS earnings FROM y), {std("z", "x", "earnings")}""",
+    f"""y AS (SELECT *, 1.0::DOUBLE / nullif(pe_fcst, 0) AS epfwd, parenetp_ttm / {_CAP} AS ep, mananetr_ttm / {_CAP} AS cp FROM st),
+z AS (SELECT *, 0.68::DOUBLE * epfwd + 0.21::DOUBLE * cp + 0.11::DOUBLE * ep AS earnings FROM y), {std("z", "x", "earnings")}""",
 )
 stock_query("factors_dividend", ("dividend_yield",), f"y AS (SELECT tradedate, symbol, last_value(dy IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS dividend_yield FROM st), {std('y', 'x', 'dividend_yield')}")
 
@@ -124,35 +151,52 @@ def _slope(v: str) -> str:
 
 stock_query(
     "factors_growth", ("egrow", "npgrow", "egrsf", "egrlf", "growth"),
-    f"""y AS (SELECT *, {_grow("bizinco_ttm")} AS v1, {_grow("parenetp_ttm")} AS v2, net_revenue_fcst / nullif(parenetp_ttm, 0) - 1 AS egrsf, net_revenue_fcst_2 / nullif(parenetp_ttm, 0) - 1 AS egrlf FROM st),
+    f"""y AS (SELECT *, {_grow("bizinco_ttm")} AS v1, {_grow("parenetp_ttm")} AS v2, net_revenue_fcst_2 / nullif(parenetp_ttm / 1e4, 0) - 1 AS egrsf, net_revenue_fcst / nullif(parenetp_ttm / 1e4, 0) - 1 AS egrlf FROM st),
 z AS (SELECT *, {_slope("v1")} AS egrow, {_slope("v2")} AS npgrow FROM y), z2 AS (SELECT *, 0.18::DOUBLE * egrlf + 0.11::DOUBLE * egrsf + 0.24::DOUBLE * npgrow + 0.47::DOUBLE * egrow AS growth FROM z), {std("z2", "x", "growth")}""",
 )
 stock_query(
     "factors_leverage", ("mlev", "blev", "dtoa", "leverage"),
-    f"""y AS (SELECT *, (totmktcap + coalesce(prest, 0) / 1e4 + coalesce(totalnonclia, 0) / 1e4) / totmktcap AS mlev,
-  (righaggr / 1e4 + coalesce(totalnonclia, 0) / 1e4) / nullif(righaggr / 1e4 - coalesce(prest, 0) / 1e4, 0) AS blev, totliab / nullif(totasset, 0) AS dtoa FROM st),
+    f"""y AS (SELECT *, ({_CAP} / 1e4 + coalesce(prest, 0) / 1e4 + coalesce(totalnoncliab, 0) / 1e4) / ({_CAP} / 1e4) AS mlev,
+  (coalesce(righaggr, 0) / 1e4 + totalnoncliab / 1e4) / nullif(coalesce(righaggr, 0) / 1e4 - coalesce(prest, 0) / 1e4, 0) AS blev, coalesce(totliab, 0) / nullif(coalesce(totasset, 0), 0) AS dtoa FROM st),
 z AS (SELECT *, 0.5::DOUBLE * mlev + 0.3::DOUBLE * blev + 0.2::DOUBLE * dtoa AS leverage FROM y), {std("z", "x", "leverage")}""",
 )
-_QUALITY = f"""y AS (SELECT *, parenetp_ttm / nullif(eq4, 0) AS roe, parenetp_ttm / nullif(as4, 0) AS roa, (bizinco_ttm - bizcost_ttm) / nullif(bizinco_ttm, 0) AS margin_rate,
-  (mainbizinco_ttm - mainbizcost_ttm) / nullif(mainbizinco_ttm, 0) AS main_margin_rate, bizinco_ttm / nullif(as4, 0) AS turnover_rate, totliab / nullif(totasset, 0) AS debt_to_asset,
-  totcurrasset / nullif(totalcurrliab, 0) AS current_ratio, CASE WHEN righaggr > 0 AND parenetp_ttm > 0 THEN ln(parenetp_ttm / righaggr) END AS lr FROM st),
+_EQ4 = "((paresharrigh + paresharrigh_1 + paresharrigh_2 + paresharrigh_3) / 4)"
+_AS4 = "((totasset + totasset_1 + totasset_2 + totasset_3) / 4)"
+_QUALITY = f"""y AS (SELECT *, parenetp / nullif({_EQ4}, 0) AS roe, parenetp / nullif({_AS4}, 0) AS roa, (bizinco - bizcost) / nullif(bizinco, 0) AS margin_rate,
+  (mainbizinco - mainbizcost) / nullif(mainbizinco, 0) AS main_margin_rate, bizinco / nullif({_AS4}, 0) AS turnover_rate, totliab / nullif(totasset, 0) AS debt_to_asset,
+  totcurrasset / nullif(totalcurrliab, 0) AS current_ratio, CASE WHEN {_EQ4} > 0 AND parenetp / {_EQ4} > 0 THEN ln(parenetp / {_EQ4}) END AS lr FROM st),
 x AS (SELECT *, roe / nullif({lagged("roe", 252)}, 0) - 1 AS roe_yoy, roa / nullif({lagged("roa", 252)}, 0) - 1 AS roa_yoy, lr - {lagged("lr", 252)} AS roe_yoy_real FROM y)"""
 stock_query("factors_quality", ("roe", "roe_yoy", "roe_yoy_real", "roa", "roa_yoy", "margin_rate", "main_margin_rate", "turnover_rate", "debt_to_asset", "current_ratio"), _QUALITY)
 
 
+def _quality_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return on equity and assets and asset turnover with the switches away from their defaults."""
+    m = tables.stock_market(spark, sf_dir)
+    m = m.transform(sf.roe, True, False).transform(sf.roa, True, True).transform(sf.turnover_rate, True, False).transform(sf.roe_yoy_real, 120, True, False)
+    return m.select(*CELLS, *[rounded(c).alias(c) for c in ("roe", "roa", "turnover_rate", "roe_yoy_real")])
+
+
+query(
+    f"""WITH {STOCK}, y AS (SELECT *, CASE WHEN paresharrigh > 0 AND parenetp_ttm / paresharrigh > 0 THEN ln(parenetp_ttm / paresharrigh) END AS lr FROM st),
+z AS (SELECT *, lr - {lagged("lr", 120)} AS yoy, parenetp_ttm / nullif(paresharrigh, 0) AS e, parenetp_ttm / nullif({_AS4}, 0) AS a, bizinco_ttm / nullif(totasset, 0) AS t FROM y)
+SELECT tradedate, symbol, {sql_rounded("e")} AS roe, {sql_rounded("a")} AS roa, {sql_rounded("t")} AS turnover_rate, {sql_rounded("yoy")} AS roe_yoy_real FROM z""",
+    "factors_quality_ttm",
+)(_quality_modes)
+
+
 def _up(c: str, sign: str = ">") -> str:
-    return f"({c} {sign} {lagged(c, 252)})::INT"
+    return f"({c} - {lagged(c, 252)} {sign} 0)::INT"
 
 
 stock_query(
     "factors_fscore", ("fscore",),
-    _QUALITY + f""", f AS (SELECT tradedate, symbol, ((roa > 0)::INT + (mananetr_ttm > 0)::INT + {_up("roa")} + (mananetr_ttm > parenetp_ttm)::INT + {_up("debt_to_asset", "<")}
-  + {_up("current_ratio")} + {_up("margin_rate")} + {_up("stk_share", "<=")})::DOUBLE AS fscore FROM x)""", "f",
+    _QUALITY + f""", f AS (SELECT tradedate, symbol, ((roa > 0)::INT + {_up("roa")} + (mananetr > 0)::INT + (parenetp - mananetr < 0)::INT + {_up("debt_to_asset", "<")}
+  + {_up("current_ratio", ">=")} + {_up("margin_rate")} + {_up("turnover_rate")})::DOUBLE AS fscore FROM x)""", "f",
 )
 _RES = "CASE WHEN y IS NOT NULL AND x IS NOT NULL AND count(y + x) {d} >= 0.05 * count(*) {d} THEN y - regr_slope(y, x) {d} * x - regr_intercept(y, x) {d} END".format(d=_D)
 stock_query(
     "fund_flow_residual", ("fund_flow",),
-    f"""n AS (SELECT *, inflow - outflow AS net FROM st), y AS (SELECT tradedate, symbol, CASE WHEN count(net) {over(20)} >= 1 THEN sum(net) {over(20)} / nullif(sum(abs(net)) {over(20)}, 0) END AS y,
+    f"""n AS (SELECT *, linflow - loutflow AS net FROM st), y AS (SELECT tradedate, symbol, CASE WHEN count(net) {over(20)} >= 20 THEN sum(net) {over(20)} / nullif(sum(abs(net)) {over(20)}, 0) END AS y,
   px / {lagged("px", 20)} - 1 AS x FROM n), x AS (SELECT tradedate, symbol, {_RES} AS fund_flow FROM y)""",
 )
 stock_query("factors_amount_to_value", ("amt2mv",), f"y AS (SELECT tradedate, symbol, ln(nullif(amount, 0)) AS y, ln(negotiablemv) AS x FROM st), x AS (SELECT tradedate, symbol, {_RES} AS amt2mv FROM y)")
@@ -161,14 +205,15 @@ stock_query("factors_turnover_to_value", ("tr2mv",), f"y AS (SELECT tradedate, s
 
 @query()
 def intangible_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Book value with intangible assets over market value; expenses are shares of the quarter's revenue."""
+    """Net assets with intangible assets over market value; expenses are shares of the quarter's revenue."""
     m = tables.stock_market(spark, sf_dir)
     shares = {"rd": 0.05, "sales": 0.1, "manage": 0.08, "goodwill": 0.0}
     cols = {c: F.col("revenue") * s for c, s in shares.items()} | {f"{c}_1": F.col("revenue_1") * s for c, s in shares.items()}
     cols["goodwill"], cols["goodwill_1"] = F.coalesce(F.col("revenue") * 0 + 100, F.lit(0.0)), F.lit(0.0)
-    m = m.select(*CELLS, "righaggr", "totmktcap", *[x.alias(c) for c, x in cols.items()])
+    m = m.select(*CELLS, sf.net_asset().alias("net_asset"), sf.market_value().alias("cap"), *[x.alias(c) for c, x in cols.items()])
     out = recursive.intangible_assets(m, "rd", "sales", "manage", "goodwill")
-    return out.select(*CELLS, rounded("intangible", 2).alias("intangible"), rounded((F.col("righaggr") + F.col("intangible")) / F.col("totmktcap"), 4).alias("bp_int"))
+    bp = sf.ratio(sf.nonzero(F.col("net_asset") + F.col("intangible")), F.col("cap"))
+    return out.select(*CELLS, rounded("intangible", 2).alias("intangible"), rounded(bp).alias("bp_int"))
 
 
 # --- index factors --------------------------------------------------------------------------------
@@ -186,10 +231,12 @@ def index_query(name: str, columns: tuple[str, ...], make: Callable[[DataFrame],
     query(sql, name)(run)
 
 
-def member_query(name: str, columns: tuple[str, ...], make: Callable[[DataFrame, DataFrame], DataFrame], ctes: str | None, source: str = "x", digits: int = 4) -> None:
+def member_query(name: str, columns: tuple[str, ...], make: Callable[[DataFrame, DataFrame], DataFrame], ctes: str | None, source: str = "x", digits: int = 4, wide: bool = False) -> None:
+    """A query over index members; wide ones need the statement fields and market values of the stock market."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         members = tables.assets(spark, sf_dir).select("index", "symbol")
-        return make(members, tables.stock_market(spark, sf_dir)).select(*CELLS, *[rounded(c, digits).alias(c) for c in columns])
+        return make(members, (tables.stock_market if wide else tables.market)(spark, sf_dir)).select(*CELLS, *[rounded(c, digits).alias(c) for c in columns])
 
     sql = None if ctes is None else f"WITH {STOCK}, {ASSETS}, {ctes} SELECT tradedate, symbol, {', '.join(f'{sql_rounded(c, digits)} AS {c}' for c in columns)} FROM {source}"
     query(sql, name)(run)
@@ -244,7 +291,7 @@ index_query("index_amount_ratio_quantile_756", ("amount_ratio_quantile",), lambd
 _MEM = "FROM {0} JOIN assets USING (symbol) GROUP BY tradedate, index"
 member_query(
     "index_diffusion", ("diffusion",), lambda m, s: ixf.diffusion(m, s, 20, 5),
-    f"""a AS (SELECT *, CASE WHEN count(px) {over(20)} >= 20 THEN avg(px) {over(20)} END AS ma FROM st), r AS (SELECT tradedate, index AS symbol, (count(*) FILTER (WHERE px > ma))::DOUBLE / nullif(count(ma), 0) AS d {_MEM.format("a")}),
+    f"""a AS (SELECT *, CASE WHEN count(px) {over(20)} >= 20 THEN avg(px) {over(20)} END AS ma FROM st), r AS (SELECT tradedate, index AS symbol, (count(*) FILTER (WHERE px > ma * (1 + 1e-9::DOUBLE)))::DOUBLE / nullif(count(ma), 0) AS d {_MEM.format("a")}),
 x AS (SELECT tradedate, symbol, CASE WHEN count(d) {over(5)} >= 5 THEN avg(d) {over(5)} END AS diffusion FROM r)""", digits=3,
 )
 member_query(
@@ -278,7 +325,7 @@ for _name, _args in {
     "index_cross_volume_std": ("volume", None, 20, "mean"), "index_cross_amount_std": ("amount", None, None, "mean"), "index_cross_turnrate_std": ("turnrate", None, None, "mean"),
     "index_cross_volatility_std": ("ret", 20, 20, "mean"), "index_cross_volatility_std2": ("ret", 20, 20, "std"), "index_std_cross_turnrate_std": ("turnrate", None, 20, "mean"),
 }.items():
-    member_query(_name, ("cross_std",), lambda m, s, a=_args: ixf.cross_std(m, s, *a), _cross(*_args), digits=2)
+    member_query(_name, ("cross_std",), lambda m, s, a=_args: ixf.cross_std(m, s, *a), _cross(*_args), digits=2, wide=_args[0] == "turnrate")
 for _name, _args in {"index_rank_cross_volume_std": ("volume", None, 20, "mean"), "index_rank_cross_volatility_std": ("ret", 20, 20, "mean"), "index_rank_cross_amount_std": ("amount", None, None, "mean"), "index_rank_cross_turnrate_std": ("turnrate", None, None, "mean"), "index_rank_std_cross_turnrate_std": ("turnrate", None, 20, "mean")}.items():
     member_query(_name, ("cross_std_rank",), lambda m, s, a=_args: ixf.cross_std(m, s, *a, 250), None, digits=3)
     member_query(f"{_name}_{LONG}", ("cross_std_rank",), lambda m, s, a=_args: ixf.cross_std(m, s, *a, LONG), None, digits=3)
@@ -287,24 +334,43 @@ member_query(
     "index_forecast", ("fcst",), lambda m, s: ixf.forecast(m, s, "pe_fcst", "totmktcap", "mom"),
     f"""r AS (SELECT tradedate, index AS symbol, coalesce(sum(totmktcap * pe_fcst), 0) / nullif(sum(totmktcap), 0) AS f {_MEM.format("st")}), c0 AS (SELECT tradedate, symbol, nullif(f / nullif({lagged("f", 20)}, 0) - 1, 0) AS v FROM r),
 q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM c0), c1 AS (SELECT tradedate, symbol, CASE WHEN v IS NOT NULL THEN greatest(least(v, b + 1.5 * (b - a)), a - 1.5 * (b - a)) END AS v FROM c0, q),
-x AS (SELECT tradedate, symbol, CASE WHEN stddev_pop(v) {_D} > 0 THEN (v - avg(v) {_D}) / stddev_pop(v) {_D} END AS fcst FROM c1)""", digits=3,
+x AS (SELECT tradedate, symbol, CASE WHEN stddev_pop(v) {_D} > 0 THEN (v - avg(v) {_D}) / stddev_pop(v) {_D} END AS fcst FROM c1)""", digits=3, wide=True,
 )
-_NET = "coalesce(inflow, 0) - coalesce(outflow, 0)"
+_IN, _OUT = "linflow", "loutflow"
+_BASES = {1: "abs(linflow - loutflow)", 2: "coalesce(amount, 0)", 3: "linflow + loutflow", 4: "abs(linflow) + abs(loutflow)"}
+
+
+def _flow(base: str) -> str:
+    return f"""a AS (SELECT *, CASE WHEN count(*) {over(20)} >= 20 THEN sum(linflow - loutflow) {over(20)} END AS n, {base} AS b FROM st),
+x AS (SELECT tradedate, index AS symbol, coalesce(sum(n), 0) / nullif(sum(b), 0) AS fund_flow_ratio {_MEM.format("a")})"""
+
+
+def _with_amount(s: DataFrame) -> DataFrame:
+    return s.withColumn("amount", F.coalesce("amount", F.lit(0.0)))
+
+
+for _type, _base in _BASES.items():
+    member_query(
+        "index_fund_flow" if _type == 2 else f"index_fund_flow_{_type}", ("fund_flow_ratio",),
+        lambda m, s, k=_type: ixf.fund_flow_ratio(m, _with_amount(s), 20, [_IN], [_OUT], k), _flow(f"CASE WHEN count(*) {over(20)} >= 20 THEN sum({_base}) {over(20)} END"), wide=True,
+    )
+for _weight in ("totmktcap", "negotiablemv", "amount"):
+    member_query(f"index_fund_flow_{_weight}", ("fund_flow_ratio",), lambda m, s, w=_weight: ixf.fund_flow_ratio(m, s, 20, [_IN], [_OUT], weight=w), _flow(_weight), wide=True)
 member_query(
-    "index_fund_flow", ("fund_flow_ratio",), lambda m, s: ixf.fund_flow_ratio(m, s, 20),
-    f"""a AS (SELECT *, CASE WHEN count(*) {over(20)} >= 20 THEN sum({_NET}) {over(20)} END AS n, CASE WHEN count(amount) {over(20)} >= 1 THEN sum(amount) {over(20)} END AS b FROM st),
-x AS (SELECT tradedate, index AS symbol, sum(n) / nullif(sum(b), 0) AS fund_flow_ratio {_MEM.format("a")})""",
+    "index_fund_flow_two", ("fund_flow_ratio",), lambda m, s: ixf.fund_flow_ratio(m, s.withColumn("sinflow", F.col("linflow") * 0.5 + 1), 20, ["linflow", "sinflow"], ["loutflow", "turnrate"]),
+    _flow(f"CASE WHEN count(linflow + loutflow + turnrate) {over(20)} >= 20 THEN sum(abs(linflow * 1.5::DOUBLE + 1 - loutflow - turnrate)) {over(20)} END").replace(
+        f"count(*) {over(20)} >= 20 THEN sum(linflow - loutflow)", f"count(turnrate) {over(20)} >= 20 THEN sum(linflow * 1.5::DOUBLE + 1 - loutflow - turnrate)"), wide=True,
 )
 member_query(
     "index_holding_money", ("holding_money",), lambda m, s: ixf.holding_money(m, s, 20, "totmktcap", False, True, "stk_share"),
     f"""b0 AS (SELECT *, px * (stk_share - {lagged("stk_share", 1)}) AS s FROM st), a AS (SELECT *, CASE WHEN count(s) {over(20)} >= 1 THEN sum(s) {over(20)} END / nullif(CASE WHEN count(amount) {over(20)} >= 1 THEN sum(amount) {over(20)} END, 0) AS r FROM b0),
-x AS (SELECT tradedate, index AS symbol, coalesce(sum(totmktcap * r), 0) / nullif(sum(totmktcap), 0) AS holding_money {_MEM.format("a")})""", digits=5,
+x AS (SELECT tradedate, index AS symbol, coalesce(sum(totmktcap * r), 0) / nullif(sum(totmktcap), 0) AS holding_money {_MEM.format("a")})""", digits=5, wide=True,
 )
 member_query(
     "index_chip_return", ("chip_return",), lambda m, s: ixf.chip_return(m, s, 20),
-    f"a AS (SELECT *, CASE WHEN {lagged('turnrate', 20)} > 0 THEN px / {lagged('px', 20)} - 1 END AS r FROM st), x AS (SELECT tradedate, index AS symbol, avg(r) AS chip_return {_MEM.format('a')})",
+    f"a AS (SELECT *, CASE WHEN {lagged('turnrate', 20)} > 0 THEN px / {lagged('px', 20)} - 1 END AS r FROM st), x AS (SELECT tradedate, index AS symbol, avg(r) AS chip_return {_MEM.format('a')})", wide=True,
 )
-_STRONG = f"a AS (SELECT *, CASE WHEN count(px) {over(60)} >= 60 THEN (px > avg(px) {over(60)})::INT::DOUBLE END AS s FROM st), r AS (SELECT tradedate, index AS symbol, avg(s) AS v {_MEM.format('a')})"
+_STRONG = f"a AS (SELECT *, CASE WHEN count(px) {over(60)} >= 60 THEN (px > avg(px) {over(60)} * (1 + 1e-9::DOUBLE))::INT::DOUBLE END AS s FROM st), r AS (SELECT tradedate, index AS symbol, avg(s) AS v {_MEM.format('a')})"
 member_query("index_strong_ratio", ("strong_ratio",), lambda m, s: ixf.strong_ratio(m, s, "ma60"), _STRONG + ", x AS (SELECT tradedate, symbol, v AS strong_ratio FROM r)", digits=3)
 member_query(
     "index_strong_short_long", ("strong_ratio",), lambda m, s: ixf.strong_short_to_long(m, s, "ma60", None, 2),

@@ -9,13 +9,14 @@ over indices, then one aggregation by (index, tradedate).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nonzero, ratio, zero_if_null
-from ..operators import panel, recursive, series
-from ..operators.grid import by_date, change, ffill, lag
+from ..operators import moving, panel, recursive, series
+from ..operators.grid import change, ffill, lag
 
 LEVELS = ("open", "high", "low", "close", "volume", "amount", "negotiablemv")
 
@@ -108,10 +109,15 @@ def _share_of(condition: Column, base: Column) -> Column:
     return ratio(F.count_if(condition).cast("double"), F.count(base))
 
 
+def above(x: Column, mean: Column) -> Column:
+    """x > mean; a price that rests for the whole frame is not above its mean, whatever rounding says."""
+    return x > mean * (1 + 1e-9)
+
+
 def diffusion(members: DataFrame, stocks: DataFrame, n: int = 20, smooth: int | None = None) -> DataFrame:
     """Share of members above their n-day mean, smoothed on demand."""
     s = stocks.withColumn("_m", series.ts_mean(F.col("px"), n))
-    out = reduce_members(expand(members, s), diffusion=_share_of(F.col("px") > F.col("_m"), F.col("_m")))
+    out = reduce_members(expand(members, s), diffusion=_share_of(above(F.col("px"), F.col("_m")), F.col("_m")))
     return out.withColumn("diffusion", series.ts_mean(F.col("diffusion"), smooth)) if smooth else out
 
 
@@ -126,7 +132,10 @@ def hindenburg(members: DataFrame, stocks: DataFrame, n: int = 252, window: int
 
     top_traded counts only the members that make up 99 % of the date's turnover.
     """
-    s = stocks.withColumns({"_hi": series.ts_max(F.col("px"), n), "_lo": series.ts_min(F.col("px"), n), "_age": panel.listed_days(F.col("px"))})
+    s = stocks.select("tradedate", "symbol", "i", "px", "amount", panel.listed_days(F.col("px")).alias("_age"))
+    s = moving.moving_extremes(moving.moving_sums(s, n, _n=F.col("px").isNotNull().cast("double")), n, F.col("px"), "_lo", "_hi")
+    # A high needs n rows, a low n known prices.
+    s = s.withColumns({"_hi": F.when(F.col("i") >= n - 1, F.col("_hi")), "_lo": F.when(F.col("_n") >= n, F.col("_lo"))})
     if top_traded:
         s = s.withColumn("_top", panel.top_share(F.col("amount"))).filter("_top = 1")
     old = F.col("_age") > least
@@ -183,17 +192,23 @@ def holding_money(members: DataFrame, stocks: DataFrame, n: int = 20, weight: st
     return reduce_members(rows.withColumn("_x", ratio(F.col("_f"), F.col("_a"))), holding_money=weighted(F.col("_x"), weight))
 
 
-def fund_flow_ratio(members: DataFrame, stocks: DataFrame, n: int = 20, inflow: Sequence[str] = ("inflow",), outflow: Sequence[str] = ("outflow",), base: str = "amount") -> DataFrame:
-    """n-day net flow of the members over their absolute flow ("flow"), amount or a market value."""
-    net = F.lit(0.0)
-    for c in inflow:
-        net = net + zero_if_null(F.col(c))
-    for c in outflow:
-        net = net - zero_if_null(F.col(c))
-    below = F.abs(net) if base == "flow" else F.col(base)
-    s = stocks.withColumns({"_n": net, "_b": below})
-    s = s.withColumns({"_n": series.ts_sum(F.col("_n"), n), "_b": series.ts_sum(F.col("_b"), n, 1)})
-    return reduce_members(expand(members, s), fund_flow_ratio=ratio(F.sum("_n"), F.sum("_b")))
+def fund_flow_ratio(
+    members: DataFrame, stocks: DataFrame, n: int = 20, inflow: Sequence[str] = ("inflow",), outflow: Sequence[str] = ("outflow",), count_type: int = 1, weight: str | None = None,
+) -> DataFrame:
+    """n-day net flow of the members over a base; a member counts where its n days are known.
+
+    The base is the n-day sum of, by count_type, the absolute net flow (1), the amount (2), inflow plus outflow
+    (3) or their absolute values (4); or, with a weight, the members' sum of it that day (totmktcap,
+    negotiablemv or amount). Several inflow and outflow fields are added up.
+    """
+
+    def total(fields: Sequence[str]) -> Column:
+        return reduce(lambda x, y: x + y, [F.col(c) for c in fields])
+
+    into, out = total(inflow), total(outflow)
+    below = {1: F.abs(into - out), 2: F.col("amount"), 3: into + out, 4: F.abs(into) + F.abs(out)}[count_type]
+    s = stocks.withColumns({"_n": series.ts_sum(into - out, n), "_b": F.col(weight) if weight else series.ts_sum(below, n)})
+    return reduce_members(expand(members, s), fund_flow_ratio=ratio(zero_if_null(F.sum("_n")), F.sum("_b")))
 
 
 def small_fund_correlation(members: DataFrame, stocks: DataFrame, ix: DataFrame, n: int = 20, inflow: str = "inflow", outflow: str = "outflow") -> DataFrame:
@@ -216,7 +231,7 @@ def strong_condition(fit: str) -> Column:
     """ma60, ma120: price above that mean; gt220: above the price 220 days ago."""
     if fit.startswith("ma"):
         mean = series.ts_mean(F.col("px"), int(fit[2:]))
-        return F.when(mean.isNotNull(), (F.col("px") > mean).cast("double"))
+        return F.when(mean.isNotNull(), above(F.col("px"), mean).cast("double"))
     past = lag(F.col("px"), int(fit[2:]))
     return F.when(past.isNotNull(), (F.col("px") > past).cast("double"))
 
@@ -234,7 +249,3 @@ def strong_short_to_long(members: DataFrame, stocks: DataFrame, fit: str = "ma60
         return out.withColumn("strong_ratio", x - lag(x, short))
     out = out.withColumn("strong_ratio", ratio(series.ts_mean(x, short), series.ts_mean(x, long)))
     return out if kind == 2 else out.withColumn("strong_ratio", x - lag(x, short))
-
-
-def rank_by_date(c: str) -> Column:
-    return panel.average_rank(F.col(c)) / F.count(F.col(c)).over(by_date())

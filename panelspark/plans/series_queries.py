@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, recursive, series
+from ..functions.numeric import zero_if_null
+from ..operators import grid, moving, recursive, series
 from ..sources import landing, tables
 from .registry import ASSETS, MARKET, PANEL, over, query, rounded, sql_rounded
 
@@ -72,9 +73,20 @@ cell_query(
 _SLOPE = f"regr_slope(coalesce(ret, 0), coalesce(vol, 0)) {over(20)}"
 _ICEPT = f"regr_intercept(coalesce(ret, 0), coalesce(vol, 0)) {over(20)}"
 _FULL = f"count(*) {over(20)} >= 20"
-cell_query("ts_reg_slope", lambda: series.ts_reg_slope(ret(), vol(), 20), f"CASE WHEN {_FULL} THEN {_SLOPE} END", 6)
-cell_query("ts_reg_intercept", lambda: series.ts_reg_intercept(ret(), vol(), 20), f"CASE WHEN {_FULL} THEN {_ICEPT} END")
-cell_query("ts_reg_residual", lambda: series.ts_reg_residual(ret(), vol(), 20), f"CASE WHEN {_FULL} THEN coalesce(ret, 0) - {_SLOPE} * coalesce(vol, 0) - {_ICEPT} END")
+
+
+def _regression(name: str, value: Column, sql: str, digits: int = 4) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = tables.market(spark, sf_dir).select(*CELLS, "i", "ret", "vol")
+        m = moving.moving_regression(m, 20, ret(), vol(), "slope", "intercept")
+        return m.select(*CELLS, rounded(value, digits).alias("value"))
+
+    query(f"WITH {MARKET} SELECT tradedate, symbol, {sql_rounded('v', digits)} AS value FROM (SELECT tradedate, symbol, CASE WHEN {_FULL} THEN {sql} END AS v FROM g)", name)(run)
+
+
+_regression("ts_reg_slope", F.col("slope"), _SLOPE, 6)
+_regression("ts_reg_intercept", F.col("intercept"), _ICEPT)
+_regression("ts_reg_residual", zero_if_null(ret()) - F.col("slope") * zero_if_null(vol()) - F.col("intercept"), f"coalesce(ret, 0) - {_SLOPE} * coalesce(vol, 0) - {_ICEPT}")
 cell_query("ts_coef_var", lambda: series.ts_coef_var(px(), 10), gate(f"stddev_pop(px) {over(10)} / avg(px) {over(10)}", "px", 10, 10))
 cell_query("ts_zscore", lambda: series.ts_zscore(px(), 6), gate(f"(px - avg(px) {over(6)}) / nullif(stddev_pop(px) {over(6)}, 0)", "px", 6, 6), 3)
 cell_query("ffill", lambda: grid.ffill(close()), "px")
@@ -86,8 +98,8 @@ cell_query("grid_densify", lambda: close(), "close", prelude=MARKET, frame="g")
 
 def _decay(how: str, sql_how: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = tables.market(spark, sf_dir).withColumn("k", series.known_so_far(close()).cast("double"))
-        return m.select(*CELLS, rounded(series.decay(close(), F.col("k"), 60, 42.0, how, 3)).alias("value"))
+        m = moving.decay(tables.market(spark, sf_dir).select(*CELLS, "i", "close"), "value", close(), 60, 42.0, how, 3)
+        return m.select(*CELLS, rounded("value").alias("value"))
 
     text = f"""WITH {MARKET}, d AS (SELECT *, count(close) OVER (PARTITION BY symbol ORDER BY tradedate ROWS UNBOUNDED PRECEDING)::DOUBLE AS k FROM g)
 SELECT tradedate, symbol, {sql_rounded("v")} AS value FROM (SELECT tradedate, symbol, CASE WHEN count(close) {over(60)} >= 3

@@ -1,9 +1,10 @@
 """Stock factors: functions of a dense panel (tradedate, symbol, fields) that add columns.
 
-Prices are filled before use and financial fields are as-of values on the grid. "Standard" factors are
+Prices are filled before use; financial fields are as-of values on the grid, 0 before the first report.
+Market values and forecasts are in units of 10,000, statements in units of one. "Standard" factors are
 winsorized and normalized within the date. Where two readings of a definition were possible, the
 documented intent is built: newest observations weigh most in BETA, STOQ and STOA average over all their
-blocks, equity is in the same unit everywhere.
+blocks, equity is in the same unit everywhere, the eighth F-score signal is a rise of asset turnover.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, gated, nonzero, ratio, zero_if_null
-from ..operators import panel, series
-from ..operators.grid import ffill, lag, trailing
+from ..functions.numeric import clip, finite, gated, nonzero, ratio, zero_if_null
+from ..operators import moving, panel, series
+from ..operators.grid import by_date, ffill, lag, trailing
 
 Step = Callable[[DataFrame], DataFrame]
 STOCK_FACTORS: dict[str, Step] = {}
@@ -57,37 +58,43 @@ def mixed(df: DataFrame, name: str, parts: dict[str, float]) -> DataFrame:
 
 @factor
 def lncap(df: DataFrame) -> DataFrame:
-    return df.withColumn("lncap", F.ln("negotiablemv"))
+    return df.withColumn("lncap", F.ln(positive("negotiablemv")))
 
 
 @factor
 def size(df: DataFrame) -> DataFrame:
-    return standard(df, "size", F.ln("negotiablemv"))
+    return standard(df, "size", F.ln(positive("negotiablemv")))
+
+
+def _excess(df: DataFrame) -> DataFrame:
+    return df if "excess" in df.columns else df.withColumn("excess", F.col("ret") - F.col("bm_ret"))
 
 
 def _regression(df: DataFrame, n: int = 252, half_life: float = 63.0) -> DataFrame:
-    """beta_raw and hsigma: decay-weighted slope on the benchmark return bm_ret, and residual deviation.
+    """beta_raw, halpha and hsigma: decay-weighted regression of the excess on the benchmark return.
 
-    Every weighted sum is a window sum of w x with w = 2^(i / h), i the grid row; the scale cancels.
+    hsigma is the population deviation of the frame's residuals, which are not weighted. All come from
+    moving sums, so a row costs the same whatever n is.
     """
     if "beta_raw" in df.columns:
         return df
-    # Powers stay in range for long calendars as they restart every 4096 rows with the frame's own scale.
-    w = F.pow(F.lit(2.0), F.col("i") / half_life)
-    y, x = F.col("excess"), F.col("bm_ret")
-    f = trailing(n)
-    df = df.withColumn("excess", F.col("ret") - F.col("bm_ret")).withColumn("_w", F.when(y.isNotNull() & x.isNotNull(), w))
-    sums = {"_sw": F.col("_w"), "_sx": F.col("_w") * x, "_sy": F.col("_w") * y, "_sxx": F.col("_w") * x * x, "_sxy": F.col("_w") * x * y}
-    df = df.withColumns({k: F.sum(v).over(f) for k, v in sums.items()} | {"_n": F.count("_w").over(f)})
-    sw, sx, sy, sxx, sxy = (F.col(k) for k in sums)
+    df = _excess(df)
+    known = F.col("excess").isNotNull() & F.col("bm_ret").isNotNull()
+    y, x, one = F.when(known, F.col("excess")), F.when(known, F.col("bm_ret")), F.when(known, F.lit(1.0))
+    df = moving.decayed_sums(df, n, F.col("i"), half_life, _sw=one, _sx=x, _sy=y, _sxx=x * x, _sxy=x * y)
+    sw, sx, sy, sxx, sxy = (F.col(c) for c in ("_sw", "_sx", "_sy", "_sxx", "_sxy"))
+    df = moving.moving_sums(df, n, _n=one, _ux=x, _uy=y, _uxx=x * x, _uxy=x * y, _uyy=y * y)
     slope = F.try_divide(sw * sxy - sx * sy, sw * sxx - sx * sx)
     df = df.withColumn("beta_raw", F.when(F.col("_n") >= n, slope))
-    # Population variance of y - b x from the unweighted moments of the frame.
-    both = F.col("_w").isNotNull()
-    var_y, var_x = F.var_pop(F.when(both, y)).over(f), F.var_pop(F.when(both, x)).over(f)
-    cov = F.covar_pop(F.when(both, y), F.when(both, x)).over(f)
     b = F.col("beta_raw")
-    return df.withColumn("hsigma", F.sqrt(F.abs(var_y + b * b * var_x - 2 * b * cov))).drop("_w", "_n", *sums)
+
+    def mean(c: str) -> Column:
+        return F.try_divide(F.col(c), F.col("_n"))
+
+    var_x, var_y = mean("_uxx") - mean("_ux") * mean("_ux"), mean("_uyy") - mean("_uy") * mean("_uy")
+    cov = mean("_uxy") - mean("_ux") * mean("_uy")
+    df = df.withColumns({"halpha": F.try_divide(sy - b * sx, sw), "hsigma": F.sqrt(F.abs(var_y + b * b * var_x - 2 * b * cov))})
+    return df.drop("_sw", "_sx", "_sy", "_sxx", "_sxy", "_n", "_ux", "_uy", "_uxx", "_uxy", "_uyy")
 
 
 @factor
@@ -97,19 +104,19 @@ def beta(df: DataFrame) -> DataFrame:
 
 
 @factor
-def hsigma(df: DataFrame) -> DataFrame:
+def halpha(df: DataFrame) -> DataFrame:
     return _regression(df)
 
 
-def _excess(df: DataFrame) -> DataFrame:
-    df = df if "excess" in df.columns else df.withColumn("excess", F.col("ret") - F.col("bm_ret"))
-    return df if "_k" in df.columns else df.withColumn("_k", series.known_so_far(F.col("excess")).cast("double"))
+@factor
+def hsigma(df: DataFrame) -> DataFrame:
+    return _regression(df)
 
 
 @factor
 def rstr(df: DataFrame, n: int = 504, lagged: int = 21, half_life: float = 126.0, least: int = 252) -> DataFrame:
     """Decayed sum of excess log returns that ended `lagged` rows ago."""
-    df = _excess(df).withColumn("_d", series.decay(F.col("excess"), F.col("_k"), n, half_life, "sum", least))
+    df = moving.decay(_excess(df), "_d", F.col("excess"), n, half_life, "sum", least)
     return df.withColumn("rstr", lag(F.col("_d"), lagged)).drop("_d")
 
 
@@ -120,14 +127,13 @@ def momentum(df: DataFrame) -> DataFrame:
 
 @factor
 def dastd(df: DataFrame, n: int = 252, half_life: float = 42.0, least: int = 120) -> DataFrame:
-    df = _excess(df)
-    return df.withColumn("dastd", series.decay(F.col("excess"), F.col("_k"), n, half_life, "std", least))
+    return moving.decay(_excess(df), "dastd", F.col("excess"), n, half_life, "std", least)
 
 
 @factor
 def cmra(df: DataFrame, months: int = 12) -> DataFrame:
-    """ln(1 + highest) - ln(1 + lowest) of the 21-day log return over the last months."""
-    df = df.withColumn("_z", series.ts_sum(F.col("ret"), 21))
+    """ln(1 + highest) - ln(1 + lowest) of the 21-day excess log return over the last months; unknown returns are 0."""
+    df = _excess(df).withColumn("_z", series.ts_sum(zero_if_null(F.col("excess")), 21))
     high, low = series.lagged_range(F.col("_z"), 21, months)
     return df.withColumn("cmra", F.when((high > -1) & (low > -1), F.ln(1 + high) - F.ln(1 + low))).drop("_z")
 
@@ -140,26 +146,41 @@ def residual_volatility(df: DataFrame) -> DataFrame:
 
 @factor
 def nonlinear_size(df: DataFrame) -> DataFrame:
-    """Residual of -size^2 on size, size held to three deviations of the symbol's own history."""
-    df = need(df, size)
+    """Residual of -size^2 on size among the pool, both held to three deviations of the symbol's own history.
+
+    Deviations are of the population; cells outside the pool count as an average size of 0 in the regression.
+    """
     own = W.partitionBy("symbol")
-    s = F.col("size")
-    m, sd = F.avg(s).over(own), F.stddev_samp(s).over(own)
-    df = df.withColumn("_s", clip(s, m - 3 * sd, m + 3 * sd))
-    df = df.withColumn("_s", F.coalesce(panel.normalize(F.col("_s")), F.lit(0.0)))
-    df = df.withColumn("_r", panel.orthogonalize(-F.col("_s") * F.col("_s"), F.col("_s")))
-    m, sd = F.avg("_r").over(own), F.stddev_samp("_r").over(own)
-    df = df.withColumn("_r", clip(F.col("_r"), m - 3 * sd, m + 3 * sd))
-    return standard(df, "nonlinear_size", panel.normalize(F.col("_r"))).drop("_s", "_r")
+
+    def held(c: str) -> Column:
+        m, sd = F.avg(c).over(own), F.stddev_pop(c).over(own)
+        return clip(F.col(c), m - 3 * sd, m + 3 * sd)
+
+    def normal(c: str) -> Column:
+        return F.try_divide(F.col(c) - F.avg(c).over(by_date()), F.stddev_pop(c).over(by_date()))
+
+    df = need(df, size).withColumn("_s", F.when(F.col("pool") == 1, F.col("size")))
+    df = df.withColumn("_s", held("_s")).withColumn("_s", zero_if_null(normal("_s")))
+    df = df.withColumn("_r", finite(panel.orthogonalize(-F.col("_s") * F.col("_s"), F.col("_s"))))
+    df = df.withColumn("_r", held("_r")).withColumn("_r", normal("_r"))
+    return standard(df, "nonlinear_size", F.col("_r")).drop("_s", "_r")
 
 
 # --- value and liquidity ------------------------------------------------------------------------
 
 
+def net_asset() -> Column:
+    """Equity of the parent's shareholders without preferred shares and perpetual bonds."""
+    return F.col("paresharrigh") - zero_if_null(F.col("prest")) - zero_if_null(F.col("perbond"))
+
+
+def market_value() -> Column:
+    return ffill(F.col("totmktcap")) * 1e4
+
+
 @factor
 def btop(df: DataFrame) -> DataFrame:
-    equity = F.col("righaggr") - zero_if_null(F.col("prest")) - zero_if_null(F.col("perbond"))
-    return df.withColumn("btop", ratio(equity, F.col("totmktcap") * 1e4))
+    return df.withColumn("btop", ratio(net_asset(), market_value()))
 
 
 @factor
@@ -169,7 +190,8 @@ def valuation(df: DataFrame) -> DataFrame:
 
 @factor
 def stom(df: DataFrame) -> DataFrame:
-    return df.withColumn("stom", F.ln(F.nullif(series.ts_sum(F.col("turnrate"), 21), F.lit(0.0))))
+    df = df.withColumn("_t", positive("turnrate"))
+    return df.withColumn("stom", F.ln(series.ts_sum(F.col("_t"), 21))).drop("_t")
 
 
 def _averaged_turnover(df: DataFrame, name: str, months: int) -> DataFrame:
@@ -204,17 +226,17 @@ def epfwd(df: DataFrame) -> DataFrame:
 
 @factor
 def ep(df: DataFrame) -> DataFrame:
-    return df.withColumn("ep", ratio(F.col("parenetp_ttm"), F.col("totmktcap") * 1e4))
+    return df.withColumn("ep", ratio(F.col("parenetp_ttm"), market_value()))
 
 
 @factor
 def cp(df: DataFrame) -> DataFrame:
-    return df.withColumn("cp", ratio(F.col("mananetr_ttm"), F.col("totmktcap") * 1e4))
+    return df.withColumn("cp", ratio(F.col("mananetr_ttm"), market_value()))
 
 
 @factor
 def earnings(df: DataFrame) -> DataFrame:
-    df = mixed(need(df, epfwd, cp, ep), "_e", {"epfwd": 0.68, "cp": 0.11, "ep": 0.21})
+    df = mixed(need(df, epfwd, cp, ep), "_e", {"epfwd": 0.68, "cp": 0.21, "ep": 0.11})
     return standard(df, "earnings", F.col("_e")).drop("_e")
 
 
@@ -249,12 +271,14 @@ def npgrow(df: DataFrame) -> DataFrame:
 
 @factor
 def egrsf(df: DataFrame) -> DataFrame:
-    return df.withColumn("egrsf", ratio(F.col("net_revenue_fcst"), F.col("parenetp_ttm")) - 1)
+    """Short-term growth: next year's forecast over the trailing year."""
+    return df.withColumn("egrsf", ratio(F.col("net_revenue_fcst_2"), F.col("parenetp_ttm") / 1e4) - 1)
 
 
 @factor
 def egrlf(df: DataFrame) -> DataFrame:
-    return df.withColumn("egrlf", ratio(F.col("net_revenue_fcst_2"), F.col("parenetp_ttm")) - 1)
+    """Long-term growth: the three-year forecast over the trailing year."""
+    return df.withColumn("egrlf", ratio(F.col("net_revenue_fcst"), F.col("parenetp_ttm") / 1e4) - 1)
 
 
 @factor
@@ -266,27 +290,24 @@ def growth(df: DataFrame) -> DataFrame:
 # --- leverage -----------------------------------------------------------------------------------
 
 
-def _leverage_terms() -> tuple[Column, Column, Column]:
-    """Preferred equity, long-term debt and book equity, all in units of 10,000."""
-    preferred = (zero_if_null(F.col("prest")) + zero_if_null(F.col("perbond"))) / 1e4
-    return preferred, zero_if_null(F.col("totalnonclia")) / 1e4, F.col("righaggr") / 1e4
-
-
 @factor
 def mlev(df: DataFrame) -> DataFrame:
-    preferred, debt, _ = _leverage_terms()
-    return df.withColumn("mlev", ratio(F.col("totmktcap") + preferred + debt, F.col("totmktcap")))
+    cap = ffill(F.col("totmktcap"))
+    owed = (zero_if_null(F.col("prest")) + zero_if_null(F.col("totalnoncliab"))) / 1e4
+    return df.withColumn("_cap", cap).withColumn("mlev", ratio(F.col("_cap") + owed, F.col("_cap"))).drop("_cap")
 
 
 @factor
 def blev(df: DataFrame) -> DataFrame:
-    preferred, debt, equity = _leverage_terms()
-    return df.withColumn("blev", ratio(equity + debt, equity - preferred))
+    """Book equity with preferred shares and long-term debt, over book equity; only an unknown debt is unknown."""
+    preferred, debt = zero_if_null(F.col("prest")) / 1e4, F.col("totalnoncliab") / 1e4
+    equity = zero_if_null(F.col("righaggr")) / 1e4 - preferred
+    return df.withColumn("blev", ratio(equity + preferred + debt, equity))
 
 
 @factor
 def dtoa(df: DataFrame) -> DataFrame:
-    return df.withColumn("dtoa", ratio(F.col("totliab"), F.col("totasset")))
+    return df.withColumn("dtoa", ratio(zero_if_null(F.col("totliab")), zero_if_null(F.col("totasset"))))
 
 
 @factor
@@ -302,49 +323,55 @@ def four_quarters(field: str) -> Column:
     return (F.col(field) + F.col(f"{field}_1") + F.col(f"{field}_2") + F.col(f"{field}_3")) / 4
 
 
+def profit_over(base: str, field: str = "parenetp", is_ttm: bool = False, is_avg: bool = True) -> Column:
+    """A reported (or trailing-year) value over a balance field (or its mean of four quarters)."""
+    return ratio(F.col(f"{field}_ttm" if is_ttm else field), four_quarters(base) if is_avg else F.col(base))
+
+
 @factor
-def roe(df: DataFrame) -> DataFrame:
-    return df.withColumn("roe", ratio(F.col("parenetp_ttm"), four_quarters("righaggr")))
+def roe(df: DataFrame, is_ttm: bool = False, is_avg: bool = True) -> DataFrame:
+    return df.withColumn("roe", profit_over("paresharrigh", is_ttm=is_ttm, is_avg=is_avg))
 
 
 @factor
-def roe_yoy(df: DataFrame) -> DataFrame:
-    df = need(df, roe)
-    return df.withColumn("roe_yoy", ratio(F.col("roe"), lag(F.col("roe"), 252)) - 1)
+def roe_yoy(df: DataFrame, year: int = 252, is_ttm: bool = False, is_avg: bool = True) -> DataFrame:
+    df = df.withColumn("_r", profit_over("paresharrigh", is_ttm=is_ttm, is_avg=is_avg))
+    return df.withColumn("roe_yoy", ratio(F.col("_r"), lag(F.col("_r"), year)) - 1).drop("_r")
 
 
 @factor
-def roe_yoy_real(df: DataFrame) -> DataFrame:
-    """Yearly change of the log of profit over equity; equity of zero or less is unknown."""
-    held = F.when(F.col("righaggr") > 0, ratio(F.col("parenetp_ttm"), F.col("righaggr")))
+def roe_yoy_real(df: DataFrame, year: int = 252, is_ttm: bool = False, is_avg: bool = True) -> DataFrame:
+    """Change of the log of profit over equity; equity of zero or less is unknown."""
+    equity = four_quarters("paresharrigh") if is_avg else F.col("paresharrigh")
+    held = F.when(equity > 0, profit_over("paresharrigh", is_ttm=is_ttm, is_avg=is_avg))
     df = df.withColumn("_r", F.when(held > 0, F.ln(held)))
-    return df.withColumn("roe_yoy_real", F.col("_r") - lag(F.col("_r"), 252)).drop("_r")
+    return df.withColumn("roe_yoy_real", F.col("_r") - lag(F.col("_r"), year)).drop("_r")
 
 
 @factor
-def roa(df: DataFrame) -> DataFrame:
-    return df.withColumn("roa", ratio(F.col("parenetp_ttm"), four_quarters("totasset")))
+def roa(df: DataFrame, is_ttm: bool = False, is_avg: bool = True) -> DataFrame:
+    return df.withColumn("roa", profit_over("totasset", is_ttm=is_ttm, is_avg=is_avg))
 
 
 @factor
-def roa_yoy(df: DataFrame) -> DataFrame:
-    df = need(df, roa)
-    return df.withColumn("roa_yoy", ratio(F.col("roa"), lag(F.col("roa"), 252)) - 1)
+def roa_yoy(df: DataFrame, year: int = 252, is_ttm: bool = False, is_avg: bool = True) -> DataFrame:
+    df = df.withColumn("_r", profit_over("totasset", is_ttm=is_ttm, is_avg=is_avg))
+    return df.withColumn("roa_yoy", ratio(F.col("_r"), lag(F.col("_r"), year)) - 1).drop("_r")
 
 
 @factor
 def margin_rate(df: DataFrame) -> DataFrame:
-    return df.withColumn("margin_rate", ratio(F.col("bizinco_ttm") - F.col("bizcost_ttm"), F.col("bizinco_ttm")))
+    return df.withColumn("margin_rate", ratio(F.col("bizinco") - F.col("bizcost"), F.col("bizinco")))
 
 
 @factor
 def main_margin_rate(df: DataFrame) -> DataFrame:
-    return df.withColumn("main_margin_rate", ratio(F.col("mainbizinco_ttm") - F.col("mainbizcost_ttm"), F.col("mainbizinco_ttm")))
+    return df.withColumn("main_margin_rate", ratio(F.col("mainbizinco") - F.col("mainbizcost"), F.col("mainbizinco")))
 
 
 @factor
-def turnover_rate(df: DataFrame) -> DataFrame:
-    return df.withColumn("turnover_rate", ratio(F.col("bizinco_ttm"), four_quarters("totasset")))
+def turnover_rate(df: DataFrame, is_ttm: bool = False, is_avg: bool = True) -> DataFrame:
+    return df.withColumn("turnover_rate", profit_over("totasset", "bizinco", is_ttm, is_avg))
 
 
 @factor
@@ -359,21 +386,17 @@ def current_ratio(df: DataFrame) -> DataFrame:
 
 @factor
 def fscore(df: DataFrame, year: int = 252) -> DataFrame:
-    """Sum of eight signals of profit, leverage, liquidity, dilution, margin and turnover; NULL if one is."""
+    """Sum of eight signals of profit, cash flow, leverage, liquidity, margin and turnover; NULL if one is."""
     df = need(df, roa, debt_to_asset, current_ratio, margin_rate, turnover_rate)
-
-    def up(c: str) -> Column:
-        return F.col(c) > lag(F.col(c), year)
-
+    df = df.withColumns({f"_d_{c}": F.col(c) - lag(F.col(c), year) for c in ("roa", "debt_to_asset", "current_ratio", "margin_rate", "turnover_rate")})
     signals = [
-        F.col("roa") > 0, F.col("mananetr_ttm") > 0, up("roa"), F.col("mananetr_ttm") > F.col("parenetp_ttm"),
-        F.col("debt_to_asset") < lag(F.col("debt_to_asset"), year), up("current_ratio"), up("margin_rate"),
-        F.col("stk_share") <= lag(F.col("stk_share"), year),
+        F.col("roa") > 0, F.col("_d_roa") > 0, F.col("mananetr") > 0, F.col("parenetp") - F.col("mananetr") < 0,
+        F.col("_d_debt_to_asset") < 0, F.col("_d_current_ratio") >= 0, F.col("_d_margin_rate") > 0, F.col("_d_turnover_rate") > 0,
     ]
     total = F.lit(0)
     for s in signals:
         total = total + s.cast("int")
-    return df.withColumn("fscore", total.cast("double"))
+    return df.withColumn("fscore", total.cast("double")).drop(*[c for c in df.columns if c.startswith("_d_")])
 
 
 # --- research scripts ---------------------------------------------------------------------------
@@ -381,15 +404,15 @@ def fscore(df: DataFrame, year: int = 252) -> DataFrame:
 
 @factor
 def bp(df: DataFrame) -> DataFrame:
-    return df.withColumn("bp", ratio(F.col("righaggr"), F.col("totmktcap") * 1e4))
+    return df.withColumn("bp", ratio(nonzero(net_asset()), market_value()))
 
 
 @factor
 def fund_flow(df: DataFrame, n: int = 20) -> DataFrame:
-    """Net flow of n days over its absolute sum, residual on the n-day return within the date."""
-    net = F.col("inflow") - F.col("outflow")
+    """Net large flow of n known days over its absolute sum, residual on the n-day return within the date."""
+    net = F.col("linflow") - F.col("loutflow")
     f = trailing(n)
-    df = df.withColumn("_f", gated(ratio(F.sum(net).over(f), F.sum(F.abs(net)).over(f)), net, 1, f))
+    df = df.withColumn("_f", gated(ratio(F.sum(net).over(f), F.sum(F.abs(net)).over(f)), net, n, f))
     df = df.withColumn("_r", ratio(F.col("px"), lag(F.col("px"), n)) - 1)
     return df.withColumn("fund_flow", panel.panel_reg_residual(F.col("_f"), F.col("_r"))).drop("_f", "_r")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nonzero, ratio
-from ..operators.grid import by_symbol, densify, ffill, lag
+from ..operators.grid import asof, by_symbol, densify, ffill, lag
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,27 +100,32 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """market with the benchmark return and the fields of the stock factors, all derived by fixed rules."""
+    """market with the benchmark return and the fields of the stock factors, all derived by fixed rules.
+
+    Statement fields are 0 before the first report, as the as-of reader gives them.
+    """
     m = market(spark, sf_dir)
     bench = market_close(spark, sf_dir).withColumn("bm_ret", F.ln("close") - F.lag(F.ln("close"), 1).over(W.orderBy("tradedate")))
-    # One row a day: the calendar is bounded (see grid.MOST_DAYS).
+    # One row a day: densify has checked the calendar's size (grid.MOST_DAYS).
     m = m.join(F.broadcast(bench.select("tradedate", "bm_ret")), "tradedate")
     p = panel(spark, sf_dir)
     mine = statements(spark, sf_dir).join(p.select("symbol").distinct(), "symbol", "left_semi")
     fields = ["revenue", "revenue_ttm", *[f"revenue_{i}" for i in (1, 2, 3)]]
-    from ..operators.grid import asof
-
     m = m.join(asof(mine, p, p, fields), ["tradedate", "symbol"], "left")
     r, t = F.col("revenue"), F.col("revenue_ttm")
     own = {
         "negotiablemv": F.col("px") * 800, "totmktcap": F.col("px") * 1000, "turnrate": F.col("vol") / 100, "stk_share": 1000.0 + F.col("i") / 100,
-        "dy": F.col("close") / 1e5, "pe_fcst": F.col("px") / 50, "net_revenue_fcst": t * 1.1, "net_revenue_fcst_2": t * 1.3 - 1000,
-        "bizinco_ttm": t, "bizcost_ttm": t * 0.6 + 1000, "mainbizinco_ttm": t * 0.9, "mainbizcost_ttm": t * 0.5 + 500,
-        "parenetp_ttm": t * 0.1 - 5000, "mananetr_ttm": t * 0.12 - 6000, "prest": r * 0.01, "perbond": F.lit(None).cast("double"),
-        "righaggr": r * 2 - 10000, "totasset": r * 5, "totliab": r * 3 - 2000, "totalnonclia": r, "totcurrasset": r * 2.5, "totalcurrliab": r * 1.5 + 100,
+        "dy": F.col("close") / 1e5, "pe_fcst": F.col("px") / 50, "net_revenue_fcst": t * 1.4e-5, "net_revenue_fcst_2": t * 1.2e-5 - 0.3,
+        "linflow": F.coalesce("inflow", F.lit(0.0)), "loutflow": F.coalesce("outflow", F.lit(0.0)), "pool": F.when(F.col("px").isNotNull() & (F.col("i") >= 60), 1.0),
+    }
+    reported = {
+        "bizinco_ttm": t, "bizcost_ttm": t * 0.6 + 1000, "parenetp_ttm": t * 0.1 - 5000, "mananetr_ttm": t * 0.12 - 6000,
+        "bizinco": r, "bizcost": r * 0.6 + 1000, "mainbizinco": r * 0.9, "mainbizcost": r * 0.5 + 500, "parenetp": r * 0.1 - 5000, "mananetr": r * 0.12 - 6000,
+        "prest": r * 0.01, "perbond": r * 0.002, "righaggr": r * 2.2 - 9000, "totliab": r * 3 - 2000, "totalnoncliab": r, "totcurrasset": r * 2.5, "totalcurrliab": r * 1.5 + 100,
     }
-    own |= {f"righaggr_{i}": F.col(f"revenue_{i}") * 2 - 10000 for i in (1, 2, 3)} | {f"totasset_{i}": F.col(f"revenue_{i}") * 5 for i in (1, 2, 3)}
-    return m.withColumns(own)
+    for i in ("", "_1", "_2", "_3"):
+        reported |= {f"paresharrigh{i}": F.col(f"revenue{i}") * 2 - 10000, f"totasset{i}": F.col(f"revenue{i}") * 5}
+    return m.withColumns(own | {c: F.coalesce(x, F.lit(0.0)) for c, x in reported.items()})
 
 
 def index_market(spark: SparkSession, sf_dir: str) -> DataFrame:

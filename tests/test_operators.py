@@ -82,13 +82,6 @@ def test_rolling_against_pandas(spark):
     same("low", [np.nan if v[max(0, t - 4) : t + 1].isna().all() else v[max(0, t - 4) : t + 1].idxmin() + 1 for t in range(60)])
 
 
-def test_decay_compresses_gaps(spark):
-    v = [1.0, None, 2.0, None, None, 4.0, 3.0]
-    p = make(spark, [(i, "a", x) for i, x in enumerate(v)]).withColumn("k", series.known_so_far(F.col("x")).cast("double"))
-    out = got(p.withColumn("d", series.decay(F.col("x"), F.col("k"), 7, 1.0, "sum", 1)), "d")
-    assert out[-1] == pytest.approx(3 + 4 / 2 + 2 / 4 + 1 / 8)
-
-
 def test_recursions_against_loops(spark):
     rng = np.random.default_rng(5)
     v = np.where(rng.random(80) < 0.2, np.nan, rng.normal(10, 1, 80))
