@@ -11,8 +11,9 @@ from ..operators import recursive
 from ..sources import tables
 from . import index_factors as ixf
 from . import stock_factors as sf
-from .registry import ASSETS, INDEX, MARKET, MARKET_CLOSE, over, query, rounded, sql_rounded
+from .registry import ASSETS, INDEX, MARKET, MARKET_CLOSE, PANEL, over, query, rounded, sql_rank_pct, sql_rounded
 from .report_queries import _TTM, FULL
+from .series_queries import rsi_sql
 
 CELLS = ["tradedate", "symbol"]
 _D = "OVER (PARTITION BY tradedate)"
@@ -203,7 +204,15 @@ stock_query("factors_amount_to_value", ("amt2mv",), f"y AS (SELECT tradedate, sy
 stock_query("factors_turnover_to_value", ("tr2mv",), f"y AS (SELECT tradedate, symbol, ln(nullif(turnrate, 0)) AS y, ln(negotiablemv) AS x FROM st), x AS (SELECT tradedate, symbol, {_RES} AS tr2mv FROM y)")
 
 
-@query()
+#: Stocks of knowledge and organisation: 0.7^m (start + sum of 0.7^-j times the flow of the j-th change).
+_INTANGIBLE = f"""e AS (SELECT tradedate, symbol, {_NET_ASSET} AS net_asset, {_CAP} AS cap, coalesce(revenue, 0) AS v, coalesce(revenue_1, 0) AS before, revenue IS NOT NULL AS started, row_number() OVER ({_S}) AS n FROM st),
+s0 AS (SELECT *, CASE WHEN started AND min(CASE WHEN started THEN n END) OVER (PARTITION BY symbol) < n AND v <> {lagged("v", 1)} THEN 1 ELSE 0 END AS moved, arg_min(v, CASE WHEN started THEN n END) OVER (PARTITION BY symbol) AS v0 FROM e),
+s1 AS (SELECT *, sum(moved) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS m, v + CASE WHEN month(tradedate) = 4 THEN before ELSE 0 END AS flow FROM s0),
+s2 AS (SELECT *, pow(0.7::DOUBLE, m) * (v0 / 0.5::DOUBLE + sum(CASE WHEN moved = 1 THEN flow * pow(0.7::DOUBLE, -m) ELSE 0 END) OVER ({_S} ROWS UNBOUNDED PRECEDING)) AS stock FROM s1),
+x AS (SELECT tradedate, symbol, net_asset, cap, CASE WHEN started THEN (0.05::DOUBLE + 0.3::DOUBLE * 0.18::DOUBLE) * stock ELSE 0 END AS intangible FROM s2)"""
+
+
+@query(f"WITH {STOCK}, {_INTANGIBLE} SELECT tradedate, symbol, {sql_rounded('intangible', 2)} AS intangible, {sql_rounded('nullif(net_asset + intangible, 0) / cap')} AS bp_int FROM x")
 def intangible_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net assets with intangible assets over market value; expenses are shares of the quarter's revenue."""
     m = tables.stock_market(spark, sf_dir)
@@ -272,22 +281,19 @@ x AS (SELECT tradedate, symbol, CASE WHEN a IS NOT NULL THEN rank() OVER (PARTIT
   - CASE WHEN b IS NOT NULL THEN rank() OVER (PARTITION BY tradedate ORDER BY b IS NULL, b) + (count(*) OVER (PARTITION BY tradedate, b) - 1) / 2.0 END AS golden_return FROM s)""",
 )
 index_query("index_shares", ("volume_ratio", "amount_ratio"), lambda ix: ix.withColumns({"volume_ratio": ixf.share("volume"), "amount_ratio": ixf.share("amount")}), f"x AS (SELECT tradedate, symbol, volume / sum(volume) {_D} AS volume_ratio, amount / sum(amount) {_D} AS amount_ratio FROM ix)")
-index_query("index_rsi", ("rsi",), ixf.rsi, None)
-_RANK = "CASE WHEN len(l) >= 250 THEN (len(list_filter(l, lambda v: v < {c})) + (len(list_filter(l, lambda v: v = {c})) + 1) / 2.0) / len(l) END"
-index_query(
-    "index_volume_quantile", ("volume_quantile",), lambda ix: ixf.history_rank(ix, "volume", "volume_quantile", 250),
-    f"y AS (SELECT *, list(volume) FILTER (WHERE volume IS NOT NULL) {over(250)} AS l FROM ix), x AS (SELECT tradedate, symbol, {_RANK.format(c='volume')} AS volume_quantile FROM y)",
-)
-index_query(
-    "index_amount_ratio_quantile", ("amount_ratio_quantile",), lambda ix: ixf.history_rank(ix.withColumn("r", ixf.share("amount")), "r", "amount_ratio_quantile", 250), None,
-)
+index_query("index_rsi", ("rsi",), ixf.rsi, f"{rsi_sql('ix', 'close', 120)}, x AS (SELECT tradedate, symbol, v AS rsi FROM rs)")
 #: The reference's window of ranks and z-scores; the queries named after it run on the operators' defaults.
 LONG = 756
-index_query(
-    "index_volume_quantile_756", ("volume_quantile",), lambda ix: ixf.history_rank(ix, "volume", "volume_quantile"),
-    f"y AS (SELECT *, list(volume) FILTER (WHERE volume IS NOT NULL) {over(LONG)} AS l FROM ix), x AS (SELECT tradedate, symbol, {_RANK.replace('250', str(LONG)).format(c='volume')} AS volume_quantile FROM y)",
-)
-index_query("index_amount_ratio_quantile_756", ("amount_ratio_quantile",), lambda ix: ixf.history_rank(ix.withColumn("r", ixf.share("amount")), "r", "amount_ratio_quantile"), None)
+for _n, _mark in ((250, ""), (LONG, f"_{LONG}")):
+    index_query(
+        f"index_volume_quantile{_mark}", ("volume_quantile",), lambda ix, n=_n: ixf.history_rank(ix, "volume", "volume_quantile", n),
+        f"x AS (SELECT tradedate, symbol, {sql_rank_pct('volume', _n)} AS volume_quantile FROM ix)",
+    )
+    for _field in ("volume", "amount"):
+        index_query(
+            f"index_{_field}_ratio_quantile{_mark}", (f"{_field}_ratio_quantile",), lambda ix, n=_n, c=_field: ixf.history_rank(ix.withColumn("r", ixf.share(c)), "r", f"{c}_ratio_quantile", n),
+            f"y AS (SELECT *, {_field} / sum({_field}) {_D} AS r FROM ix), x AS (SELECT tradedate, symbol, {sql_rank_pct('r', _n)} AS {_field}_ratio_quantile FROM y)",
+        )
 _MEM = "FROM {0} JOIN assets USING (symbol) GROUP BY tradedate, index"
 member_query(
     "index_diffusion", ("diffusion",), lambda m, s: ixf.diffusion(m, s, 20, 5),
@@ -327,8 +333,11 @@ for _name, _args in {
 }.items():
     member_query(_name, ("cross_std",), lambda m, s, a=_args: ixf.cross_std(m, s, *a), _cross(*_args), digits=2, wide=_args[0] == "turnrate")
 for _name, _args in {"index_rank_cross_volume_std": ("volume", None, 20, "mean"), "index_rank_cross_volatility_std": ("ret", 20, 20, "mean"), "index_rank_cross_amount_std": ("amount", None, None, "mean"), "index_rank_cross_turnrate_std": ("turnrate", None, None, "mean"), "index_rank_std_cross_turnrate_std": ("turnrate", None, 20, "mean")}.items():
-    member_query(_name, ("cross_std_rank",), lambda m, s, a=_args: ixf.cross_std(m, s, *a, 250), None, digits=3)
-    member_query(f"{_name}_{LONG}", ("cross_std_rank",), lambda m, s, a=_args: ixf.cross_std(m, s, *a, LONG), None, digits=3)
+    for _n, _mark in ((250, ""), (LONG, f"_{LONG}")):
+        # As the operator, ranks what agrees in ten digits as equal.
+        _sql = _cross(*_args).replace(", x AS (", ", y AS (") + ", z AS (SELECT *, pow(10.0::DOUBLE, 9 - floor(log10(nullif(cross_std, 0)))) AS scale FROM y)"
+        _sql += f", v AS (SELECT tradedate, symbol, CASE WHEN cross_std > 0 THEN round(cross_std * scale) / scale ELSE cross_std END AS c FROM z), x AS (SELECT tradedate, symbol, {sql_rank_pct('c', _n)} AS cross_std_rank FROM v)"
+        member_query(f"{_name}{_mark}", ("cross_std_rank",), lambda m, s, a=_args, n=_n: ixf.cross_std(m, s, *a, n), _sql, digits=3, wide=_args[0] == "turnrate")
 
 member_query(
     "index_forecast", ("fcst",), lambda m, s: ixf.forecast(m, s, "pe_fcst", "totmktcap", "mom"),
@@ -378,7 +387,15 @@ member_query(
 )
 
 
-@query()
+@query(
+    f"""WITH {MARKET}, {ASSETS}{IX.removeprefix(PANEL + "," + ASSETS)}, fl AS (SELECT tradedate, index AS symbol, sum(coalesce(inflow, 0) - coalesce(outflow, 0)) AS net {_MEM.format("g")}),
+b0 AS (SELECT ix.tradedate, ix.symbol, net, {_CH[1].replace("symbol", "ix.symbol").replace("tradedate", "ix.tradedate")} AS r FROM ix LEFT JOIN fl ON fl.symbol = ix.symbol AND fl.tradedate = ix.tradedate),
+b1 AS (SELECT tradedate, symbol, net - {lagged("net", 1)} AS x, r - {lagged("r", 1)} AS y, row_number() OVER ({_S}) AS n FROM b0), b2 AS (SELECT *, {lagged("y", 1)} AS z FROM b1),
+p AS (SELECT t.symbol, t.tradedate, o.x, o.z FROM b2 t JOIN b2 o ON o.symbol = t.symbol AND o.n BETWEEN t.n - 19 AND t.n),
+r AS (SELECT *, rank() OVER (PARTITION BY symbol, tradedate ORDER BY x) + (count(*) OVER (PARTITION BY symbol, tradedate, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol, tradedate ORDER BY z) + (count(*) OVER (PARTITION BY symbol, tradedate, z) - 1) / 2.0 AS b FROM p),
+c AS (SELECT symbol, tradedate, CASE WHEN count(x) = 20 AND count(z) = 20 THEN corr(a, b) END AS v FROM r GROUP BY ALL)
+SELECT tradedate, symbol, {sql_rounded("v")} AS small_fund_corr FROM c"""
+)
 def index_small_fund_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = tables.assets(spark, sf_dir).select("index", "symbol")
     out = ixf.small_fund_correlation(members, tables.market(spark, sf_dir), tables.index_market(spark, sf_dir))

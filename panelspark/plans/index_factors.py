@@ -156,7 +156,12 @@ def cross_std(members: DataFrame, stocks: DataFrame, field: str, volatility: int
     if smooth:
         c = F.col("cross_std")
         out = out.withColumn("cross_std", series.ts_mean(c, smooth) if how == "mean" else series.ts_stddev(c, smooth, smooth))
-    return history_rank(out, "cross_std", "cross_std_rank", rank) if rank else out
+    if not rank:
+        return out
+    # Rests of rounding are no order: what agrees in ten digits ranks as equal.
+    c = F.col("cross_std")
+    scale = F.pow(F.lit(10.0), 9 - F.floor(F.log10(c)))
+    return history_rank(out.withColumn("cross_std", F.when(c > 0, F.rint(c * scale) / scale).otherwise(c)), "cross_std", "cross_std_rank", rank)
 
 
 def weighted(x: Column, weight: str | None, how: str = "mean") -> Column:

@@ -201,7 +201,7 @@ def resample_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MARKET}, l AS (SELECT tradedate, symbol, lead(ln(px), 1) OVER s - ln(px) AS f1, lead(ln(px), 5) OVER s - ln(px) AS f5, lead(ln(px), 20) OVER s - ln(px) AS f20
+    f"""WITH {MARKET}, l AS MATERIALIZED (SELECT tradedate, symbol, lead(ln(px), 1) OVER s - ln(px) AS f1, lead(ln(px), 5) OVER s - ln(px) AS f5, lead(ln(px), 20) OVER s - ln(px) AS f20
   FROM g WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)), a AS (SELECT avg(f1) AS a1, avg(f5) AS a5, avg(f20) AS a20 FROM l)
 SELECT tradedate, symbol, {sql_rounded("f1 - a1")} AS ret_1, {sql_rounded("f5 - a5")} AS ret_5, {sql_rounded("f20 - a20")} AS ret_20 FROM l, a"""
 )

@@ -23,6 +23,10 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+#: Values from here on have no more digits than a double holds and stay as they are.
+_WHOLE = 2.0**52
+
+
 def rounded(x: Column | str, digits: int = 4) -> Column:
     """Rounded for comparison, by floor(x 10^d + 0.4987) so that both engines agree; NaN is NULL.
 
@@ -30,12 +34,22 @@ def rounded(x: Column | str, digits: int = 4) -> Column:
     """
     x = F.col(x) if isinstance(x, str) else x
     scale = float(10**digits)
-    return F.when(~F.isnan(x), F.floor(x * scale + 0.4987).cast("double") / scale)
+    small = F.floor(x * scale + 0.4987).cast("double") / scale
+    return F.when(F.isnan(x), None).when(F.abs(x * scale) < _WHOLE, small).otherwise(x)
 
 
 def sql_rounded(expression: str, digits: int = 4) -> str:
     scale = float(10**digits)
-    return f"CASE WHEN isfinite({expression}) THEN floor(({expression}) * {scale}::DOUBLE + 0.4987::DOUBLE)::BIGINT::DOUBLE / {scale}::DOUBLE END"
+    x = f"({expression})"
+    small = f"floor({x} * {scale}::DOUBLE + 0.4987::DOUBLE)::BIGINT::DOUBLE / {scale}::DOUBLE"
+    return f"CASE WHEN NOT isfinite({x}) THEN NULL WHEN abs({x} * {scale}::DOUBLE) < {_WHOLE} THEN {small} ELSE {x} END"
+
+
+def sql_rank_pct(x: str, n: int) -> str:
+    """Average rank of x among the known values of its last n rows over their number, which must be n."""
+    w = f"(PARTITION BY symbol ORDER BY tradedate ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    rank = f"(rank(ORDER BY {x} NULLS LAST) OVER {w} + count({x}) OVER {w} - (rank(ORDER BY {x} DESC NULLS LAST) OVER {w}) + 1) / 2.0"
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {w} >= {n} THEN ({rank}) / count({x}) OVER {w} END"
 
 
 # --- the domain objects of sources/tables.py in SQL --------------------------------------------

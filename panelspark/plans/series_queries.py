@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import zero_if_null
 from ..operators import grid, moving, recursive, series
 from ..sources import landing, tables
-from .registry import ASSETS, MARKET, PANEL, over, query, rounded, sql_rounded
+from .registry import ASSETS, MARKET, PANEL, over, query, rounded, sql_rank_pct, sql_rounded
 
 CELLS = ["tradedate", "symbol"]
 
@@ -111,19 +111,50 @@ _decay("sum", "sum")
 _decay("std", "stddev_pop")
 
 
-@query()
+#: Ordinal ranks of a frame are the grade of its grade; unknown values come last.
+_GRADE = "list_grade_up(list_grade_up(list({0}) OVER w, 'ASC', 'NULLS LAST'))"
+
+
+@query(
+    f"""WITH {MARKET}, r AS (SELECT tradedate, symbol, {_GRADE.format("px")} AS a, {_GRADE.format("vol")} AS b FROM g
+  WINDOW w AS (PARTITION BY symbol ORDER BY tradedate ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT tradedate, symbol, {sql_rounded("CASE WHEN len(a) < 20 THEN 0.0 ELSE 1 - 6 * list_sum(list_transform(range(1, 21), lambda k: (a[k] - b[k]) * (a[k] - b[k])))::DOUBLE / (20 * 399.0) END")} AS value FROM r"""
+)
 def ts_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.market(spark, sf_dir).select(*CELLS, "px", "vol")
     return recursive.ts_corr(m, "px", "vol", 20, "value").select(*CELLS, rounded("value").alias("value"))
 
 
-@query()
+_SO_FAR = "OVER (PARTITION BY symbol ORDER BY tradedate ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    # y_k = c_k y_(k-1) + d_k over the known values, by the running product P of c: y_k = P_k sum(d_j / P_j).
+    f"""WITH {MARKET}, k AS (SELECT tradedate, symbol, close, i, i - lag(i) OVER s AS gap FROM g WHERE close IS NOT NULL WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)),
+w AS (SELECT *, pow(9 / 11.0::DOUBLE, gap) AS w FROM k), c AS (SELECT *, coalesce(w / (w + 2 / 11.0::DOUBLE), 1) AS c, coalesce(2 / 11.0::DOUBLE / (w + 2 / 11.0::DOUBLE), 1) * close AS d FROM w),
+p AS (SELECT *, product(c) {_SO_FAR} AS p, row_number() OVER (PARTITION BY symbol ORDER BY tradedate) AS n FROM c), y AS (SELECT tradedate, symbol, n, p * sum(d / p) {_SO_FAR} AS y FROM p),
+f AS (SELECT g.tradedate, g.symbol, last_value(y IGNORE NULLS) {_SO_FAR.replace("symbol ORDER BY tradedate", "g.symbol ORDER BY g.tradedate")} AS y, last_value(n IGNORE NULLS) {_SO_FAR.replace("symbol ORDER BY tradedate", "g.symbol ORDER BY g.tradedate")} AS n
+  FROM g LEFT JOIN y ON y.symbol = g.symbol AND y.tradedate = g.tradedate)
+SELECT tradedate, symbol, {sql_rounded("CASE WHEN n >= 3 THEN y END")} AS value FROM f"""
+)
 def ewm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.market(spark, sf_dir).select(*CELLS, "close")
     return recursive.ewm_mean(m, "close", 10, 3, name="value").select(*CELLS, rounded("value").alias("value"))
 
 
-@query()
+def rsi_sql(source: str, x: str, n: int) -> str:
+    """CTE rs (tradedate, symbol, v) of the index of x: means of the first n changes, then smoothed by 1 / n."""
+    c = f"({n - 1} / {n}.0::DOUBLE)"
+
+    def smooth(side: str) -> str:
+        return f"pow({c}, k - {n}) * (avg(CASE WHEN k BETWEEN 1 AND {n} THEN {side} END) OVER (PARTITION BY symbol) + coalesce(sum(CASE WHEN k > {n} THEN {side} / {n} * pow({c}, {n} - k) END) {_SO_FAR}, 0))"
+
+    return f"""kn AS (SELECT tradedate, symbol, row_number() OVER s - 1 AS k, {x} - lag({x}) OVER s AS d FROM {source} WHERE {x} IS NOT NULL WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)),
+ud AS (SELECT *, greatest(d, 0) AS up, greatest(-d, 0) AS down FROM kn), sm AS (SELECT tradedate, symbol, k, {smooth("up")} AS u, {smooth("down")} AS w FROM ud),
+rs AS (SELECT x.tradedate, x.symbol, CASE WHEN k >= {n} THEN CASE WHEN u + w > 0 THEN 100 * u / (u + w) ELSE 0 END END AS v FROM {source} x LEFT JOIN sm USING (tradedate, symbol))"""
+
+
+@query(f"WITH {MARKET}, {rsi_sql('g', 'px', 14)} SELECT tradedate, symbol, {sql_rounded('v')} AS value FROM rs")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.market(spark, sf_dir).select(*CELLS, "px")
     return recursive.rsi(m, "px", 14, "value").select(*CELLS, rounded("value").alias("value"))
@@ -135,11 +166,7 @@ def back_forth_residual_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive.rolling_ols_std(r, "revenue", "x", 8, "value").select(*CELLS, rounded("value", 2).alias("value"))
 
 
-@query(
-    f"""WITH {MARKET}, f AS (SELECT tradedate, symbol, vol, list(vol) {over(250)} AS l FROM g WHERE vol IS NOT NULL)
-SELECT g.tradedate, g.symbol, {sql_rounded("v")} AS value FROM g LEFT JOIN (SELECT tradedate, symbol, CASE WHEN len(l) >= 250 THEN
-  (len(list_filter(l, lambda x: x < vol)) + (len(list_filter(l, lambda x: x = vol)) + 1) / 2.0) / len(l) END AS v FROM f) USING (tradedate, symbol)"""
-)
+@query(f"WITH {MARKET} SELECT tradedate, symbol, {sql_rounded('v')} AS value FROM (SELECT tradedate, symbol, {sql_rank_pct('vol', 250)} AS v FROM g)")
 def rolling_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.market(spark, sf_dir).select(*CELLS, "vol")
     return recursive.rolling_rank_pct(m, "vol", 250, "value").select(*CELLS, rounded("value").alias("value"))
