@@ -1,20 +1,25 @@
 """License scans by patience alignment (operator 5).
 
-Texts and templates are words, lower-cased, with ASCII punctuation as blanks. Places of a whole text
-that share word pairs with a template form windows; in each, words that are unique to both sides are the
-anchors, the longest increasing subsequence of them is kept, and the gaps between are aligned in the
-same way after equal ends are taken off. The template's coverage is its share of aligned words; the
-aligned part of the text must not be more than twice as long as the words aligned in it. The words that
-tell a license from its neighbours (name, version, NC or SA) must stand in the aligned part as they stand in
-the template, without a word between. Of licenses whose places overlap only the one with the most aligned words stays.
+Texts and templates are words, lower-cased, with ASCII punctuation as blanks. A template is sought in windows
+of 1, 1.5 and 2 times its length that begin at each place of the whole text whose word is among the template's
+first words (so many that one of them must be aligned). In a window, words that are unique to both sides are the
+anchors, the longest increasing subsequence of them is kept, and the gaps between are aligned in the same
+way after equal ends are taken off. The template's coverage is its share of aligned words; the aligned part of
+the text must not be more than twice as long as the words aligned in it. The words that tell a license from its
+neighbours (name, version, NC or SA) must stand in the aligned part as they stand in the template, without a
+word between. Of licenses whose places overlap only the one with the most aligned words stays.
+
+A window is aligned only if it has as many words of the template, and as many different ones, as the coverage
+asks for; as aligned words are words of the template, that leaves out no license.
 
 Edge cases: null, empty and blank texts hold no license; a text that repeats a license reports its best
-place, the first of equals; repeated rows are reported as often as they come; templates without words
-match nothing; extra columns are ignored.
+place, the first of equals; repeated rows are reported as often as they come, null ids as they are; templates
+without words match nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, word_hashes
+from .common import map_texts, word_hashes
 
 #: Texts of public licenses and the usual notices of their use.
 TEMPLATES = {
@@ -44,7 +49,7 @@ TEMPLATES = {
     "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
     "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
     "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
-    "mit": (
+    "mit-part": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
@@ -52,51 +57,106 @@ TEMPLATES = {
         "following conditions: The above copyright notice and this permission notice shall be included in all copies "
         "or substantial portions of the Software."
     ),
-    "apache-2.0": (
+    "apache-2.0-part": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
-        "CONDITIONS OF ANY KIND, either express or implied."
+        "http://www.apache.org/licenses/LICENSE-2.0"
     ),
-    "gpl-3.0": (
+    "gpl-3.0-part": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."
     ),
-    "gpl-2.0": (
+    "gpl-2.0-part": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version."
     ),
-    "lgpl-2.1": (
+    "lgpl-2.1-part": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
         "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
         "(at your option) any later version."
     ),
-    "lgpl-3.0": (
+    "lgpl-3.0-part": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
         "(at your option) any later version."
     ),
-    "agpl-3.0": (
+    "agpl-3.0-part": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
         "(at your option) any later version."
     ),
-    "bsd-2-clause": (
+    "bsd-part": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met: Redistributions of source code must retain the above copyright "
         "notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
         "the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
-    "isc": (
+    "isc-part": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
 }
 
+_MIT_WARRANTY = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+    "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+    "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
+_ISC_WARRANTY = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+    "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD_WARRANTY = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+    "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+    "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_THIRD = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_APACHE_REST = (
+    " Unless required by applicable law or agreed to in writing, software distributed under the License is "
+    "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See "
+    "the License for the specific language governing permissions and limitations under the License."
+)
+
+
+def _gnu_rest(what: str, name: str) -> str:
+    return (
+        f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more "
+        f"details. You should have received a copy of the GNU {name} along with this {what}. If not, see "
+        "<https://www.gnu.org/licenses/>."
+    )
+
+
+# Whole license texts, and the whole notices of licenses that are used by notice.
+TEMPLATES |= {
+    "mit": TEMPLATES["mit-part"] + _MIT_WARRANTY,
+    "isc": TEMPLATES["isc-part"] + _ISC_WARRANTY,
+    "bsd-2-clause": TEMPLATES["bsd-part"] + _BSD_WARRANTY,
+    "bsd-3-clause": TEMPLATES["bsd-part"] + _BSD_THIRD + _BSD_WARRANTY,
+    "apache-2.0": TEMPLATES["apache-2.0-part"] + _APACHE_REST,
+    "gpl-2.0": TEMPLATES["gpl-2.0-part"] + _gnu_rest("program", "General Public License"),
+    "gpl-3.0": TEMPLATES["gpl-3.0-part"] + _gnu_rest("program", "General Public License"),
+    "lgpl-2.1": TEMPLATES["lgpl-2.1-part"] + _gnu_rest("library", "Lesser General Public License"),
+    "lgpl-3.0": TEMPLATES["lgpl-3.0-part"] + _gnu_rest("program", "Lesser General Public License"),
+    "agpl-3.0": TEMPLATES["agpl-3.0-part"] + _gnu_rest("program", "Affero General Public License"),
+}
+
 #: Phrases that must stand in the aligned part word for word; the other texts differ from all others anyway.
 PHRASES = {
     "mit-notice": ("MIT License",),
@@ -121,7 +181,9 @@ PHRASES = {
     "cc-by-nc-4.0-notice": ("CC BY-NC 4.0",),
     "cc-by-nc-sa-4.0-notice": ("CC BY-NC-SA 4.0",),
     "cc-by-nc-nd-4.0-notice": ("CC BY-NC-ND 4.0",),
+    "bsd-3-clause": ("Neither the name of", "endorse or promote"),
 }
+PHRASES |= {f"{k}-part": PHRASES[k] for k in ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0")}
 
 #: Least share of a template's words that must be aligned.
 COVERAGE = 0.8
@@ -132,11 +194,6 @@ def words(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "surrogatepass").translate(_BLANKS))
 
 
-def _pairs(w: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words; a single word stands for itself."""
-    return mix(w[:-1] * np.uint64(3) + mix(w[1:])) if len(w) > 1 else w
-
-
 def _increasing(values: list[int]) -> list[int]:
     """Positions of a longest increasing subsequence."""
     tops: list[int] = []
@@ -186,57 +243,36 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, phrases: dict[str, tuple[str, ...]]):
         self.coverage = coverage
         self.names = [k for k, v in templates.items() if len(words(v))]
-        self.words = [words(templates[k]) for k in self.names]
-        self.lists = [w.tolist() for w in self.words]
+        every = [words(templates[k]) for k in self.names]
+        self.lists = [w.tolist() for w in every]
         self.phrases = [[_place(words(x).tolist(), w) for x in phrases.get(k, ())] for k, w in zip(self.names, self.lists, strict=True)]
-        # Places of the pairs that a template has once.
-        self.once = []
-        for w in self.words:
-            p = _pairs(w).tolist()
-            n = Counter(p)
-            self.once.append({x: j for j, x in enumerate(p) if n[x] == 1})
-        pairs = [np.unique(_pairs(w)) for w in self.words]
-        self.sizes = [len(p) for p in pairs]
-        keys, which = np.concatenate(pairs), np.repeat(np.arange(len(pairs)), self.sizes)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.which = keys[order], which[order]
-        self.single = any(len(w) == 1 for w in self.words)
-
-    def _windows(self, hits: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Parts of the text around runs of hits that are less than a template apart, and around each copy in a run."""
-        size, total = len(self.words[k]), len(own) + 1
-        for run in np.split(hits, np.flatnonzero(np.diff(hits) > size) + 1):
-            yield max(0, int(run[0]) - size), min(total, int(run[-1]) + size + 1)
-            copies = self._copies(run.tolist(), k, own)
-            if len(copies) > 1:
-                ends = [0, *[last + 2 for _, last in copies]]
-                begins = [*[first for first, _ in copies[1:]], total]
-                for (first, last), low, high in zip(copies, ends, begins, strict=False):
-                    yield max(min(low, first), first - size), min(max(high, last + 2), last + size + 2, total)
-
-    def _copies(self, run: list[int], k: int, own: np.ndarray) -> list[tuple[int, int]]:
-        """First and last hit of each copy in a run: hits that put the template's start at nearly the same place."""
-        size, once = len(self.words[k]), self.once[k]
-        at = sorted((i - once[p], i, once[p]) for i in run if (p := int(own[i])) in once)
-        if len({j for _, _, j in at}) == len(at):
-            return []
-        groups: list[list[tuple[int, int, int]]] = []
-        for x in at:
-            if groups and x[0] - groups[-1][-1][0] <= max(1, size // 8):
-                groups[-1].append(x)
-            else:
-                groups.append([x])
-        # A few stray pairs are no copy; parts whose places in the template go on are one copy with a gap.
-        spans: list[list[int]] = []
-        for g in groups:
-            if len({j for _, _, j in g}) < max(1, 0.1 * self.sizes[k]):
-                continue
-            first, last, low, high = min(i for _, i, _ in g), max(i for _, i, _ in g), min(j for *_, j in g), max(j for *_, j in g)
-            if spans and low > spans[-1][3] and first > spans[-1][1]:
-                spans[-1][1], spans[-1][3] = last, high
-            else:
-                spans.append([first, last, low, high])
-        return sorted((first, last) for first, last, _, _ in spans)
+        # Numbers of the words that templates have; the last number stands for all others.
+        self.vocabulary = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
+        numbers = [np.searchsorted(self.vocabulary, w) for w in every]
+        self.needed = [math.ceil(coverage * len(w) - 1e-9) for w in every]
+        self.member = np.zeros((len(every), len(self.vocabulary) + 1), bool)
+        self.head = self.member.copy()
+        for k, (w, least) in enumerate(zip(numbers, self.needed, strict=True)):
+            self.member[k, w] = True
+            # One of the first words is aligned, or more than may be missing are not.
+            self.head[k, w[: len(w) - least + 1]] = True
+        self.different = [len(set(w)) - (len(w) - least) for w, least in zip(self.lists, self.needed, strict=True)]
+
+    def sizes(self, k: int) -> list[int]:
+        n = len(self.lists[k])
+        return sorted({n, math.ceil(1.5 * n), 2 * n})
+
+    def _windows(self, k: int, numbers: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Windows (begin, end) that can hold the template: enough of its words, and enough different ones."""
+        hits = known[self.member[k][numbers[known]]]
+        if len(hits) < self.needed[k]:
+            return
+        begins = self.head[k][numbers[hits]]
+        counts = [np.searchsorted(hits, hits + size) - np.arange(len(hits)) for size in self.sizes(k)]
+        for i in np.flatnonzero(begins & (counts[-1] >= self.needed[k])).tolist():
+            for size, count in zip(self.sizes(k), counts, strict=True):
+                if count[i] >= self.needed[k] and len(set(numbers[hits[i : i + count[i]]].tolist())) >= self.different[k]:
+                    yield int(hits[i]), min(len(numbers), int(hits[i]) + size)
 
     def _place(self, k: int, text: list, a: int, b: int) -> tuple[int, int, int] | None:
         """Aligned words, first word and end word of a template in a window; None if it isn't there."""
@@ -254,35 +290,38 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, end word) of the best place of every license found."""
-        w, out = words(text), []
-        if not len(w):
-            return out
-        pairs = _pairs(w)
-        own = np.concatenate([pairs, w]) if self.single and len(w) > 1 else pairs
-        low, high = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, "right")
-        at = np.flatnonzero(high > low)
-        if not len(at):
-            return out
-        hits: dict[int, list[int]] = {}
-        for i in at.tolist():
-            for k in self.which[low[i] : high[i]].tolist():
-                hits.setdefault(k, []).append(i if i < len(w) else i - len(w) + 1)
+        w = words(text)
+        if not len(w) or not len(self.vocabulary):
+            return []
+        numbers = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
+        numbers[self.vocabulary[numbers] != w] = len(self.vocabulary)
+        known = np.flatnonzero(numbers < len(self.vocabulary))
         found, as_list = set(), None
-        for k, places in sorted(hits.items()):
-            if len(set(places)) < max(1, 0.3 * self.sizes[k]):
-                continue
-            as_list = as_list or w.tolist()
-            once = np.unique(places)
-            for a, b in self._windows(once[once < len(pairs)] if len(self.words[k]) > 1 else once, k, pairs):
+        for k in range(len(self.names)):
+            whole = 0
+            for a, b in self._windows(k, numbers, known):
+                # Inside a copy that is there word for word nothing better begins.
+                if a < whole:
+                    continue
+                as_list = as_list or w.tolist()
                 if place := self._place(k, as_list, a, b):
-                    found.add((-place[0], -place[0] / len(self.lists[k]), place[1], place[2], k))
-        # Licenses compete for a place: the one with the most aligned words takes it.
-        taken: list[tuple[int, int, int]] = []
+                    found.add((-place[0], -place[0] / len(self.lists[k]), place[2] - place[1], *place[1:], k))
+                    if place[0] == len(self.lists[k]) == place[2] - place[1]:
+                        whole = place[2]
+        return self.compete(found)
+
+    def compete(self, found: set[tuple[int, float, int, int, int, int]]) -> list[tuple[str, float, int, int]]:
+        """Licenses compete for a place: the one with the most aligned words takes it, then the one that spans least.
+
+        found: less the aligned words, less the coverage, span, first word, end word, number of the template.
+        """
+        taken: list[tuple[int, int]] = []
         best: dict[int, tuple[float, int, int]] = {}
-        for n, share, first, end, k in sorted(found):
-            if any(first < e and b < end for b, e, _ in taken):
+        for _, share, _, first, end, k in sorted(found):
+            at = bisect_left(taken, (first, end))
+            if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
                 continue
-            taken.append((first, end, k))
+            taken.insert(at, (first, end))
             if k not in best or (share, first) < best[k][:2]:
                 best[k] = share, first, end
         return [(self.names[k], -share, first, end) for k, (share, first, end) in sorted(best.items())]

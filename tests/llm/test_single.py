@@ -163,9 +163,10 @@ def test_licenses(documents, prose):
     w = mit.split()
     broken = " ".join(x for x in w if r.random() > 0.1)
     spread = " ".join(f"{x} {prose(k, 4)}" for k, x in enumerate(w))
-    texts = [f"{prose(1, 50)}\n{mit}\n{prose(2, 50)}", f"{prose(3, 9)} {broken.upper()} {prose(4, 9)}", spread, prose(5, 400), None, "", "Released under the MIT License.", " ".join(w[:40])]
+    between = " ".join(f"{x} {prose(k, 1)}" for k, x in enumerate(w))
+    texts = [f"{prose(1, 50)}\n{mit}\n{prose(2, 50)}", f"{prose(3, 9)} {broken.upper()} {prose(4, 9)}", spread, prose(5, 400), None, "", "Released under the MIT License.", " ".join(w[:40]), between, licenses.TEMPLATES["mit-part"]]
     got = {(x["doc_id"], x["license"]): x for x in licenses.find_licenses(documents(texts)).collect()}
-    assert set(got) == {(0, "mit"), (1, "mit"), (6, "mit-notice")}
+    assert set(got) == {(0, "mit"), (1, "mit"), (6, "mit-notice"), (8, "mit-part"), (9, "mit-part")}
     assert got[0, "mit"]["coverage"] == 1.0 and got[0, "mit"]["first_word"] == 50
     assert got[1, "mit"]["coverage"] == pytest.approx(len(broken.split()) / len(w), abs=0.03)
     for k in range(40):  # patience aligns no more than the longest common subsequence, and all of equal texts
@@ -199,15 +200,66 @@ def test_adjacent_copies_of_a_license(documents, prose):
     w = mit.split()
     broken = " ".join(w[:30] + w[34:])
     before, after = prose(1, 20), prose(2, 20)
-    texts = [f"{before}\n{notice}\n{notice}\n{after}", f"{before}\n{mit}\n{mit}\n{mit}\n{after}", f"{before} {broken} {mit} {after}", f"{before}\n{notice}\nas is {notice} and {notice}\n{after}", f"{before} {mit} {broken} {after}", f"{before} {' '.join([notice] * 300)} {after}"]
+    texts = [f"{before}\n{notice}\n{notice}\n{after}", f"{before}\n{mit}\n{mit}\n{mit}\n{after}", f"{before} {broken} {mit} {after}", f"{before}\n{notice}\nas is {notice} and {notice}\n{after}", f"{before} {mit} {broken} {after}",
+             f"{before} {' '.join([notice] * 300)} {after}", f"{before} {broken} {broken} {after}"]
     rows = {r["doc_id"]: r for r in licenses.find_licenses(documents(texts)).collect()}
-    n = len(licenses.words(mit))
+    n, cut = len(licenses.words(mit)), len(licenses.words(broken))
     assert {k: (r["license"], r["first_word"], r["end_word"] - r["first_word"], r["coverage"]) for k, r in rows.items()} == {
-        0: ("mit-notice", 20, 5, 1.0), 1: ("mit", 20, n, 1.0), 2: ("mit", 20 + len(licenses.words(broken)), n, 1.0),
-        3: ("mit-notice", 20, 5, 1.0), 4: ("mit", 20, n, 1.0), 5: ("mit-notice", 20, 5, 1.0),
+        0: ("mit-notice", 20, 5, 1.0), 1: ("mit", 20, n, 1.0), 2: ("mit", 20 + cut, n, 1.0),
+        3: ("mit-notice", 20, 5, 1.0), 4: ("mit", 20, n, 1.0), 5: ("mit-notice", 20, 5, 1.0), 6: ("mit", 20, cut, cut / n),
     }
 
 
+def test_licenses_equal_brute_force(prose):
+    """The scan finds what aligning every window finds, and knows every license that a window anywhere shows."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.PHRASES)
+    r = random.Random(9)
+
+    def spoilt(template):
+        w = licenses.TEMPLATES[template].split()
+        kind = r.randrange(4)
+        if kind == 0:  # words go
+            return " ".join(x for x in w if r.random() > 0.12)
+        if kind == 1:  # a word between any two
+            return " ".join(f"{x} {prose(k, 1)}" for k, x in enumerate(w))
+        if kind == 2:  # words change places
+            for _ in range(len(w) // 12):
+                k = r.randrange(len(w) - 1)
+                w[k], w[k + 1] = w[k + 1], w[k]
+            return " ".join(w)
+        return " ".join(w)
+
+    names = ["mit-notice", "mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "gpl-2.0", "lgpl-2.1", "cc-by-sa-4.0-notice", "gpl-3.0-notice"]
+    heard = 0
+    for seed in range(24):
+        parts = [prose(seed, r.randrange(12)), spoilt(r.choice(names)), prose(seed + 50, r.randrange(9)), spoilt(r.choice(names[:1] + names[8:])), "the software of the license", prose(seed + 90, 5)]
+        text = " ".join(parts)
+        w = licenses.words(text).tolist()
+        at_heads, anywhere = set(), set()
+        for k, template in enumerate(scanner.lists):
+            first = set(template[: len(template) - scanner.needed[k] + 1])
+            for a in range(len(w)):
+                for size in scanner.sizes(k):
+                    if place := scanner._place(k, w, a, min(len(w), a + size)):
+                        hit = (-place[0], -place[0] / len(template), place[2] - place[1], *place[1:], k)
+                        anywhere.add(hit)
+                        if w[a] in first:
+                            at_heads.add(hit)
+        got = scanner.scan(text)
+        assert got == scanner.compete(at_heads), text
+        assert {x[0] for x in got} >= {x[0] for x in scanner.compete(anywhere)}, text
+        heard += len(got)
+    assert heard > 24
+
+
+def test_licenses_edges(spark, prose):
+    mit, long = licenses.TEMPLATES["mit"], " ".join(prose(k, 2000) for k in range(100))
+    rows = [(None, mit), (1, mit), (1, mit), (1, None), (2, f"{long} {mit} {long}"), (3, "the " * 100_000)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as license", "1 as hits", "2 as coverage")
+    got = sorted(((r["doc_id"], r["license"], r["first_word"]) for r in licenses.find_licenses(odd).collect()), key=str)
+    assert got == sorted([(None, "mit", 0), (1, "mit", 0), (1, "mit", 0), (2, "mit", 200_000)], key=str)
+
+
 def test_fertility_rejects_what_is_unlike_its_language(documents, prose):
     r = random.Random(6)
     clean = [prose(i, 60 + 12 * (i % 40)) for i in range(120)]
