@@ -12,6 +12,9 @@ control string become ``E1`` .. ``E4`` when, and only when, the plain text does
 trip: rendering is parsed back, compared with the source, and conflicting texts are escaped until both
 agree. One escape removes every character a control string needs, so the second pass always agrees.
 
+The loss mask is a list of spans of the rendered text (code points, end exclusive): the assistant texts, without
+their control strings. Training text is what these spans cut out of the rendering, unescaped.
+
 Edge cases: null text is empty, null role is the empty role; turns with equal number are ordered by
 role and text; a conversation is one output row, so it is the only group that is gathered. Extra
 columns are ignored. An empty table gives no rows.
@@ -93,7 +96,7 @@ def _plain(turns: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, turns (role, text) as read back from formatted."""
+    """One row per conversation: conv_id, formatted, and as read back from it turns (role, text) and loss_spans (start, end)."""
     c = conversations.select(
         "conv_id",
         F.col("turn").alias("turn"),
@@ -121,17 +124,32 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             ),
         )
         .select("conv_id", "formatted", F.when(F.col("same"), F.col("turns")).otherwise(_plain(parse_turns(F.col("formatted")))).alias("turns"))
+        .withColumn("loss_spans", loss_spans(F.col("formatted")))
     )
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask: every assistant text once, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+def loss_spans(formatted: Column) -> Column:
+    """Loss mask: array of (start, end) of the assistant texts in a rendering, in order; both in code points."""
+    pieces = F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0))
+    sizes = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), F.startswith(p, F.lit(OPEN_ASSISTANT)).alias("own")))
+
+    def add(state: Column, piece: Column) -> Column:
+        end = state["end"] + piece["n"]
+        span = F.struct((state["end"] + len(OPEN_ASSISTANT)).alias("start"), (end - len(CLOSE_ASSISTANT)).alias("end"))
+        return F.struct(end.alias("end"), F.when(piece["own"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("end"), none.alias("spans")), add, lambda s: s["spans"])
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask, unescaped: every assistant text once, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The digest columns of a formatted table, read from the turns parsed out of it."""
-    loss = loss_text(F.col("turns"))
+    """The digest columns of a formatted table, read from the turns and the loss mask that were parsed out of it."""
+    loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select(
         "conv_id",

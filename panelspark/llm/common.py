@@ -118,9 +118,12 @@ def map_texts(df: DataFrame, keep: Sequence[str], fn: Callable[[list[str | None]
                 made = fn(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=names)
 
-    schema = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(added).fields])
     names = schema.names
-    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    # Columns go by place, so no name of the input can clash.
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string"))
+    return rows.toDF(*[f"_{i}" for i in range(len(keep) + 1)]).mapInArrow(run, schema)
 
 
 def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:

@@ -5,8 +5,8 @@ before an entity is a lexical pattern, an identifier-like token (a word with a d
 Rounds over the graph of distinct (pattern, instance) edges score patterns by the share of their
 instances that are trusted for a kind, and instances of a fitting shape by their best pattern; seeds stay
 at 1. A pattern is accepted if the scores of its instances sum to SUPPORT and to a share of CONFIDENCE of all
-its instances, so what one pattern found supports further ones, less than a seed does. Rounds end when no
-pattern is new. Accepted patterns mark further tokens of a fitting shape as that kind, unless they overlap a
+its instances, so what one pattern found supports further ones, less than a seed does. Rounds end when the
+confidences rest. Accepted patterns mark further tokens of a fitting shape as that kind, unless they overlap a
 base span. Copies of a text add no support, as edges are distinct.
 
 Regular expressions are written so that Java matches them without recursion or repeated scans: every
@@ -116,13 +116,13 @@ def learn(base: DataFrame, tokens: DataFrame, tmp: Scratch) -> DataFrame:
     edges = tmp(seeds.select("left", "instance").union(unknown).distinct())
     trusted = seeds.select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     totals = edges.groupBy("left").agg(F.count("*").alias("total"))
-    known, before = trusted, 0
+    known, before = trusted, (0, 0.0)
     for _ in range(ROUNDS):
         hits = edges.join(known, "instance").groupBy("left", "kind").agg(F.sum("score").alias("hit"))
         scored = hits.join(totals, "left").withColumn("confidence", F.col("hit") / (F.col("total") + 1))
         patterns = tmp(scored.filter((F.col("hit") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("left", "kind", "confidence"))
-        found = patterns.count()
-        if found == before:
+        found = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if found[0] == before[0] and abs(found[1] - before[1]) <= 1e-3 * found[0]:
             break
         before = found
         gained = edges.join(patterns, "left").filter(_fits(F.col("kind"), F.col("instance"))).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))

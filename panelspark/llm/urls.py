@@ -7,8 +7,8 @@ of its words among the labelled URLs. For a labelled URL, the pieces' shares are
 other folds, so that a host doesn't vouch for itself.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is still judged by the
-trees; repeated urls are judged alike; extra columns of the input are kept unless they clash with the
-output's names, which are replaced. An empty table gives no rows.
+trees; repeated urls are judged alike; extra columns of any name are kept, but for those of the output's
+names, which are replaced. An empty table gives no rows; without labelled URLs training is an error.
 """
 
 from __future__ import annotations
@@ -177,10 +177,12 @@ class UrlModel:
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     def block_probability(self, df: DataFrame) -> DataFrame:
-        """Adds p_block; df has url, host and path."""
-        kept = [c for c in df.columns if c != "p_block"]
-        scored = self.trees.transform(self.features(df))
-        return scored.select(*kept, vector_to_array("probability")[1].alias("p_block"))
+        """Adds host, path and p_block to every row; columns of those names are replaced."""
+        kept = [c for c in df.columns if c not in ("host", "path", "p_block")]
+        # Packed, so that no column of the input meets a name of the features or of the trees.
+        packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("url"))
+        scored = self.trees.transform(self.features(with_host_path(packed)))
+        return scored.select(*[F.col("_row").getField(c).alias(c) for c in kept], "host", "path", vector_to_array("probability")[1].alias("p_block"))
 
 
 def train(labelled: DataFrame, trees: int = 10, depth: int = 3) -> UrlModel:
@@ -188,6 +190,8 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3) -> UrlModel:
     rows = labelled.select("url", F.col("blocked").cast("double").alias("blocked")).dropna()
     rows = _features(with_host_path(rows.orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS))).cache()
     base = rows.agg(F.avg("blocked")).first()[0]
+    if base is None:
+        raise ValueError("no labelled URLs")
     suffixes = {}
     for k in ("1", "2"):
         rate = (F.sum("blocked") + 5 * F.lit(base)) / (F.count("*") + 5)
@@ -204,6 +208,7 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3) -> UrlModel:
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """Adds host, path, rule, verdict and p_block to every row; the rule decides where one fits."""
-    judged = model.block_probability(with_host_path(pages)).withColumn("_fit", best_rule(rules))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
+    judged, fit = model.block_probability(pages.select(*[F.col(f"`{c}`") for c in kept])), best_rule(rules)
     by_model = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
-    return judged.withColumns({"rule": F.col("_fit.rule"), "verdict": F.coalesce("_fit.verdict", by_model)}).drop("_fit")
+    return judged.select(*[F.col(f"`{c}`") for c in kept], "host", "path", fit["rule"].alias("rule"), F.coalesce(fit["verdict"], by_model).alias("verdict"), "p_block")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -60,10 +61,40 @@ def test_patterns_find_unseen_identifiers(documents, prose):
     assert rows[13]["spans"] == ""
 
 
+def test_graph_equals_brute_force(documents):
+    """Seeds teach a pattern, what it finds teaches the next, and that one finds what no seed ever showed."""
+    seeds = [f"+49 30 77{i:03d}1" for i in range(42)]
+    unseen = [f"030/55{i:03d}1" for i in range(11)]
+    rows = [("fon:", x) for x in seeds[:40] + unseen[:10]] + [("ruf:", x) for x in seeds[40:] + unseen] + [("nr", f"{i}-77{i}1") for i in range(9)] + [("nr", seeds[0]), ("x", unseen[3])]
+    texts = [f"hier steht {left} {x} und mehr" for left, x in rows]
+    seed, edges = set(seeds), set(rows)
+    score, accepted = dict.fromkeys(seeds, 1.0), {}
+    for _ in range(pii.ROUNDS):
+        total = Counter(left for left, _ in edges)
+        hit = Counter()
+        for left, x in edges:
+            hit[left] += score.get(x, 0.0)
+        accepted = {p: h / (total[p] + 1) for p, h in hit.items() if h >= pii.SUPPORT and h / (total[p] + 1) >= pii.CONFIDENCE}
+        gained = {}
+        for left, x in edges:
+            if left in accepted and x not in seed and re.search(pii.SHAPES["phone"], x):
+                gained[x] = max(gained.get(x, 0.0), accepted[left])
+        score = dict.fromkeys(seeds, 1.0) | gained
+    assert set(accepted) == {"fon:", "ruf:"}
+    for row in pii.summary(documents(texts)).collect():
+        left, x = rows[row["doc_id"]]
+        at = texts[row["doc_id"]].index(x)
+        found = x in seed or left in accepted and re.search(pii.SHAPES["phone"], x)
+        assert row["spans"] == (f"phone:{at}:{at + len(x)}" if found else ""), texts[row["doc_id"]]
+        assert row["n_learned"] == int(bool(found) and x not in seed) and row["n_phone"] == int(x in seed)
+
+
 def test_pii_edges(spark, documents):
     assert pii.summary(documents([])).count() == 0
-    odd = spark.createDataFrame([(None, "a@b.de"), (1, "a@b.de"), (1, "a@b.de")], "doc_id long, text string").selectExpr("*", "1 as kind", "2 as start")
-    assert sorted(r["n_email"] for r in pii.summary(odd).collect()) == [0, 1, 1]
+    odd = spark.createDataFrame([(None, "a@b.de"), (1, "a@b.de"), (1, "a@b.de"), (1, "nothing"), (1, "x 1.2.3.4 a@b.de"), (None, None)], "doc_id long, text string").selectExpr("*", "1 as kind", "2 as start", "3 as rid", "4 as s")
+    got = sorted(((r["doc_id"], r["n_email"], r["n_ip"], r["spans"]) for r in pii.summary(odd).collect()), key=str)
+    want = [(None, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (1, 0, 0, ""), (1, 1, 1, "email:10:16,ip:2:9"), (None, 0, 0, "")]
+    assert got == sorted(want, key=str)
 
 
 def test_chat_round_trip(spark):
@@ -77,6 +108,11 @@ def test_chat_round_trip(spark):
     for row in chat.format_chats(df).collect():
         turns = [x[1:] for x in sorted(want[row["conv_id"]])]
         assert [(t["role"], t["text"]) for t in row["turns"]] == turns
+        said = [row["formatted"][s["start"] : s["end"]] for s in row["loss_spans"]]
+        for plain, code in reversed(chat._ESCAPES):
+            said = [x.replace(chat.ESC + code, plain) for x in said]
+        assert said == [x for role, x in turns if role == "assistant"]
+        assert all(row["formatted"][s["end"] :].startswith("</s>") for s in row["loss_spans"])
     for row in chat.digest(chat.format_chats(df)).collect():
         loss = "".join(x for _, role, x in sorted(want[row["conv_id"]]) if role == "assistant")
         assert row["loss_chars"] == len(loss) and row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
@@ -90,7 +126,7 @@ def test_rules_and_features(spark):
     out = {r["page_id"]: r for r in urls.filter_urls(df, model).collect()}
     assert [out[i]["rule"] for i in range(10)] == ["example.net/en/", None, "example.com/de/", "org/fr/", "net/", None, None, None, None, None]
     assert (out[0]["host"], out[0]["path"], out[6]["host"], out[9]["path"]) == ("a.example.net", "/en/x", "", "/fr")
-    seen = model.block_probability(urls.with_host_path(urls.labelled_urls(spark))).select("blocked", "p_block").collect()
+    seen = model.block_probability(urls.labelled_urls(spark)).select("blocked", "p_block").collect()
     assert np.mean([(r["p_block"] >= 0.5) == (r["blocked"] == 1) for r in seen]) > 0.95
 
 
@@ -115,6 +151,61 @@ def test_trees_judge_by_more_than_hyphens(spark):
     assert sum(flipped[u] != v for u, v in cases) > len(cases) / 2
 
 
+def test_chat_edges(spark):
+    """Repeated rows, ties, null ids and roles, very long texts and columns of clashing names."""
+    long = "wörter 👍 </s> " * 60_000
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", long), (None, 3, None, None), (None, None, "assistant", "a"), (2, 0, "assistant", ""), (2, 0, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 as formatted", "2 as rows", "3 as piece", "4 as same")
+    got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("user", "hi"), ("user", "hi"), ("assistant", long)]
+    assert [(t["role"], t["text"]) for t in got[None]["turns"]] == [("assistant", "a"), ("", "")]
+    assert [t["text"] for t in got[2]["turns"]] == ["", "b"]
+    loss = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.digest(chat.format_chats(df)).collect()}
+    assert loss[1] == (len(long), hashlib.sha256(long.encode()).hexdigest()) and loss[2][0] == 1
+
+
+def brute_rule(url):
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host, path = re.match(r"[^/?#]*", rest).group(), re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for verdict, rule in urls.RULES:
+        name, tail = rule.split("/", 1)
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + tail):
+            fits.append((len(rule), rule, verdict))
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_held_out_urls_and_rules_equal_brute_force(spark):
+    labelled, held = urls.labelled_urls(spark), F.crc32("url") % 4 == 2
+    model = urls.train(labelled.filter(~held))
+    unseen = model.block_probability(labelled.filter(held)).select("blocked", "p_block").collect()
+    assert len(unseen) > 120 and np.mean([(r["p_block"] >= 0.5) == (r["blocked"] == 1) for r in unseen]) > 0.95
+    weights = dict(zip(urls.FEATURES, model.trees.featureImportances.toArray(), strict=True))
+    assert sum(w > 0.01 for w in weights.values()) >= 6, weights
+
+    r = random.Random(12)
+    bits = ["http://", "://", "www.", "Example.NET", "example.com", "net", ".org", ".", "/", "/en/", "/de/", "/fr/", "?", "#", "casino", "school", "-", "7", "Ü", " ", "a" * 40, "x=1&y=2"]
+    made = ["".join(r.choice(bits) for _ in range(r.randrange(1, 9))) for _ in range(400)] + [f"http://{h}{p}" for h in ("net", "a.net", "example.net", "b.example.net", "EXAMPLE.com", "x.org") for p in ("", "/", "/en/", "/en/x", "/de/?q", "/fr/#f", "/d")] + [None, ""]
+    # Names of the features, of the trees' own columns and of the output clash with none of the input's.
+    clash = {c: F.lit(i) for i, c in enumerate(["features", "probability", "prediction", "rawPrediction", "_fit", "_row", "suffix1", "f_depth", "f_pieces", "a.b", "rule", "host"])}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(made)], "page_id long, url string").withColumns(clash)
+    out = urls.filter_urls(df, model)
+    assert out.columns == [c for c in df.columns if c not in ("rule", "host")] + ["host", "path", "rule", "verdict", "p_block"]
+    rows = out.collect()
+    assert len(rows) == len(made)
+    for row in rows:
+        host, path, rule, verdict = brute_rule(made[row["page_id"]])
+        assert (row["host"], row["path"], row["rule"]) == (host, path, rule), made[row["page_id"]]
+        assert row["verdict"] == (verdict or ("block" if row["p_block"] >= 0.5 else "allow"))
+        assert all(row[c] == i for i, c in enumerate(clash) if c not in ("rule", "host"))
+    assert {row["rule"] for row in rows} == {None, "net/", "example.net/en/", "example.com/de/", "org/fr/"}
+    assert urls.filter_urls(df.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        urls.train(labelled.limit(0))
+
+
 def test_quality_separates_unseen_junk(spark, documents, prose):
     texts = [prose(i, 60) + "." for i in range(120)] + [prose(i, 60).upper().replace(" ", "!! ") for i in range(40)] + [" ".join(w + " " + w + " " + w for w in prose(i, 20).split()) for i in range(40)]
     docs = documents([*texts, None, "", " \n"])
@@ -128,6 +219,49 @@ def test_quality_separates_unseen_junk(spark, documents, prose):
     assert quality.score(documents([]), model, ["doc_id", "lang"]).count() == 0
 
 
+def test_votes_equal_brute_force(spark, documents, prose):
+    texts = [prose(i, 40 + i) + ".!?"[i % 3] * (i % 4) for i in range(90)]
+    texts += [texts[0]] * 40  # more equal neighbours than K
+    docs = documents([*texts, prose(900, 50), texts[0], "!!! ??? " + prose(901, 10)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(130)], "doc_id long, label int")
+    model = quality.train(docs, labels)
+    raw = np.array([quality.terms(t) for t in texts], np.float64)
+    np.testing.assert_allclose(model.idf, np.log(131 / (1 + (raw > 0).sum(axis=0))) + 0.3, rtol=1e-5)
+    # The basis spans what the first directions of the weighted terms span.
+    _, _, right = np.linalg.svd(raw * model.idf, full_matrices=False)
+    share = np.linalg.norm((raw * model.idf) @ model.basis) / np.linalg.norm((raw * model.idf) @ right[: quality.LATENT].T)
+    assert share == pytest.approx(1, abs=1e-4)
+    latent = (raw * model.idf) @ model.basis
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, ["doc_id"]).collect()}
+    n0, n1 = sum(i % 3 == 0 for i in range(130)), sum(i % 3 > 0 for i in range(130))
+    for doc_id, text in ((0, texts[0]), (50, texts[50]), (130, prose(900, 50)), (131, texts[0]), (132, "!!! ??? " + prose(901, 10))):
+        v = (quality.terms(text).astype(float) * model.idf) @ model.basis
+        cos = [round(max(float(v @ x) / float(np.linalg.norm(v)), 1e-6), 6) for x in latent]
+        edge = sorted(cos)[-quality.K] - 2e-6
+        voters = [(c**4, i % 3 > 0) for i, c in enumerate(cos) if c >= edge]
+        total = sum(c for c, _ in voters)
+        assert len(voters) >= (41 if doc_id in (0, 131) else quality.K)
+        assert got[doc_id] == pytest.approx(sum(c for c, good in voters if good) / total, abs=2e-3), (doc_id, n0, n1)
+
+
+def test_quality_edges(spark, documents, prose):
+    """Conflicting labels, repeated and null ids, long texts, and columns of clashing names."""
+    texts = [prose(i, 50) + "." for i in range(40)] + [prose(i, 50).replace(" ", "!! ") for i in range(40)]
+    docs = documents([*texts, " ".join(prose(k, 2000) for k in range(100))]).withColumns({"score": F.lit(7), "terms": F.lit("x"), "label": F.lit(1), "_text": F.lit("y")})
+    docs = docs.union(docs.filter("doc_id = 3")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(i, int(i < 40)) for i in range(80)] + [(5, 0), (5, 1), (None, 1), (6, None), (7, 3)]
+    labels = spark.createDataFrame(rows, "doc_id long, label int")
+    model = quality.train(docs, labels.repartition(7))
+    again = quality.train(docs.repartition(3), labels.orderBy(F.desc("label")))
+    assert len(model.labels) == 80 and model.labels.sum() == 39
+    np.testing.assert_array_equal(model.labels, again.labels)
+    out = quality.score(docs, model, docs.columns)
+    assert out.columns == [c for c in docs.columns if c != "score"] + ["score"] and out.count() == 83
+    scores = {(r["doc_id"], r["score"]) for r in out.collect()}
+    assert len([s for d, s in scores if d == 3]) == 1 and all(0 <= s <= 1 for _, s in scores)
+
+
 def test_mixing_meets_targets_like_brute_force(spark, documents, prose):
     texts = [prose(i, 30 + i) for i in range(60)] + [" ".join(w[::-1] + "q" for w in prose(i, 25 + i).split()) for i in range(20)] + [None, ""]
     docs = documents(texts)
@@ -148,6 +282,45 @@ def test_mixing_meets_targets_like_brute_force(spark, documents, prose):
     assert {row["rate"] for row in mixing.mix(docs, mixing.train(docs, labelled.limit(0)), {"x": 1}).collect()} == {1.0}
 
 
+def test_posteriors_equal_brute_force(spark, documents, prose):
+    texts = [prose(i, 30) for i in range(30)] + [" ".join(w[::-1] + "q" for w in prose(i, 25).split()) for i in range(30)] + [None, " "]
+    labelled = spark.createDataFrame([(i, "x" if i < 30 else "y") for i in range(60)], "doc_id long, domain string")
+    model = mixing.train(documents(texts), labelled)
+    for r in mixing.mix(documents(texts), model, {"x": 1, "y": 3}).collect():
+        b = (texts[r["doc_id"]] or "").lower().encode()
+        pairs = Counter(int(mixing._PAIR[256 * p + q]) for p, q in zip(b, b[1:], strict=False))
+        assert r["n_tokens"] == len(b.split())
+        if not b.split():
+            assert r["posteriors"] == [0.5, 0.5]
+            continue
+        z = model.bias.astype(float).copy()
+        for column, n in pairs.items():
+            z += (n / sum(pairs.values())) ** 0.5 * model.weights[column]
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["posteriors"] == pytest.approx(want.tolist(), abs=1e-5)
+        assert (want[0] > 0.5) == (r["doc_id"] < 30)
+
+
+def test_mixing_edges(spark, documents, prose):
+    """Conflicting labels, repeated rows, long texts, clashing names, and targets that no rates reach."""
+    texts = [prose(i, 30) for i in range(30)] + [" ".join(w[::-1] + "q" for w in prose(i, 25).split()) for i in range(30)] + [" ".join(prose(k, 2000) for k in range(100))]
+    docs = documents(texts).withColumns({"rate": F.lit(9), "n_tokens": F.lit(8), "posteriors": F.lit("p"), "domain": F.lit("d"), "x": F.lit(1), "_text": F.lit(2)})
+    docs = docs.union(docs.filter("doc_id = 1")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(i, "x" if i < 30 else "y") for i in range(60)] + [(2, "y"), (31, "a"), (None, "x"), (5, None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, domain string")
+    model = mixing.train(docs, labelled)
+    again = mixing.train(docs.repartition(3), labelled.orderBy(F.desc("domain")))
+    assert model.domains == ["a", "x", "y"]
+    np.testing.assert_allclose(model.weights, again.weights, atol=1e-6)
+    out = mixing.mix(docs, model, {"a": 0.1, "x": 0.5, "y": 0.4}, docs.columns)
+    assert out.columns == [c for c in docs.columns if c not in ("rate", "n_tokens", "posteriors")] + ["n_tokens", "posteriors", "rate"]
+    assert out.count() == 63 and out.filter("doc_id = 60").first()["n_tokens"] == 200_000
+    only = documents([prose(i, 30) for i in range(20)])
+    with pytest.warns(UserWarning, match="no rates reach"):
+        unreached = mixing.mix(only, mixing.train(documents(texts), labelled), {"y": 1.0})
+    assert all(r["rate"] >= 0 for r in unreached.collect())
+
+
 def common_subsequence(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -272,6 +445,45 @@ def test_fertility_rejects_what_is_unlike_its_language(documents, prose):
         assert rows[i]["n_words"] > 50 and not rows[i]["base_failed"] and not rows[i]["kept"], rows[i]
 
 
+def test_bands_and_verdicts_equal_brute_force(spark, documents, prose):
+    r = random.Random(16)
+    texts = [prose(i, 55 + 5 * (i % 30)) for i in range(80)] + [" ".join(w + "&%$#"[k % 4] * r.randrange(4) for k, w in enumerate(prose(300 + i, 90).split())) for i in range(8)]
+    texts += ["👍🏽 " * 90, prose(1, 20), prose(7, 30) + " " + " ".join(["same"] * 40), None]
+    docs = documents(texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").when(F.col("doc_id") % 3 == 1, "en"))
+    rows = {x["doc_id"]: x for x in fertility.measure(docs).collect()}
+    verdict = {x["doc_id"]: x for x in fertility.judge(docs).collect()}
+    rejected = 0
+    for lang in ("de", "en", None):
+        mine = [x for x in rows.values() if x["lang"] == lang]
+        good = [x for x in mine if x["n_words"] >= 50 and 100 * x["n_repeat_words"] <= 50 * x["n_words"]]
+        size = {x["doc_id"]: math.log2(max(1, x["n_tokens"])) for x in mine}
+        slope, level = np.polyfit([size[x["doc_id"]] for x in good], [x["entropy_share"] for x in good], 1)
+        value = {
+            "chars_per_token": lambda x: x["chars_per_token"], "fallback_share": lambda x: x["fallback_share"],
+            "entropy_excess": lambda x: None if x["entropy_share"] is None else x["entropy_share"] - level - slope * size[x["doc_id"]],
+        }
+        fits = {x["doc_id"]: x in good for x in mine}
+        for m, of in value.items():
+            low, high = np.percentile([float(np.round(of(x), 3)) for x in good], [25, 75])
+            width = max(fertility.WIDTH * (high - low), fertility.LEAST_WIDTH[m])
+            lo, hi = max(low - width, fertility.RANGE[m][0]), min(high + width, fertility.RANGE[m][1])
+            for x in mine:
+                v = of(x)
+                fits[x["doc_id"]] &= v is not None and lo - 1e-9 <= v <= hi + 1e-9
+        for x in mine:
+            assert verdict[x["doc_id"]]["kept"] == fits[x["doc_id"]], x
+            rejected += x in good and not fits[x["doc_id"]]
+    assert rejected >= 2
+
+
+def test_fertility_edges(spark, documents, prose):
+    long = " ".join(prose(k, 2000) for k in range(20))
+    docs = documents([long, prose(1, 80), None]).withColumns({"b_fallback_share": F.lit(1), "own": F.lit("o"), "_lang": F.lit("z"), "kept": F.lit("k"), "m": F.lit(2), "n_words": F.lit(3)})
+    docs = docs.union(docs.filter("doc_id = 1")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = fertility.judge(docs).collect()
+    assert sorted((str(x["doc_id"]), x["n_words"]) for x in rows) == sorted([("0", 40_000), ("1", 80), ("1", 80), ("2", 0), ("None", rows[-1]["n_words"] if rows[-1]["doc_id"] is None else next(x["n_words"] for x in rows if x["doc_id"] is None))])
+
+
 def test_fertility_base_counts(spark, documents, prose):
     r = random.Random(3)
     texts = [prose(i, 80) for i in range(30)] + ["\n".join(r.choice(["a b c", "a b c d", "", " ", "#x <y>", "é ü"]) for _ in range(40)) for _ in range(30)] + [None, "", "퟿" * 400, "漢字かな" * 200]
