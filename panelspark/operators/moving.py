@@ -116,3 +116,31 @@ def decay(df: DataFrame, name: str, x: Column, n: int, half_life: float, how: st
         spread = F.try_divide(F.col("_ss"), F.col("_n")) - mean * mean
         df = df.withColumn(name, F.when(enough, F.sqrt(F.greatest(spread, F.lit(0.0))))).drop("_ss")
     return df.drop("_v", "_n_so_far", "_n", "_s")
+
+
+def linear_residuals(df: DataFrame, y: Column, x: Column, n: int = 8) -> DataFrame:
+    """Adds the readings of a regression of y on x over a symbol's last n rows, both filled forward before.
+
+    reg: the last residual; z_reg: the same with y and x as z-scores of the frame; reg_resi: population deviation of
+    the frame's residuals; slope; qoq: change of y over the row before less that of x. A frame with an unknown value,
+    or with equal x, has none; a zero base has no change. df needs tradedate and symbol.
+    """
+    own = W.partitionBy("symbol").orderBy("tradedate")
+    so_far = own.rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({"_ry": F.last(y, ignorenulls=True).over(so_far), "_rx": F.last(x, ignorenulls=True).over(so_far), "i": F.row_number().over(own) - 1})
+    q, p = F.col("_ry"), F.col("_rx")
+    df = moving_regression(df, n, q, p, "_b", "_a")
+    # Squares relative to the symbol's mean; the frame's deviation of y.
+    df = df.withColumns({"_my": F.avg("_ry").over(W.partitionBy("symbol")), "_mx": F.avg("_rx").over(W.partitionBy("symbol"))})
+    v, u = q - F.col("_my"), p - F.col("_mx")
+    df = moving_sums(df, n, _n=(q + p).isNotNull().cast("double"), _s=v, _ss=v * v, _t=u, _tt=u * u)
+    var_y, var_x = F.col("_ss") / n - (F.col("_s") / n) ** 2, F.col("_tt") / n - (F.col("_t") / n) ** 2
+    known, b = F.col("_n") >= n, F.col("_b")
+    residual = q - b * p - F.col("_a")
+    df = df.withColumns({
+        "reg": F.when(known, residual), "z_reg": F.when(known & (var_y > 0), F.try_divide(residual, F.sqrt(var_y))),
+        "reg_resi": F.when(known, F.sqrt(F.greatest(var_y - b * b * var_x, F.lit(0.0)))), "slope": F.when(known, b),
+    })
+    qoq = F.try_divide(q, F.lag(q, 1).over(own)) - F.try_divide(p, F.lag(p, 1).over(own))
+    df = df.withColumn("reg_resi", F.when(b.isNotNull(), F.col("reg_resi"))).withColumn("qoq", qoq)
+    return df.drop("_ry", "_rx", "i", "_b", "_a", "_my", "_mx", "_n", "_s", "_ss", "_t", "_tt")

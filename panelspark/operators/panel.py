@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, finite, nonzero
+from ..sources.scratch import written
 from .grid import by_date
 
 
@@ -70,18 +71,48 @@ def with_standard(df: DataFrame, c: str) -> DataFrame:
     return with_winsorized(df, c).withColumn(c, normalize(F.col(c)))
 
 
-def with_cleaned(df: DataFrame, c: str) -> DataFrame:
+def quartiles(df: DataFrame, c: str) -> DataFrame:
+    """One row with _q1 and _q3, the exact (interpolated) quartiles of a column over the whole table.
+
+    Sketches give brackets that hold the ranks; only values in a bracket (a five-thousandth of the rows, counted
+    where they repeat) are put in order, so no task gets all values.
+    """
+    known = df.filter(F.col(c).isNotNull()).select(F.col(c).alias("x"))
+    # A sketch errs by a 100,000th of the rows at most, the brackets leave ten times that.
+    sides = [q + d for q in (0.25, 0.75) for d in (-1e-4, 1e-4)]
+    edges = known.agg(F.percentile_approx("x", sides, 100_000).alias("_e"), F.count("*").alias("_n"))
+    e, n, x = F.col("_e"), F.col("_n"), F.col("x")
+    rows = known.crossJoin(F.broadcast(edges))  # one row
+    # A bracket takes the next value to either side too, for tables of few values.
+    around = rows.agg(*[y for k in (0, 2) for y in (F.count_if(x < e[k]).alias(f"_below{k}"), F.max(F.when(x < e[k], x)).alias(f"_lo{k}"), F.min(F.when(x > e[k + 1], x)).alias(f"_hi{k}"))])
+    near = rows.crossJoin(F.broadcast(around))  # one row
+    mine = {k: x.between(F.coalesce(f"_lo{k}", e[k]), F.coalesce(f"_hi{k}", e[k + 1])) for k in (0, 2)}
+    kept = [c for c in near.columns if c != "x"]
+    near = near.filter(mine[0] | mine[2]).groupBy("x").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in kept])
+    out = []
+    for name, share, k in (("_q1", 0.25, 0), ("_q3", 0.75, 2)):
+        # Rank of the value's last copy, from 0; the order is over the brackets' values only.
+        upto = F.sum(F.when(mine[k], F.col("m")).otherwise(0)).over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+        before = F.sum(F.when(mine[k] & (x < e[k]), F.col("m")).otherwise(0)).over(W.partitionBy())
+        near = near.withColumn(f"_r{k}", F.when(mine[k], upto - before + F.col(f"_below{k}") - 1))
+        at = share * (n - 1)
+        low, high = (F.min(F.when(F.col(f"_r{k}") >= to, x)) for to in (F.floor(at), F.ceil(at)))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return near.agg(*out)
+
+
+def with_cleaned(df: DataFrame, *columns: str) -> DataFrame:
     """0, NaN and infinity to NULL, clip to the global quartiles -+ 1.5 times their distance, z-score by date.
 
-    The quartiles are exact over the whole panel: values are counted before they are shuffled.
+    The table is written to the shared folder first, as the quartiles and the result all read it.
     """
-    known = df.withColumn(c, nonzero(finite(F.col(c))))
-    counted = known.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-    edges = counted.agg(F.percentile(c, [0.25, 0.75], F.col("_n")).alias("_q"))
-    span = 1.5 * (F.col("_q")[1] - F.col("_q")[0])
-    held = known.crossJoin(F.broadcast(edges)).withColumn(c, clip(F.col(c), F.col("_q")[0] - span, F.col("_q")[1] + span))
-    x = F.col(c)
-    return held.withColumn(c, F.try_divide(x - F.avg(x).over(by_date()), F.stddev_pop(x).over(by_date()))).drop("_q")
+    known = written(df.withColumns({c: nonzero(finite(F.col(c))) for c in columns}))
+    held = known
+    for c in columns:
+        span = 1.5 * (F.col("_q3") - F.col("_q1"))
+        held = held.crossJoin(F.broadcast(quartiles(known, c)))  # one row
+        held = held.withColumn(c, clip(F.col(c), F.col("_q1") - span, F.col("_q3") + span)).drop("_q1", "_q3")
+    return held.withColumns({c: F.try_divide(F.col(c) - F.avg(c).over(by_date()), F.stddev_pop(c).over(by_date())) for c in columns})
 
 
 def sector_filled(x: Column, sector: str = "sector") -> Column:

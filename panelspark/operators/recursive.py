@@ -127,11 +127,15 @@ def rolling_ols_std(df: DataFrame, y: str, x: str, n: int = 8, name: str = "back
         v, out = pdf[x].astype(float), np.full(len(pdf), np.nan)
         design = np.column_stack([np.ones(len(v)), v, v.shift(1), v.shift(-1)])
         target = pdf[y].to_numpy(float)
-        for t in range(n - 1, len(v)):
-            a, b = design[t - n + 1 : t + 1], target[t - n + 1 : t + 1]
-            if np.isnan(a).any() or np.isnan(b).any():
-                continue
-            out[t] = (b - a @ np.linalg.lstsq(a, b, rcond=None)[0]).std()
+        if len(v) >= n:
+            frames = np.lib.stride_tricks.sliding_window_view
+            a, b = frames(design, n, axis=0).transpose(0, 2, 1), frames(target, n)
+            known = np.flatnonzero(~np.isnan(a).any(axis=(1, 2)) & ~np.isnan(b).any(axis=1))
+            for at in range(0, len(known), 4096):  # blocks bound the memory of the frames
+                k = known[at : at + 4096]
+                # The least-norm solution of every frame at once, singular designs included.
+                fit = np.linalg.pinv(a[k], rcond=n * np.finfo(float).eps) @ b[k][:, :, None]
+                out[k + n - 1] = (b[k] - (a[k] @ fit)[:, :, 0]).std(axis=1)
         return {name: out}
 
     return per_symbol(df, [name], fn)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import recursive
+from ..operators import panel, recursive
 from ..sources import tables
 from . import index_factors as ixf
+from . import labels
 from . import stock_factors as sf
 from .registry import ASSETS, INDEX, MARKET, MARKET_CLOSE, PANEL, over, query, rounded, sql_rank_pct, sql_rounded
 from .report_queries import _TTM, FULL
@@ -225,6 +226,40 @@ def intangible_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*CELLS, rounded("intangible", 2).alias("intangible"), rounded(bp).alias("bp_int"))
 
 
+def _cleaned(c: str, source: str, out: str) -> str:
+    """CTEs that clean a column: 0 to NULL, clipped to the global quartiles, z-score of the date."""
+    return f"""{out}_0 AS (SELECT tradedate, symbol, nullif({c}, 0) AS v FROM {source}), {out}_q AS (SELECT quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi FROM {out}_0),
+{out}_1 AS (SELECT tradedate, symbol, CASE WHEN v IS NOT NULL THEN greatest(least(v, hi + 1.5 * (hi - lo)), lo - 1.5 * (hi - lo)) END AS v FROM {out}_0, {out}_q),
+{out}_2 AS (SELECT tradedate, symbol, CASE WHEN stddev_pop(v) {_D} > 0 THEN round((v - avg(v) {_D}) / stddev_pop(v) {_D}, 9) END AS v FROM {out}_1),
+{out} AS (SELECT tradedate, symbol, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY tradedate ORDER BY v IS NULL, v) + (count(*) OVER (PARTITION BY tradedate, v) - 1) / 2.0 END AS r FROM {out}_2)"""
+
+
+@query(
+    f"""WITH {STOCK}, {_INTANGIBLE.replace("x AS (SELECT tradedate, symbol, net_asset", "bi AS (SELECT tradedate, symbol, net_asset")}, b AS (SELECT tradedate, symbol, nullif(net_asset + intangible, 0) / cap AS bp_int FROM bi),
+fn AS (SELECT *, linflow - loutflow AS net FROM st), fy AS (SELECT tradedate, symbol, CASE WHEN count(net) {over(20)} >= 20 THEN sum(net) {over(20)} / nullif(sum(abs(net)) {over(20)}, 0) END AS y, px / {lagged("px", 20)} - 1 AS x FROM fn),
+f AS (SELECT tradedate, symbol, {_RES} AS fund_flow FROM fy), ty AS (SELECT tradedate, symbol, ln(nullif(turnrate, 0)) AS y, ln(negotiablemv) AS x FROM st), t AS (SELECT tradedate, symbol, {_RES} AS tr2mv FROM ty),
+{_cleaned("bp_int", "b", "cb")}, {_cleaned("fund_flow", "f", "cf")}, {_cleaned("tr2mv", "t", "ct")},
+s AS (SELECT cb.tradedate, cb.symbol, cb.r + cf.r - ct.r AS s FROM cb JOIN cf USING (tradedate, symbol) JOIN ct USING (tradedate, symbol))
+SELECT tradedate, symbol, CASE WHEN s IS NOT NULL THEN rank() OVER (PARTITION BY tradedate ORDER BY s IS NULL, s) + (count(*) OVER (PARTITION BY tradedate, s) - 1) / 2.0 END AS value FROM s"""
+)
+def naive_multi_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of cleaned book-to-price with intangibles and large flow, less that of turnover, ranked again.
+
+    Values that agree in nine digits rank as equal.
+    """
+    m = tables.stock_market(spark, sf_dir)
+    shares = {"rd": 0.05, "sales": 0.1, "manage": 0.08}
+    cols = {c: F.col("revenue") * s for c, s in shares.items()} | {f"{c}_1": F.col("revenue_1") * s for c, s in shares.items()}
+    cols |= {"goodwill": F.coalesce(F.col("revenue") * 0 + 100, F.lit(0.0)), "goodwill_1": F.lit(0.0), "net_asset": sf.net_asset(), "cap": sf.market_value()}
+    m = m.select(*CELLS, "px", "linflow", "loutflow", "turnrate", "negotiablemv", *[x.alias(c) for c, x in cols.items()])
+    m = recursive.intangible_assets(m, "rd", "sales", "manage", "goodwill")
+    m = m.withColumn("bp_int", sf.ratio(sf.nonzero(F.col("net_asset") + F.col("intangible")), F.col("cap")))
+    m = sf.tr2mv(sf.fund_flow(m)).select(*CELLS, "bp_int", "fund_flow", "tr2mv")
+    signs = {"bp_int": 1, "fund_flow": 1, "tr2mv": -1}
+    m = panel.with_cleaned(m, *signs).withColumns({c: F.round(c, 9) for c in signs})
+    return labels.multi_factor(m, signs).select(*CELLS, "value")
+
+
 # --- index factors --------------------------------------------------------------------------------
 
 IX = INDEX + "," + MARKET_CLOSE + ", ix AS (SELECT ig.*, mc.close AS bm FROM ig JOIN mc USING (tradedate))"

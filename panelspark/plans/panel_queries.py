@@ -68,7 +68,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT tradedate, symbol, coalesce(close, median(close) OVER (PARTITION BY tradedate, sector)) AS v FROM g JOIN assets USING (symbol))"""
 )
 def fillna_by_sec_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tables.market(spark, sf_dir).join(F.broadcast(tables.assets(spark, sf_dir)), "symbol")
+    m = tables.market(spark, sf_dir).join(tables.assets(spark, sf_dir), "symbol")
     return m.select(*CELLS, rounded(panel.sector_filled(close())).alias("value"))
 
 
@@ -79,10 +79,10 @@ SELECT d.tradedate, s.symbol, {sql_rounded("r.revenue", 2)} AS value
 FROM days d CROSS JOIN syms s ASOF LEFT JOIN r ON r.symbol = s.symbol AND r.publishdate <= d.tradedate"""
 )
 def asof_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.panel(spark, sf_dir)
+    days, symbols = tables.axes(spark, sf_dir)
     r = tables.reports(spark, sf_dir).groupBy("symbol", F.col("publishdate").alias("tradedate")).agg(F.max_by("revenue", "enddate").alias("value"))
-    r = r.join(p.select("symbol").distinct(), "symbol", "left_semi")
-    return grid.asof(r, p, p, ["value"]).withColumn("value", rounded("value", 2))
+    r = r.join(symbols, "symbol", "left_semi")
+    return grid.asof(r, days, symbols, ["value"]).withColumn("value", rounded("value", 2))
 
 
 _SPANS = """spans AS (SELECT lpad(o_custkey::VARCHAR, 6, '0') AS symbol, min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders GROUP BY 1)"""
@@ -160,29 +160,76 @@ def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {PANEL}, {_INFO}, l AS (SELECT *, coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') AS hi FROM info),
+_TRADABLE = f"""{PANEL}, {_INFO}, l AS (SELECT *, coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') AS hi FROM info),
 c AS (SELECT d.tradedate, l.*, p.close, p.volume, tradedate BETWEEN listdate AND hi AS listed FROM (SELECT DISTINCT tradedate FROM panel) d CROSS JOIN l LEFT JOIN panel p USING (tradedate, symbol)),
-w AS (SELECT *, sum(listed::INT) OVER s AS age, close / lag(close) OVER s - 1 AS pct FROM c WINDOW s AS (PARTITION BY symbol ORDER BY tradedate))
-SELECT tradedate, symbol FROM w WHERE listed AND age > 120 AND sesname NOT LIKE '%ST %' AND volume IS NOT NULL
-  AND NOT coalesce(pct > CASE WHEN board = '4' THEN 0.195 ELSE 0.095 END, false)"""
-)
+w AS (SELECT *, sum(listed::INT) OVER s AS age, close / lag(close) OVER s - 1 AS pct FROM c WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)),
+tradable AS (SELECT tradedate, symbol FROM w WHERE listed AND age > 120 AND sesname NOT LIKE '%ST %' AND volume IS NOT NULL
+  AND NOT coalesce(pct > CASE WHEN board = '4' THEN 0.195 ELSE 0.095 END, false))"""
+
+
+@query(f"WITH {_TRADABLE} SELECT tradedate, symbol FROM tradable")
 def trade_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.panel(spark, sf_dir)
     # Names of the test data hold no other ST than the mark.
     return universe.trade_calendar(p, _info(spark, sf_dir).withColumn("sesname", F.regexp_replace("sesname", "ST(?! )", "_")), universe.calendar(p))
 
 
+def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of indices (regions): symbol, selectedsymbol, selecteddate, outdate."""
+    nation = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("string").alias("index"))
+    supplier = tables.read(spark, sf_dir, "supplier").select(tables.code(F.col("s_suppkey")).alias("symbol"), "s_nationkey").join(nation, "s_nationkey")
+    return _info(spark, sf_dir).join(supplier, "symbol").select(F.col("index").alias("symbol"), F.col("symbol").alias("selectedsymbol"), F.col("listdate").alias("selecteddate"), F.col("delistdate").alias("outdate"))
+
+
+@query(
+    f"""WITH {_TRADABLE}, m AS (SELECT info.symbol, listdate, coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') AS hi FROM info
+  JOIN supplier ON info.symbol = lpad(s_suppkey::VARCHAR, 6, '0') JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1)
+SELECT 'all' AS scope, tradedate, symbol FROM tradable UNION ALL SELECT '1', tradedate, symbol FROM tradable JOIN m USING (symbol) WHERE tradedate >= listdate AND tradedate < hi"""
+)
+def stock_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of all stocks that can be traded, and that of one index's members."""
+    tradable, members = trade_calendar(spark, sf_dir), _membership(spark, sf_dir)
+    pools = [universe.scope_pool(scope, tradable, members).select(F.lit(scope).alias("scope"), *CELLS) for scope in ("all", "1")]
+    return pools[0].union(pools[1])
+
+
+@query(
+    """WITH c AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS symbol, CASE WHEN s_suppkey % 9 = 0 THEN '0' WHEN s_suppkey % 7 = 0 THEN '2' ELSE '1' END AS status, n_nationkey::VARCHAR AS nation, n_regionkey::VARCHAR AS region
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT symbol, CASE WHEN status = '1' THEN region ELSE '0' END AS level1, CASE WHEN status <> '0' THEN nation ELSE '0' END AS level3 FROM c"""
+)
+def stock_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industry of two levels: regions and nations; some entries have run out or are not in use."""
+    n = tables.read(spark, sf_dir, "nation")
+    s = tables.read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey")
+    unused, over = F.when(key % 9 == 0, "0").otherwise("1"), F.when(key % 7 == 0, F.lit("1997-01-01"))
+    base = [tables.code(key).alias("selectedsymbol"), unused.alias("usestatus")]
+    first = s.select(*base, F.lit("level 1").alias("estclass"), F.col("n_regionkey").cast("string").alias("symbol"), over.cast("date").alias("outdate"))
+    third = s.select(*base, F.lit("level 3").alias("estclass"), F.col("n_nationkey").cast("string").alias("symbol"), F.lit(None).cast("date").alias("outdate"))
+    assets = s.select(tables.code(key).alias("symbol"))
+    return universe.industries(assets, first.union(third), "1998-12-31", {"level1": "level 1", "level3": "level 3"})
+
+
+@query(
+    """SELECT lpad(n_nationkey::VARCHAR, 6, '0') AS symbol, n_name AS sesname, 'swlevel1' AS estclass FROM nation"""
+)
+def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic information of the indices of one class, one row a symbol; regions are indices of another class."""
+    n, r = tables.read(spark, sf_dir, "nation"), tables.read(spark, sf_dir, "region")
+    level = n.select(F.col("n_nationkey").cast("string").alias("symbol"), F.col("n_name").alias("sesname"), F.lit("swlevel1").alias("estclass"), F.lit(1).alias("no"))
+    again = level.withColumns({"sesname": F.lit("a later entry"), "no": F.lit(2)})
+    board = r.select(F.col("r_regionkey").cast("string").alias("symbol"), F.col("r_name").alias("sesname"), F.lit("board").alias("estclass"), F.lit(0).alias("no"))
+    return universe.basic_info(again.union(level).union(board), "no", "swlevel1").select("symbol", "sesname", "estclass")
+
+
 @query(
     f"""WITH {_INFO} SELECT index AS symbol, list_sort(list(DISTINCT symbol)) AS components FROM (
   SELECT info.*, n_regionkey::VARCHAR AS index FROM info JOIN supplier ON info.symbol = lpad(s_suppkey::VARCHAR, 6, '0') JOIN nation ON n_nationkey = s_nationkey)
 WHERE listdate <= DATE '1998-01-01' AND coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') >= DATE '1998-01-01' GROUP BY index"""
 )
 def current_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("string").alias("index"))
-    supplier = tables.read(spark, sf_dir, "supplier").select(tables.code(F.col("s_suppkey")).alias("symbol"), "s_nationkey").join(nation, "s_nationkey")
-    m = _info(spark, sf_dir).join(supplier, "symbol").select(F.col("index").alias("symbol"), F.col("symbol").alias("selectedsymbol"), F.col("listdate").alias("selecteddate"), F.col("delistdate").alias("outdate"))
-    return universe.current_components(m, "1998-01-01")
+    return universe.current_components(_membership(spark, sf_dir), "1998-01-01")
 
 
 @query(f"WITH {MARKET_CLOSE} SELECT tradedate, {sql_rounded('close')} AS close, {sql_rounded('r', 6)} AS ret FROM (SELECT *, ln(close) - lag(ln(close)) OVER (ORDER BY tradedate) AS r FROM mc)")
@@ -210,3 +257,22 @@ def labels_fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = labels.forward_labels(tables.market(spark, sf_dir), "px", (1, 5, 20))
     return out.select(*CELLS, *[rounded(c).alias(c) for c in ("ret_1", "ret_5", "ret_20")])
+
+
+_AHEAD = ", ".join(f"lead(ln({p}), {n}) OVER s - ln({p}) AS f_{c}_{n}" for c, p in (("vwap", "vw"), ("px", "px")) for n in (1, 5, 20))
+_AHEADS = [f"{c}_{n}" for c in ("vwap", "px") for n in (1, 5, 20)]
+
+
+@query(
+    f"""WITH {MARKET}, v AS (SELECT *, last_value(amount / volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY tradedate ROWS UNBOUNDED PRECEDING) AS vw FROM g),
+l AS MATERIALIZED (SELECT tradedate, symbol, {_AHEAD} FROM v WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)), a AS (SELECT {", ".join(f"avg(f_{c}) AS a_{c}" for c in _AHEADS)} FROM l)
+SELECT tradedate, symbol, {", ".join(f"{sql_rounded(f'f_{c} - a_{c}')} AS ret_{c}" for c in _AHEADS)} FROM l, a"""
+)
+def labels_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of two prices and three horizons."""
+    from ..functions.numeric import ratio
+    from . import labels
+
+    m = tables.market(spark, sf_dir).withColumn("vwap", ratio(F.col("amount"), F.col("volume")))
+    out = labels.forward_labels(m, ["vwap", "px"], (1, 5, 20))
+    return out.select(*CELLS, *[rounded(f"ret_{c}").alias(f"ret_{c}") for c in _AHEADS])

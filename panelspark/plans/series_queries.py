@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import zero_if_null
 from ..operators import grid, moving, recursive, series
 from ..sources import landing, tables
-from .registry import ASSETS, MARKET, PANEL, over, query, rounded, sql_rank_pct, sql_rounded
+from .registry import ASSETS, MARKET, PANEL, REPORTS, over, query, rounded, sql_rank_pct, sql_rounded
 
 CELLS = ["tradedate", "symbol"]
 
@@ -166,6 +166,36 @@ def back_forth_residual_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive.rolling_ols_std(r, "revenue", "x", 8, "value").select(*CELLS, rounded("value", 2).alias("value"))
 
 
+_RESIDUALS = ("reg", "z_reg", "reg_resi", "slope", "qoq")
+_W8 = "OVER (PARTITION BY symbol ORDER BY tradedate ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"
+_LINEAR = f"""r0 AS (SELECT symbol, enddate AS tradedate, publishdate, revenue AS y, quarter(enddate) * 1000.0::DOUBLE + year(enddate) AS x FROM reports),
+r1 AS (SELECT *, count(*) {_W8} AS n, regr_slope(y, x) {_W8} AS b, regr_intercept(y, x) {_W8} AS a, stddev_pop(y) {_W8} AS sy, stddev_pop(x) {_W8} AS sx,
+  y / nullif(lag(y) OVER s, 0) - x / nullif(lag(x) OVER s, 0) AS qoq FROM r0 WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)),
+r2 AS (SELECT tradedate, symbol, publishdate, CASE WHEN n >= 8 THEN y - b * x - a END AS reg, CASE WHEN n >= 8 AND sy > 0 THEN (y - b * x - a) / sy END AS z_reg,
+  CASE WHEN n >= 8 THEN sqrt(greatest(sy * sy - b * b * sx * sx, 0)) END AS reg_resi, CASE WHEN n >= 8 THEN b END AS slope, qoq FROM r1)"""
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tables.reports(spark, sf_dir).select("symbol", F.col("enddate").alias("tradedate"), "publishdate", "revenue", (F.quarter("enddate") * 1000.0 + F.year("enddate")).alias("x"))
+    return moving.linear_residuals(r, F.col("revenue"), F.col("x"))
+
+
+@query(f"WITH {REPORTS}, {_LINEAR} SELECT tradedate, symbol, " + ", ".join(f"{sql_rounded(c, 2)} AS {c}" for c in _RESIDUALS) + " FROM r2")
+def linear_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residuals(spark, sf_dir).select(*CELLS, *[rounded(c, 2).alias(c) for c in _RESIDUALS])
+
+
+@query(
+    f"""WITH {MARKET}, {REPORTS}, {_LINEAR}, p AS (SELECT symbol, publishdate AS tradedate, arg_max(slope, tradedate) AS v FROM r2 WHERE slope IS NOT NULL GROUP BY ALL)
+SELECT g.tradedate, g.symbol, {sql_rounded("last_value(v IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.tradedate ROWS UNBOUNDED PRECEDING)", 2)} AS value FROM g LEFT JOIN p ON p.symbol = g.symbol AND p.tradedate = g.tradedate"""
+)
+def linear_slope_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of reports on the days they were published, if these are trading days, filled forward on the grid."""
+    days, symbols = tables.axes(spark, sf_dir)
+    r = _residuals(spark, sf_dir).filter("slope is not null").groupBy("symbol", F.col("publishdate").alias("tradedate")).agg(F.max_by("slope", "tradedate").alias("v"))
+    return grid.densify(r, days, symbols).select(*CELLS, rounded(grid.ffill(F.col("v")), 2).alias("value"))
+
+
 @query(f"WITH {MARKET} SELECT tradedate, symbol, {sql_rounded('v')} AS value FROM (SELECT tradedate, symbol, {sql_rank_pct('vol', 250)} AS v FROM g)")
 def rolling_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.market(spark, sf_dir).select(*CELLS, "vol")

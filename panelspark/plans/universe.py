@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dates import symbol_code
 from ..operators.grid import by_symbol, densify, ffill, grid, lag, so_far
 
 FOREVER = "9999-12-31"
+#: Names of the pools that are kept, indices by code.
+SCOPES = ("000300", "000905", "000906", "000852", "399303", "000985", "all")
 
 
 def calendar(panel: DataFrame) -> DataFrame:
@@ -28,17 +31,16 @@ def open_ended(date: Column) -> Column:
 def members(intervals: DataFrame, days: DataFrame, start: str, end: str, closed: bool) -> DataFrame:
     """(keys of intervals, tradedate) for every day in [start, end], or [start, end) if not closed.
 
-    Intervals name their first and last trading day by day number, so days come from a sequence and no
-    range join is needed.
+    An interval is cut to the calendar's ends and spread to its dates, which meet the calendar in an equi-join;
+    no range join is needed, and an interval gives no more rows than the calendar spans days.
     """
-    numbered = days.select("tradedate").distinct().withColumn("n", F.row_number().over(W.orderBy("tradedate")))
-    at = F.col("tradedate")
-    # The calendar is a bounded dimension (see grid.MOST_DAYS).
-    table = numbered.agg(F.sort_array(F.collect_list(F.struct(at.alias("d"), "n"))).alias("days"))
     keep = [c for c in intervals.columns if c not in (start, end)]
-    inside = (lambda d: (d["d"] >= F.col(start)) & (d["d"] <= F.col(end))) if closed else (lambda d: (d["d"] >= F.col(start)) & (d["d"] < F.col(end)))
-    spread = intervals.filter(F.col(start).isNotNull()).crossJoin(F.broadcast(table))
-    return spread.select(*keep, F.explode(F.filter("days", inside)).alias("d")).select(*keep, F.col("d.d").alias("tradedate"))
+    days = days.select("tradedate").distinct()
+    ends = days.agg(F.min("tradedate").alias("_first"), F.max("tradedate").alias("_last"))
+    last = F.col(end) if closed else F.date_sub(F.col(end), 1)
+    cut = intervals.filter(F.col(start).isNotNull()).crossJoin(F.broadcast(ends))  # one row
+    cut = cut.select(*keep, F.greatest(F.col(start), "_first").alias("_lo"), F.least(last, "_last").alias("_hi")).filter("_lo <= _hi")
+    return cut.select(*keep, F.explode(F.sequence("_lo", "_hi")).alias("tradedate")).join(days, "tradedate").select(*keep, "tradedate")
 
 
 def trade_calendar(panel: DataFrame, info: DataFrame, days: DataFrame, least_days: int = 120, filled: bool = False) -> DataFrame:
@@ -48,7 +50,7 @@ def trade_calendar(panel: DataFrame, info: DataFrame, days: DataFrame, least_day
     the daily limit (19.5 % on board 4, 9.5 % elsewhere). filled carries an earlier 1 over blocked days.
     """
     listed = info.select("symbol", "sesname", "board", F.col("listdate").alias("lo"), open_ended(F.col("delistdate")).alias("hi"))
-    cells = densify(panel.select("tradedate", "symbol", "close", "volume"), days, info).join(F.broadcast(listed), "symbol")
+    cells = densify(panel.select("tradedate", "symbol", "close", "volume"), days, info).join(listed, "symbol")
     is_listed = F.coalesce(F.col("tradedate").between(F.col("lo"), F.col("hi")), F.lit(False))
     age = F.sum(is_listed.cast("int")).over(so_far())
     pct = F.try_divide(F.col("close"), lag(F.col("close"), 1)) - 1
@@ -66,6 +68,39 @@ def stock_pool(membership: DataFrame, days: DataFrame, tradable: DataFrame | Non
     return pool.join(tradable, ["tradedate", "symbol"], "left_semi") if tradable is not None else pool
 
 
+def scope_pool(scope: str, tradable: DataFrame, membership: DataFrame | None = None) -> DataFrame:
+    """(tradedate, symbol) of a named pool: "all" is what can be traded, another name the members of that index.
+
+    membership: symbol (the index), selectedsymbol, selecteddate, outdate; members without an entry date, or with one
+    of the year 1900, are not in the pool, and an unknown or 1900 exit is open.
+    """
+    if scope == "all":
+        return tradable.select("tradedate", "symbol").distinct()
+    mine = membership.filter((F.col("symbol") == scope) & (F.year("selecteddate") != 1900))
+    return stock_pool(mine, calendar(tradable), tradable)
+
+
+def basic_info(info: DataFrame, order: str, estclass: str | None = None) -> DataFrame:
+    """One row a symbol, the first by `order`, codes padded to six digits; of one class of indices where given."""
+    info = info if estclass is None else info.filter(F.col("estclass") == estclass)
+    info = info.withColumn("symbol", symbol_code(F.col("symbol")))
+    w = W.partitionBy("symbol").orderBy(order)
+    return info.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row")
+
+
+def industries(assets: DataFrame, components: DataFrame, end: str, levels: dict[str, str]) -> DataFrame:
+    """symbol and one column a level: the industry index whose component the asset is after `end`, or "0".
+
+    components: estclass, symbol (the industry), selectedsymbol, outdate, usestatus; levels names the class of each
+    column. Of several valid industries of a class the greatest code counts.
+    """
+    valid = components.filter((F.col("usestatus") == "1") & (open_ended(F.col("outdate")) > F.lit(end).cast("date")))
+    cells = [F.max(F.when(F.col("estclass") == c, F.col("symbol"))).alias(level) for level, c in levels.items()]
+    found = valid.groupBy(F.col("selectedsymbol").alias("_member")).agg(*cells)
+    joined = assets.select("symbol").distinct().join(found, F.col("symbol") == F.col("_member"), "left")
+    return joined.select("symbol", *[F.coalesce(level, F.lit("0")).alias(level) for level in levels])
+
+
 def current_components(membership: DataFrame, on: str) -> DataFrame:
     """Index -> components list on a day (both ends count)."""
     day = F.lit(on).cast("date")

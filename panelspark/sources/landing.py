@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -81,6 +82,71 @@ def overwrite_merge(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("symb
     return both.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row", "_new")
 
 
+def extract_incremental(target: DataFrame, template: str, fetch: Callable[[str], DataFrame], days: int = RECOMPUTE_DAYS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """A target table brought up to date: its last date found, the template queried from `days` before it, and merged.
+
+    fetch runs a query (read_jdbc with the address filled in); a target without rows is extracted in full.
+    """
+    last = last_date(target, date_column(target)).first()[0]  # one row
+    new = fetch(full_query(template) if last is None else incremental_query(template, last.strftime("%Y%m%d"), days))
+    return overwrite_merge(target, new, keys)
+
+
+def update_table(spark: SparkSession, folder: str, tag: str, stamp: str, template: str, fetch: Callable[[str], DataFrame]) -> str:
+    """Write tag_<stamp> beside the newest version of the tag, brought up to date; returns the new path.
+
+    The old version stays for readers that have it open; stamp is YYYYMMDD.
+    """
+    new = f"{folder}/{tag}_{stamp}"
+    extract_incremental(spark.read.parquet(newest(spark, folder, tag)), template, fetch).write.parquet(new)
+    return new
+
+
+def table_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder, lower-case, without their file endings; a listing, no data is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in files)
+
+
+def normal_name(name: str) -> str:
+    """A file's name without ending, lower-case."""
+    return name.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
+
+
+def newest(spark: SparkSession, folder: str, tag: str) -> str:
+    """Path of a tag's newest version: tag_YYYYMMDD with the greatest date, else the tag without a date."""
+    names = {normal_name(n): n for n in table_names(spark, folder)}
+    dated = [n for n in names if re.fullmatch(re.escape(tag.lower()) + r"_\d{8}", n)]
+    if not dated and tag.lower() not in names:
+        raise FileNotFoundError(f"no table {tag} in {folder}")
+    return f"{folder}/{names[max(dated) if dated else tag.lower()]}"
+
+
+def current_file(paths: Sequence[str]) -> str:
+    """The first path whose file name holds "curr"."""
+    return next(p for p in paths if "curr" in normal_name(p))
+
+
+#: Statement tables are cleaned before they are pivoted; what each gives is named by its readers.
+STATEMENTS = {"financials_balance": ("balance",), "financials_income": ("ttm", "mrq"), "financials_cash_flow": ("ttm", "mrq")}
+MARKETS = ("stock_sk_market", "stock_sk_moneyflow", "stock_sk_forecast", "stock_valuation", "stock_shhk_northamt", "index_sk_market")
+
+
+def load_dimension(spark: SparkSession, folder: str, tag: str) -> list[DataFrame]:
+    """The formatted tables (tradedate, symbol, fields) of a dimension, newest version: one, or two of flow statements."""
+    if tag not in (*STATEMENTS, *MARKETS):
+        raise ValueError(f"unknown dimension: {tag}")
+    raw = spark.read.parquet(newest(spark, folder, tag))
+    if tag in MARKETS:
+        return [format_table(raw)]
+    from ..plans import financials
+
+    readers = {"balance": financials.balance, "ttm": financials.trailing_year, "mrq": financials.quarterly}
+    fields = numeric_fields(raw)
+    return [readers[kind](raw, fields) for kind in STATEMENTS[tag]]
+
+
 def numeric_fields(df: DataFrame, keys: Sequence[str] = ("symbol", "tradedate", "enddate", "publishdate")) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in keys]
 

@@ -46,9 +46,15 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calendar (tradedate) and assets (symbol) of the panel, from the two columns that hold them."""
+    rows = read(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_shipdate").cast("date").alias("tradedate")).distinct(), rows.select(code(F.col("l_suppkey")).alias("symbol")).distinct()
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel on its grid, with row number i, filled price px, its log return and its fill of volume."""
-    dense = densify(panel(spark, sf_dir))
+    dense = densify(panel(spark, sf_dir), *axes(spark, sf_dir))
     filled = dense.withColumns(
         {"i": F.row_number().over(by_symbol()) - 1, "px": ffill(nonzero(F.col("close"))), "vol": ffill(nonzero(F.col("volume")))}
     )
@@ -70,7 +76,7 @@ def market_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel's fields of an index: its members' sums, and close = amount / volume; symbol is the index."""
-    p = panel(spark, sf_dir).join(F.broadcast(assets(spark, sf_dir)), "symbol")
+    p = panel(spark, sf_dir).join(assets(spark, sf_dir), "symbol")
     sums = {c: exact_sum(F.col(c)) for c in ("volume", "amount", "inflow", "outflow")}
     return p.groupBy("tradedate", F.col("index").alias("symbol")).agg(
         *[x.alias(c) for c, x in sums.items()], ratio(sums["amount"], sums["volume"]).alias("close"),
@@ -108,10 +114,10 @@ def stock_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = market_close(spark, sf_dir).withColumn("bm_ret", F.ln("close") - F.lag(F.ln("close"), 1).over(W.orderBy("tradedate")))
     # One row a day: densify has checked the calendar's size (grid.MOST_DAYS).
     m = m.join(F.broadcast(bench.select("tradedate", "bm_ret")), "tradedate")
-    p = panel(spark, sf_dir)
-    mine = statements(spark, sf_dir).join(p.select("symbol").distinct(), "symbol", "left_semi")
+    days, assets = axes(spark, sf_dir)
+    mine = statements(spark, sf_dir).join(assets, "symbol", "left_semi")
     fields = ["revenue", "revenue_ttm", *[f"revenue_{i}" for i in (1, 2, 3)]]
-    m = m.join(asof(mine, p, p, fields), ["tradedate", "symbol"], "left")
+    m = m.join(asof(mine, days, assets, fields), ["tradedate", "symbol"], "left")
     r, t = F.col("revenue"), F.col("revenue_ttm")
     own = {
         "negotiablemv": F.col("px") * 800, "totmktcap": F.col("px") * 1000, "turnrate": F.col("vol") / 100, "stk_share": 1000.0 + F.col("i") / 100,
@@ -133,4 +139,5 @@ def index_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.index_factors import positive_levels
 
     ix = positive_levels(densify(index_panel(spark, sf_dir)))
+    # One row a day: densify has checked the calendar's size (grid.MOST_DAYS).
     return ix.join(F.broadcast(market_close(spark, sf_dir).withColumnRenamed("close", "bm")), "tradedate")
