@@ -39,10 +39,22 @@ def grid(calendar: DataFrame, assets: DataFrame) -> DataFrame:
     return symbols.crossJoin(F.broadcast(days))
 
 
-def densify(panel: DataFrame, calendar: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
-    """The panel on every day and asset; cells without a row are NULL, rows off the grid are left out."""
-    cells = grid(calendar or panel, assets or panel)
-    return cells.join(panel, ["tradedate", "symbol"], "left")
+def densify(panel: DataFrame | None, calendar: DataFrame | None = None, assets: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
+    """The panel (one row a day and symbol) on every day and asset; cells without a row are NULL, rows off the grid go.
+
+    reports (tradedate, symbol, fields of their own names) are laid beside it point in time: each field has its
+    latest known value, from a day without trading too. Grid, panel and reports are put together and grouped rather
+    than joined: one shuffle by symbol serves the grouping and the windows down the dates that follow.
+    """
+    both = grid(calendar or panel, assets or panel).withColumn("_on_grid", F.lit(True))
+    for part in (panel, reports):
+        both = both.unionByName(part, allowMissingColumns=True) if part is not None else both
+    fields = [c for c in both.columns if c not in ("tradedate", "symbol", "_on_grid")]
+    both = both.repartition("symbol").groupBy("tradedate", "symbol")
+    one = both.agg(F.max("_on_grid").alias("_on_grid"), *[F.first(c, ignorenulls=True).alias(c) for c in fields])
+    if reports is not None:
+        one = one.withColumns({c: ffill(F.col(c)) for c in reports.columns if c not in ("tradedate", "symbol")})
+    return one.filter("_on_grid").drop("_on_grid")
 
 
 def ffill(x: Column) -> Column:
@@ -67,11 +79,7 @@ def change(x: Column, n: int) -> Column:
 def asof(reports: DataFrame, calendar: DataFrame, assets: DataFrame, fields: Sequence[str], fill_zero: bool = False) -> DataFrame:
     """Latest known value of each field on every trading day.
 
-    A report dated on a day without trading shows on the next trading day. Reports and grid are put
-    together and filled forward, so each symbol is shuffled once and no range join is needed.
+    A report dated on a day without trading shows on the next trading day. No range join is needed, see densify.
     """
-    cells = grid(calendar, assets).withColumn("on_grid", F.lit(True))
-    both = cells.unionByName(reports.select("tradedate", "symbol", *fields), allowMissingColumns=True)
-    one = both.groupBy("tradedate", "symbol").agg(F.max("on_grid").alias("on_grid"), *[F.first(f, ignorenulls=True).alias(f) for f in fields])
-    filled = one.select("tradedate", "symbol", "on_grid", *[ffill(F.col(f)).alias(f) for f in fields]).filter("on_grid").drop("on_grid")
+    filled = densify(None, calendar, assets, reports.select("tradedate", "symbol", *fields))
     return filled.fillna(0.0, list(fields)) if fill_zero else filled

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, panel
 from ..sources import tables
+from ..sources.scratch import written
 from . import backtest as bt
 from . import labels, universe
 from .registry import MARKET, query, rounded, sql_rounded
@@ -24,7 +25,8 @@ def reversal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     factor, price = reversal(spark, sf_dir)
-    return bt.binned(universe.align_forward_returns(factor, price, None, "M"), Q)
+    # Every figure of the backtest reads the binned cells.
+    return written(bt.binned(universe.align_forward_returns(factor, price, None, "M"), Q))
 
 
 _D = "OVER (PARTITION BY tradedate)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import symbol_code
 from ..operators.grid import by_symbol, densify, ffill, grid, lag, so_far
+from ..sources.scratch import written
 
 FOREVER = "9999-12-31"
 #: Names of the pools that are kept, indices by code.
@@ -140,12 +141,13 @@ def align_forward_returns(factor: DataFrame, price: DataFrame, pool: DataFrame |
     """tradedate, symbol, factor and fwd (return to the next period) on the periods both know.
 
     factor and price are (tradedate, symbol, value); the pool masks the factor before resampling. Symbols
-    keep the periods without values, so a return spans exactly one period.
+    keep the periods without values, so a return spans exactly one period. The values by period are few and are
+    read several times, so they are written to the shared folder first.
     """
     if pool is not None:
         factor = factor.join(pool, ["tradedate", "symbol"], "left_semi")
-    f = resample_last(factor.select("tradedate", "symbol", F.col("value").alias("factor")).filter("factor is not null"), ["factor"], freq)
-    p = resample_last(price.select("tradedate", "symbol", F.col("value").alias("price")), ["price"], freq)
+    f = written(resample_last(factor.select("tradedate", "symbol", F.col("value").alias("factor")).filter("factor is not null"), ["factor"], freq))
+    p = written(resample_last(price.select("tradedate", "symbol", F.col("value").alias("price")), ["price"], freq))
     dates = p.select("tradedate").distinct().join(f.select("tradedate").distinct(), "tradedate", "left_semi")
     symbols = p.select("symbol").distinct().join(f.select("symbol").distinct(), "symbol", "left_semi")
     cells = grid(dates, symbols).join(f, ["tradedate", "symbol"], "left").join(p, ["tradedate", "symbol"], "left")

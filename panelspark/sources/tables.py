@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nonzero, ratio
-from ..operators.grid import asof, by_symbol, densify, ffill, lag
+from ..operators.grid import by_symbol, densify, ffill, lag
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,10 @@ def axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel on its grid, with row number i, filled price px, its log return and its fill of volume."""
-    dense = densify(panel(spark, sf_dir), *axes(spark, sf_dir))
+    return _filled(densify(panel(spark, sf_dir), *axes(spark, sf_dir)))
+
+
+def _filled(dense: DataFrame) -> DataFrame:
     filled = dense.withColumns(
         {"i": F.row_number().over(by_symbol()) - 1, "px": ffill(nonzero(F.col("close"))), "vol": ffill(nonzero(F.col("volume")))}
     )
@@ -110,14 +113,13 @@ def stock_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Statement fields are 0 before the first report, as the as-of reader gives them.
     """
-    m = market(spark, sf_dir)
+    days, assets = axes(spark, sf_dir)
+    fields = ["revenue", "revenue_ttm", *[f"revenue_{i}" for i in (1, 2, 3)]]
+    mine = statements(spark, sf_dir).join(assets, "symbol", "left_semi").select("tradedate", "symbol", *fields)
+    m = _filled(densify(panel(spark, sf_dir), days, assets, mine))
     bench = market_close(spark, sf_dir).withColumn("bm_ret", F.ln("close") - F.lag(F.ln("close"), 1).over(W.orderBy("tradedate")))
     # One row a day: densify has checked the calendar's size (grid.MOST_DAYS).
     m = m.join(F.broadcast(bench.select("tradedate", "bm_ret")), "tradedate")
-    days, assets = axes(spark, sf_dir)
-    mine = statements(spark, sf_dir).join(assets, "symbol", "left_semi")
-    fields = ["revenue", "revenue_ttm", *[f"revenue_{i}" for i in (1, 2, 3)]]
-    m = m.join(asof(mine, days, assets, fields), ["tradedate", "symbol"], "left")
     r, t = F.col("revenue"), F.col("revenue_ttm")
     own = {
         "negotiablemv": F.col("px") * 800, "totmktcap": F.col("px") * 1000, "turnrate": F.col("vol") / 100, "stk_share": 1000.0 + F.col("i") / 100,
