@@ -17,9 +17,10 @@ from panelspark.llm.common import Scratch, materialize, read, with_ids
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents with a score below the threshold go; null texts score 0 and go."""
     model = queries.quality_model(docs, spark, sf_dir)
-    columns = docs.columns
-    scored = quality.score(docs, model, columns, "_quality")
-    return scored.filter(F.col("_quality") >= queries.GOOD).select(*columns)
+    columns, name = docs.columns, "_quality"
+    while name in columns:
+        name += "_"
+    return quality.score(docs, model, columns, name).filter(F.col(name) >= queries.GOOD).select(*columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
