@@ -75,18 +75,18 @@ _ICEPT = f"regr_intercept(coalesce(ret, 0), coalesce(vol, 0)) {over(20)}"
 _FULL = f"count(*) {over(20)} >= 20"
 
 
-def _regression(name: str, value: Column, sql: str, digits: int = 4) -> None:
+def _regression(name: str, value: Callable[[], Column], sql: str, digits: int = 4) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = tables.market(spark, sf_dir).select(*CELLS, "i", "ret", "vol")
         m = moving.moving_regression(m, 20, ret(), vol(), "slope", "intercept")
-        return m.select(*CELLS, rounded(value, digits).alias("value"))
+        return m.select(*CELLS, rounded(value(), digits).alias("value"))
 
     query(f"WITH {MARKET} SELECT tradedate, symbol, {sql_rounded('v', digits)} AS value FROM (SELECT tradedate, symbol, CASE WHEN {_FULL} THEN {sql} END AS v FROM g)", name)(run)
 
 
-_regression("ts_reg_slope", F.col("slope"), _SLOPE, 6)
-_regression("ts_reg_intercept", F.col("intercept"), _ICEPT)
-_regression("ts_reg_residual", zero_if_null(ret()) - F.col("slope") * zero_if_null(vol()) - F.col("intercept"), f"coalesce(ret, 0) - {_SLOPE} * coalesce(vol, 0) - {_ICEPT}")
+_regression("ts_reg_slope", lambda: F.col("slope"), _SLOPE, 6)
+_regression("ts_reg_intercept", lambda: F.col("intercept"), _ICEPT)
+_regression("ts_reg_residual", lambda: zero_if_null(ret()) - F.col("slope") * zero_if_null(vol()) - F.col("intercept"), f"coalesce(ret, 0) - {_SLOPE} * coalesce(vol, 0) - {_ICEPT}")
 cell_query("ts_coef_var", lambda: series.ts_coef_var(px(), 10), gate(f"stddev_pop(px) {over(10)} / avg(px) {over(10)}", "px", 10, 10))
 cell_query("ts_zscore", lambda: series.ts_zscore(px(), 6), gate(f"(px - avg(px) {over(6)}) / nullif(stddev_pop(px) {over(6)}, 0)", "px", 6, 6), 3)
 cell_query("ffill", lambda: grid.ffill(close()), "px")

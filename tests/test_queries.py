@@ -6,6 +6,8 @@ import datetime as dt
 import math
 import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -75,6 +77,11 @@ def test_long_ranks_equal_brute_force(spark):
         assert got[i] == pytest.approx((sum(x < values[i] for x in w) + (w.count(values[i]) + 1) / 2) / 756)
 
 
+def test_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(__spark_entry__.__file__)))
+
+
 def test_contract(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
