@@ -85,15 +85,16 @@ def moving_regression(df: DataFrame, n: int, y: Column, x: Column, slope: str, i
     own = W.partitionBy("symbol")
     df = df.withColumns({"_y": F.coalesce(y, F.lit(0.0)), "_x": F.coalesce(x, F.lit(0.0))})
     df = df.withColumns({"_my": F.avg("_y").over(own), "_mx": F.avg("_x").over(own)})
+    order = W.partitionBy("symbol").orderBy("tradedate")
+    df = df.withColumn("_moved", F.coalesce((F.col("_x") != F.lag("_x", 1).over(order)).cast("double"), F.lit(0.0)))
     p, q = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
-    df = moving_sums(df, n, _sx=p, _sy=q, _sxx=p * p, _sxy=p * q)
+    df = moving_sums(df, n, _sx=p, _sy=q, _sxx=p * p, _sxy=p * q, _moves=F.col("_moved"))
     sx, sy, sxx, sxy = (F.col(c) for c in ("_sx", "_sy", "_sxx", "_sxy"))
-    below = sxx - sx * sx / n
-    # A frame of equal x has no slope; what is left below is rounding.
-    b = F.when((F.col("i") >= n - 1) & (below > 1e-12 * sxx), F.try_divide(sxy - sx * sy / n, below))
-    df = df.withColumn(slope, b)
+    # A frame of equal x, without a move but perhaps to its first row, has no slope.
+    varies = F.col("_moves") - F.coalesce(F.lag("_moved", n - 1).over(order), F.lit(0.0)) > 0
+    df = df.withColumn(slope, F.when((F.col("i") >= n - 1) & varies, F.try_divide(sxy - sx * sy / n, sxx - sx * sx / n)))
     level = (sy - F.col(slope) * sx) / n + F.col("_my") - F.col(slope) * F.col("_mx")
-    return df.withColumn(intercept, level).drop("_y", "_x", "_my", "_mx", "_sx", "_sy", "_sxx", "_sxy")
+    return df.withColumn(intercept, level).drop("_y", "_x", "_my", "_mx", "_moved", "_moves", "_sx", "_sy", "_sxx", "_sxy")
 
 
 def decay(df: DataFrame, name: str, x: Column, n: int, half_life: float, how: str = "sum", least: int | None = None) -> DataFrame:
