@@ -165,3 +165,11 @@ def test_contained_edges(spark, documents, prose):
     docs = spark.createDataFrame([(5, f"{long} {item}"), (5, item), (5, item), (None, item)], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as hashes")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, bench).collect()), key=str)
     assert got == sorted([(d, i) for d in (5, 5, 5, None) for i in (1, 1, 2, None)], key=str)
+
+
+def test_sample_is_the_first_by_hash(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "if(id % 50 = 0, 'few', 'many') as label")
+    got = {(r["doc_id"], r["label"]) for r in common.sampled(rows, "label", 600).collect()}
+    hashed = sorted((r["h"], r["doc_id"], r["label"]) for r in rows.selectExpr("xxhash64(doc_id) as h", "*").collect())
+    want = [(d, label) for label in ("few", "many") for d in [d for _, d, x in hashed if x == label][:600]]
+    assert got == set(want) and len(want) == 1000
