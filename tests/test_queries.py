@@ -22,7 +22,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = (
     "ts_mean", "ts_stddev", "ts_rank", "ts_reg_residual", "ts_argmax", "decay_std", "panel_binning", "panel_rank_avg", "panel_reg_residual", "winsorize",
     "clean", "asof_financials", "semi_pool", "trade_calendar", "incremental_merge", "fin_ttm", "fin_post_clean", "group_returns_fee", "ic_series", "indicators",
-    "factors_beta", "factors_quality", "fund_flow_residual", "index_returns", "index_hindenburg", "index_cross_volatility_std", "multi_factor_rank",
+    "factors_beta", "factors_quality", "factors_growth", "ewm_mean", "ts_corr", "linear_residuals", "stock_pool", "fund_flow_residual", "index_returns", "index_hindenburg", "index_cross_volatility_std", "multi_factor_rank",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -65,7 +65,7 @@ def test_long_windows_equal_sql(spark, duck, name):
 
 def test_long_ranks_equal_brute_force(spark):
     named = {n for n in catalog.QUERIES if n.endswith("_756")}
-    assert {n.removesuffix("_756") for n in named} == {n for n in catalog.QUERIES if n.startswith("index_rank_") and n not in named} | {"index_volume_quantile", "index_amount_ratio_quantile", "index_hindenburg", "index_hindenburg_top"}
+    assert {n.removesuffix("_756") for n in named} == {n for n in catalog.QUERIES if n.startswith("index_rank_") and n not in named} | {"index_volume_quantile", "index_amount_ratio_quantile", "index_volume_ratio_quantile", "index_hindenburg", "index_hindenburg_top"}
     r = random.Random(5)
     values = [r.randrange(300) / 7 for _ in range(800)]
     day = dt.date(2020, 1, 1)
