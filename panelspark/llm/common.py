@@ -134,7 +134,8 @@ def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     place = F.xxhash64("doc_id") / 2.0**64 + 0.5
-    low = rows.join(sizes, group).filter(place <= (2.0 * most + 1000) / F.col("_n"))
+    # One row a group, and callers bound the groups; joined without a shuffle, so that only low hashes are dealt by group.
+    low = rows.join(F.broadcast(sizes), group).filter(place <= (2.0 * most + 1000) / F.col("_n"))
     order = W.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
     return low.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank", "_n")
 
