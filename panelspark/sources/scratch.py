@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,56 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read back, so that what reads it twice makes it once."""
+def _own(spark: SparkSession) -> str:
+    """The application's folder below the shared one; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: made once, cut from its lineage, and safe from lost executors.
+
+    It stays until the application ends.
+    """
+    return _written(df)[0]
+
+
+class Scratch:
+    """Tables and folders below the shared folder that a step needs only for itself; gone when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        table, path = _written(df)
+        self.paths.append(path)
+        return table
+
+    def folder(self) -> str:
+        """A new path, for files that tasks write."""
+        self.paths.append(f"{_own(self.spark)}/{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
