@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
-from types import TracebackType
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import Scratch, shared_dir
+from ..sources.scratch import written as materialize
+
+__all__ = ["Scratch", "materialize", "shared_dir"]
+
 #: What separates words, as a Java regular expression; the same set that bytes.split() uses.
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: Most rows of narrow ids that are sent to every executor; larger sets are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Most bytes of ids that are sent to every executor, 16 of them a row besides the id; larger sets are joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
 #: Most bytes and rows of texts that a task has as Python strings at a time (a longer text comes alone).
 PART_BYTES, PART_ROWS = 4 << 20, 2000
 SHINGLE = 5
@@ -28,65 +30,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where driver and executors are one machine."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def small(ids: DataFrame) -> bool:
+    """Whether rows are few enough to be sent to every executor: by a count of their bytes; ids must be cheap to read twice."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in ids.columns), F.lit(16))
+    return (ids.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and outlives lost executors.
+def with_ids(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
+    """Semi, anti or left join on ids; they are broadcast only after a count of their bytes has bounded them.
 
-    The folder stays as long as the result may be read; it lies below the application's id.
+    ids must be cheap to read twice (materialized).
     """
-    return _written(df)[0]
-
-
-class Scratch:
-    """Tables written to the shared folder that a step needs only for itself; gone when the block ends."""
+    return df.join(F.broadcast(ids) if small(ids) else ids, on, how)
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
 
-    def __enter__(self) -> Scratch:
-        return self
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 100_000) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column `size` counts the key's rows; no key is hot.
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        table, path = _written(df)
-        self.paths.append(path)
-        return table
-
-    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        conf = self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        self.paths.clear()
-
-
-def with_ids(df: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
-    """Semi or anti join on an id; the ids are broadcast only after a count has bounded them.
-
-    ids must be cheap to read twice (materialized).
+    At most `most` keys can have more than a most-th of all rows, so these are sent to every executor and their
+    rows stay where they are; the rows of the others are dealt by key. Both tables must be cheap to read twice.
     """
-    small = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, on, how)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.broadcast(groups.filter(F.col(size) > total // most))
+    rest = rows.join(large.select(key), key, "left_anti")
+    return rows.join(large, key).unionByName(rest.join(groups.filter(F.col(size) <= total // most), key))
 
 
 def words_of(text: Column) -> Column:

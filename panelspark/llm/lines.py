@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, materialize, with_ids, words_of
+from .common import Scratch, materialize, small, with_ids, words_of
 
 #: Words of the shorter line from which the bound is one word: a quarter of them, rounded down, is 1.
 CLOSE_WORDS = 4
@@ -85,8 +85,7 @@ def _close(classes: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
     texts = with_ids(docs.filter("doc_id is not null"), ids, "left_semi").union(docs.filter("doc_id is null"))
     lines = texts.select(*ROW, F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     place = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.rid") == F.col("r.rid")) & (F.col("l.pos") == F.col("r.pos"))
-    small = at.count() <= BROADCAST_ROWS
-    chosen = F.broadcast(at) if small else at
+    chosen = F.broadcast(at) if small(at) else at
     texts = tmp(
         lines.alias("l").join(chosen.alias("r"), place, "left_semi")
         .groupBy(F.struct(*ROW, "pos").alias("first")).agg(F.min("line").alias("line"))

@@ -87,9 +87,53 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT
 FROM marked GROUP BY doc_id
 """
 
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), m AS (
+  SELECT *, strlen(body)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY body) AS least FROM p
+), r AS (SELECT *, payload_bytes >= 100 AND least IS NOT NULL AND page_id IS DISTINCT FROM least AS again FROM m)
+SELECT page_id, payload_bytes, sha256(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN least END AS refers_to
+FROM r
+"""
+
+# The hash is made from bytes (two digits each), with the table of the reflected polynomial; strings stand by code points.
+OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(range(0, len(d) // 2), lambda c, i: xor(c >> 8, t[1 + xor(c & 255, ('0x' || d[2 * i + 1:2 * i + 2])::BIGINT)]), 4294967295)) AS h
+  FROM (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS d FROM runs), crc
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM hashed
+  ) WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, len(word) AS size, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT x.word, y.word AS near FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.size = y.size AND x.word <> y.word
+  UNION SELECT x.word, y.word FROM cut x JOIN v y ON x.rest = y.word
+  UNION SELECT y.word, x.word FROM cut x JOIN v y ON x.rest = y.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, min({'m': -v.n, 'w': near}) AS b FROM near JOIN v ON v.word = near.near GROUP BY ALL
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 5 * v.n THEN b.w END AS form, CASE WHEN -b.m >= 5 * v.n THEN -b.m END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), walk(word, reached) AS (
+  SELECT word, word FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.reached WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.reached AS root, f.n, f.n_near, f.form_n
+FROM f JOIN walk w USING (word) JOIN f e ON e.word = w.reached AND e.form IS NULL
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
     "op7_line_dedup": OP7,
     "op9_chat_format": OP9,
     "op10_near_dedup": OP10,
+    "op11_warc": OP11,
+    "op12_spelling": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, licenses, lines, mixing, near, pii, quality, urls
+from . import chat, decontaminate, fertility, licenses, lines, mixing, near, pii, quality, spelling, urls, warc, whitening
 from .common import read
 
 
@@ -87,10 +87,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spelling.counts(read(spark, sf_dir, "documents")))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_decontaminate, op3_url_filter, op4_pii, op5_licenses,
         op6_fertility, op7_line_dedup, op8_quality, op9_chat_format, op10_near_dedup,
+        op11_warc, op12_spelling, op13_whiten,
     )
 }
