@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable, Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,9 +31,56 @@ def sql_server_url(server: str, port: int, database: str) -> str:
     return f"jdbc:sqlserver://{server}:{port};databaseName={database};encrypt=true;trustServerCertificate=true"
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, user: str, password: str, **options: str) -> DataFrame:
-    reader = spark.read.format("jdbc").option("url", url).option("query", query).option("user", user).option("password", password)
-    return reader.options(**options).load()
+def read_jdbc(spark: SparkSession, url: str, query: str, user: str = "", password: str = "", **options: str) -> DataFrame:
+    """One query in one task, for small tables and questions of one row; read_ranges is for the rest."""
+    reader = spark.read.format("jdbc").option("url", url).option("query", query)
+    return reader.options(**{"user": user, "password": password} if user else {}, **options).load()
+
+
+#: Rows that a task of an extract fetches, about, and rows that a round trip brings.
+TASK_ROWS, FETCH_ROWS = 500_000, 10_000
+
+
+def _literal(day: dt.date | str | int, kind: str) -> str:
+    """A date in the SQL of any JDBC driver (escapes are the driver's to translate)."""
+    if kind == "timestamp":
+        return f"{{ts '{day:%Y-%m-%d} 00:00:00'}}"
+    if kind == "date":
+        return f"{{d '{day:%Y-%m-%d}'}}"
+    return str(day) if isinstance(day, int) else "'" + str(day).replace("'", "''") + "'"
+
+
+def date_predicates(counts: Sequence[tuple[dt.date | str | int, int]], date: str, kind: str, rows: int = TASK_ROWS) -> list[str]:
+    """Conditions that cut a query's rows into ranges of whole days of about `rows` rows, and its null dates.
+
+    counts: each day and its rows. Every row meets exactly one condition: ranges are half-open, the first and the
+    last have no outer end, so rows that arrive between the count and the reads are in one of them too.
+    """
+    cuts, held = [], 0
+    for day, n in sorted(counts, key=lambda c: str(c[0])):
+        if held and held + n > rows:
+            cuts.append(_literal(day, kind))
+            held = 0
+        held += n
+    ends = [None, *cuts, None]
+    ranges = [" AND ".join([f"{date} >= {lo}"] * bool(lo) + [f"{date} < {hi}"] * bool(hi)) or f"{date} IS NOT NULL" for lo, hi in pairwise(ends)]
+    return [*ranges, f"{date} IS NULL"]
+
+
+def read_ranges(spark: SparkSession, url: str, query: str, date: str, user: str = "", password: str = "", rows: int = TASK_ROWS, fetch: int = FETCH_ROWS, **options: str) -> DataFrame:
+    """A query's rows by ranges of a date column, a task for each; the days' rows are counted by one query before.
+
+    The database counts by day (a row a day comes back, so calendars bound it), and days are put together to about
+    `rows` rows a task. The column may be a date, a timestamp, or YYYYMMDD as text or number.
+    """
+    login = {"user": user, "password": password} if user else {}
+    kind = read_jdbc(spark, url, f"SELECT {date} FROM ({query}) q WHERE 1 = 0", user, password, **options).schema[0].dataType.typeName()
+    day = f"CAST({date} AS DATE)" if kind == "timestamp" else date
+    asked = f"SELECT {day} AS panel_day, COUNT(*) AS panel_rows FROM ({query}) q WHERE {date} IS NOT NULL GROUP BY {day}"
+    found = read_jdbc(spark, url, asked, user, password, **options).toDF("day", "n")
+    counts = [(r["day"] if kind in ("date", "timestamp", "string") else int(r["day"]), int(r["n"])) for r in found.collect()]  # one row a day
+    where = date_predicates(counts, date, kind, rows)
+    return spark.read.jdbc(url, f"({query}) q", predicates=where, properties={**login, "fetchsize": str(fetch), **options})
 
 
 def load_template(path: str) -> str:
@@ -51,8 +100,6 @@ def full_query(template: str) -> str:
 
 def incremental_query(template: str, last_date: str, days: int = RECOMPUTE_DAYS) -> str:
     """The template from `days` before the last date (YYYYMMDD) on."""
-    import datetime as dt
-
     start = dt.datetime.strptime(last_date, "%Y%m%d") - dt.timedelta(days=days)
     return template.format(start.strftime("%Y%m%d"))
 
@@ -85,7 +132,7 @@ def overwrite_merge(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("symb
 def extract_incremental(target: DataFrame, template: str, fetch: Callable[[str], DataFrame], days: int = RECOMPUTE_DAYS, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """A target table brought up to date: its last date found, the template queried from `days` before it, and merged.
 
-    fetch runs a query (read_jdbc with the address filled in); a target without rows is extracted in full.
+    fetch runs a query (read_ranges with address and date column filled in); a target without rows is extracted in full.
     """
     last = last_date(target, date_column(target)).first()[0]  # one row
     new = fetch(full_query(template) if last is None else incremental_query(template, last.strftime("%Y%m%d"), days))
