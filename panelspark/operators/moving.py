@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grid import by_symbol
+
 _BLOCK = "_block"
 
 
@@ -145,3 +147,65 @@ def linear_residuals(df: DataFrame, y: Column, x: Column, n: int = 8) -> DataFra
     qoq = F.try_divide(q, F.lag(q, 1).over(own)) - F.try_divide(p, F.lag(p, 1).over(own))
     df = df.withColumn("reg_resi", F.when(b.isNotNull(), F.col("reg_resi"))).withColumn("qoq", qoq)
     return df.drop("_ry", "_rx", "i", "_b", "_a", "_my", "_mx", "_n", "_s", "_ss", "_t", "_tt")
+
+
+def moving_moments(df: DataFrame, n: int, **terms: Column) -> DataFrame:
+    """Adds n, mean and sample deviation (<name>_n, <name>_mean, <name>_std) of each term's known values in the last n rows.
+
+    Moments of the current block so far and of what is left of the block before are each running ones (forwards
+    and backwards), and are merged by their means, so no large squares are taken from each other.
+    """
+    names = list(terms)
+    df = _blocked(df, n).withColumns({f"_t_{c}": x.cast("double") for c, x in terms.items()})
+
+    def moments(c: str, w: WindowSpec) -> Column:
+        return F.struct(F.count(f"_t_{c}").over(w).alias("n"), F.avg(f"_t_{c}").over(w).alias("mean"), F.var_pop(f"_t_{c}").over(w).alias("var"))
+
+    df = df.withColumns({f"_b_{c}": moments(c, _upto(True)) for c in names})
+    df = df.withColumns({f"_u_{c}": moments(c, _upto()) for c in names})
+    df = df.withColumns({f"_p_{c}": _earlier(f"_b_{c}", n - 1) for c in names})
+    for c in names:
+        # On the last row of a block the whole frame is the block: what is left of the one before is not in it.
+        p = F.when(F.col("i") % n != n - 1, F.col(f"_p_{c}"))
+        n1, n2 = F.col(f"_u_{c}.n"), F.coalesce(p["n"], F.lit(0))
+        m1, m2 = F.coalesce(F.col(f"_u_{c}.mean"), F.lit(0.0)), F.coalesce(p["mean"], F.lit(0.0))
+        total = n1 + n2
+        mean = F.try_divide(n1 * m1 + n2 * m2, total.cast("double"))
+        squares = n1 * F.coalesce(F.col(f"_u_{c}.var"), F.lit(0.0)) + n2 * F.coalesce(p["var"], F.lit(0.0)) + F.try_divide((m1 - m2) * (m1 - m2) * n1 * n2, total.cast("double"))
+        df = df.withColumns({f"{c}_n": total, f"{c}_mean": mean, f"{c}_std": F.sqrt(F.try_divide(squares, F.when(total > 1, (total - 1).cast("double"))))})
+    return df.drop(_BLOCK, *[f"_{k}_{c}" for k in "tbup" for c in names])
+
+
+#: A regressor that keeps less of its variance than this beside those before it counts as dependent on them.
+DEPENDENT = 1e-9
+
+
+def rolling_ols_std(df: DataFrame, y: str, x: str, n: int = 8, name: str = "back_forth_std") -> DataFrame:
+    """Population deviation of the residuals of y on x, x one row back and x one row ahead, over n rows.
+
+    Normal equations of the frame's centred moments are solved by elimination; a regressor that depends on those
+    before it is left out, so singular frames have the residuals of their span. A frame with an unknown value has none.
+    """
+    w, before = by_symbol().rowsBetween(1 - n, 0), df.columns
+    df = df.withColumns({"_x0": F.col(x).cast("double"), "_x1": F.lag(x, 1).over(by_symbol()).cast("double"), "_x2": F.lead(x, 1).over(by_symbol()).cast("double"), "_x3": F.col(y).cast("double")})
+    known = F.col("_x0").isNotNull() & F.col("_x1").isNotNull() & F.col("_x2").isNotNull() & F.col("_x3").isNotNull()
+    df = df.withColumn("_all", known).withColumn("_frame", F.collect_list(F.when(F.col("_all"), F.array("_x0", "_x1", "_x2", "_x3"))).over(w))
+    df = df.withColumns({f"_s{j}{k}": F.covar_pop(f"_x{j}", f"_x{k}").over(w) for j in range(4) for k in range(j, 4)} | {f"_m{j}": F.avg(f"_x{j}").over(w) for j in range(4)})
+    for j in range(3):
+        # What is left of the others' moments once regressor j is taken out.
+        df = df.withColumn(f"_ok{j}", F.col(f"_s{j}{j}") > (DEPENDENT * F.col(f"_v{j}") if j else F.lit(0.0)))
+        part = {k: F.when(F.col(f"_ok{j}"), F.col(f"_s{j}{k}") / F.col(f"_s{j}{j}")).otherwise(0.0) for k in range(j + 1, 4)}
+        if not j:
+            df = df.withColumns({f"_v{k}": F.col(f"_s{k}{k}") for k in (1, 2)})
+        df = df.withColumns({f"_r{j}{k}": p for k, p in part.items()})
+        df = df.withColumns({f"_s{k}{m}": F.col(f"_s{k}{m}") - F.col(f"_r{j}{k}") * F.col(f"_s{j}{m}") for k in range(j + 1, 4) for m in range(k, 4)})
+    b2 = F.col("_r23")
+    b1 = F.col("_r13") - F.col("_r12") * b2
+    df = df.withColumns({"_b1": b1, "_b2": b2}).withColumn("_b0", F.col("_r03") - F.col("_r01") * F.col("_b1") - F.col("_r02") * F.col("_b2"))
+
+    def residual(row: Column) -> Column:
+        fitted = sum((F.col(f"_b{j}") * (row[j] - F.col(f"_m{j}")) for j in range(3)), F.lit(0.0))
+        return row[3] - F.col("_m3") - fitted
+
+    squares = F.aggregate("_frame", F.lit(0.0), lambda total, row: total + residual(row) * residual(row))
+    return df.select(*before, F.when(F.size("_frame") >= n, F.sqrt(squares / n)).alias(name))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,34 +74,74 @@ def with_standard(df: DataFrame, c: str) -> DataFrame:
     return with_winsorized(df, c).withColumn(c, normalize(F.col(c)))
 
 
-def quartiles(df: DataFrame, c: str) -> DataFrame:
-    """One row with _q1 and _q3, the exact (interpolated) quartiles of a column over the whole table.
+#: Values that a bracket may hold when they are put in order; brackets of more are narrowed by another pass.
+BRACKET = 10_000
+
 
-    Sketches give brackets that hold the ranks; only values in a bracket (a five-thousandth of the rows, counted
-    where they repeat) are put in order, so no task gets all values.
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], most: int = BRACKET) -> dict[str, list[float | None]]:
+    """Exact (interpolated) quantiles of columns over the whole table; df is read a few times, so it should be written.
+
+    Each wanted rank has a bracket of values, at first all. A pass takes two values around it from a sketch, counts
+    the values below, within and above, and keeps the part that holds the rank, so brackets narrow by a factor of
+    thousands a pass. Brackets of at most `most` values are put in order. Only such and a few numbers a rank leave the tasks.
     """
-    known = df.filter(F.col(c).isNotNull()).select(F.col(c).alias("x"))
-    # A sketch errs by a 100,000th of the rows at most, the brackets leave ten times that.
-    sides = [q + d for q in (0.25, 0.75) for d in (-1e-4, 1e-4)]
-    edges = known.agg(F.percentile_approx("x", sides, 100_000).alias("_e"), F.count("*").alias("_n"))
-    e, n, x = F.col("_e"), F.col("_n"), F.col("x")
-    rows = known.crossJoin(F.broadcast(edges))  # one row
-    # A bracket takes the next value to either side too, for tables of few values.
-    around = rows.agg(*[y for k in (0, 2) for y in (F.count_if(x < e[k]).alias(f"_below{k}"), F.max(F.when(x < e[k], x)).alias(f"_lo{k}"), F.min(F.when(x > e[k + 1], x)).alias(f"_hi{k}"))])
-    near = rows.crossJoin(F.broadcast(around))  # one row
-    mine = {k: x.between(F.coalesce(f"_lo{k}", e[k]), F.coalesce(f"_hi{k}", e[k + 1])) for k in (0, 2)}
-    kept = [c for c in near.columns if c != "x"]
-    near = near.filter(mine[0] | mine[2]).groupBy("x").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in kept])
-    out = []
-    for name, share, k in (("_q1", 0.25, 0), ("_q3", 0.75, 2)):
-        # Rank of the value's last copy, from 0; the order is over the brackets' values only.
-        upto = F.sum(F.when(mine[k], F.col("m")).otherwise(0)).over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-        before = F.sum(F.when(mine[k] & (x < e[k]), F.col("m")).otherwise(0)).over(W.partitionBy())
-        near = near.withColumn(f"_r{k}", F.when(mine[k], upto - before + F.col(f"_below{k}") - 1))
-        at = share * (n - 1)
-        low, high = (F.min(F.when(F.col(f"_r{k}") >= to, x)) for to in (F.floor(at), F.ceil(at)))
-        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
-    return near.agg(*out)
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    ranks = {(c, k) for c in columns for q in shares if sizes[c] for k in (math.floor(q * (sizes[c] - 1)), math.ceil(q * (sizes[c] - 1)))}
+    # Of each rank: least and greatest value of its bracket (none: open), values below it, values in it.
+    open_ = {r: (None, None, 0, sizes[r[0]]) for r in ranks}
+    found: dict[tuple[str, int], float] = {}
+
+    def within(c: str, low: float | None, high: float | None) -> Column:
+        return F.col(c).isNotNull() & (F.lit(True) if low is None else F.col(c).between(F.lit(low), F.lit(high)))
+
+    while open_:
+        wide = sorted(r for r, b in open_.items() if b[3] > most)
+        near = sorted(r for r, b in open_.items() if b[3] <= most)
+        if near:
+            got = df.agg(*[F.collect_list(F.when(within(r[0], *open_[r][:2]), F.col(r[0]))).alias(f"_{i}") for i, r in enumerate(near)]).first()
+            for i, r in enumerate(near):
+                found[r] = sorted(got[i])[r[1] - open_.pop(r)[2]]
+        if wide:
+            # A sketch errs by a 10,000th of the bracket's values at most, the sides leave ten times that.
+            sides = []
+            for i, r in enumerate(wide):
+                low, high, below, n = open_[r]
+                at = (r[1] - below + 0.5) / n
+                inside = F.when(within(r[0], low, high), F.col(r[0]))
+                sides.append(F.percentile_approx(inside, [min(max(at + d, 0.0), 1.0) for d in (-1e-3, 1e-3)], 10_000).alias(f"_{i}"))
+            edges = df.agg(*sides).first()
+            parts = []
+            for i, r in enumerate(wide):
+                (a, b), mine = edges[i], within(r[0], *open_[r][:2])
+                x = F.col(r[0])
+                parts += [F.count_if(mine & (x < a)), F.count_if(mine & x.between(a, b)), F.min(F.when(mine, x)), F.max(F.when(mine & (x < a), x)), F.min(F.when(mine & (x > b), x)), F.max(F.when(mine, x)), F.count_if(mine & (x == a)), F.min(F.when(mine & (x > a), x))]
+            counts = df.agg(*[p.alias(f"_{i}") for i, p in enumerate(parts)]).first()
+            for i, r in enumerate(wide):
+                (a, b), (less, mid, least, under, over, greatest, equal, next_) = edges[i], counts[8 * i : 8 * i + 8]
+                _, _, below, n = open_[r]
+                if r[1] < below + less:
+                    open_[r] = (least, under, below, less)
+                elif r[1] < below + less + equal:
+                    open_[r] = (a, a, below + less, equal)
+                elif r[1] < below + less + mid:
+                    # Without the copies of the least value a bracket of few values narrows too.
+                    open_[r] = (next_, b, below + less + equal, mid - equal)
+                else:
+                    open_[r] = (over, greatest, below + less + mid, n - less - mid)
+                if open_[r][0] == open_[r][1]:
+                    found[r] = open_.pop(r)[0]
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        out[c] = []
+        for q in shares:
+            at = q * (sizes[c] - 1) if sizes[c] else None
+            out[c].append(None if at is None else found[c, math.floor(at)] + (found[c, math.ceil(at)] - found[c, math.floor(at)]) * (at - math.floor(at)))
+    return out
+
+
+def quartiles(df: DataFrame, c: str) -> DataFrame:
+    """One row with _q1 and _q3, the exact (interpolated) quartiles of a column over the whole table."""
+    return df.sparkSession.createDataFrame([tuple(quantiles(df, [c], (0.25, 0.75))[c])], "_q1 double, _q3 double")
 
 
 def with_cleaned(df: DataFrame, *columns: str) -> DataFrame:
@@ -106,12 +149,11 @@ def with_cleaned(df: DataFrame, *columns: str) -> DataFrame:
 
     The table is written to the shared folder first, as the quartiles and the result all read it.
     """
-    known = written(df.withColumns({c: nonzero(finite(F.col(c))) for c in columns}))
-    held = known
-    for c in columns:
-        span = 1.5 * (F.col("_q3") - F.col("_q1"))
-        held = held.crossJoin(F.broadcast(quartiles(known, c)))  # one row
-        held = held.withColumn(c, clip(F.col(c), F.col("_q1") - span, F.col("_q3") + span)).drop("_q1", "_q3")
+    held = written(df.withColumns({c: nonzero(finite(F.col(c))) for c in columns}))
+    for c, (q1, q3) in quantiles(held, columns, (0.25, 0.75)).items():
+        if q1 is not None:
+            span = 1.5 * (q3 - q1)
+            held = held.withColumn(c, clip(F.col(c), F.lit(q1 - span), F.lit(q3 + span)))
     return held.withColumns({c: F.try_divide(F.col(c) - F.avg(c).over(by_date()), F.stddev_pop(c).over(by_date())) for c in columns})
 
 

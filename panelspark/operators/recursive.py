@@ -1,6 +1,7 @@
-"""Operators that need a symbol's rows in order in one place: recursions and ranks in long frames.
+"""Ranks in long frames, where a row's result needs all of its frame's values: one symbol's rows in one place.
 
-Each group is one symbol, whose rows are bounded by the calendar; Arrow carries them to numpy.
+Each group is one symbol, whose rows are bounded by the calendar; Arrow carries keys and inputs to numpy and back. What
+window expressions can do is in `scan` (recurrences) and `moving` (sums, moments, regressions).
 """
 
 from __future__ import annotations
@@ -12,9 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .moving import rolling_ols_std
+from .scan import ewm_mean, intangible_assets, rsi
 
-def per_symbol(df: DataFrame, added: list[str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
-    """Adds double columns that fn makes of one symbol's rows in date order."""
+__all__ = ["ewm_mean", "intangible_assets", "rolling_ols_std", "rolling_rank_pct", "rolling_spearman", "rsi", "ts_corr"]
+
+
+def per_symbol(df: DataFrame, inputs: list[str], added: list[str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
+    """tradedate, symbol, inputs and double columns that fn makes of one symbol's rows in date order."""
+    df = df.select("tradedate", "symbol", *dict.fromkeys(inputs))
     schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in added]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,141 +52,86 @@ def ts_corr(df: DataFrame, x: str, y: str, n: int = 20, name: str = "ts_corr") -
         out[: n - 1] = 0.0
         return {name: out}
 
-    return per_symbol(df, [name], fn)
-
-
-def rolling_rank_pct(df: DataFrame, x: str, n: int, name: str, least: int | None = None) -> DataFrame:
-    """Average rank of the current value in its frame over the number known there; for long frames."""
-
-    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        v = pdf[x].to_numpy(float)
-        out = np.full(len(v), np.nan)
-        for at in range(0, len(v), 512):  # blocks bound the memory of the frames
-            frames = _windows(v, n)[at : at + 512]
-            now = v[at : at + 512, None]
-            known = (~np.isnan(frames)).sum(axis=1)
-            rank = (frames < now).sum(axis=1) + ((frames == now).sum(axis=1) + 1) / 2
-            enough = (known >= (least or n)) & ~np.isnan(now[:, 0])
-            out[at : at + 512] = np.where(enough, rank / np.maximum(known, 1), np.nan)
-        return {name: out}
-
-    return per_symbol(df, [name], fn)
-
-
-def rolling_spearman(df: DataFrame, x: str, y: str, n: int, name: str) -> DataFrame:
-    """Rolling Spearman with average ranks; a frame must be known in full."""
-
-    def ranks(a: np.ndarray) -> np.ndarray:
-        less = (a[:, None, :] < a[:, :, None]).sum(axis=2)
-        same = (a[:, None, :] == a[:, :, None]).sum(axis=2)
-        return less + (same + 1) / 2
-
-    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        a, b = _windows(pdf[x].to_numpy(float), n), _windows(pdf[y].to_numpy(float), n)
-        out = np.full(len(pdf), np.nan)
-        for at in range(0, len(pdf), 256):
-            p, q = ranks(a[at : at + 256]), ranks(b[at : at + 256])
-            p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-            known = ~np.isnan(a[at : at + 256]).any(axis=1) & ~np.isnan(b[at : at + 256]).any(axis=1)
-            out[at : at + 256] = np.where(known, r, np.nan)
-        return {name: out}
-
-    return per_symbol(df, [name], fn)
+    return per_symbol(df, [x, y], [name], fn)
 
 
-def ewm_mean(df: DataFrame, x: str, span: int, least: int | None = None, adjust: bool = False, name: str = "ewm_mean") -> DataFrame:
-    """Exponentially weighted mean, alpha = 2 / (span + 1); weights also decay over unknown rows."""
-
-    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        mean = pdf[x].astype(float).ewm(span=span, adjust=adjust, min_periods=least or span).mean()
-        return {name: mean.to_numpy()}
-
-    return per_symbol(df, [name], fn)
-
-
-def rsi(df: DataFrame, x: str, n: int = 120, name: str = "rsi") -> DataFrame:
-    """Relative strength index: the first n changes are averaged, later ones smoothed by 1 / n."""
-
-    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        v = pdf[x].to_numpy(float)
-        out = np.full(len(v), np.nan)
-        known = np.flatnonzero(~np.isnan(v))
-        if len(known) > n:
-            step = np.diff(v[known])
-            up, down = np.maximum(step, 0.0), np.maximum(-step, 0.0)
-            smooth = []
-            for side in (up, down):
-                seeded = np.concatenate([[side[:n].mean()], side[n:]])
-                smooth.append(pd.Series(seeded).ewm(alpha=1 / n, adjust=False).mean().to_numpy())
-            total = smooth[0] + smooth[1]
-            out[known[n:]] = np.where(total > 0, 100 * smooth[0] / np.where(total > 0, total, 1), 0.0)
-        return {name: out}
-
-    return per_symbol(df, [name], fn)
+def count_below(codes: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How many of codes[low:high] are less than `least`, for every query at once.
 
+    Codes are whole numbers from 0. They are dealt by one bit after the other, the highest first; where a query's bit
+    is set, all with a 0 there are less and those with a 1 go on, else those with a 0 go on. So a query takes a step
+    a bit, whatever the length of its range.
+    """
+    low, high, out = low.copy(), high.copy(), np.zeros(len(least), np.int64)
+    bits = max(1, int(least.max(initial=0)).bit_length(), int(codes.max(initial=0)).bit_length())
+    for bit in range(bits - 1, -1, -1):
+        one = (codes >> bit) & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        z_low, z_high, up = zeros[low], zeros[high], ((least >> bit) & 1).astype(bool)
+        out += np.where(up, z_high - z_low, 0)
+        low, high = np.where(up, zeros[-1] + low - z_low, z_low), np.where(up, zeros[-1] + high - z_high, z_high)
+        codes = np.concatenate([codes[one == 0], codes[one == 1]])
+    return out
+
+
+def rank_pct(v: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Average rank of each value among the known ones of its frame over their number; NaN is unknown."""
+    known = ~np.isnan(v)
+    upto = np.concatenate([[0], np.cumsum(known)])
+    at = np.flatnonzero(known)
+    out = np.full(len(v), np.nan)
+    if not len(at):
+        return out
+    codes = np.unique(v[at], return_inverse=True)[1].astype(np.int64)
+    low, high = upto[np.maximum(at + 1 - n, 0)], upto[at + 1]
+    less, upto_same = (count_below(codes, low, high, codes + k) for k in (0, 1))
+    size = high - low
+    out[at] = np.where(size >= least, (less + (upto_same - less + 1) / 2) / size, np.nan)
+    return out
 
-def rolling_ols_std(df: DataFrame, y: str, x: str, n: int = 8, name: str = "back_forth_std") -> DataFrame:
-    """Population deviation of the residuals of y on x, x one row back and x one row ahead, over n rows."""
 
-    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        v, out = pdf[x].astype(float), np.full(len(pdf), np.nan)
-        design = np.column_stack([np.ones(len(v)), v, v.shift(1), v.shift(-1)])
-        target = pdf[y].to_numpy(float)
-        if len(v) >= n:
-            frames = np.lib.stride_tricks.sliding_window_view
-            a, b = frames(design, n, axis=0).transpose(0, 2, 1), frames(target, n)
-            known = np.flatnonzero(~np.isnan(a).any(axis=(1, 2)) & ~np.isnan(b).any(axis=1))
-            for at in range(0, len(known), 4096):  # blocks bound the memory of the frames
-                k = known[at : at + 4096]
-                # The least-norm solution of every frame at once, singular designs included.
-                fit = np.linalg.pinv(a[k], rcond=n * np.finfo(float).eps) @ b[k][:, :, None]
-                out[k + n - 1] = (b[k] - (a[k] @ fit)[:, :, 0]).std(axis=1)
-        return {name: out}
+def rolling_rank_pct(df: DataFrame, x: str, n: int, name: str, least: int | None = None) -> DataFrame:
+    """Average rank of the current value in its frame over the number known there; a row's time doesn't grow with n.
 
-    return per_symbol(df, [name], fn)
+    Returns tradedate, symbol, x and the rank.
+    """
+    return per_symbol(df, [x], [name], lambda pdf: {name: rank_pct(pdf[x].to_numpy(float), n, least or n)})
 
 
-#: Fixed values of the intangible-asset model: share of SG&A that is invested, decay, R&D decay, growth.
-INVESTED, DECAY, GROWTH = 0.3, 0.3, 0.2
+#: Signs of differences that are held at a time.
+_SIGNS = 1 << 20
 
 
-def intangible_assets(df: DataFrame, rd: str, sales: str, manage: str, goodwill: str, name: str = "intangible") -> DataFrame:
-    """Capitalised R&D and organisation capital, else goodwill, from as-of reported expenses.
+def spearman(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Spearman correlation of every frame of n rows, average ranks; NaN where a frame is not known in full.
 
-    At the first day with any value the stocks start at flow / (growth + decay). When the reported tuple
-    changes, a component whose own input changed decays by DECAY and adds the new flow (in April also the
-    annual one, from the columns' _1 lags); a component whose input did not change is carried. Days with
-    the same tuple carry all. Organisation capital moves only if both sales and management costs do.
+    A rank is, but for a constant, half the sum of the signs of the differences to all of the frame. As the frame
+    moves a row, every sum loses the sign to the value that leaves and gains the one to the value that enters, so a row
+    costs n steps. Sums of signs are whole, so nothing is lost to rounding.
     """
+    size = len(x)
+    known = ~(np.isnan(x) | np.isnan(y))
+    full = np.convolve(known, np.ones(n, int))[:size] == n if size >= n else np.zeros(size, bool)
+    pad = [np.concatenate([np.zeros(n), np.nan_to_num(v), np.zeros(n)]) for v in (x, y)]
+    moments = np.zeros((3, size + n))
+    step = max(1, _SIGNS // (2 * n))
+    for at in range(0, size, step):
+        m = min(step, size - at)
+        sums = []
+        for v in pad:
+            # Row i against the rows from n - 1 before it to n - 1 after it.
+            around = np.lib.stride_tricks.sliding_window_view(v[at + 1 : at + m + 2 * n - 1], 2 * n - 1)
+            upto = np.cumsum(np.sign(v[at + n : at + n + m, None] - around), axis=1)
+            # The frame that ends k rows after i: from n - 1 - k before it.
+            sums.append(upto[:, n - 1 :] - np.concatenate([np.zeros((m, 1)), upto[:, : n - 1]], axis=1))
+        ends = (np.arange(at, at + m)[:, None] + np.arange(n)).ravel()
+        for j, (p, q) in enumerate(((0, 0), (1, 1), (0, 1))):
+            moments[j] += np.bincount(ends, (sums[p] * sums[q]).ravel(), size + n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = moments[2] / np.sqrt(moments[0] * moments[1])
+    return np.where(full, r[:size], np.nan)
 
-    def fn(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        cols = (rd, sales, manage, goodwill)
-        v = pdf[list(cols)].fillna(0.0).to_numpy(float)
-        before = pdf[[f"{c}_1" for c in cols]].fillna(0.0).to_numpy(float)
-        april = pd.to_datetime(pdf["tradedate"]).dt.month.to_numpy() == 4
-        out = np.zeros(len(v))
-        started = (v != 0).any(axis=1)
-        if not started.any():
-            return {name: out}
-        s = int(np.argmax(started))
-        knowledge, organisation, good = v[s, 0] / (GROWTH + DECAY), (v[s, 1] + v[s, 2]) * INVESTED / (GROWTH + DECAY), v[s, 3]
-        changes = np.flatnonzero((v[1:] != v[:-1]).any(axis=1)) + 1
-        at = s
-        for t in [*changes[changes > s].tolist(), len(v)]:  # one step a report, not a day
-            out[at:t] = knowledge + organisation if knowledge + organisation > 0 else good
-            if t == len(v):
-                break
-            moved = v[t] != v[t - 1]
-            extra = before[t] if april[t] else np.zeros(4)
-            if moved[0]:
-                knowledge = knowledge * (1 - DECAY) + v[t, 0] + extra[0]
-            if moved[1] and moved[2]:
-                organisation = organisation * (1 - DECAY) + (v[t, 1] + v[t, 2] + extra[1] + extra[2]) * INVESTED
-            if moved[3]:
-                good = v[t, 3] + extra[3]
-            at = t
-        return {name: out}
 
-    return per_symbol(df, [name], fn)
+def rolling_spearman(df: DataFrame, x: str, y: str, n: int, name: str) -> DataFrame:
+    """Rolling Spearman with average ranks; a frame must be known in full. Returns tradedate, symbol, x, y and it."""
+    return per_symbol(df, [x, y], [name], lambda pdf: {name: spearman(pdf[x].to_numpy(float), pdf[y].to_numpy(float), n)})

@@ -92,8 +92,9 @@ def ts_coef_var(x: Column, n: int) -> Column:
 
 
 def ts_zscore(x: Column, n: int) -> Column:
+    """Distance from the mean in sample deviations of a frame that is known in full."""
     w = trailing(n)
-    return gated(ratio(x - F.avg(x).over(w), F.stddev_pop(x).over(w)), x, n, w)
+    return gated(ratio(x - F.avg(x).over(w), F.stddev_samp(x).over(w)), x, n, w)
 
 
 def lagged_range(x: Column, step: int, times: int) -> tuple[Column, Column]:

@@ -324,6 +324,11 @@ for _n, _mark in ((250, ""), (LONG, f"_{LONG}")):
         f"index_volume_quantile{_mark}", ("volume_quantile",), lambda ix, n=_n: ixf.history_rank(ix, "volume", "volume_quantile", n),
         f"x AS (SELECT tradedate, symbol, {sql_rank_pct('volume', _n)} AS volume_quantile FROM ix)",
     )
+    if _n == LONG:
+        index_query(
+            "index_amount_quantile_756", ("amount_quantile",), lambda ix, n=_n: ixf.history_rank(ix, "amount", "amount_quantile", n),
+            f"x AS (SELECT tradedate, symbol, {sql_rank_pct('amount', _n)} AS amount_quantile FROM ix)",
+        )
     for _field in ("volume", "amount"):
         index_query(
             f"index_{_field}_ratio_quantile{_mark}", (f"{_field}_ratio_quantile",), lambda ix, n=_n, c=_field: ixf.history_rank(ix.withColumn("r", ixf.share(c)), "r", f"{c}_ratio_quantile", n),
@@ -332,7 +337,7 @@ for _n, _mark in ((250, ""), (LONG, f"_{LONG}")):
 _MEM = "FROM {0} JOIN assets USING (symbol) GROUP BY tradedate, index"
 member_query(
     "index_diffusion", ("diffusion",), lambda m, s: ixf.diffusion(m, s, 20, 5),
-    f"""a AS (SELECT *, CASE WHEN count(px) {over(20)} >= 20 THEN avg(px) {over(20)} END AS ma FROM st), r AS (SELECT tradedate, index AS symbol, (count(*) FILTER (WHERE px > ma * (1 + 1e-9::DOUBLE)))::DOUBLE / nullif(count(ma), 0) AS d {_MEM.format("a")}),
+    f"""a AS (SELECT *, CASE WHEN count(px) {over(20)} >= 20 THEN avg(px) {over(20)} END AS ma FROM st), r AS (SELECT tradedate, index AS symbol, (count(*) FILTER (WHERE px > ma * (1 + 1e-9::DOUBLE)))::DOUBLE / nullif(count(px), 0) AS d {_MEM.format("a")}),
 x AS (SELECT tradedate, symbol, CASE WHEN count(d) {over(5)} >= 5 THEN avg(d) {over(5)} END AS diffusion FROM r)""", digits=3,
 )
 member_query(
@@ -380,6 +385,28 @@ member_query(
 q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM c0), c1 AS (SELECT tradedate, symbol, CASE WHEN v IS NOT NULL THEN greatest(least(v, b + 1.5 * (b - a)), a - 1.5 * (b - a)) END AS v FROM c0, q),
 x AS (SELECT tradedate, symbol, CASE WHEN stddev_pop(v) {_D} > 0 THEN (v - avg(v) {_D}) / stddev_pop(v) {_D} END AS fcst FROM c1)""", digits=3, wide=True,
 )
+_FCST_MODES = [(w, c) for w in ixf.WEIGHTS for c in ixf.COMPARISONS]
+
+
+def _forecast_modes() -> str:
+    """CTEs of every weighting and comparison: members' values, changes, then the cleaning of each column."""
+    by = {"mean": "avg(f)", "median": "median(f)", **{w: f"coalesce(sum({w} * f), 0) / nullif(sum({w}), 0)" for w in ("totmktcap", "negotiablemv")}}
+    moved = {"raw": "{0}", "mom": "{0} / nullif({1}, 0) - 1", "mom2": "{0} / nullif({1}, 0) - 1", "yoy": "{0} / nullif({2}, 0) - 1", "yoy2": "{0} / nullif({2}, 0) - 1"}
+    first = [f"{moved[c].format(f'f_{w}', lagged(f'f_{w}', 20), lagged(f'f_{w}', 252))} AS {w}_{c}" if c in moved else f"{sql_rank_pct(f'f_{w}', 750)} AS {w}_{c}" for w, c in _FCST_MODES]
+    again = [f"{w}_{c} - {lagged(f'{w}_{c}', ixf.COMPARISONS[c])} AS {w}_{c}" for w, c in _FCST_MODES if c in ("mom2", "yoy2")]
+    names = [f"{w}_{c}" for w, c in _FCST_MODES]
+    held = [f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, hi_{c} + 1.5 * (hi_{c} - lo_{c})), lo_{c} - 1.5 * (hi_{c} - lo_{c})) END AS {c}" for c in names]
+    return f"""fs AS (SELECT *, last_value(nullif(fc, 0) IGNORE NULLS) OVER ({_S} ROWS UNBOUNDED PRECEDING) AS f FROM (SELECT *, pe_fcst + 1 / stk_share AS fc FROM st)),
+fr AS (SELECT tradedate, index AS symbol, {", ".join(f"{x} AS f_{w}" for w, x in by.items())} {_MEM.format("fs")}), f1 AS (SELECT tradedate, symbol, {", ".join(first)} FROM fr),
+f2 AS (SELECT * REPLACE ({", ".join(again)}) FROM f1), f3 AS (SELECT tradedate, symbol, {", ".join(f"nullif({c}, 0) AS {c}" for c in names)} FROM f2),
+fq AS MATERIALIZED (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS lo_{c}, quantile_cont({c}, 0.75) AS hi_{c}" for c in names)} FROM f3), f4 AS (SELECT tradedate, symbol, {", ".join(held)} FROM f3, fq),
+x AS (SELECT tradedate, symbol, {", ".join(f"CASE WHEN stddev_pop({c}) {_D} > 0 THEN ({c} - avg({c}) {_D}) / stddev_pop({c}) {_D} END AS {c}" for c in names)} FROM f4)"""
+
+
+member_query(
+    "index_forecast_modes", tuple(f"{w}_{c}" for w, c in _FCST_MODES),
+    lambda m, s: ixf.forecasts(m, s.withColumn("fc", F.col("pe_fcst") + 1 / F.col("stk_share")), "fc", _FCST_MODES), _forecast_modes(), digits=2, wide=True,
+)
 _IN, _OUT = "linflow", "loutflow"
 _BASES = {1: "abs(linflow - loutflow)", 2: "coalesce(amount, 0)", 3: "linflow + loutflow", 4: "abs(linflow) + abs(loutflow)"}
 
@@ -405,27 +432,71 @@ member_query(
     _flow(f"CASE WHEN count(linflow + loutflow + turnrate) {over(20)} >= 20 THEN sum(abs(linflow * 1.5::DOUBLE + 1 - loutflow - turnrate)) {over(20)} END").replace(
         f"count(*) {over(20)} >= 20 THEN sum(linflow - loutflow)", f"count(turnrate) {over(20)} >= 20 THEN sum(linflow * 1.5::DOUBLE + 1 - loutflow - turnrate)"), wide=True,
 )
+_HELD = "CASE WHEN symbol::INT % 3 <> 0 THEN stk_share END"
+_HOLD_MODES = [(c, w, p) for c in ("net", "absolute") for w in ("raw", "totmktcap", "negotiablemv", "amount") for p in ("industry", "held")]
+
+
+def _holding(modes: list[tuple[str, str, str]], names: list[str], holding: str) -> str:
+    out = []
+    for (c, w, p), name in zip(modes, names, strict=True):
+        mine, x = "true" if p == "industry" else "held", "n" if c == "net" else "b"
+        if w == "raw":
+            out.append(f"coalesce(sum(CASE WHEN {mine} THEN {x} END), 0) / nullif(coalesce(sum(CASE WHEN {mine} THEN a END), 0), 0) AS {name}")
+        else:
+            out.append(f"coalesce(sum(CASE WHEN {mine} THEN {w} * {x} / nullif(a, 0) END), 0) / nullif(sum(CASE WHEN {mine} THEN {w} END), 0) AS {name}")
+    return f"""h0 AS (SELECT * REPLACE (coalesce(amount, 0) AS amount), {holding} AS h FROM st), h1 AS (SELECT *, coalesce(px * (h - {lagged("h", 1)}), 0) AS step FROM h0),
+h2 AS (SELECT *, CASE WHEN count(*) {over(20)} >= 20 THEN sum(step) {over(20)} END AS n, CASE WHEN count(*) {over(20)} >= 20 THEN sum(abs(step)) {over(20)} END AS b,
+  CASE WHEN count(amount) {over(20)} >= 20 THEN sum(amount) {over(20)} END AS a, count(h) OVER (PARTITION BY symbol) > 0 AS held FROM h1),
+x AS (SELECT tradedate, index AS symbol, {", ".join(out)} {_MEM.format("h2")})"""
+
+
 member_query(
-    "index_holding_money", ("holding_money",), lambda m, s: ixf.holding_money(m, s, 20, "totmktcap", False, True, "stk_share"),
-    f"""b0 AS (SELECT *, px * (stk_share - {lagged("stk_share", 1)}) AS s FROM st), a AS (SELECT *, CASE WHEN count(s) {over(20)} >= 1 THEN sum(s) {over(20)} END / nullif(CASE WHEN count(amount) {over(20)} >= 1 THEN sum(amount) {over(20)} END, 0) AS r FROM b0),
-x AS (SELECT tradedate, index AS symbol, coalesce(sum(totmktcap * r), 0) / nullif(sum(totmktcap), 0) AS holding_money {_MEM.format("a")})""", digits=5, wide=True,
+    "index_holding_money", ("holding_money",), lambda m, s: ixf.holding_money(m, _with_amount(s), 20, "totmktcap", False, True, "stk_share"),
+    _holding([("net", "totmktcap", "held")], ["holding_money"], "stk_share"), digits=5, wide=True,
 )
 member_query(
-    "index_chip_return", ("chip_return",), lambda m, s: ixf.chip_return(m, s, 20),
-    f"a AS (SELECT *, CASE WHEN {lagged('turnrate', 20)} > 0 THEN px / {lagged('px', 20)} - 1 END AS r FROM st), x AS (SELECT tradedate, index AS symbol, avg(r) AS chip_return {_MEM.format('a')})", wide=True,
+    "index_holding_modes", tuple("_".join(m) for m in _HOLD_MODES),
+    lambda m, s: ixf.holding_moneys(m, _with_amount(s).withColumn("h", F.when(F.col("symbol").cast("int") % 3 != 0, F.col("stk_share"))), 20, _HOLD_MODES, "h"),
+    _holding(_HOLD_MODES, ["_".join(m) for m in _HOLD_MODES], _HELD), digits=5, wide=True,
 )
-_STRONG = f"a AS (SELECT *, CASE WHEN count(px) {over(60)} >= 60 THEN (px > avg(px) {over(60)} * (1 + 1e-9::DOUBLE))::INT::DOUBLE END AS s FROM st), r AS (SELECT tradedate, index AS symbol, avg(s) AS v {_MEM.format('a')})"
-member_query("index_strong_ratio", ("strong_ratio",), lambda m, s: ixf.strong_ratio(m, s, "ma60"), _STRONG + ", x AS (SELECT tradedate, symbol, v AS strong_ratio FROM r)", digits=3)
+_W = f"CASE WHEN {lagged('turnrate', 20)} IS NOT NULL AND count(turnrate) {over(20)} >= 20 THEN ({lagged('turnrate', 20)} <> 0 AND count(*) FILTER (WHERE turnrate = 1) {over(20)} = 0)::INT END"
 member_query(
-    "index_strong_short_long", ("strong_ratio",), lambda m, s: ixf.strong_short_to_long(m, s, "ma60", None, 2),
-    _STRONG + f", x AS (SELECT tradedate, symbol, CASE WHEN count(v) {over(5)} >= 5 THEN avg(v) {over(5)} END / nullif(CASE WHEN count(v) {over(20)} >= 20 THEN avg(v) {over(20)} END, 0) AS strong_ratio FROM r)", digits=3,
+    "index_chip_return", ("chip_return",), lambda m, s: ixf.chip_return(m, s.withColumn("turnrate", F.col("vol") / 100), 20),
+    f"""w0 AS (SELECT *, {_W} AS w FROM st), a AS (SELECT *, CASE WHEN count(w) {over(20)} >= 20 AND sum(w) {over(20)} > 0 THEN px / {lagged("px", 20)} - 1 END AS r FROM w0),
+x AS (SELECT tradedate, index AS symbol, avg(r) AS chip_return {_MEM.format("a")})""",
 )
 
 
+def _fit(fit: str) -> str:
+    n = int(fit[2:])
+    test = f"count(px) {over(n)} >= {n} AND px > avg(px) {over(n)} * (1 + 1e-9::DOUBLE)" if fit.startswith("ma") else f"px > {lagged('px', n)}"
+    return f"coalesce({test}, false)::INT::DOUBLE"
+
+
+def _strong(modes: list[tuple[str, str | None]], names: list[str], out: str) -> str:
+    fits = list(dict.fromkeys(f for f, _ in modes))
+    value = [f"avg(s_{f}) AS {name}" if w is None else f"coalesce(sum({w} * s_{f}), 0) / nullif(sum({w}), 0) AS {name}" for (f, w), name in zip(modes, names, strict=True)]
+    return f"a AS (SELECT *, {', '.join(f'{_fit(f)} AS s_{f}' for f in fits)} FROM st), {out} AS (SELECT tradedate, index AS symbol, {', '.join(value)} {_MEM.format('a')})"
+
+
+_STRONG_MODES = [(f, w) for f in ("ma60", "ma120", "gt220") for w in (None, "negotiablemv", "totmktcap", "amount")]
+_STRONG_NAMES = tuple(f"{f}_{w or 'equal'}" for f, w in _STRONG_MODES)
+member_query("index_strong_ratio", ("strong_ratio",), lambda m, s: ixf.strong_ratio(m, s, "ma60"), _strong([("ma60", None)], ["strong_ratio"], "x"), digits=3)
+member_query("index_strong_modes", _STRONG_NAMES, lambda m, s: ixf.strong_ratios(m, s, _STRONG_MODES), _strong(_STRONG_MODES, list(_STRONG_NAMES), "x"), digits=3, wide=True)
+_LEVEL = f"CASE WHEN count(v) {over(5)} >= 5 THEN avg(v) {over(5)} END / nullif(CASE WHEN count(v) {over(20)} >= 20 THEN avg(v) {over(20)} END, 0)"
+for _kind, _change in ((1, f"x AS (SELECT tradedate, symbol, v - {lagged('v', 5)} AS strong_ratio FROM r)"), (2, f"x AS (SELECT tradedate, symbol, {_LEVEL} AS strong_ratio FROM r)"),
+                       (3, f"y AS (SELECT tradedate, symbol, {_LEVEL} AS u FROM r), x AS (SELECT tradedate, symbol, u - {lagged('u', 20)} AS strong_ratio FROM y)")):
+    member_query(
+        "index_strong_short_long" if _kind == 2 else f"index_strong_short_long_{_kind}", ("strong_ratio",), lambda m, s, k=_kind: ixf.strong_short_to_long(m, s, "ma60", None, k),
+        _strong([("ma60", None)], ["v"], "r") + ", " + _change, digits=3,
+    )
+
+
 @query(
-    f"""WITH {MARKET}, {ASSETS}{IX.removeprefix(PANEL + "," + ASSETS)}, fl AS (SELECT tradedate, index AS symbol, sum(coalesce(inflow, 0) - coalesce(outflow, 0)) AS net {_MEM.format("g")}),
-b0 AS (SELECT ix.tradedate, ix.symbol, net, {_CH[1].replace("symbol", "ix.symbol").replace("tradedate", "ix.tradedate")} AS r FROM ix LEFT JOIN fl ON fl.symbol = ix.symbol AND fl.tradedate = ix.tradedate),
-b1 AS (SELECT tradedate, symbol, net - {lagged("net", 1)} AS x, r - {lagged("r", 1)} AS y, row_number() OVER ({_S}) AS n FROM b0), b2 AS (SELECT *, {lagged("y", 1)} AS z FROM b1),
+    f"""WITH {MARKET}, {ASSETS}{IX.removeprefix(PANEL + "," + ASSETS)}, fc AS (SELECT tradedate, symbol, inflow - outflow - {lagged("(inflow - outflow)", 1)} AS c FROM g),
+fl AS (SELECT tradedate, index AS symbol, coalesce(sum(c), 0) AS x {_MEM.format("fc")}),
+b0 AS (SELECT ix.tradedate, ix.symbol, x, {_CH[1].replace("symbol", "ix.symbol").replace("tradedate", "ix.tradedate")} AS r FROM ix LEFT JOIN fl ON fl.symbol = ix.symbol AND fl.tradedate = ix.tradedate),
+b1 AS (SELECT tradedate, symbol, x, r - {lagged("r", 1)} AS y, row_number() OVER ({_S}) AS n FROM b0), b2 AS (SELECT *, {lagged("y", 1)} AS z FROM b1),
 p AS (SELECT t.symbol, t.tradedate, o.x, o.z FROM b2 t JOIN b2 o ON o.symbol = t.symbol AND o.n BETWEEN t.n - 19 AND t.n),
 r AS (SELECT *, rank() OVER (PARTITION BY symbol, tradedate ORDER BY x) + (count(*) OVER (PARTITION BY symbol, tradedate, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol, tradedate ORDER BY z) + (count(*) OVER (PARTITION BY symbol, tradedate, z) - 1) / 2.0 AS b FROM p),
 c AS (SELECT symbol, tradedate, CASE WHEN count(x) = 20 AND count(z) = 20 THEN corr(a, b) END AS v FROM r GROUP BY ALL)

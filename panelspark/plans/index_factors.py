@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nonzero, ratio, zero_if_null
 from ..operators import moving, panel, recursive, series
-from ..operators.grid import change, ffill, lag
+from ..operators.grid import by_symbol, change, ffill, lag
 
 LEVELS = ("open", "high", "low", "close", "volume", "amount", "negotiablemv")
 
@@ -49,8 +50,21 @@ def momentum_spread(n: int = 10, m: int = 5) -> Column:
     return log_return(n) - log_return(m)
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """Adds i, a symbol's row from 0, which the operators of `moving` need."""
+    return df if "i" in df.columns else df.withColumn("i", F.row_number().over(by_symbol()) - 1)
+
+
+def _over_frame(df: DataFrame, n: int, x: Column) -> DataFrame:
+    """Adds _mean and _std of the last n values of x, NULL where one is unknown."""
+    df = moving.moving_moments(with_rows(df), n, _=x)
+    full = F.col("__n") >= n
+    return df.withColumns({"_mean": F.when(full, F.col("__mean")), "_std": F.when(full, F.col("__std"))}).drop("__n", "__mean", "__std")
+
+
 def cumulated_return(ix: DataFrame, n: int = 1, window: int = 252) -> DataFrame:
-    return ix.withColumn("_e", excess_change(n)).withColumn("cum_return", series.ts_sum(F.col("_e"), window)).drop("_e")
+    out = _over_frame(ix.withColumn("_e", excess_change(n)), window, F.col("_e"))
+    return out.withColumn("cum_return", F.col("_mean") * window).drop("_e", "_mean", "_std")
 
 
 def golden_return(ix: DataFrame, n: int = 20) -> DataFrame:
@@ -62,8 +76,8 @@ def golden_return(ix: DataFrame, n: int = 20) -> DataFrame:
 
 def return_per_amount(ix: DataFrame, n: int = 252) -> DataFrame:
     """Rolling mean over deviation of the excess return per amount."""
-    ix = ix.withColumn("_r", ratio(excess_change(1), F.col("amount")))
-    return ix.withColumn("return_per_amount", ratio(series.ts_mean(F.col("_r"), n), series.ts_stddev(F.col("_r"), n, n))).drop("_r")
+    ix = _over_frame(ix.withColumn("_r", ratio(excess_change(1), F.col("amount"))), n, F.col("_r"))
+    return ix.withColumn("return_per_amount", ratio(F.col("_mean"), F.col("_std"))).drop("_r", "_mean", "_std")
 
 
 def bias(n: int = 20) -> Column:
@@ -71,8 +85,8 @@ def bias(n: int = 20) -> Column:
 
 
 def daily_std(ix: DataFrame, n: int = 252) -> DataFrame:
-    ix = ix.withColumn("_e", excess_change(1))
-    return ix.withColumn("daily_std", series.ts_stddev(F.col("_e"), n, n)).drop("_e")
+    out = _over_frame(ix.withColumn("_e", excess_change(1)), n, F.col("_e"))
+    return out.withColumn("daily_std", F.col("_std")).drop("_e", "_mean", "_std")
 
 
 def rsi(ix: DataFrame, n: int = 120) -> DataFrame:
@@ -88,7 +102,7 @@ def share(field: str) -> Column:
 
 
 def history_rank(ix: DataFrame, c: str, name: str, n: int = 756) -> DataFrame:
-    """Rolling percentile rank of a column (quantile and rank factors)."""
+    """tradedate, symbol, c and its rolling percentile rank (quantile and rank factors)."""
     return recursive.rolling_rank_pct(ix, c, n, name)
 
 
@@ -115,9 +129,9 @@ def above(x: Column, mean: Column) -> Column:
 
 
 def diffusion(members: DataFrame, stocks: DataFrame, n: int = 20, smooth: int | None = None) -> DataFrame:
-    """Share of members above their n-day mean, smoothed on demand."""
+    """Share of members above their n-day mean among those with a price, smoothed on demand."""
     s = stocks.withColumn("_m", series.ts_mean(F.col("px"), n))
-    out = reduce_members(expand(members, s), diffusion=_share_of(above(F.col("px"), F.col("_m")), F.col("_m")))
+    out = reduce_members(expand(members, s), diffusion=_share_of(above(F.col("px"), F.col("_m")), F.col("px")))
     return out.withColumn("diffusion", series.ts_mean(F.col("diffusion"), smooth)) if smooth else out
 
 
@@ -141,8 +155,8 @@ def hindenburg(members: DataFrame, stocks: DataFrame, n: int = 252, window: int
     old = F.col("_age") > least
     up, down = F.count_if(old & (F.col("px") == F.col("_hi"))), F.count_if(old & (F.col("px") == F.col("_lo")))
     out = reduce_members(expand(members, s), _d=ratio((up - down).cast("double"), F.count_if(old)))
-    z = ratio(F.col("_d") - series.ts_mean(F.col("_d"), window), series.ts_stddev(F.col("_d"), window, window))
-    return out.withColumn("hindenburg", z).drop("_d")
+    out = _over_frame(out, window, F.col("_d"))
+    return out.withColumn("hindenburg", ratio(F.col("_d") - F.col("_mean"), F.col("_std"))).drop("_d", "_mean", "_std")
 
 
 def cross_std(members: DataFrame, stocks: DataFrame, field: str, volatility: int | None = None, smooth: int | None = None, how: str = "mean", rank: int | None = None) -> DataFrame:
@@ -172,29 +186,71 @@ def weighted(x: Column, weight: str | None, how: str = "mean") -> Column:
     return ratio(zero_if_null(F.sum(w * x)), F.sum(w))
 
 
+WEIGHTS = ("mean", "median", "totmktcap", "negotiablemv")
+COMPARISONS = {"raw": 0, "mom": 20, "mom2": 20, "yoy": 252, "yoy2": 252, "quantile": 750}
+
+
+def forecasts(members: DataFrame, stocks: DataFrame, field: str, modes: Sequence[tuple[str, str]]) -> DataFrame:
+    """Members' forecast of a field and its change, cleaned: a column <weight>_<comparison> for each mode.
+
+    A forecast holds until the next one (0 is none). Members are weighted by WEIGHTS; a comparison is raw, the change
+    over a month or year (mom, yoy), the difference of that change over the same span (mom2, yoy2), or the rank in
+    the last 750 days (quantile).
+    """
+    for weight, comparison in modes:
+        if weight not in WEIGHTS or comparison not in COMPARISONS:
+            raise ValueError(f"unknown mode: {weight}, {comparison}")
+    weights = list(dict.fromkeys(w for w, _ in modes))
+    held = stocks.withColumn("_f", ffill(nonzero(F.col(field))))
+    out = reduce_members(expand(members, held), **{f"_{w}": weighted(F.col("_f"), w if w in ("totmktcap", "negotiablemv") else None, w) for w in weights})
+    names = [f"{w}_{c}" for w, c in modes]
+    for w, c in modes:
+        n, name = COMPARISONS[c], f"{w}_{c}"
+        if c == "quantile":
+            ranked = history_rank(out, f"_{w}", name, n).drop(f"_{w}")
+            out = out.join(ranked, ["tradedate", "symbol"])
+            continue
+        out = out.withColumn(name, change(F.col(f"_{w}"), n) if n else F.col(f"_{w}"))
+        if c in ("mom2", "yoy2"):
+            out = out.withColumn(name, F.col(name) - lag(F.col(name), n))
+    return panel.with_cleaned(out.select("tradedate", "symbol", *names), *names)
+
+
 def forecast(members: DataFrame, stocks: DataFrame, field: str, weight_type: str = "mean", comparison: str = "raw") -> DataFrame:
-    """Members' forecast of a field and its change: raw, mom, mom2 (month), yoy, yoy2 (year) or quantile."""
-    weight = weight_type if weight_type in ("totmktcap", "negotiablemv") else None
-    out = reduce_members(expand(members, stocks), fcst=weighted(F.col(field), weight, weight_type))
-    x = F.col("fcst")
-    if comparison == "quantile":
-        return history_rank(out, "fcst", "fcst_rank", 750).withColumn("fcst", F.col("fcst_rank")).drop("fcst_rank")
-    n = {"raw": 0, "mom": 20, "mom2": 20, "yoy": 252, "yoy2": 252}[comparison]
-    if n:
-        moved = change(x, n)
-        out = out.withColumn("fcst", moved) if comparison in ("mom", "yoy") else out.withColumn("fcst", moved).withColumn("fcst", x - lag(x, n))
-    return panel.with_cleaned(out, "fcst")
-
-
-def holding_money(members: DataFrame, stocks: DataFrame, n: int = 20, weight: str | None = "totmktcap", absolute: bool = False, held_only: bool = True, holding: str = "shhksharehold") -> DataFrame:
-    """n-day sum of price times the change of holdings (or its absolute value), over n-day turnover."""
+    """One mode of forecasts, as fcst."""
+    return forecasts(members, stocks, field, [(weight_type, comparison)]).withColumnRenamed(f"{weight_type}_{comparison}", "fcst")
+
+
+def holding_moneys(members: DataFrame, stocks: DataFrame, n: int, modes: Sequence[tuple[str, str, str]], holding: str = "shhksharehold") -> DataFrame:
+    """n-day money of holding changes over n-day turnover: a column <count>_<weight>_<pool> for each mode.
+
+    count: net or absolute change of the holding, times the price (0 where unknown). weight: raw (sums first, then
+    the ratio), or the members' ratios weighted by totmktcap, negotiablemv or amount. pool: industry (all members) or
+    held (members of which a holding is known at all). Sums need n rows, those of turnover n known ones.
+    """
     step = F.col("px") * (F.col(holding) - lag(F.col(holding), 1))
-    s = stocks.withColumn("_s", F.abs(step) if absolute else step)
-    s = s.withColumns({"_f": series.ts_sum(F.col("_s"), n, 1), "_a": series.ts_sum(F.col("amount"), n, 1)})
-    rows = expand(members, s.filter(F.col(holding).isNotNull()) if held_only else s)
-    if weight is None:  # raw: sums first, then the ratio
-        return reduce_members(rows, holding_money=ratio(F.sum("_f"), F.sum("_a")))
-    return reduce_members(rows.withColumn("_x", ratio(F.col("_f"), F.col("_a"))), holding_money=weighted(F.col("_x"), weight))
+    s = with_rows(stocks).withColumns({"_net": zero_if_null(step), "_absolute": zero_if_null(F.abs(step))})
+    s = moving.moving_sums(s, n, _net_n=F.col("_net"), _absolute_n=F.col("_absolute"), _turnover=F.col("amount"), _known=F.col("amount").isNotNull().cast("double"))
+    whole = F.col("i") >= n - 1
+    s = s.withColumns({"_turnover": F.when(F.col("_known") >= n, F.col("_turnover")), "_held": F.max(F.col(holding).isNotNull()).over(W.partitionBy("symbol"))})
+    s = s.withColumns({f"_{c}_n": F.when(whole, F.col(f"_{c}_n")) for c in ("net", "absolute")})
+    made = {}
+    for count, weight, pool in modes:
+        mine = F.col("_held") if pool == "held" else F.lit(True)
+        money = F.col(f"_{count}_n")
+        if weight == "raw":
+            value = ratio(zero_if_null(F.sum(F.when(mine, money))), zero_if_null(F.sum(F.when(mine, F.col("_turnover")))))
+        else:
+            w = F.when(mine, F.col(weight))
+            value = ratio(zero_if_null(F.sum(w * ratio(money, F.col("_turnover")))), F.sum(w))
+        made[f"{count}_{weight}_{pool}"] = value
+    return reduce_members(expand(members, s), **made)
+
+
+def holding_money(members: DataFrame, stocks: DataFrame, n: int = 20, weight: str = "totmktcap", absolute: bool = False, held_only: bool = True, holding: str = "shhksharehold") -> DataFrame:
+    """One mode of holding_moneys, as holding_money."""
+    mode = ("absolute" if absolute else "net", weight, "held" if held_only else "industry")
+    return holding_moneys(members, stocks, n, [mode], holding).withColumnRenamed("_".join(mode), "holding_money")
 
 
 def fund_flow_ratio(
@@ -217,40 +273,61 @@ def fund_flow_ratio(
 
 
 def small_fund_correlation(members: DataFrame, stocks: DataFrame, ix: DataFrame, n: int = 20, inflow: str = "inflow", outflow: str = "outflow") -> DataFrame:
-    """Rolling Spearman of the change of the members' net small flow and the lagged change of the index return."""
-    net = zero_if_null(F.col(inflow)) - zero_if_null(F.col(outflow))
-    flow = reduce_members(expand(members, stocks), _net=F.sum(net))
-    both = ix.select("tradedate", "symbol", "close").join(flow, ["tradedate", "symbol"], "left")
-    both = both.withColumn("_r", change(F.col("close"), 1))
-    both = both.withColumns({"_x": F.col("_net") - lag(F.col("_net"), 1), "_y": F.col("_r") - lag(F.col("_r"), 1)}).withColumn("_y", lag(F.col("_y"), 1))
-    return recursive.rolling_spearman(both.drop("_net", "_r", "close"), "_x", "_y", n, "small_fund_corr").drop("_x", "_y")
+    """Rolling Spearman of the members' summed changes of net small flow and the lagged change of the index return.
+
+    A change is taken stock by stock where two days are known; a day without any is 0.
+    """
+    net = F.col(inflow) - F.col(outflow)
+    flow = reduce_members(expand(members, stocks.withColumn("_c", net - lag(net, 1))), _x=zero_if_null(F.sum("_c")))
+    both = ix.select("tradedate", "symbol", change(F.col("close"), 1).alias("_r")).join(flow, ["tradedate", "symbol"], "left")
+    both = both.withColumn("_y", F.col("_r") - lag(F.col("_r"), 1)).withColumn("_y", lag(F.col("_y"), 1))
+    return recursive.rolling_spearman(both, "_x", "_y", n, "small_fund_corr").drop("_x", "_y")
 
 
 def chip_return(members: DataFrame, stocks: DataFrame, n: int = 20) -> DataFrame:
-    """Mean n-day return of the members that were traded n days ago."""
-    s = stocks.withColumn("_r", F.when(lag(F.col("turnrate"), n) > 0, change(F.col("px"), n)))
+    """Mean n-day return of the members whose chips of n days ago survive.
+
+    The weight that survives (the turnover n days ago times what was not turned over since) cancels, but a member
+    counts only if n such weights are known, for n + 1 turnovers each, and one of them at least is not zero.
+    """
+    turned = F.col("turnrate")
+    s = with_rows(stocks).withColumn("_first", lag(turned, n))
+    s = moving.moving_sums(s, n, _known=turned.isNotNull().cast("double"), _all=(turned == 1).cast("double"))
+    weight = F.when((F.col("_known") >= n) & F.col("_first").isNotNull(), ((F.col("_all") == 0) & (F.col("_first") != 0)).cast("double"))
+    s = moving.moving_sums(s.withColumn("_w", weight), n, _ws=F.col("_w"), _wn=F.col("_w").isNotNull().cast("double"))
+    s = s.withColumn("_r", F.when((F.col("_wn") >= n) & (F.col("_ws") > 0), change(F.col("px"), n)))
     return reduce_members(expand(members, s), chip_return=F.avg("_r"))
 
 
-def strong_condition(fit: str) -> Column:
-    """ma60, ma120: price above that mean; gt220: above the price 220 days ago."""
+def with_strength(stocks: DataFrame, fit: str) -> DataFrame:
+    """Adds strong_<fit>: 1 where the price is above its n-day mean (ma60, ma120) or that of n days ago (gt220), else 0."""
+    n, px = int(fit[2:]), F.col("px")
     if fit.startswith("ma"):
-        mean = series.ts_mean(F.col("px"), int(fit[2:]))
-        return F.when(mean.isNotNull(), above(F.col("px"), mean).cast("double"))
-    past = lag(F.col("px"), int(fit[2:]))
-    return F.when(past.isNotNull(), (F.col("px") > past).cast("double"))
+        s = _over_frame(stocks, n, px)
+        return s.withColumn(f"strong_{fit}", F.coalesce(above(px, F.col("_mean")), F.lit(False)).cast("double")).drop("_mean", "_std")
+    return stocks.withColumn(f"strong_{fit}", F.coalesce(px > lag(px, n), F.lit(False)).cast("double"))
+
+
+def strong_ratios(members: DataFrame, stocks: DataFrame, modes: Sequence[tuple[str, str | None]]) -> DataFrame:
+    """Share of strong members, a column <fit>_<weight> for each mode; a member without a price is not strong.
+
+    Members count equally (weight None, named equal), or by totmktcap, negotiablemv or amount.
+    """
+    for fit in dict.fromkeys(f for f, _ in modes):
+        stocks = with_strength(stocks, fit)
+    return reduce_members(expand(members, stocks), **{f"{fit}_{w or 'equal'}": weighted(F.col(f"strong_{fit}"), w) for fit, w in modes})
 
 
 def strong_ratio(members: DataFrame, stocks: DataFrame, fit: str = "ma60", weight: str | None = None) -> DataFrame:
-    s = stocks.withColumn("_s", strong_condition(fit))
-    return reduce_members(expand(members, s), strong_ratio=weighted(F.col("_s"), weight))
+    """One mode of strong_ratios, as strong_ratio."""
+    return strong_ratios(members, stocks, [(fit, weight)]).withColumnRenamed(f"{fit}_{weight or 'equal'}", "strong_ratio")
 
 
 def strong_short_to_long(members: DataFrame, stocks: DataFrame, fit: str = "ma60", weight: str | None = None, kind: int = 1, short: int = 5, long: int = 20) -> DataFrame:
-    """Change over `short` days (1), mean of `short` over mean of `long` days (2), or its change (3)."""
+    """Change over `short` days (1), mean of `short` over mean of `long` days (2), or the change of that over `long` days (3)."""
     out = strong_ratio(members, stocks, fit, weight)
     x = F.col("strong_ratio")
     if kind == 1:
         return out.withColumn("strong_ratio", x - lag(x, short))
     out = out.withColumn("strong_ratio", ratio(series.ts_mean(x, short), series.ts_mean(x, long)))
-    return out if kind == 2 else out.withColumn("strong_ratio", x - lag(x, short))
+    return out if kind == 2 else out.withColumn("strong_ratio", x - lag(x, long))

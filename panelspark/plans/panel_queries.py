@@ -249,8 +249,8 @@ def resample_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {MARKET}, l AS MATERIALIZED (SELECT tradedate, symbol, lead(ln(px), 1) OVER s - ln(px) AS f1, lead(ln(px), 5) OVER s - ln(px) AS f5, lead(ln(px), 20) OVER s - ln(px) AS f20
-  FROM g WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)), a AS (SELECT avg(f1) AS a1, avg(f5) AS a5, avg(f20) AS a20 FROM l)
-SELECT tradedate, symbol, {sql_rounded("f1 - a1")} AS ret_1, {sql_rounded("f5 - a5")} AS ret_5, {sql_rounded("f20 - a20")} AS ret_20 FROM l, a"""
+  FROM g WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)), a AS MATERIALIZED (SELECT *, avg(f1) OVER () AS a1, avg(f5) OVER () AS a5, avg(f20) OVER () AS a20 FROM l)
+SELECT tradedate, symbol, {sql_rounded("f1 - a1")} AS ret_1, {sql_rounded("f5 - a5")} AS ret_5, {sql_rounded("f20 - a20")} AS ret_20 FROM a"""
 )
 def labels_fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import labels
@@ -265,8 +265,8 @@ _AHEADS = [f"{c}_{n}" for c in ("vwap", "px") for n in (1, 5, 20)]
 
 @query(
     f"""WITH {MARKET}, v AS (SELECT *, last_value(amount / volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY tradedate ROWS UNBOUNDED PRECEDING) AS vw FROM g),
-l AS MATERIALIZED (SELECT tradedate, symbol, {_AHEAD} FROM v WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)), a AS (SELECT {", ".join(f"avg(f_{c}) AS a_{c}" for c in _AHEADS)} FROM l)
-SELECT tradedate, symbol, {", ".join(f"{sql_rounded(f'f_{c} - a_{c}')} AS ret_{c}" for c in _AHEADS)} FROM l, a"""
+l AS MATERIALIZED (SELECT tradedate, symbol, {_AHEAD} FROM v WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)), a AS MATERIALIZED (SELECT *, {", ".join(f"avg(f_{c}) OVER () AS a_{c}" for c in _AHEADS)} FROM l)
+SELECT tradedate, symbol, {", ".join(f"{sql_rounded(f'f_{c} - a_{c}')} AS ret_{c}" for c in _AHEADS)} FROM a"""
 )
 def labels_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of two prices and three horizons."""

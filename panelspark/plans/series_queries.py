@@ -88,7 +88,7 @@ _regression("ts_reg_slope", lambda: F.col("slope"), _SLOPE, 6)
 _regression("ts_reg_intercept", lambda: F.col("intercept"), _ICEPT)
 _regression("ts_reg_residual", lambda: zero_if_null(ret()) - F.col("slope") * zero_if_null(vol()) - F.col("intercept"), f"coalesce(ret, 0) - {_SLOPE} * coalesce(vol, 0) - {_ICEPT}")
 cell_query("ts_coef_var", lambda: series.ts_coef_var(px(), 10), gate(f"stddev_pop(px) {over(10)} / avg(px) {over(10)}", "px", 10, 10))
-cell_query("ts_zscore", lambda: series.ts_zscore(px(), 6), gate(f"(px - avg(px) {over(6)}) / nullif(stddev_pop(px) {over(6)}, 0)", "px", 6, 6), 3)
+cell_query("ts_zscore", lambda: series.ts_zscore(px(), 6), gate(f"(px - avg(px) {over(6)}) / nullif(stddev_samp(px) {over(6)}, 0)", "px", 6, 6), 3)
 cell_query("ffill", lambda: grid.ffill(close()), "px")
 cell_query("bfill", lambda: grid.bfill(close()), "first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY tradedate ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 cell_query("pct_change", lambda: grid.change(px(), 5), "px / lag(px, 5) OVER (PARTITION BY symbol ORDER BY tradedate) - 1")
@@ -160,10 +160,42 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive.rsi(m, "px", 14, "value").select(*CELLS, rounded("value").alias("value"))
 
 
-@query()
+def _ols_sql() -> str:
+    """CTEs that solve the normal equations of a frame by elimination and sum the squares of its residuals."""
+    w = "OVER (PARTITION BY symbol ORDER BY tradedate ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"
+    pairs = [(j, k) for j in range(4) for k in range(j, 4)]
+    out = f"""o0 AS (SELECT symbol, enddate AS tradedate, quarter(enddate)::DOUBLE AS x0, revenue AS x3 FROM reports),
+o1 AS (SELECT *, lag(x0) OVER s AS x1, lead(x0) OVER s AS x2 FROM o0 WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)),
+o2 AS (SELECT tradedate, symbol, list([x0, x1, x2, x3]) FILTER (WHERE x0 + x1 + x2 + x3 IS NOT NULL) {w} AS frame, {", ".join(f"avg(x{j}) {w} AS m{j}" for j in range(4))},
+  {", ".join(f"covar_pop(x{j}, x{k}) {w} AS s{j}{k}" for j, k in pairs)} FROM o1), e0 AS (SELECT *, s11 AS v1, s22 AS v2 FROM o2)"""
+    for j in range(3):
+        ok = f"s{j}{j} > " + (f"1e-9::DOUBLE * v{j}" if j else "0")
+        out += f", r{j} AS (SELECT *, {', '.join(f'CASE WHEN {ok} THEN s{j}{k} / s{j}{j} ELSE 0 END AS r{j}{k}' for k in range(j + 1, 4))} FROM e{j})"
+        rest = [(k, m) for k in range(j + 1, 4) for m in range(k, 4)]
+        out += f", e{j + 1} AS (SELECT * REPLACE ({', '.join(f's{k}{m} - r{j}{k} * s{j}{m} AS s{k}{m}' for k, m in rest)}) FROM r{j})"
+    return out + """, b1 AS (SELECT *, r23 AS c2, r13 - r12 * r23 AS c1 FROM e3), b0 AS (SELECT *, r03 - r01 * c1 - r02 * c2 AS c0 FROM b1),
+z AS (SELECT tradedate, symbol, CASE WHEN len(frame) >= 8 THEN sqrt(list_sum(list_transform(frame, lambda q: pow(q[4] - m3 - c0 * (q[1] - m0) - c1 * (q[2] - m1) - c2 * (q[3] - m2), 2))) / 8) END AS v FROM b0)"""
+
+
+@query(f"WITH {REPORTS}, {_ols_sql()} SELECT tradedate, symbol, {sql_rounded('v', 2)} AS value FROM z")
 def back_forth_residual_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.reports(spark, sf_dir).select("symbol", F.col("enddate").alias("tradedate"), "revenue", F.quarter("enddate").cast("double").alias("x"))
-    return recursive.rolling_ols_std(r, "revenue", "x", 8, "value").select(*CELLS, rounded("value", 2).alias("value"))
+    return moving.rolling_ols_std(r, "revenue", "x", 8, "value").select(*CELLS, rounded("value", 2).alias("value"))
+
+
+@query(
+    f"""WITH {MARKET}, {REPORTS}, z AS (SELECT symbol, publishdate, enddate, CASE WHEN count(revenue) OVER w >= 6 THEN (revenue - avg(revenue) OVER w) / nullif(stddev_samp(revenue) OVER w, 0) END AS z
+  FROM reports WINDOW w AS (PARTITION BY symbol ORDER BY enddate ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+p AS (SELECT symbol, publishdate AS tradedate, arg_max(z, enddate) AS v FROM z WHERE z IS NOT NULL GROUP BY ALL)
+SELECT g.tradedate, g.symbol, {sql_rounded("last_value(v IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.tradedate ROWS UNBOUNDED PRECEDING)", 3)} AS value FROM g LEFT JOIN p ON p.symbol = g.symbol AND p.tradedate = g.tradedate"""
+)
+def normalized_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports' z-scores over six reports on the days they were published, filled forward on the grid."""
+    days, symbols = tables.axes(spark, sf_dir)
+    r = tables.reports(spark, sf_dir).withColumn("tradedate", F.col("enddate"))
+    r = r.withColumn("z", series.ts_zscore(F.col("revenue"), 6)).filter("z is not null")
+    r = r.groupBy("symbol", F.col("publishdate").alias("tradedate")).agg(F.max_by("z", "enddate").alias("v"))
+    return grid.densify(r, days, symbols).select(*CELLS, rounded(grid.ffill(F.col("v")), 3).alias("value"))
 
 
 _RESIDUALS = ("reg", "z_reg", "reg_resi", "slope", "qoq")
