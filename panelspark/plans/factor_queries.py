@@ -58,11 +58,18 @@ def std(source: str, out: str, *columns: str) -> str:
 {out}_3 AS (SELECT * REPLACE ({held}) FROM {out}_2), {out} AS (SELECT * REPLACE ({z}) FROM {out}_3)"""
 
 
+#: Factors of prices, volumes and flows only: no statement is read for them.
+PRICED = frozenset({
+    "lncap", "size", "nonlinear_size", "beta", "hsigma", "halpha", "rstr", "momentum", "dastd", "cmra", "residual_volatility", "stom", "stoq", "stoa", "liquidity", "dividend_yield",
+    "fund_flow", "amt2mv", "tr2mv",
+})
+
+
 def stock_query(name: str, columns: tuple[str, ...], ctes: str | None, source: str = "x", digits: int = 3, calm: bool = False) -> None:
     """A query of some factors; a calm one takes a tenth of the returns, as those of the test tables are wild."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = tables.stock_market(spark, sf_dir)
+        m = (tables.priced_market if PRICED.issuperset(columns) else tables.stock_market)(spark, sf_dir)
         m = m.withColumns({c: F.col(c) / 10 for c in ("ret", "bm_ret")}) if calm else m
         df = sf.need(m, *[sf.STOCK_FACTORS[c] for c in columns])
         return df.select(*CELLS, *[rounded(c, digits).alias(c) for c in columns])
@@ -276,11 +283,11 @@ def index_query(name: str, columns: tuple[str, ...], make: Callable[[DataFrame],
 
 
 def member_query(name: str, columns: tuple[str, ...], make: Callable[[DataFrame, DataFrame], DataFrame], ctes: str | None, source: str = "x", digits: int = 4, wide: bool = False) -> None:
-    """A query over index members; wide ones need the statement fields and market values of the stock market."""
+    """A query over index members; wide ones need the market values and flows of the stock market."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         members = tables.assets(spark, sf_dir).select("index", "symbol")
-        return make(members, (tables.stock_market if wide else tables.market)(spark, sf_dir)).select(*CELLS, *[rounded(c, digits).alias(c) for c in columns])
+        return make(members, (tables.priced_market if wide else tables.market)(spark, sf_dir)).select(*CELLS, *[rounded(c, digits).alias(c) for c in columns])
 
     sql = None if ctes is None else f"WITH {STOCK}, {ASSETS}, {ctes} SELECT tradedate, symbol, {', '.join(f'{sql_rounded(c, digits)} AS {c}' for c in columns)} FROM {source}"
     query(sql, name)(run)

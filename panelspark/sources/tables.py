@@ -108,6 +108,23 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fin.post_clean(fin.with_lags(full, ["revenue", "revenue_ttm"], 3))
 
 
+def _with_prices(m: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds the benchmark return and the fields that prices and volumes give, by fixed rules."""
+    bench = market_close(spark, sf_dir).withColumn("bm_ret", F.ln("close") - F.lag(F.ln("close"), 1).over(W.orderBy("tradedate")))
+    # One row a day: densify has checked the calendar's size (grid.MOST_DAYS).
+    m = m.join(F.broadcast(bench.select("tradedate", "bm_ret")), "tradedate")
+    return m.withColumns({
+        "negotiablemv": F.col("px") * 800, "totmktcap": F.col("px") * 1000, "turnrate": F.col("vol") / 100, "stk_share": 1000.0 + F.col("i") / 100,
+        "dy": F.col("close") / 1e5, "pe_fcst": F.col("px") / 50,
+        "linflow": F.coalesce("inflow", F.lit(0.0)), "loutflow": F.coalesce("outflow", F.lit(0.0)), "pool": F.when(F.col("px").isNotNull() & (F.col("i") >= 60), 1.0),
+    })
+
+
+def priced_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """market with the fields of the stock factors that need no statement; no report is read."""
+    return _with_prices(market(spark, sf_dir), spark, sf_dir)
+
+
 def stock_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """market with the benchmark return and the fields of the stock factors, all derived by fixed rules.
 
@@ -116,16 +133,9 @@ def stock_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     days, assets = axes(spark, sf_dir)
     fields = ["revenue", "revenue_ttm", *[f"revenue_{i}" for i in (1, 2, 3)]]
     mine = statements(spark, sf_dir).join(assets, "symbol", "left_semi").select("tradedate", "symbol", *fields)
-    m = _filled(densify(panel(spark, sf_dir), days, assets, mine))
-    bench = market_close(spark, sf_dir).withColumn("bm_ret", F.ln("close") - F.lag(F.ln("close"), 1).over(W.orderBy("tradedate")))
-    # One row a day: densify has checked the calendar's size (grid.MOST_DAYS).
-    m = m.join(F.broadcast(bench.select("tradedate", "bm_ret")), "tradedate")
+    m = _with_prices(_filled(densify(panel(spark, sf_dir), days, assets, mine)), spark, sf_dir)
     r, t = F.col("revenue"), F.col("revenue_ttm")
-    own = {
-        "negotiablemv": F.col("px") * 800, "totmktcap": F.col("px") * 1000, "turnrate": F.col("vol") / 100, "stk_share": 1000.0 + F.col("i") / 100,
-        "dy": F.col("close") / 1e5, "pe_fcst": F.col("px") / 50, "net_revenue_fcst": t * 1.4e-5, "net_revenue_fcst_2": t * 1.2e-5 - 0.3,
-        "linflow": F.coalesce("inflow", F.lit(0.0)), "loutflow": F.coalesce("outflow", F.lit(0.0)), "pool": F.when(F.col("px").isNotNull() & (F.col("i") >= 60), 1.0),
-    }
+    own = {"net_revenue_fcst": t * 1.4e-5, "net_revenue_fcst_2": t * 1.2e-5 - 0.3}
     reported = {
         "bizinco_ttm": t, "bizcost_ttm": t * 0.6 + 1000, "parenetp_ttm": t * 0.1 - 5000, "mananetr_ttm": t * 0.12 - 6000,
         "bizinco": r, "bizcost": r * 0.6 + 1000, "mainbizinco": r * 0.9, "mainbizcost": r * 0.5 + 500, "parenetp": r * 0.1 - 5000, "mananetr": r * 0.12 - 6000,
