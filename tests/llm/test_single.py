@@ -61,32 +61,72 @@ def test_patterns_find_unseen_identifiers(documents, prose):
     assert rows[13]["spans"] == ""
 
 
+def brute_contexts(text, start, end):
+    """Patterns of text[start:end]: one to three words before or after it, or one on either side; none on a glued side."""
+    def wild(w):
+        return "<number>" if re.fullmatch(r"[0-9.,:/-]+", w) else "<code>" if re.search("[0-9@]", w) else w
+
+    left, right = text[:start].lower(), re.sub(r"^[)\]}>\"'.,;:!?]*", "", text[end:].lower())
+    before = [wild(w) for w in left.split()] if left and left[-1].isspace() else []
+    after = [wild(w) for w in right.split()] if right and right[0].isspace() else []
+    out = {" ".join(before[-n:]) + " _" for n in (1, 2, 3) if len(before) >= n} | {"_ " + " ".join(after[:n]) for n in (1, 2, 3) if len(after) >= n}
+    return out | ({f"{before[-1]} _ {after[0]}"} if before and after else set())
+
+
 def test_graph_equals_brute_force(documents):
     """Seeds teach a pattern, what it finds teaches the next, and that one finds what no seed ever showed."""
     seeds = [f"+49 30 77{i:03d}1" for i in range(42)]
     unseen = [f"030/55{i:03d}1" for i in range(11)]
     rows = [("fon:", x) for x in seeds[:40] + unseen[:10]] + [("ruf:", x) for x in seeds[40:] + unseen] + [("nr", f"{i}-77{i}1") for i in range(9)] + [("nr", seeds[0]), ("x", unseen[3])]
-    texts = [f"hier steht {left} {x} und mehr" for left, x in rows]
-    seed, edges = set(seeds), set(rows)
+    texts = [f"{'hier' if i % 2 else 'oben'} steht {left} {x} und mehr" for i, (left, x) in enumerate(rows)]
+    seed, edges = set(seeds), set()
+    for text, (_, x) in zip(texts, rows, strict=True):
+        at = text.index(x)
+        edges |= {(p, x) for p in brute_contexts(text, at, at + len(x))}
+        if x in seed:  # the parts of a seed are tokens of their own
+            for m in re.finditer(r"\S*[0-9@]\S*", text):
+                t = m.group()
+                edges |= {(p, t) for p in brute_contexts(text, m.start(), m.end())} if not t.startswith("+") else set()
+    total = Counter(p for p, _ in edges)
     score, accepted = dict.fromkeys(seeds, 1.0), {}
     for _ in range(pii.ROUNDS):
-        total = Counter(left for left, _ in edges)
         hit = Counter()
-        for left, x in edges:
-            hit[left] += score.get(x, 0.0)
+        for p, x in edges:
+            hit[p] += score.get(x, 0.0)
         accepted = {p: h / (total[p] + 1) for p, h in hit.items() if h >= pii.SUPPORT and h / (total[p] + 1) >= pii.CONFIDENCE}
         gained = {}
-        for left, x in edges:
-            if left in accepted and x not in seed and re.search(pii.SHAPES["phone"], x):
-                gained[x] = max(gained.get(x, 0.0), accepted[left])
+        for p, x in edges:
+            if p in accepted and x not in seed and re.search(pii.SHAPES["phone"], x):
+                gained[x] = max(gained.get(x, 0.0), accepted[p])
         score = dict.fromkeys(seeds, 1.0) | gained
-    assert set(accepted) == {"fon:", "ruf:"}
+    assert {"fon: _", "ruf: _", "steht fon: _", "fon: _ und"} <= set(accepted) and not {"nr _", "x _", "_ und", "_ und mehr"} & set(accepted)
     for row in pii.summary(documents(texts)).collect():
         left, x = rows[row["doc_id"]]
-        at = texts[row["doc_id"]].index(x)
-        found = x in seed or left in accepted and re.search(pii.SHAPES["phone"], x)
-        assert row["spans"] == (f"phone:{at}:{at + len(x)}" if found else ""), texts[row["doc_id"]]
-        assert row["n_learned"] == int(bool(found) and x not in seed) and row["n_phone"] == int(x in seed)
+        text = texts[row["doc_id"]]
+        at = text.index(x)
+        marked = bool(brute_contexts(text, at, at + len(x)) & set(accepted)) and bool(re.search(pii.SHAPES["phone"], x))
+        assert row["spans"] == (f"phone:{at}:{at + len(x)}" if x in seed or marked else ""), text
+        assert row["n_learned"] == int(marked and x not in seed) and row["n_phone"] == int(x in seed)
+
+
+def test_contexts_are_whole_and_cross_matches(spark, documents):
+    long = "w" * 120
+    texts = ["mail a@b.cc c@d.ee", "id 10.0.0.1 10.0.0.2", f"{long} x@y.zz", f"x@y.zz {long} " + "v" * 500, "see nr 77 of 4a: p@q.rr, then go on", "glued:p@q.rr", "p@q.rrs!x ok", "a@b.cc\n\tc@d.ee e@f.gg  one", "", "p@q.rr"]
+    got = pii.matches(documents(texts)).filter("kind in ('email', 'ip')").collect()
+    seen = {(r["doc_id"], r["start"]): set(r["contexts"]) for r in got}
+    for (doc, start), contexts in seen.items():
+        end = next(r["end"] for r in got if (r["doc_id"], r["start"]) == (doc, start))
+        assert contexts == brute_contexts(texts[doc], start, end), (texts[doc], start)
+    assert "mail <code> _" in seen[0, 12] and "id <number> _" in seen[1, 12] and f"{long} _" in seen[2, 121] and seen[9, 0] == set()
+    assert len(seen) == 13
+
+
+def test_right_hand_patterns_find_unseen_identifiers(documents, prose):
+    texts = [f"{prose(i, 20)} user{i}@mail.example ist meine adresse {prose(i + 500, 20)}" for i in range(12)]
+    texts += [f"{prose(900, 15)} karl@intern ist meine adresse {prose(901, 9)}", f"{prose(902, 15)} karl@intern {prose(903, 9)}"]
+    rows = {r["doc_id"]: r for r in pii.summary(documents(texts)).collect()}
+    at = texts[12].index("karl@")
+    assert rows[12]["spans"] == f"email:{at}:{at + 11}" and rows[12]["n_email"] == 0 and rows[13]["spans"] == ""
 
 
 def test_pii_edges(spark, documents):
