@@ -9,8 +9,8 @@ Search: BANDS bands of ROWS coordinates; sets of similarity 0.75 share no band w
 about 4e-6. Equal sets are one class from the start, and only classes are compared. A bucket first gives
 star edges from its centre, the member that shares the most buckets with others; their overlaps are counted
 on full sets, and links merge into components. Only buckets that still hold several components go on: members outside the centre's
-component meet the others of that centre's buckets in a join whose condition drops pairs that cannot link: pairs of
-one component, pairs whose overlap is bounded too low by their exact overlaps with the centre, and pairs
+component meet the others of that centre's buckets, of about their size and in blocks of BLOCK, so that no task has all
+comparisons of a centre. The join's condition drops pairs that cannot link: pairs of one component, pairs whose overlap is bounded too low by their exact overlaps with the centre, and pairs
 whose sketches differ in more than MOST_DIFFERENT coordinates (4.7 standard deviations). What remains is
 verified on full sets, without a cap. Links inside one component cannot change the result.
 
@@ -21,6 +21,7 @@ nothing, has no component and stays; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, materialize, mix, text_shingles, with_ids
+from .common import Scratch, join_groups, map_texts, materialize, mix, text_shingles, with_ids
 
 T, BANDS, ROWS = 384, 64, 6
+#: Members of one centre and size class that others are compared with in one task.
+BLOCK = 512
 #: Sketches are compared by four bits of each coordinate, 16 coordinates to a word.
 WORDS = T // 16
 #: At similarity 0.75, 90 of 384 differ on average, deviation 8.3; more than this has a probability of 2e-6.
@@ -140,17 +143,20 @@ def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the least node reachable.
 
     Alternates large-star and small-star until nothing changes; each round is written out. The least
-    neighbour of a node is found by a partial aggregation, so a node of many edges is no hot group there.
+    neighbour of a node is found by a partial aggregation and sent to the edges of nodes that have many, so no node is
+    a hot group.
     """
     edges = tmp(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = tmp(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        # A node of many edges is joined where its edges are.
+        large = join_groups(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = tmp(large.distinct())
         # Now every edge points down from u to v.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        low = tmp(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_groups(large, low, "u", "n").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = tmp(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -171,21 +177,31 @@ def _different(x: str, y: str) -> Column:
     return total
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
+def size_class(size: Column, least: float) -> Column:
+    """Sets of similarity `least` or more are in the same or in neighbouring classes of size."""
+    return F.floor(F.ln(size.cast("double")) / (math.log(1 / least) * 1.0001)).cast("int")
+
+
+def _across(members: DataFrame, least: float, tmp: Scratch) -> DataFrame:
     """Pairs of members of a centre's buckets in different components that may link.
 
-    members: centre, node, comp, main (component of the centre), size, own (overlap with the centre),
+    members: centre, node, comp, main (component of the centre), size, sizes (its class), own (overlap with the centre),
     sketch, centres (all of the class's); one row for each centre and class, however many buckets
     they share. A pair is taken at the least centre that both have, as the bounds hold at any.
     """
-    x = members.filter("comp <> main").select("centre", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"), F.col("centres").alias("la"))
-    y = members.select(F.col("centre").alias("c"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), F.col("centres").alias("lb"))
+    x = members.filter("comp <> main").select("centre", F.explode(F.sequence(F.col("sizes") - 1, F.col("sizes") + 1)).alias("k"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("own").alias("oa"), F.col("sketch").alias("sa"), F.col("centres").alias("la"))
+    y = members.select(F.col("centre").alias("c"), F.col("sizes").alias("kb"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("m"), F.col("size").alias("nb"), F.col("own").alias("ob"), F.col("sketch").alias("sb"), F.col("centres").alias("lb"))
+    # Members of one centre and size class are dealt into blocks of about BLOCK; the others meet each block.
+    blocks = tmp(y.groupBy("c", "kb").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    x = x.join(blocks.select(F.col("c").alias("centre"), F.col("kb").alias("k"), "blocks"), ["centre", "k"])
+    x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = y.join(blocks, ["c", "kb"]).withColumn("in_block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     # A pair that both sides list is taken once.
     once = (F.col("cb") == F.col("m")) | (F.col("a") < F.col("b"))
     most = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
     possible = (1 + least) * most >= least * (F.col("na") + F.col("nb")) - 1e-6
     alike = _different("sa", "sb") <= round(MOST_DIFFERENT * (1 - least) / 0.25)
-    met = (F.col("centre") == F.col("c")) & (F.col("ca") != F.col("cb")) & once & possible & alike & (F.array_min(F.array_intersect("la", "lb")) == F.col("c"))
+    met = (F.col("centre") == F.col("c")) & (F.col("k") == F.col("kb")) & (F.col("block") == F.col("in_block")) & (F.col("ca") != F.col("cb")) & once & possible & alike & (F.array_min(F.array_intersect("la", "lb")) == F.col("c"))
     return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -225,8 +241,8 @@ def _near_duplicates(docs: DataFrame, least: float, tmp: Scratch) -> DataFrame:
     # A class has at most one centre a band.
     centres_of = placed.groupBy("node").agg(F.collect_set("centre").alias("centres"))
     members = placed.join(shares, ["centre", "node"]).join(centres_of, "node").join(classes.select("node", "row"), "node")
-    members = members.join(texts.select("row", "sketch"), "row").drop("row")
-    more = _links(overlaps(_across(tmp(members), least), docs, classes, tmp), least)
+    members = members.join(texts.select("row", "sketch"), "row").drop("row").withColumn("sizes", size_class(F.col("size"), least))
+    more = _links(overlaps(_across(tmp(members), least, tmp), docs, classes, tmp), least)
     comp = components(links.union(more), tmp)
 
     named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
