@@ -101,14 +101,25 @@ def test_pipeline_on_odd_rows(spark, tmp_path, prose):
     docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)] + [(100 + i, prose(600 + i, 60).upper().replace(" ", "!! "), "de", "s", 9) for i in range(30)]
     docs += [(3, good[3], "en", "s", 9), (5, prose(950, 60) + ".", "en", "s", 9), (None, prose(951, 60) + ".", None, None, None), (200, long, "en", "s", len(long)), (201, None, None, None, None)]
     labels = [(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(30)] + [(7, 0, 0), (None, 1, 0)]
-    path = write(spark, f"{tmp_path}/x", docs, [(None, None), (1, "")], labels, _quality="q", score=1, rate=5.0, n_tokens=6, goes="g", rid=7, kept=False, component_id=8, item="i", posteriors="p")
+    path = write(spark, f"{tmp_path}/x", docs, [(None, None), (1, "")], labels, _quality="q", score=1, rate=5.0, n_tokens=6, goes="g", rid=7, kept=False, component_id=8, item="i", posteriors="p", n_lines="l", n_kept=9)
     out = corpus_pipeline.run(spark, path)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_quality", "score", "goes", "rid", "kept", "component_id", "item", "posteriors", "n_tokens", "rate"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_quality", "score", "goes", "rid", "kept", "component_id", "item", "posteriors", "n_lines", "n_kept", "n_tokens", "rate"]
     rows = out.collect()
     ids = sorted(str(x["doc_id"]) for x in rows)
     # The copy of doc 3 is one document with it, and doc 5's other text is judged by itself.
     assert ids == sorted([*[str(i) for i in range(40)], "3", "5", "None", "200"])
-    assert all(x["_quality"] == "q" and x["score"] == 1 and x["item"] == "i" for x in rows)
+    assert all((x["_quality"], x["score"], x["goes"], x["rid"], x["kept"], x["component_id"], x["item"], x["posteriors"], x["n_lines"], x["n_kept"]) == ("q", 1, "g", 7, False, 8, "i", "p", "l", 9) for x in rows)
+    kinds = dict(out.dtypes)
+    assert (kinds["posteriors"], kinds["n_lines"], kinds["n_kept"], kinds["rid"], kinds["rate"], kinds["n_tokens"]) == ("string", "string", "int", "int", "double", "bigint")
+
+
+def test_stages_without_counts_of_characters(spark, folder):
+    path, good, _ = folder(60)
+    docs = spark.read.parquet(f"{path}/documents.parquet").drop("n_chars", "source")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == ["doc_id", "text", "lang"]
+    assert {r["doc_id"] for r in docs.collect()} == set(range(good))
 
 
 def test_pipeline_on_empty_tables(spark, folder):
