@@ -10,23 +10,23 @@ from ..sources import tables
 from ..sources.scratch import written
 from . import backtest as bt
 from . import labels, universe
-from .registry import MARKET, query, rounded, sql_rounded
+from .panel_queries import POOL_SQL, scope
+from .registry import ASSETS, MARKET, query, rounded, sql_rounded
 
 Q, FEE = 5, 0.001
 CELLS = ["tradedate", "symbol"]
 
 
-def reversal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Factor (winsorized and normalized -20-day return) and price, both (tradedate, symbol, value)."""
+def reversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factor (winsorized and normalized -20-day return) as value, and price px, in one frame."""
     m = tables.market(spark, sf_dir)
     raw = m.select(*CELLS, "px", (-grid.change(F.col("px"), 20)).alias("value"))
-    return panel.with_standard(raw, "value").select(*CELLS, "value"), m.select(*CELLS, F.col("px").alias("value"))
+    return panel.with_standard(raw, "value").select(*CELLS, "value", "px")
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factor, price = reversal(spark, sf_dir)
+def cells(spark: SparkSession, sf_dir: str, q: int = Q, pool: DataFrame | None = None) -> DataFrame:
     # Every figure of the backtest reads the binned cells.
-    return written(bt.binned(universe.align_forward_returns(factor, price, None, "M"), Q))
+    return written(bt.binned(universe.align_panel(reversal(spark, sf_dir), "value", "px", pool), q))
 
 
 _D = "OVER (PARTITION BY tradedate)"
@@ -85,6 +85,23 @@ def reversal_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("bin").agg(F.count("ret").alias("months"), rounded(F.avg("ret"), 6).alias("mean_ret"), rounded(F.stddev_samp("ret"), 6).alias("std_ret"))
 
 
+#: The flagship's own setting: ten bins within an index's pool, with fees.
+BINS = 10
+_POOLED = FACTOR + ", " + POOL_SQL + ", " + TURN.removeprefix(FACTOR + ", ").replace("FROM factor WHERE x IS NOT NULL GROUP BY ALL", "FROM factor JOIN pool USING (tradedate, symbol) WHERE x IS NOT NULL GROUP BY ALL")
+_POOLED = _POOLED.replace("[0, 0.2, 0.4, 0.6, 0.8, 1]", str([i / BINS for i in range(BINS + 1)])).replace(f"least({Q}, len(", f"least({BINS}, len(")
+
+
+@query(
+    f"""WITH {_POOLED} {_groups(FEE).replace(f"bin = {Q})", f"bin = {BINS})")}
+SELECT bin::INT AS bin, count(ret) AS months, {sql_rounded('avg(ret)', 5)} AS mean_ret, {sql_rounded('stddev_samp(ret)', 5)} AS std_ret FROM gr GROUP BY bin"""
+)
+def reversal_backtest_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly reversal in ten bins of the stocks that are tradable members of index 1, after fees."""
+    binned = cells(spark, sf_dir, BINS, written(scope(spark, sf_dir, "1")))
+    g = bt.group_returns(binned, FEE)
+    return g.groupBy("bin").agg(F.count("ret").alias("months"), rounded(F.avg("ret"), 5).alias("mean_ret"), rounded(F.stddev_samp("ret"), 5).alias("std_ret"))
+
+
 @query(
     f"""WITH {TURN} {_groups(0.0)} SELECT tradedate, bin::INT AS bin, {sql_rounded("v")} AS log_value FROM (
   SELECT tradedate, bin, 1 + ln(product(1 + coalesce(ret, 0)) OVER (PARTITION BY bin ORDER BY tradedate ROWS UNBOUNDED PRECEDING)) AS v FROM gr)"""
@@ -205,10 +222,23 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT tradedate, symbol, {sql_rounded("x")} AS value, {sql_rounded("(rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0) / count(*) OVER ()")} AS pct FROM l"""
 )
 def last_factor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = bt.last_factor_view(reversal(spark, sf_dir)[0], None)
+    view = bt.last_factor_view(reversal(spark, sf_dir), None)
     return view.select(*CELLS, rounded("value").alias("value"), rounded("pct").alias("pct"))
 
 
+@query(
+    f"""WITH {FACTOR}, {ASSETS}, {POOL_SQL}, kn AS (SELECT * FROM factor JOIN pool USING (tradedate, symbol) WHERE x IS NOT NULL), ls AS (SELECT * FROM kn WHERE tradedate = (SELECT max(tradedate) FROM kn))
+SELECT tradedate, ls.symbol, {sql_rounded("x")} AS value, {sql_rounded("(rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0) / count(*) OVER ()")} AS pct, s_name AS name, sector
+FROM ls LEFT JOIN assets USING (symbol) LEFT JOIN supplier ON ls.symbol = lpad(s_suppkey::VARCHAR, 6, '0')"""
+)
+def last_factor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's values within the pool, with the stocks' names and sectors."""
+    s = tables.read(spark, sf_dir, "supplier").select(tables.code(F.col("s_suppkey")).alias("symbol"), F.col("s_name").alias("name"))
+    names = tables.assets(spark, sf_dir).select("symbol", "sector").join(s, "symbol")
+    view = bt.last_factor_view(reversal(spark, sf_dir).select(*CELLS, "value"), written(scope(spark, sf_dir, "1")), names)
+    return view.select(*CELLS, rounded("value").alias("value"), rounded("pct").alias("pct"), "name", "sector")
+
+
 @query(
     f"""WITH {FACTOR}, u AS (SELECT f.tradedate, f.symbol, f.x AS a, g.vol AS b FROM factor f JOIN g USING (tradedate, symbol)),
 r AS (SELECT *, CASE WHEN a IS NOT NULL THEN rank() OVER (PARTITION BY tradedate ORDER BY a IS NULL, a) + (count(*) OVER (PARTITION BY tradedate, a) - 1) / 2.0 END
@@ -217,5 +247,5 @@ SELECT tradedate, symbol, CASE WHEN s IS NOT NULL THEN {sql_rounded("rank() OVER
 )
 def multi_factor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.market(spark, sf_dir).select(*CELLS, F.col("vol").alias("b"))
-    both = reversal(spark, sf_dir)[0].withColumnRenamed("value", "a").join(m, CELLS)
+    both = reversal(spark, sf_dir).select(*CELLS, F.col("value").alias("a")).join(m, CELLS)
     return labels.multi_factor(both, {"a": 1, "b": -1}).select(*CELLS, rounded("value").alias("value"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, panel
 from ..sources import landing, tables
+from ..sources.factors import Factor, FactorStore
+from ..sources.keyed import KeyedTable
+from ..sources.scratch import Scratch, written
 from . import universe
 from .registry import ASSETS, MARKET, MARKET_CLOSE, PANEL, REPORTS, query, rounded, sql_rounded
 from .series_queries import CELLS, cell_query, close, px, vol
@@ -144,6 +147,35 @@ def concat_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.concat_factors(both, "1996-01-01", "1997-12-31").select(*CELLS, rounded("x").alias("x"), rounded("y").alias("y"))
 
 
+@query(
+    f"""WITH {PANEL} SELECT tradedate, symbol, {sql_rounded("CASE WHEN tradedate > DATE '1997-12-01' THEN close * 3 WHEN symbol::INT % 3 = 0 AND tradedate BETWEEN DATE '1996-06-10' AND DATE '1996-09-30' THEN close * 2 ELSE close END")} AS close FROM panel"""
+)
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made by three upserts: rows of the first years, late corrections of some keys, and the newest rows."""
+    p, day = tables.panel(spark, sf_dir).select(*CELLS, "close"), F.col("tradedate")
+    late = p.filter((F.col("symbol").cast("int") % 3 == 0) & day.between("1996-06-10", "1996-09-30"))
+    with Scratch(spark) as tmp:
+        table = KeyedTable(spark, tmp.folder())
+        table.upsert(p.filter(day <= "1998-01-10"))
+        table.upsert(late.withColumn("close", F.col("close") * 2))
+        table.upsert(p.filter(day > "1997-12-01").withColumn("close", F.col("close") * 3))
+        return written(table.read().select(*CELLS, rounded("close").alias("close")))
+
+
+@query(f"WITH {MARKET} SELECT tradedate, symbol, {sql_rounded('px / lag(px, 5) OVER (PARTITION BY symbol ORDER BY tradedate) - 1')} AS value FROM g")
+def factor_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored factor brought up to date after prices of a few days were corrected: equal to computing it anew."""
+    m = tables.market(spark, sf_dir).select(*CELLS, "px")
+    wrong = F.col("tradedate").between("1996-03-04", "1996-03-06") | (F.col("tradedate") == "1999-10-11")
+    change5 = Factor("change_5", lambda p: p.withColumn("value", grid.change(F.col("px"), 5)), 5)
+    with Scratch(spark) as tmp:
+        m = tmp(m)
+        store = FactorStore(spark, tmp.folder())
+        store.update(change5, m.withColumn("px", F.when(wrong, F.col("px") * 7).otherwise(F.col("px"))))
+        store.update(change5, m, m.filter(wrong))
+        return written(store.table("change_5").read().select(*CELLS, rounded("value").alias("value")))
+
+
 _INFO = """info AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS symbol, CASE WHEN s_suppkey % 7 = 3 THEN 'ST ' ELSE '' END || s_name AS sesname,
   CASE WHEN s_nationkey % 4 = 0 THEN '4' ELSE '1' END AS board, DATE '1995-03-01' + (s_suppkey % 50)::INT AS listdate,
   CASE WHEN s_suppkey % 5 = 0 THEN DATE '1900-01-01' WHEN s_suppkey % 11 = 1 THEN DATE '1999-01-01' END AS delistdate FROM supplier)"""
@@ -160,6 +192,7 @@ def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stocks of the pool queries: tradable ones, and those of one index (region 1) while they are its members.
 _TRADABLE = f"""{PANEL}, {_INFO}, l AS (SELECT *, coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') AS hi FROM info),
 c AS (SELECT d.tradedate, l.*, p.close, p.volume, tradedate BETWEEN listdate AND hi AS listed FROM (SELECT DISTINCT tradedate FROM panel) d CROSS JOIN l LEFT JOIN panel p USING (tradedate, symbol)),
 w AS (SELECT *, sum(listed::INT) OVER s AS age, close / lag(close) OVER s - 1 AS pct FROM c WINDOW s AS (PARTITION BY symbol ORDER BY tradedate)),
@@ -181,18 +214,28 @@ def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _info(spark, sf_dir).join(supplier, "symbol").select(F.col("index").alias("symbol"), F.col("symbol").alias("selectedsymbol"), F.col("listdate").alias("selecteddate"), F.col("delistdate").alias("outdate"))
 
 
+_POOL = f"""{_TRADABLE}, m AS (SELECT info.symbol, listdate, coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') AS hi FROM info
+  JOIN supplier ON info.symbol = lpad(s_suppkey::VARCHAR, 6, '0') JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1)"""
+
+
 @query(
-    f"""WITH {_TRADABLE}, m AS (SELECT info.symbol, listdate, coalesce(nullif(delistdate, DATE '1900-01-01'), DATE '9999-12-31') AS hi FROM info
-  JOIN supplier ON info.symbol = lpad(s_suppkey::VARCHAR, 6, '0') JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1)
-SELECT 'all' AS scope, tradedate, symbol FROM tradable UNION ALL SELECT '1', tradedate, symbol FROM tradable JOIN m USING (symbol) WHERE tradedate >= listdate AND tradedate < hi"""
+    f"""WITH {_POOL} SELECT 'all' AS scope, tradedate, symbol FROM tradable UNION ALL SELECT '1', tradedate, symbol FROM tradable JOIN m USING (symbol) WHERE tradedate >= listdate AND tradedate < hi"""
 )
 def stock_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool of all stocks that can be traded, and that of one index's members."""
-    tradable, members = trade_calendar(spark, sf_dir), _membership(spark, sf_dir)
-    pools = [universe.scope_pool(scope, tradable, members).select(F.lit(scope).alias("scope"), *CELLS) for scope in ("all", "1")]
+    pools = [scope(spark, sf_dir, s).select(F.lit(s).alias("scope"), *CELLS) for s in ("all", "1")]
     return pools[0].union(pools[1])
 
 
+def scope(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Pool of a scope: all tradable stocks, or those of an index."""
+    return universe.scope_pool(name, trade_calendar(spark, sf_dir), _membership(spark, sf_dir))
+
+
+#: CTE pool (tradedate, symbol) of index 1 after the CTEs of PANEL.
+POOL_SQL = _POOL.removeprefix(PANEL + ",") + ", pool AS (SELECT tradedate, symbol FROM tradable JOIN m USING (symbol) WHERE tradedate >= listdate AND tradedate < hi)"
+
+
 @query(
     """WITH c AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS symbol, CASE WHEN s_suppkey % 9 = 0 THEN '0' WHEN s_suppkey % 7 = 0 THEN '2' ELSE '1' END AS status, n_nationkey::VARCHAR AS nation, n_regionkey::VARCHAR AS region
   FROM supplier JOIN nation ON n_nationkey = s_nationkey)

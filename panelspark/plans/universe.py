@@ -109,14 +109,6 @@ def current_components(membership: DataFrame, on: str) -> DataFrame:
     return now.groupBy("symbol").agg(F.sort_array(F.collect_set("selectedsymbol")).alias("components"))
 
 
-def industry(assets: DataFrame, classes: DataFrame, end: str) -> DataFrame:
-    """assets with the industry valid after `end` (usestatus 1); '0' where there is none."""
-    valid = classes.filter((F.col("usestatus") == "1") & (F.col("outdate") > F.lit(end).cast("date")))
-    w = W.partitionBy("symbol").orderBy(F.desc("selecteddate"), F.desc("industry"))
-    one = valid.withColumn("_row", F.row_number().over(w)).filter("_row = 1").select("symbol", "industry")
-    return assets.join(one, "symbol", "left").fillna("0", ["industry"])
-
-
 def benchmark_returns(close: DataFrame, days: DataFrame) -> DataFrame:
     """tradedate, close and log return of one series laid on the calendar."""
     on_days = days.select("tradedate").distinct().join(close.select("tradedate", "close"), "tradedate", "left")
@@ -137,20 +129,26 @@ def resample_last(panel: DataFrame, fields: list[str], freq: str = "M") -> DataF
     return panel.withColumn("tradedate", F.col("tradedate")).groupBy("symbol", period(F.col("tradedate"), freq).alias("period")).agg(*last).withColumnRenamed("period", "tradedate")
 
 
-def align_forward_returns(factor: DataFrame, price: DataFrame, pool: DataFrame | None, freq: str = "M") -> DataFrame:
-    """tradedate, symbol, factor and fwd (return to the next period) on the periods both know.
+def align_panel(panel: DataFrame, factor: str, price: str, pool: DataFrame | None = None, freq: str = "M") -> DataFrame:
+    """tradedate, symbol, factor and fwd (return to the next period) on the periods that have factors.
 
-    factor and price are (tradedate, symbol, value); the pool masks the factor before resampling. Symbols
-    keep the periods without values, so a return spans exactly one period. The values by period are few and are
-    read several times, so they are written to the shared folder first.
+    panel is (tradedate, symbol, factor, price); both are resampled by one group. The pool masks the factor before.
+    Symbols keep the periods without values, so a return spans exactly one period. The values by period are few
+    and are read several times, so they are written to the shared folder first.
     """
+    cells = panel.select("tradedate", "symbol", F.col(factor).alias("factor"), F.col(price).alias("price"))
     if pool is not None:
-        factor = factor.join(pool, ["tradedate", "symbol"], "left_semi")
-    f = written(resample_last(factor.select("tradedate", "symbol", F.col("value").alias("factor")).filter("factor is not null"), ["factor"], freq))
-    p = written(resample_last(price.select("tradedate", "symbol", F.col("value").alias("price")), ["price"], freq))
-    dates = p.select("tradedate").distinct().join(f.select("tradedate").distinct(), "tradedate", "left_semi")
-    symbols = p.select("symbol").distinct().join(f.select("symbol").distinct(), "symbol", "left_semi")
-    cells = grid(dates, symbols).join(f, ["tradedate", "symbol"], "left").join(p, ["tradedate", "symbol"], "left")
-    price_now = ffill(F.col("price"))
-    cells = cells.withColumn("price", price_now)
-    return cells.select("tradedate", "symbol", "factor", (F.try_divide(F.lead("price").over(by_symbol()), F.col("price")) - 1).alias("fwd"))
+        marked = pool.select("tradedate", "symbol").distinct().withColumn("_in", F.lit(True))
+        cells = cells.join(marked, ["tradedate", "symbol"], "left").withColumn("factor", F.when(F.col("_in"), F.col("factor"))).drop("_in")
+    ends = written(resample_last(cells, ["factor", "price"], freq))
+    known = ends.filter("factor is not null")
+    full = grid(known, known).join(ends, ["tradedate", "symbol"], "left").withColumn("price", ffill(F.col("price")))
+    return full.select("tradedate", "symbol", "factor", (F.try_divide(F.lead("price").over(by_symbol()), F.col("price")) - 1).alias("fwd"))
+
+
+def align_forward_returns(factor: DataFrame, price: DataFrame, pool: DataFrame | None, freq: str = "M") -> DataFrame:
+    """align_panel of a factor and a price that are tables of their own, (tradedate, symbol, value) each."""
+    f, p = (x.select("tradedate", "symbol", F.col("value").alias(c)) for x, c in ((factor, "factor"), (price, "price")))
+    # Put together and grouped rather than joined; only symbols with a price count.
+    both = f.unionByName(p, allowMissingColumns=True).groupBy("tradedate", "symbol").agg(F.max("factor").alias("factor"), F.max("price").alias("price"))
+    return align_panel(both.join(p.select("symbol").distinct(), "symbol", "left_semi"), "factor", "price", pool, freq)

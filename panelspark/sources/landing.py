@@ -247,13 +247,16 @@ def load_factors(spark: SparkSession, root: str, names: Sequence[str] | None = N
 
 
 def concat_factors(factors: dict[str, DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
-    """Feature table: one column a factor, joined on the keys (full outer), within dates."""
-    out = None
+    """Feature table: one column a factor, a row for each cell that any of them has, within dates.
+
+    All factors are put together and grouped once; of rows that repeat a cell the greatest value stays.
+    """
+    rows = None
     for name, df in factors.items():
-        one = df.select("tradedate", "symbol", F.col("value").alias(name))
-        if start:
-            one = one.filter(F.col("tradedate") >= F.lit(start).cast("date"))
-        if end:
-            one = one.filter(F.col("tradedate") <= F.lit(end).cast("date"))
-        out = one if out is None else out.join(one, ["tradedate", "symbol"], "full")
-    return out
+        one = df.select("tradedate", "symbol", F.lit(name).alias("_factor"), F.col("value").cast("double").alias("_value"))
+        rows = one if rows is None else rows.unionByName(one)
+    if start:
+        rows = rows.filter(F.col("tradedate") >= F.lit(start).cast("date"))
+    if end:
+        rows = rows.filter(F.col("tradedate") <= F.lit(end).cast("date"))
+    return rows.groupBy("tradedate", "symbol").agg(*[F.max(F.when(F.col("_factor") == n, F.col("_value"))).alias(n) for n in factors])
