@@ -10,7 +10,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StructType
 
 from ..functions.dates import symbol_code
 from ..functions.numeric import finite
@@ -156,6 +156,46 @@ def table_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files)
 
 
+#: The folder of each kind of stored object, by the beginning of its name; other names are processed factors.
+FOLDERS = (
+    ("basic_info", "basic_info"), ("index_components", "basic_info"), ("tradeassets", "trade_calendar"), ("tradedays", "trade_calendar"),
+    ("trade_calendar", "trade_calendar"), ("stock_pool_", "trade_calendar"), ("stock_", "factor/stock"), ("index_", "factor/index"),
+)
+
+
+def logical_path(root: str, name: str) -> str:
+    """Where an object of a logical name is stored: basic_info_stock, stock_pool_000300, stock_close, size, .."""
+    if not re.fullmatch(r"[A-Za-z0-9_]+", name):
+        raise ValueError(f"not a name: {name}")
+    kind, folder = next(((k, f) for k, f in FOLDERS if name.startswith(k)), ("", "processed_factors"))
+    # Fields of stocks and indices are stored under their own names.
+    return f"{root}/{folder}/{name.removeprefix(kind) if folder.startswith('factor/') else name}"
+
+
+def read_typed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One table with its types checked: every field of the schema must be there in a type that it holds without loss.
+
+    Numbers may be stored narrower than asked for; anything else that differs is an error, as is a file that is not Parquet.
+    """
+    suffix = path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else "parquet"
+    if suffix != "parquet":
+        raise TypeError(f"unsupported file type: {suffix}, of {path}")
+    df = spark.read.parquet(path)
+    if schema is None:
+        return df
+    order = ("byte", "short", "integer", "long", "float", "double")
+    stored, wanted, columns = {f.name: f.dataType for f in df.schema.fields}, StructType.fromDDL(schema), []
+    for f in wanted.fields:
+        if f.name not in stored:
+            raise ValueError(f"{path} has no column {f.name}")
+        a, b = stored[f.name].typeName(), f.dataType.typeName()
+        wider = a in order and b in order and order.index(a) <= order.index(b) and not (a in ("integer", "long") and b == "float") and not (a == "long" and b == "double")
+        if stored[f.name] != f.dataType and not wider:
+            raise TypeError(f"{path}: {f.name} is {a}, not {b}")
+        columns.append(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name))
+    return df.select(*columns)
+
+
 def normal_name(name: str) -> str:
     """A file's name without ending, lower-case."""
     return name.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()

@@ -92,3 +92,21 @@ def test_members_and_pools(spark):
     membership = spark.createDataFrame([("000300", "a", DAY, DAY + dt.timedelta(4)), ("000300", "b", dt.date(1900, 1, 1), None), ("000300", "e", DAY, dt.date(1900, 1, 1))], "symbol string, selectedsymbol string, selecteddate date, outdate date")
     assert at(universe.scope_pool("000300", tradable, membership)) == {("a", 0), ("e", 1)}
     assert at(universe.scope_pool("all", tradable)) == {("a", 0), ("a", 4), ("b", 5), ("e", 1)}
+
+
+def test_names_and_types(spark, tmp_path):
+    assert landing.logical_path("out", "basic_info_index_board") == "out/basic_info/basic_info_index_board"
+    assert landing.logical_path("out", "stock_pool_000300") == "out/trade_calendar/stock_pool_000300"
+    assert landing.logical_path("out", "stock_close") == "out/factor/stock/close" and landing.logical_path("out", "index_close") == "out/factor/index/close"
+    assert landing.logical_path("out", "size") == "out/processed_factors/size"
+    with pytest.raises(ValueError):
+        landing.logical_path("out", "../etc")
+    days(spark, [("a", 0, 1.0)]).withColumn("n", F.lit(1)).write.parquet(f"{tmp_path}/t")
+    got = landing.read_typed(spark, f"{tmp_path}/t", "symbol string, tradedate date, n long")
+    assert got.dtypes == [("symbol", "string"), ("tradedate", "date"), ("n", "bigint")] and got.count() == 1
+    assert landing.read_typed(spark, f"{tmp_path}/t").columns == ["symbol", "x", "tradedate", "n"]
+    for schema, error in (("volume double", ValueError), ("x long", TypeError), ("symbol int", TypeError)):
+        with pytest.raises(error):
+            landing.read_typed(spark, f"{tmp_path}/t", schema)
+    with pytest.raises(TypeError):
+        landing.read_typed(spark, f"{tmp_path}/t.csv")
