@@ -333,7 +333,7 @@ for _n, _mark in ((250, ""), (LONG, f"_{LONG}")):
     )
     if _n == LONG:
         index_query(
-            "index_amount_quantile_756", ("amount_quantile",), lambda ix, n=_n: ixf.history_rank(ix, "amount", "amount_quantile", n),
+            "index_amount_quantile", ("amount_quantile",), lambda ix, n=_n: ixf.history_rank(ix, "amount", "amount_quantile", n),
             f"x AS (SELECT tradedate, symbol, {sql_rank_pct('amount', _n)} AS amount_quantile FROM ix)",
         )
     for _field in ("volume", "amount"):
