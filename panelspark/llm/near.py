@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_groups, map_texts, materialize, mix, text_shingles, with_ids
+from .common import Scratch, map_texts, materialize, mix, text_shingles, with_ids
 
 T, BANDS, ROWS = 384, 64, 6
 #: Members of one centre and size class that others are compared with in one task.
@@ -143,20 +143,18 @@ def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the least node reachable.
 
     Alternates large-star and small-star until nothing changes; each round is written out. The least
-    neighbour of a node is found by a partial aggregation and sent to the edges of nodes that have many, so no node is
-    a hot group.
+    neighbour of a node is found by a partial aggregation, so a node of many edges is no hot group there; its edges meet
+    that neighbour in a join whose large partitions Spark splits at run time.
     """
     edges = tmp(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = tmp(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        # A node of many edges is joined where its edges are.
-        large = join_groups(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = tmp(large.distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Now every edge points down from u to v.
-        low = tmp(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = join_groups(large, low, "u", "n").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = tmp(small.filter("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
