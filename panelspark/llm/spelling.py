@@ -32,7 +32,7 @@ from .common import Scratch, _parts, materialize
 RUNS, LEAST_LETTERS, LEAST_COUNT, TIMES = "[A-Za-z\u00C0-\u00FF]+", 6, 5, 5
 #: Every run whose hash this divides loses a letter.
 DAMAGE = 199
-LEAF = 64
+LEAF = 1024
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
