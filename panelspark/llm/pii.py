@@ -158,24 +158,27 @@ def _fits(kind: Column, token: Column) -> Column:
 
 def learn(base: DataFrame, tokens: DataFrame, tmp: Scratch) -> DataFrame:
     """Accepted patterns (pattern, kind, confidence) from spans and tokens (contexts, match or token, ..)."""
-    seeds = tmp(base.select(F.explode("contexts").alias("pattern"), F.col("match").alias("instance"), "kind").distinct())
+    seeds = base.select(F.explode("contexts").alias("pattern"), F.col("match").alias("instance"))
     unknown = tokens.select(F.explode("contexts").alias("pattern"), F.col("token").alias("instance"))
     # Tokens that are seeds of the same pattern are the same instance.
-    edges = tmp(seeds.select("pattern", "instance").union(unknown).distinct())
-    totals = tmp(edges.groupBy("pattern").agg(F.count("*").alias("total")).filter(F.col("total") >= SUPPORT))
-    edges = tmp(edges.join(totals.select("pattern"), "pattern", "left_semi"))
-    trusted = tmp(seeds.select("instance", "kind", F.lit(1.0).alias("score")).distinct())
-    known, before = trusted, (0, 0.0)
+    edges = seeds.union(unknown).distinct()
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("total")).filter(F.col("total") >= SUPPORT)
+    kinds = F.array_compact(F.array(*[F.when(F.bool_or(F.col("kind") == k), F.lit(k)) for k in KINDS]))
+    trusted = base.filter(F.size("contexts") > 0).groupBy(F.col("match").alias("instance")).agg(kinds.alias("kinds"))
+    # The one table of the graph: each edge with its pattern's total and the kinds its instance is trusted for, null if it is no seed.
+    edges = tmp(edges.join(totals, "pattern").join(trusted, "instance", "left"))
+    sure = edges.select("pattern", "total", F.explode("kinds").alias("kind"), F.lit(1.0).alias("score"))
+    open_edges = edges.filter("kinds is null").drop("kinds")
+    known, before = sure, (0, 0.0)
     for _ in range(ROUNDS):
-        hits = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("hit"))
-        scored = hits.join(totals, "pattern").withColumn("confidence", F.col("hit") / (F.col("total") + 1))
+        scored = known.groupBy("pattern", "total", "kind").agg(F.sum("score").alias("hit")).withColumn("confidence", F.col("hit") / (F.col("total") + 1))
         patterns = tmp(scored.filter((F.col("hit") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind", "confidence"))
         found = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
         if found[0] == before[0] and abs(found[1] - before[1]) <= 1e-3 * found[0]:
             return patterns
         before = found
-        gained = edges.join(patterns, "pattern").filter(_fits(F.col("kind"), F.col("instance"))).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-        known = trusted.union(gained.join(trusted.select("instance"), "instance", "left_anti"))
+        gained = open_edges.join(patterns, "pattern").filter(_fits(F.col("kind"), F.col("instance"))).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
+        known = sure.union(open_edges.join(gained, "instance").select("pattern", "total", "kind", "score"))
     warnings.warn(f"confidences of {found[0]} patterns still move after {ROUNDS} rounds", stacklevel=3)
     return patterns
 

@@ -109,6 +109,27 @@ def test_graph_equals_brute_force(documents):
         assert row["n_learned"] == int(marked and x not in seed) and row["n_phone"] == int(x in seed)
 
 
+def test_graph_is_one_table(documents, monkeypatch):
+    """Each file written costs an executor processes of their own: spans found, the graph, a round's patterns and the result are all that is written."""
+    tables, write = [], pii.Scratch.__call__
+    monkeypatch.setattr(pii.Scratch, "__call__", lambda self, df: tables.append(df.columns) or write(self, df))
+    texts = ["mail a@b.cc and 10.1.2.3", "call +49 30 1234567 now", "nothing"]
+    got = {r["doc_id"]: r["spans"] for r in pii.summary(documents(texts)).collect()}
+    assert got == {0: "email:5:11,ip:16:24", 1: "phone:5:19", 2: ""}
+    assert len(tables) == 3 and tables[-1] == ["pattern", "kind", "confidence"]
+
+
+def test_instance_is_trusted_for_all_its_kinds(spark):
+    """An instance that two kinds seed counts for both, also where it is met as a token; one that has a context only there is no seed."""
+    base = spark.createDataFrame(
+        [(f"s{i}", k, [f"q{k}{i} _"]) for i in range(6) for k in ("card", "phone")] + [("lone", "ip", [])], "match string, kind string, contexts array<string>"
+    )
+    tokens = spark.createDataFrame([(f"s{i}", ["p _"]) for i in range(6)] + [("lone", ["p _"])], "token string, contexts array<string>")
+    with pii.Scratch(spark) as tmp:
+        got = {(r["pattern"], r["kind"]): r["confidence"] for r in pii.learn(base, tokens, tmp).collect()}
+    assert got == {("p _", "card"): 6 / 8, ("p _", "phone"): 6 / 8}
+
+
 def test_contexts_are_whole_and_cross_matches(spark, documents):
     long = "w" * 120
     texts = ["mail a@b.cc c@d.ee", "id 10.0.0.1 10.0.0.2", f"{long} x@y.zz", f"x@y.zz {long} " + "v" * 500, "see nr 77 of 4a: p@q.rr, then go on", "glued:p@q.rr", "p@q.rrs!x ok", "a@b.cc\n\tc@d.ee e@f.gg  one", "", "p@q.rr"]
