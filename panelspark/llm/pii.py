@@ -44,7 +44,8 @@ PATTERNS = {
     "token": rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+",
 }
 _NEEDS = {"email": "@", "phone": "+"}
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+# A part that is all zeros is taken by the first repeat.
+_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?+"
 #: Shapes of unseen identifiers that a pattern may mark.
 SHAPES = {
     "email": "^[^@]+@[^@]+$",

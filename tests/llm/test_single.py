@@ -48,6 +48,13 @@ def test_base_spans_equal_brute_force(documents):
         assert set(want) <= set(row["spans"].split(",")) | {""}
 
 
+def test_parts_of_zeros_are_addresses(documents):
+    texts = ["10.0.0.1", "a 0.0.0.0 b", "00.000.1.255", "1.0256.0.0", "0.0.0.00256", "127.0.0.1 8.8.0.8", "1.2.3.0 99.100.199.249"]
+    for row in pii.summary(documents(texts)).collect():
+        want = base_spans(texts[row["doc_id"]])
+        assert row["spans"] == ",".join(want) and row["n_ip"] == len(want), texts[row["doc_id"]]
+
+
 def test_long_texts_do_not_overflow(documents):
     texts = ["1 " * 200_000, "a@b" + ".c" * 200_000, "x" * 300_000, "+1" * 100_000, "@" * 100_000]
     rows = {r["doc_id"]: r for r in pii.summary(documents(texts)).collect()}
