@@ -52,7 +52,6 @@ cell_query("ts_stddev", lambda: series.ts_stddev(close(), 20), gate(f"stddev_sam
 cell_query(
     "ts_cov", lambda: series.ts_cov(px(), vol(), 20), gate(f"covar_samp(px, vol) {over(20)}", "px + vol", 20, 2), 3
 )
-cell_query("ts_corr_pearson", lambda: series.ts_corr_pearson(px(), vol(), 20), gate(f"covar_pop(px, vol) {over(20)} / (stddev_pop(CASE WHEN vol IS NOT NULL THEN px END) {over(20)} * stddev_pop(CASE WHEN px IS NOT NULL THEN vol END) {over(20)})", "px + vol", 20, 20))
 cell_query("ts_prod", lambda: series.ts_prod(1 + ret(), 5), gate(f"product(1 + ret) {over(5)}", "ret", 5, 5))
 cell_query("ts_min", lambda: series.ts_min(close(), 15, 1), gate(f"min(close) {over(15)}", "close", 15, 1))
 cell_query("ts_max", lambda: series.ts_max(close(), 15), f"CASE WHEN count(*) {over(15)} >= 15 THEN max(close) {over(15)} END")
@@ -70,6 +69,18 @@ cell_query(
     f"CASE WHEN len(l) >= 10 THEN len(list_filter(l, lambda v: v < px)) + (len(list_filter(l, lambda v: v = px)) + 1) / 2.0 END",
     prelude=MARKET + f", f AS (SELECT *, list(px) FILTER (WHERE px IS NOT NULL) {over(10)} AS l FROM g)", frame="f",
 )
+
+
+@query(
+    f"WITH {MARKET} SELECT tradedate, symbol, {sql_rounded('v')} AS value FROM (SELECT tradedate, symbol, "
+    + gate(f"covar_pop(px, vol) {over(20)} / (stddev_pop(CASE WHEN vol IS NOT NULL THEN px END) {over(20)} * stddev_pop(CASE WHEN px IS NOT NULL THEN vol END) {over(20)})", "px + vol", 20, 20)
+    + " AS v FROM g)"
+)
+def ts_corr_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tables.market(spark, sf_dir).select(*CELLS, "i", "px", "vol")
+    return moving.moving_correlation(m, 20, px(), vol(), "value").select(*CELLS, rounded("value").alias("value"))
+
+
 _SLOPE = f"regr_slope(coalesce(ret, 0), coalesce(vol, 0)) {over(20)}"
 _ICEPT = f"regr_intercept(coalesce(ret, 0), coalesce(vol, 0)) {over(20)}"
 _FULL = f"count(*) {over(20)} >= 20"

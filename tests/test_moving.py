@@ -163,3 +163,21 @@ def test_growth_is_by_running_frames(spark, capsys):
     early = df.filter("i = 600").first()
     assert early["egrow"] == pytest.approx((v[600] - v[96]) / 2 / ((v[600] + v[348] + v[96]) / 3))
     assert df.filter("i = 503").first()["egrow"] is None
+
+
+@pytest.mark.parametrize("n", [2, 7, 20])
+def test_correlation_equals_direct_frames(spark, values, n, capsys):
+    """A row's cost does not grow with n; equal values have no correlation, even such as rounding moves in a mean."""
+    x, y = [list(v) for v in values]
+    x[40:70], y[55:80] = [0.1] * 30, [1e6 + 0.3] * 25
+    for i in (9, 10, 11, 12):
+        x[i], y[i] = 1e3 + 1e-3 * (i % 2), 0.7 * i
+    df = moving.moving_correlation(frame(spark, x=x, y=y), n, F.col("x"), F.col("y"), "r")
+    df.explain()
+    assert f"RowFrame, -{n - 1}, currentrow" not in capsys.readouterr().out
+    want = []
+    for i in range(90):
+        a, b = np.array(x[max(i + 1 - n, 0) : i + 1]), np.array(y[max(i + 1 - n, 0) : i + 1])
+        flat = len(a) < n or np.isnan(a + b).any() or len(set(a)) == 1 or len(set(b)) == 1
+        want.append(np.nan if flat else np.corrcoef(a, b)[0, 1])
+    np.testing.assert_allclose(got(df, "r")[0], want, rtol=1e-7, atol=1e-9, equal_nan=True)

@@ -55,6 +55,12 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect()) == want
 
 
+def test_pearson_equals_sql_without_frames_of_its_length(spark, duck, capsys):
+    test_query_equals_sql(spark, duck, "ts_corr_pearson")
+    catalog.QUERIES["ts_corr_pearson"](spark, SF).explain()
+    assert "RowFrame, -19, currentrow" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("name", ["index_volume_quantile_756", "index_hindenburg_756", "index_hindenburg_top_756"])
 def test_long_windows_equal_sql(spark, duck, name):
     test_query_equals_sql(spark, duck, name)
