@@ -94,6 +94,17 @@ def test_members_and_pools(spark):
     assert at(universe.scope_pool("all", tradable)) == {("a", 0), ("a", 4), ("b", 5), ("e", 1)}
 
 
+def test_pool_makes_the_tradable_cells_once(spark, capsys):
+    """Whatever number of intervals a member has, its cells come once, and nothing is made a second time for the calendar."""
+    tradable = spark.range(8).select(F.lit("a").alias("symbol"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("tradedate"))
+    ends = [(0, 2), (1, 4), (6, 99), (5, 5)]
+    membership = spark.createDataFrame([("x", "a", DAY + dt.timedelta(i), DAY + dt.timedelta(j)) for i, j in ends], "symbol string, selectedsymbol string, selecteddate date, outdate date")
+    pool = universe.scope_pool("x", tradable, membership)
+    pool.explain()
+    assert capsys.readouterr().out.count("Range (") == 1
+    assert sorted((r["tradedate"] - DAY).days for r in pool.collect()) == [0, 1, 2, 3, 6, 7]
+
+
 def test_names_and_types(spark, tmp_path):
     assert landing.logical_path("out", "basic_info_index_board") == "out/basic_info/basic_info_index_board"
     assert landing.logical_path("out", "stock_pool_000300") == "out/trade_calendar/stock_pool_000300"

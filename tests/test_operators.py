@@ -231,3 +231,15 @@ def test_merge_stream(spark, tmp_path):
         merge_stream(stream, target, str(tmp_path / "check")).awaitTermination(60)
         last = KeyedTable(spark, target).read(k + 1)
     assert sorted(r["x"] for r in last.collect()) == [1.0, 5.0]
+
+
+def test_last_view_makes_the_factor_once(spark, capsys):
+    """Within a pool the last day is that of a known value of the pool; the factor is not made again to find it."""
+    day = F.date_add(F.lit(DAY), F.floor(F.col("id") / 3).cast("int"))
+    factor = spark.range(12).select(day.alias("tradedate"), F.concat(F.lit("s"), F.col("id") % 3).alias("symbol"), F.when(F.col("id") < 10, F.col("id").cast("double")).alias("value"))
+    pool = factor.filter("symbol != 's0'").select("tradedate", "symbol")
+    view = backtest.last_factor_view(factor, pool)
+    view.explain()
+    assert "Range (" not in capsys.readouterr().out
+    got_ = sorted((r["tradedate"], r["symbol"], r["value"], r["pct"]) for r in view.collect())
+    assert got_ == [(DAY + dt.timedelta(2), "s1", 7.0, 0.5), (DAY + dt.timedelta(2), "s2", 8.0, 1.0)]
