@@ -201,3 +201,17 @@ def test_residual_volatility_sums_its_frames_at_once(spark, capsys):
     months = [excess[i + 1 - 21 : i + 1].sum() for i in range(280, 0, -21)][:12]
     assert one[1][280] == pytest.approx(math.log(1 + max(months)) - math.log(1 + min(months)))
     assert np.isnan(one[1][250]) and not np.isnan(one[1][251])
+
+
+@pytest.mark.parametrize("n", [1, 7, 30])
+def test_totals_of_zeros_are_zero(spark, n, capsys):
+    """Sums by adding only: nothing is left of large values that were in the frame before."""
+    x = [0.1 * 3**i if i < 20 else math.nan if i % 11 == 0 else 0.0 if i < 60 else 0.3 for i in range(90)]
+    out = moving.moving_totals(frame(spark, x=x), n, s=F.col("x"), a=F.abs(F.col("x")), k=F.col("x").isNotNull().cast("double"))
+    out.explain()
+    assert n == 1 or f"RowFrame, -{n - 1}, currentrow" not in capsys.readouterr().out
+    s, a, k = got(out, "s", "a", "k")
+    v = np.array(x)
+    np.testing.assert_allclose(s, [np.nansum(v[max(i + 1 - n, 0) : i + 1]) for i in range(90)], rtol=1e-12)
+    assert (s == a).all() and k.tolist() == [float((~np.isnan(v[max(i + 1 - n, 0) : i + 1])).sum()) for i in range(90)]
+    assert s[59] == 0.0

@@ -243,3 +243,11 @@ def test_last_view_makes_the_factor_once(spark, capsys):
     assert "Range (" not in capsys.readouterr().out
     got_ = sorted((r["tradedate"], r["symbol"], r["value"], r["pct"]) for r in view.collect())
     assert got_ == [(DAY + dt.timedelta(2), "s1", 7.0, 0.5), (DAY + dt.timedelta(2), "s2", 8.0, 1.0)]
+
+
+def test_average_rank_takes_one_sort(spark, capsys):
+    p = make(spark, [(0, s, x) for s, x in zip("abcdefgh", (2.0, None, 1.0, 2.0, 0.0, -0.0, None, 2.0), strict=True)])
+    out = p.withColumn("r", panel.average_rank(F.col("x")))
+    out.explain()
+    assert capsys.readouterr().out.count("Sort [") == 1
+    assert {r["symbol"]: r["r"] for r in out.collect()} == {"a": 5.0, "b": None, "c": 3.0, "d": 5.0, "e": 1.5, "f": 1.5, "g": None, "h": 5.0}

@@ -46,6 +46,22 @@ def test_affine_scan_equals_a_loop(spark):
     np.testing.assert_allclose(values(out, "z"), -np.array(want), rtol=1e-9, atol=1e-9)
 
 
+def test_scans_of_several_factors_share_a_pass(spark, capsys):
+    g = np.random.default_rng(4)
+    c, e = (g.choice([0.0, 1.0, 0.7, 1e-150], 400, p=[0.02, 0.6, 0.36, 0.02]) for _ in "ab")
+    d = g.normal(size=400)
+    df = series(spark, c=c, e=e, d=d)
+    out = scan.affine_scans(df, (F.col("c"), {"y": F.col("d")}), (F.col("e"), {"z": F.col("d")}))
+    out.explain()
+    assert capsys.readouterr().out.count("Sort [") == 2  # by day, by block and day
+    for name, a in (("y", c), ("z", e)):
+        want, v = [], 0.0
+        for k in range(400):
+            v = a[k] * v + d[k]
+            want.append(v)
+        np.testing.assert_allclose(values(out, name), want, rtol=1e-9, atol=1e-9)
+
+
 @pytest.mark.parametrize("adjust", [False, True])
 @pytest.mark.parametrize("span", [1, 3, 120])
 def test_ewm_equals_pandas(spark, span, adjust):
